@@ -79,16 +79,16 @@ def as_documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
-def slices(column, limit: int = 4 << 20):
-    """(first, last) row ranges of an Arrow string column of at most about limit bytes."""
+def slices(column, limit: int = 4 << 20, rows: int = 2048):
+    """(first, last) row ranges of an Arrow string column of at most about limit bytes and at most so many rows."""
     sizes = string_sizes(column)
     first, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if total and total + n > limit:
+        if i > first and (total + n > limit or i - first >= rows):
             yield first, i
             first, total = i, 0
         total += n
-    if first < len(sizes) or not len(sizes):
+    if first < len(sizes):
         yield first, len(sizes)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .mixing import op5_mixing
 from .packing import op3_packing
+from .quality import op1_quality
+from .sharding import op2_sharding
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict:
-    found = (op3_packing, op10_token_counts)
+    found = (op1_quality, op2_sharding, op3_packing, op5_mixing, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
