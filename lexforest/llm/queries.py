@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from .exact_topk import op6_exact_topk
 from .mixing import op5_mixing
 from .packing import op3_packing
+from .permutation import op9_permutation
 from .quality import op1_quality
 from .sharding import op2_sharding
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_sharding, op3_packing, op5_mixing, op10_token_counts)
+    found = (op1_quality, op2_sharding, op3_packing, op5_mixing, op6_exact_topk, op9_permutation, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
