@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_topk import op6_exact_topk
+from .line_dedup import op4_line_dedup
 from .mixing import op5_mixing
 from .near_dup import op7_near_dup
 from .packing import op3_packing
@@ -13,7 +14,7 @@ from .token_counts import op10_token_counts
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_sharding, op3_packing, op5_mixing, op6_exact_topk, op7_near_dup, op9_permutation, op10_token_counts)
+    found = (op1_quality, op2_sharding, op3_packing, op4_line_dedup, op5_mixing, op6_exact_topk, op7_near_dup, op9_permutation, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
