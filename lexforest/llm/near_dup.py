@@ -24,7 +24,7 @@ probability (1 - s^ROWS)^BANDS: 5e-9 at 0.85, 6e-7 at 0.8.
 
 Edge cases: null and empty texts have the empty set and are linked with nothing;
 a text with fewer words than a shingle has one shingle, the whole sequence; rows
-that share a doc_id share the result; an empty table gives no rows; other columns
+that share a doc_id share the result; a null doc_id is linked with nothing and kept; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -246,4 +246,4 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int,
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")

@@ -133,9 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
 def score(docs: DataFrame, voter: Voter | None, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
     """The columns of keep, score and predicted. text is read, and returned only if kept."""
     spark = docs.sparkSession
-    keep = list(keep)
-    src = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), "score double, predicted int"])
+    keep = [c for c in keep if c != "text"] + [c for c in keep if c == "text"]
+    src = docs.select(*(c for c in keep if c != "text"), F.col("text").cast("string").alias("text"))
+    fields = src.schema.fields[: len(keep)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double, predicted int"])
     shared = spark.sparkContext.broadcast(voter)
 
     def run(batches):
@@ -143,11 +144,11 @@ def score(docs: DataFrame, voter: Voter | None, neighbours: int = NEIGHBOURS, th
 
         model = shared.value
         for batch in batches:
-            text = batch.column(len(keep))
+            text = batch.columns[-1]
             for a, b in slices(text):
                 x = terms(text.slice(a, b - a))
                 s = model.vote(x, neighbours) if model is not None else np.full(len(x), 0.5)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return src.mapInArrow(run, schema)
 
@@ -155,4 +156,4 @@ def score(docs: DataFrame, voter: Voter | None, neighbours: int = NEIGHBOURS, th
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
