@@ -25,8 +25,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,13 +45,20 @@ HARD_STEP = 64
 #: Ids that are solved together.
 SEGMENT = 1 << 20
 #: Distinct chunks that a worker remembers before it starts anew; a bound on memory, not on input.
-MEMO = 400_000
+MEMO = 700_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+_ODD = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
+def plain(text: str) -> bool:
+    """Whether lower case is the same with and without context, and no special token's string can start."""
+    return not ("<|" in text or (not text.isascii() and _ODD.search(text)))
+
+
 class Encoder:
     """Ids of whole texts, from remembered ids of chunks.
 
@@ -59,60 +69,72 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             if piece.endswith("</w>") and piece[:-4] and set(piece[:-4]) <= set(".!?"):
                 self.ends[i] = True
+        self.model = self.tokenizer.model
+        # bytes as the tokenizer's alphabet writes them: printable ones as themselves, the others from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = dict(zip([b for b in range(256) if b not in printable], range(256, 512), strict=False))
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
-
-    def _simple(self, chunk: str) -> tuple[str, str]:
-        """A chunk of ASCII letters and one mark after them is two pre-tokens, and case does not matter."""
-        if chunk.isascii():
-            chunk = chunk.lower()
-            if len(chunk) > 1 and chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():
-                return chunk[:-1], chunk[-1]
-        return chunk, ""
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [self._simple(c) for c in chunks]
-        todo = list(dict.fromkeys(p for two in parts for p in two if p and p not in self.index))
-        self._add(todo, [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(todo, add_special_tokens=False)])
-        rest = [(c, p) for c, p in zip(chunks, parts, strict=True) if c not in self.index]
-        self._add([c for c, _ in rest], [np.concatenate([self._ids(x) for x in p]) for _, p in rest])
-
-    def _ids(self, chunk: str) -> np.ndarray:
+        self.index: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._add(["", " end"], [[], [END_ID]])
+
+    def _add(self, chunks: list[str], ids: list[list[int]]) -> None:
+        at = len(self.index)
+        self.index.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lens)])
+
+    def _ids(self, chunk: str) -> list[int]:
         i = self.index[chunk]
-        return self.flat[self.first[i] : self.first[i + 1]]
-
-    def _add(self, chunks: list[str], ids: list[np.ndarray]) -> None:
-        if chunks:
-            at = len(self.index)
-            self.index.update((c, at + k) for k, c in enumerate(chunks))
-            self.flat = np.concatenate([self.flat, *ids])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        return self.flat[self.first[i] : self.first[i + 1]].tolist()
+
+    def _encode(self, chunks: list[str]) -> list[list[int]]:
+        """A run of lower-case letters is one pre-token, which the model takes as it is, byte by byte in its alphabet."""
+        out: list = [None] * len(chunks)
+        rest = []
+        for k, c in enumerate(chunks):
+            if c.isalpha() and c.lower() == c and plain(c):
+                out[k] = [t.id for t in self.model.tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(self.alphabet))]
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Letters and one mark after them are two pre-tokens."""
+        two = [c for c in fresh if len(c) > 1 and c[-1] in ".,!?;:" and c[:-1].isalpha() and plain(c)]
+        one = list((fresh.difference(two) | {c[:-1] for c in two} | {c[-1] for c in two}) - self.index.keys())
+        self._add(one, self._encode(one))
+        self._add(two, [self._ids(c[:-1]) + self._ids(c[-1]) for c in two])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each closed by END_ID, and each text's number of ids."""
         chunks: list[str] = []
         counts = np.empty(len(texts), np.int64)
         for k, text in enumerate(texts):
-            own = text.replace("\n", " ").split(" ")
+            own = (text.lower() if plain(text) else text).replace("\n", " ").split(" ")
             counts[k] = len(own) + 1
             chunks += own
             chunks.append(" end")
         if len(self.index) > MEMO:
             self.reset()
-        if " end" not in self.index:
-            self._add([" end"], [np.array([END_ID], np.uint32)])
-        if fresh := set(chunks) - self.index.keys():
-            self._learn(sorted(fresh))
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [chunks[i] for i in new.tolist()]
+            self._learn(set(missing))
+            at[new] = np.fromiter(map(self.index.__getitem__, missing), np.int64, len(missing))
         first, lens = self.first[at], self.first[at + 1] - self.first[at]
         total = np.concatenate([[0], np.cumsum(lens)])
         flat = self.flat[np.repeat(first - total[:-1], lens) + np.arange(total[-1])]
@@ -144,7 +166,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> tup
     n = len(pos) + 1
     at = np.concatenate([[0], pos]).astype(np.int64)
     # direct transitions of a power of two between places
-    direct: dict[int, list[int]] = {}
+    direct: list = [()] * n
     where = np.full(int(at[-1]) + 1, -1, np.int64)
     where[at] = np.arange(n)
     p = 1
@@ -153,7 +175,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> tup
         ok = np.flatnonzero(far >= 0)
         ok = ok[where[far[ok]] >= 0]
         for j, i in zip(ok.tolist(), where[far[ok]].tolist(), strict=True):
-            direct.setdefault(j, []).append(i)
+            direct[j] = (*direct[j], i)
         p *= 2
     places, cost_of = at.tolist(), [0, *penalty.tolist()]
     dp, back = [0] * n, [-1] * n
@@ -165,7 +187,7 @@ def best_cuts(pos: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> tup
             queue.popleft()
         i = queue[0]
         best = key[i] + window - here
-        for d in direct.get(j, ()):
+        for d in direct[j]:
             if dp[d] < best:
                 best, i = dp[d], d
         dp[j], back[j] = best + cost_of[j], i
