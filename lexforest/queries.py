@@ -1,11 +1,340 @@
-"""Registered queries of the text-complexity engine and their SQL equivalents."""
+"""Registered queries of the text-complexity engine and their SQL equivalents.
+
+Lexical queries read ``documents``. Tree queries read a small table of forests
+written here, or forests built from every sentence of ``documents``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import oracle as sql
+from .functions.scalar import safe_div
+from .operators import axes, combine, files, heads, lexical, measures, patterns, tables, trees
+from .operators.surrogate import surrogate_forests
+from .operators.tokens import tokens
+from .plans import lca, sca
+
+FORESTS = [
+    (1, "(ROOT (S (NP (DT the) (JJ old) (NN dog)) (VP (VBZ barks) (CC and) (VP (VBD ran) (PP (IN to) (NP (PRP me))))) (. .)))"),
+    (2, "(ROOT (S (NP (PRP I)) (VP (VBP know) (SBAR (IN that) (S (NP (PRP he)) (VP (VBD left)))))))\n(ROOT (FRAG (NP (NP (NN cat)) (CC or) (NP (NN dog)))))"),
+    (3, "(ROOT (S (S (NP (NNP Ann)) (VP (VBD came))) (CC and) (S (NP (NNP Bob)) (VP (MD will) (VP (VB go))))))"),
+    (4, "(ROOT (SQ (VBZ is) (NP (PRP it)) (ADJP (JJ red) (CC and) (JJ big))))\n(ROOT (SQ (MD can) (NP (PRP we)) (VP (VB go))))"),
+    (5, "(ROOT (S (SBAR (WHNP (WP what)) (S (NP (PRP you)) (VP (VBD said)))) (VP (VBD hurt))))\n(ROOT (S (SBAR (IN That) (S (NP (PRP he)) (VP (VBZ lies)))) (VP (VBZ is) (ADJP (JJ sad)))))"),
+    (6, "(ROOT (S (S (VP (VBG running))) (VP (VBZ helps))))\n(ROOT (S (S (VP (TO to) (VP (VB err)))) (VP (VBZ is) (ADJP (JJ human)))))"),
+    (7, "(ROOT (S (VP (VB go) (ADVP (RB home)))))\n(ROOT (FRAG (S (NP (NN x)) (VP (VBD fell)))))\n(ROOT (FRAG (ADVP (RB here))))"),
+    (8, "(ROOT (S (NP (NP (NN man)) (SBAR (WHNP (WDT that)) (S (VP (VBZ sings) (CC and) (VP (VBZ plays)))))) (VP (VBD smiled))))"),
+    (9, "(ROOT (S (NP (NP (DT the) (NN king) (POS 's)) (NN hat)) (, ,) (NP (NN coat)) (VP (VBD fell) (SBAR (IN as) (S (S (NP (PRP he)) (VP (VBD ran))) (CC and) (S (NP (PRP we)) (VP (VBD sat))))))))"),
+    (10, "(ROOT (SINV (VP (VBN gone)) (VP (VBZ is)) (NP (NN joy))))\n(ROOT (SBARQ (WHADVP (WRB why)) (SQ (VBD did) (NP (PRP he)) (VP (VB go)))))"),
+    (11, "(ROOT (NP (QP (CD two) (CC or) (CD three)) (NNS cats)))\n(ROOT (X (CONJP (RB as) (RB well)) (UCP (JJ odd) (CC and) (NP (NN wit)))))"),
+    (12, "(ROOT (S (NP-SBJ (EX there)) (VP (VBZ is) (NP (NP (DT a) (NN plan)) (PP (IN of) (NP (NN war)))) (ADVP (RB now)))))"),
+]
+CATEGORY = "x.label IN ('NP', 'VP', 'S')"
+DEFINITION = {"name": "PHRASES", "description": "verb, coordinate and nominal phrases a clause", "value_source": "(VP + CP + 2 * CN) / C"}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def inline(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FORESTS, "doc_id long, forest string")
+
+
+def word_lists(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stand-ins for the published lists: the corpus's own frequencies, and the words tagged ADJ."""
+    return lexical.corpus_frequencies(toks), toks.where("tag = 'ADJ'").select("lemma").distinct()
+
+
+def classed(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
+    own = tokens(documents(spark, sf_dir))
+    frequencies, adjectives = word_lists(own)
+    return lexical.classify(own if toks is None else toks, lexical.easy_words(frequencies), adjectives)
+
+
+def groups_by_source(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.concat(F.lit("g-"), "source").alias("group_id"), F.col("doc_id").alias("ord"))
+
+
+# ---- lexical
+
+
+def tok_counts(spark, sf_dir):
+    """Words and distinct words of every document, without leaving its row."""
+    from .operators.tokens import words
+
+    ws = words(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(ws).cast("long").alias("n_words"), F.size(F.array_distinct(ws)).cast("long").alias("n_types"))
+
+
+def wordlist_topk(spark, sf_dir):
+    return lexical.easy_words(lexical.corpus_frequencies(tokens(documents(spark, sf_dir))), 2000)
+
+
+def lca_classes(spark, sf_dir):
+    return classed(spark, sf_dir).groupBy(F.coalesce("class", F.lit("none")).alias("class"), "soph").agg(F.count("*").alias("n"))
+
+
+def lca_counts(spark, sf_dir):
+    return lexical.counts(classed(spark, sf_dir))
+
+
+def _indices(*names, digits=None):
+    def query(spark, sf_dir):
+        out = lexical.indices(lexical.counts(classed(spark, sf_dir)), names)
+        return out if digits is None else out.select("doc_id", *(F.round(n, digits).alias(n) for n in names))
+
+    return query
+
+
+def lca_ttr_family(spark, sf_dir):
+    """Needs no classes: two aggregates over the words."""
+    toks = tokens(documents(spark, sf_dir))
+    per = toks.groupBy("doc_id", "lemma").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("word_t"), F.sum("n").alias("word_n"))
+    return lexical.indices(per, ("TTR", "CTTR", "RTTR"))
+
+
+def _sampled(name):
+    def query(spark, sf_dir):
+        seq = documents(spark, sf_dir).select("doc_id", F.expr("1").alias("one"), "text")
+        from .operators.tokens import words
+
+        lemmas, key = words(F.col("text")), F.col("doc_id")
+        form = {"NDW-50": lambda: lexical.ndw_first(lemmas), "NDW-ER50": lambda: lexical.ndw_random(key, F.col("w")), "NDW-ES50": lambda: lexical.ndw_window(key, F.col("w")), "MSTTR": lambda: lexical.msttr(F.col("w"))}[name]
+        return seq.withColumn("w", lemmas).where(F.size("w") > 0).select("doc_id", form().alias(name))
+
+    return query
+
+
+def lca_types_list(spark, sf_dir):
+    """Distinct words of every class, in order of first occurrence."""
+    return lexical.matches(classed(spark, sf_dir)).where("measure IN ('noun_t', 'adv_t')").select("doc_id", "measure", F.col("ord").cast("long").alias("ord"), "match")
+
+
+def lca_combine(spark, sf_dir):
+    """Counts of groups of documents, from their tokens."""
+    docs = documents(spark, sf_dir)
+    own = tokens(docs)
+    joined = combine.combine_tokens(own, groups_by_source(docs))
+    frequencies, adjectives = word_lists(own)
+    counted = lexical.counts(lexical.classify(joined.select("doc_id", "pos", "lemma", "tag"), lexical.easy_words(frequencies), adjectives))
+    return counted.select(F.col("doc_id").alias("group_id"), "word_t", "word_n", "noun_t", "noun_n", "sword_t", "lex_t", "lex_n")
+
+
+# ---- trees
+
+
+def tree_shred(spark, sf_dir):
+    return trees.shred(inline(spark)).select("doc_id", "tree_id", "st", "en", "label", F.col("lvl").cast("long").alias("lvl"), "parent", F.col("ci").cast("long").alias("ci"), "next_label", "is_leaf")
+
+
+def tree_props(spark, sf_dir):
+    """Nodes, leaves, preterminals and depth of every document's surrogate forest."""
+    n = trees.shred(surrogate_forests(documents(spark, sf_dir)))
+    return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if("pre").alias("preterminals"), F.max("lvl").cast("long").alias("depth"), F.count_if(F.col("parent").isNull()).alias("trees"))
+
+
+def tree_edges(spark, sf_dir):
+    n = trees.shred(inline(spark))
+    edged = n.select("doc_id", "tree_id", "st", "en", F.col("left_edge").cast("long").alias("left_edge"), F.col("right_edge").cast("long").alias("right_edge"))
+    return trees.spans(n, edged).drop("en")
+
+
+def tree_heights(spark, sf_dir):
+    return trees.heights(trees.shred(inline(spark))).withColumn("height", F.col("height").cast("long"))
+
+
+def tree_tagged(spark, sf_dir):
+    return trees.tagged_leaves(trees.shred(inline(spark)))
+
+
+def head_child(spark, sf_dir):
+    n = heads.with_heads(trees.shred(inline(spark))).where("n_kids > 0")
+    return n.select("doc_id", "tree_id", "st", "head_st", "head_label")
+
+
+def _axis(name, n=None):
+    def query(spark, sf_dir):
+        nodes = axes.axis_nodes(heads.with_heads(trees.shred(inline(spark)))).persist()
+        return axes.axis(nodes, name, n, CATEGORY)
+
+    return query
+
+
+def _structure(name):
+    def query(spark, sf_dir):
+        n = patterns.matches(sca.flagged(inline(spark)), (name,))
+        return n.select("doc_id", "tree_id", "st")
+
+    return query
+
+
+def sca_w(spark, sf_dir):
+    return patterns.word_counts(surrogate_forests(documents(spark, sf_dir)))
+
+
+def sca_counts(spark, sf_dir):
+    return sca.counts(surrogate_forests(documents(spark, sf_dir)))
+
+
+def sca_ratios(spark, sf_dir):
+    return sca.analyse(surrogate_forests(documents(spark, sf_dir)))
+
+
+def sca_inline(spark, sf_dir):
+    return sca.analyse(inline(spark))
+
+
+def sca_matches(spark, sf_dir):
+    return sca.matches(inline(spark)).withColumn("ord", F.col("ord").cast("long"))
+
+
+def sca_combine(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return sca.combined(surrogate_forests(docs), groups_by_source(docs))
+
+
+def formula_custom(spark, sf_dir):
+    return sca.analyse(inline(spark), ["PHRASES", "T"], [DEFINITION])
+
+
+def select_measures(spark, sf_dir):
+    return sca.analyse(inline(spark), ["MLS", "W", "MLS"])
+
+
+# ---- files and tables
+
+
+def files_add_rejects(spark, sf_dir):
+    """Adding pages as files: the new ones, and why the others are refused."""
+    asked = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size"))
+    have = asked.where(F.col("path").endswith("0"))
+    return files.add_files(asked, have, suffixes=None)
+
+
+def cache_valid(spark, sf_dir):
+    """Which cached annotations still hold: newer than the source and not empty."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = e.where("event_id % 2 = 0").groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("ts").alias("mtime"))
+    cached = e.where("event_id % 2 = 1").groupBy(F.col("user_id").cast("string").alias("path")).agg(F.max("ts").alias("cached_at"), F.count("*").alias("size"))
+    return files.cache_lookup(source, cached).select("path", "valid")
+
+
+def export_long(spark, sf_dir):
+    """File, structure and match rows, as an export writes them."""
+    return tables.long_matches(sca.matches(inline(spark)))
+
+
+def table_sort(spark, sf_dir):
+    """Rows numbered by descending words, ties by document."""
+    return tables.sorted_rows(tok_counts(spark, sf_dir), [F.desc("n_words"), F.asc("doc_id")], 100)
+
+
+def measures_list(spark, sf_dir):
+    return measures.Registry([DEFINITION]).listing(spark).select(F.col("ord").cast("long").alias("ord"), "name")
+
+
+def match_drilldown(spark, sf_dir):
+    return sca.matches(inline(spark)).groupBy("doc_id", "measure", "match").agg(F.count("*").alias("n"))
+
+
+def file_sizes(spark, sf_dir):
+    from .functions.scalar import human_size
+
+    size = F.octet_length("text").cast("long")
+    return documents(spark, sf_dir).select("doc_id", human_size(size).alias("size"))
+
+
+def section_types(spark, sf_dir):
+    t = lexical.section_types(tokens(documents(spark, sf_dir)))
+    return t.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "types", "tokens")
+
+
+def rollup_words(spark, sf_dir):
+    """Words by language and source, with subtotals."""
+    d = documents(spark, sf_dir).join(tok_counts(spark, sf_dir), "doc_id")
+    return d.rollup("lang", "source").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_docs"))
+
+
+def conversation_words(spark, sf_dir):
+    """Conversations as groups of turns, combined in order."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    toks = tokens(turns.select(F.struct("conv_id", "turn").alias("doc_id"), "text"))
+    per = toks.groupBy(F.col("doc_id.conv_id").alias("conv_id"), "lemma").agg(F.count("*").alias("n"))
+    out = per.groupBy("conv_id").agg(F.count("*").alias("word_t"), F.sum("n").alias("word_n"))
+    return out.select("conv_id", "word_t", "word_n", safe_div(F.col("word_t"), F.col("word_n")).alias("TTR"))
+
 
 def queries() -> dict:
-    return {}
+    found = {f.__name__: f for f in (
+        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_list, lca_combine, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
+        sca_counts, sca_ratios, sca_inline, sca_matches, sca_combine, formula_custom, select_measures, files_add_rejects, cache_valid, export_long, table_sort, measures_list,
+        match_drilldown, file_sizes, section_types, rollup_words, conversation_words,
+    )}
+    found |= {
+        "sca_W": sca_w,
+        "lca_density": _indices("LD", "LS1", "LS2"), "lca_verb_soph": _indices("VS1", "VS2", "CVS1"), "lca_log_family": _indices("LogTTR", "Uber", digits=6),
+        "lca_variation": _indices("LV", "VV1", "SVV1", "CVV1", "VV2", "NV", "AdjV", "AdvV", "ModV"), "lca_ndw": _indices("NDW"),
+        "lca_ndw_first_z": _sampled("NDW-50"), "lca_ndw_er": _sampled("NDW-ER50"), "lca_ndw_es": _sampled("NDW-ES50"), "lca_msttr": _sampled("MSTTR"),
+    }
+    found |= {f"sca_{n}": _structure(n) for n in patterns.PRIMITIVES}
+    found |= {f"axis_{n}": _axis(n) for n in (*axes.SIMPLE, *axes.PATHS, "unbroken_precedes", "unbroken_follows")}
+    return found | {f"axis_{n}_{'last' if k < 0 else k}": _axis(n, k) for n in ("ith_child_of", "has_ith_child", "ancestor_of_ith_leaf") for k in (2, -1)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    inl, sur = sql.inline_forests(FORESTS), sql.surrogate()
+    grouped = f"""WITH {sql.CLASSED.replace('FROM documents)', "FROM documents)", 1)}, src AS (SELECT c.*, 'g-' || d.source AS group_id FROM classed c JOIN documents d USING (doc_id)), {sql.counts('group_id', 'src')}"""
+    er = f"""WITH {sql.TOKENS}, size AS (SELECT doc_id, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY doc_id),
+        drawn AS (SELECT doc_id, trial, lemma, row_number() OVER (PARTITION BY doc_id, trial ORDER BY md5(doc_id || '|' || trial || '|' || pos), lemma) AS r FROM plain JOIN size USING (doc_id), range(10) x(trial) WHERE n > 50),
+        per AS (SELECT doc_id, trial, count(DISTINCT lemma) AS c FROM drawn WHERE r <= 50 GROUP BY ALL)
+        SELECT doc_id, CASE WHEN n <= 50 THEN t::DOUBLE ELSE (SELECT sum(c) FROM per WHERE per.doc_id = size.doc_id) / 10.0::DOUBLE END AS "NDW-ER50" FROM size"""
+    es = f"""WITH {sql.TOKENS}, size AS (SELECT doc_id, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY doc_id),
+        starts AS (SELECT doc_id, trial, ('0x' || substring(md5(doc_id || '|' || trial), 1, 8))::BIGINT % (n - 49) AS s FROM size, range(10) x(trial) WHERE n > 50),
+        per AS (SELECT p.doc_id, trial, count(DISTINCT lemma) AS c FROM plain p JOIN starts USING (doc_id) WHERE pos >= s AND pos < s + 50 GROUP BY ALL)
+        SELECT doc_id, CASE WHEN n <= 50 THEN t::DOUBLE ELSE (SELECT sum(c) FROM per WHERE per.doc_id = size.doc_id) / 10.0::DOUBLE END AS "NDW-ES50" FROM size"""
+    msttr = f"""WITH {sql.TOKENS}, size AS (SELECT doc_id, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY doc_id),
+        chunk AS (SELECT doc_id, pos // 50 AS k, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY ALL), full50 AS (SELECT doc_id, sum(t) AS t, count(*) * 50 AS n FROM chunk WHERE n = 50 GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN f.n IS NULL THEN s.t::DOUBLE / s.n ELSE f.t::DOUBLE / f.n END AS "MSTTR" FROM size s LEFT JOIN full50 f USING (doc_id)"""
+    trees_inline = f"WITH {inl}, {sql.NODES}"
+    spans = "(SELECT string_agg(l.label, ' ' ORDER BY l.st) FROM nodes l WHERE l.doc_id = n.doc_id AND l.tree_id = n.tree_id AND l.is_leaf AND l.st >= n.st AND l.st <= n.en)"
+    matched = " UNION ALL ".join(f"SELECT doc_id, tree_id, st, en, '{p}' AS measure FROM found WHERE is_{p}" for p in patterns.PRIMITIVES)
+    matches = f"WITH {inl}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS}, m AS ({matched}), spelled AS (SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY tree_id, st) - 1 AS ord, {spans} AS match FROM m n)"
+    own = f"WITH {sql.TOKENS} "
+    out = {
+        "tok_counts": f"SELECT doc_id, len(ws)::BIGINT AS n_words, len(list_distinct(ws))::BIGINT AS n_types FROM (SELECT doc_id, regexp_extract_all(lower(text), '{sql.TOKEN}') AS ws FROM documents)",
+        "wordlist_topk": own + "SELECT lemma FROM plain GROUP BY lemma ORDER BY count(*) DESC, lemma LIMIT 2000",
+        "lca_classes": f"WITH {sql.CLASSED} SELECT coalesce(class, 'none') AS class, soph, count(*) AS n FROM classed GROUP BY ALL",
+        "lca_counts": f"WITH {sql.CLASSED}, {sql.counts()} SELECT * FROM counted",
+        "lca_density": sql.index_query(("LD", "LS1", "LS2")), "lca_verb_soph": sql.index_query(("VS1", "VS2", "CVS1")), "lca_log_family": sql.index_query(("LogTTR", "Uber"), 6),
+        "lca_variation": sql.index_query(("LV", "VV1", "SVV1", "CVV1", "VV2", "NV", "AdjV", "AdvV", "ModV")), "lca_ndw": sql.index_query(("NDW",)), "lca_ttr_family": sql.index_query(("TTR", "CTTR", "RTTR")),
+        "lca_ndw_first_z": own + 'SELECT doc_id, count(DISTINCT lemma)::DOUBLE AS "NDW-50" FROM plain WHERE pos < 50 GROUP BY doc_id', "lca_ndw_er": er, "lca_ndw_es": es, "lca_msttr": msttr,
+        "lca_types_list": f"WITH {sql.CLASSED}, firsts AS (SELECT doc_id, class || '_t' AS measure, lemma AS match, min(pos) AS p FROM classed WHERE class IN ('noun', 'adv') GROUP BY ALL) SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY p) - 1 AS ord, match FROM firsts",
+        "lca_combine": grouped + " SELECT group_id, word_t, word_n, noun_t, noun_n, sword_t, lex_t, lex_n FROM counted",
+        "tree_shred": trees_inline + " SELECT doc_id, tree_id, st, en, label, lvl::BIGINT AS lvl, parent, ci, next_label, is_leaf FROM nodes",
+        "tree_props": f"WITH {sur}, {sql.NODES}, pre AS (SELECT p.doc_id, count(*) AS preterminals FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1 GROUP BY p.doc_id) SELECT n.doc_id, count(*) AS nodes, count(*) FILTER (is_leaf) AS leaves, coalesce(any_value(preterminals), 0) AS preterminals, max(lvl)::BIGINT AS depth, count(*) FILTER (parent IS NULL) AS trees FROM nodes n LEFT JOIN pre ON pre.doc_id = n.doc_id GROUP BY n.doc_id",
+        "tree_edges": f"WITH {inl}, {sql.NODES}, {sql.EDGES} SELECT doc_id, tree_id, st, left_edge, right_edge, {spans} AS span FROM edged n",
+        "tree_heights": trees_inline + " SELECT a.doc_id, a.tree_id, a.st, (max(d.lvl) - max(a.lvl) + 1)::BIGINT AS height FROM nodes a JOIN nodes d ON a.doc_id = d.doc_id AND a.tree_id = d.tree_id AND d.st >= a.st AND d.st <= a.en GROUP BY ALL",
+        "tree_tagged": trees_inline + " SELECT p.doc_id, p.tree_id, p.st, c.label || '/' || p.label AS tagged FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1",
+        "head_child": f"WITH {inl}, {sql.NODES}, {sql.heads()} SELECT doc_id, tree_id, st, head_st, head_label FROM headed WHERE n_kids > 0",
+        "sca_W": f"WITH {sur} SELECT doc_id, len(regexp_extract_all(forest, '{sql.WORD}'))::BIGINT AS \"W\" FROM forests",
+        "sca_counts": sql.structure_counts(sur) + f" SELECT doc_id, W, {', '.join(patterns.PRIMITIVES)} FROM prim",
+        "sca_ratios": sql.structure_counts(sur) + f" SELECT doc_id, {sql.ALL} FROM sums",
+        "sca_inline": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ALL} FROM sums",
+        "sca_matches": matches + " SELECT * FROM spelled",
+        "sca_combine": sql.structure_counts(sur) + f", grouped AS (SELECT 'g-' || source AS group_id, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('W', 'S', 'VP', 'C', 'T', 'DC', 'CT', 'CP', 'CN'))} FROM sums JOIN documents USING (doc_id) GROUP BY ALL) SELECT group_id, {sql.ALL} FROM grouped",
+        "formula_custom": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ratio('VP + CP + 2 * CN', 'C')} AS \"PHRASES\", T FROM sums",
+        "select_measures": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ratio('W', 'S')} AS \"MLS\", W FROM sums",
+        "files_add_rejects": "SELECT url AS path, CASE WHEN url LIKE '%0' THEN 'already added' WHEN coalesce(strlen(html), 0) = 0 THEN 'empty' ELSE 'added' END AS status FROM (SELECT DISTINCT url, max(html) AS html FROM pages GROUP BY url)",
+        "cache_valid": "WITH s AS (SELECT user_id::VARCHAR AS path, max(ts) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id::VARCHAR AS path, max(ts) AS at, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT path, coalesce(at > m AND n > 0, FALSE) AS valid FROM s LEFT JOIN c USING (path)",
+        "export_long": matches + ' SELECT doc_id::VARCHAR AS "Filename", measure AS "Structure", match AS "Match" FROM spelled',
+        "table_sort": f"SELECT row_number() OVER (ORDER BY len(ws) DESC, doc_id) AS row, doc_id, len(ws)::BIGINT AS n_words, len(list_distinct(ws))::BIGINT AS n_types FROM (SELECT doc_id, regexp_extract_all(lower(text), '{sql.TOKEN}') AS ws FROM documents) ORDER BY row LIMIT 100",
+        "measures_list": "SELECT * FROM (VALUES {}) t(ord, name)".format(", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate((*measures.DEFAULT, "PHRASES")))),
+        "match_drilldown": matches + " SELECT doc_id, measure, match, count(*) AS n FROM spelled GROUP BY ALL",
+        "section_types": own + "SELECT doc_id, (pos // 50)::BIGINT AS chunk, count(DISTINCT lemma) AS types, count(*) AS tokens FROM plain GROUP BY ALL",
+        "rollup_words": f"SELECT lang, source, sum(len(regexp_extract_all(lower(text), '{sql.TOKEN}')))::BIGINT AS n_words, count(*) AS n_docs FROM documents GROUP BY ROLLUP (lang, source)",
+        "conversation_words": f"WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{sql.TOKEN}')) AS lemma FROM conversations) SELECT conv_id, count(DISTINCT lemma) AS word_t, count(*) AS word_n, count(DISTINCT lemma)::DOUBLE / count(*) AS \"TTR\" FROM w GROUP BY conv_id",
+    }
+    out |= {f"sca_{p}": f"WITH {inl}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS} SELECT doc_id, tree_id, st FROM found WHERE is_{p}" for p in patterns.PRIMITIVES}
+    return out | sql.axis_sql(inl)
