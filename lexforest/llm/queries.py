@@ -9,12 +9,13 @@ from .near_dup import op7_near_dup
 from .packing import op3_packing
 from .permutation import op9_permutation
 from .quality import op1_quality
+from .repeats import op8_repeats
 from .sharding import op2_sharding
 from .token_counts import op10_token_counts
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_sharding, op3_packing, op4_line_dedup, op5_mixing, op6_exact_topk, op7_near_dup, op9_permutation, op10_token_counts)
+    found = (op1_quality, op2_sharding, op3_packing, op4_line_dedup, op5_mixing, op6_exact_topk, op7_near_dup, op8_repeats, op9_permutation, op10_token_counts)
     return {f.__name__: f for f in found}
 
 
