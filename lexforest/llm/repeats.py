@@ -17,8 +17,9 @@ compared across shards:
    is cut once.
 
 Copies are counted, not shipped, so a passage that a third of all documents hold
-is one reach. Shards hold SHARD_BYTES or so; one hash with very many distinct
-reaches is dealt to several shards by the bytes just before and after its gram.
+is one reach. Shards hold SHARD_BYTES or so, and all distinct reaches of one hash
+stand in one shard: a gram of GRAM bytes in very many different surroundings makes
+that shard large.
 
 Edge cases: null text is empty; shorter texts than LENGTH stay; rows that share a
 doc_id are separate documents; an empty table gives no rows; other columns are
@@ -100,32 +101,40 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("__row", "text").mapInArrow(run, "__row long, place int, hash long, left int, right int, reach long")
 
 
-def solve_shard(hashes: np.ndarray, lefts: np.ndarray, texts: list[bytes], length: int) -> list[tuple[int, int, int]]:
-    """(index, from, to): stretches of the texts whose strings of length bytes start more than once in the shard."""
+def solve_shard(rows: np.ndarray, begins: np.ndarray, texts: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(index, from, to): stretches of the texts whose strings of length bytes start at two places or more.
+
+    rows, begins: the document and place of each text; texts of one document may overlap, so
+    a string counts by where it stands.
+    """
     sizes = np.array([len(x) for x in texts])
     first = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     text = np.ones(int(sizes.sum()) + len(texts), np.int64)  # 1 ends a text
     for a, x in zip(first.tolist(), texts, strict=True):
         text[a : a + len(x)] = np.frombuffer(x, np.uint8).astype(np.int64) + 2
     sa = suffix_array(text, length)
-    shared = common_with_previous(text, sa, length)
+    shared = common_with_previous(text, sa, length)[sa]
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    rest = first[owner] + sizes[owner] - np.arange(len(text))  # bytes to the end of the text
-    long = (shared >= length) & (rest >= length)
-    before = np.full(len(text), -1, np.int64)
-    before[sa[1:]] = sa[:-1]
+    inside = np.arange(len(text)) - first[owner]
+    full = sizes[owner] - inside >= length
+    _, doc = np.unique(rows, return_inverse=True)
+    stands = (doc[owner].astype(np.int64) << 32) + begins[owner] + inside
+    # runs of the array that share a string, and whether they stand at different places
+    run = np.cumsum(shared < length) - (1 if len(shared) and shared[0] < length else 0)
+    keep = full[sa]
+    order, run = sa[keep], run[keep]
     starts = np.zeros(len(text), bool)
-    hit = np.flatnonzero(long)
-    hit = hit[rest[before[hit]] >= length]
-    starts[hit] = True
-    starts[before[hit]] = True
+    if len(order):
+        edge = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
+        several = np.minimum.reduceat(stands[order], edge) != np.maximum.reduceat(stands[order], edge)
+        starts[order] = np.repeat(several, np.diff(np.append(edge, len(order))))
     out = []
     at = np.flatnonzero(starts)
     if len(at):
         cut = np.flatnonzero((np.diff(at) > 1) | (owner[at[1:]] != owner[at[:-1]]))
         for i, j in zip(np.concatenate([[0], cut + 1]).tolist(), np.concatenate([cut, [len(at) - 1]]).tolist(), strict=True):
             k = int(owner[at[i]])
-            out.append((k, int(at[i] - first[k]), int(at[j] - first[k]) + length))
+            out.append((k, int(inside[at[i]]), int(inside[at[j]]) + length))
     return out
 
 
@@ -144,8 +153,8 @@ def stretches(scratch: Scratch, docs: DataFrame, length: int, gram: int) -> Data
     wanted = one.where("mixed").select(F.col("at.__row").alias("__row"), "hash", "reach", (F.col("at.place") - F.col("left")).alias("a"), (F.col("left") + F.col("right")).alias("size"), "left")
     wanted = wanted.groupBy("__row").agg(F.collect_list(F.struct("hash", "reach", "a", "size", "left")).alias("cuts"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = docs.select("__row", F.encode(text, "utf-8").alias("bytes")).join(wanted, "__row").select("bytes", F.explode("cuts").alias("c"))
-    pieces = pieces.select("c.hash", "c.reach", "c.left", F.substring("bytes", F.col("c.a") + 1, F.col("c.size")).alias("piece"))
+    pieces = docs.select("__row", F.encode(text, "utf-8").alias("bytes")).join(wanted, "__row").select("bytes", F.explode("cuts").alias("c"), "__row")
+    pieces = pieces.select("c.hash", "c.reach", "c.left", "__row", "c.a", F.substring("bytes", F.col("c.a") + 1, F.col("c.size")).alias("piece"))
     total = one.where("mixed").agg(F.sum(F.col("left") + F.col("right"))).first()[0] or 0
     shards = int(max(1, total // SHARD_BYTES))
 
@@ -153,7 +162,7 @@ def stretches(scratch: Scratch, docs: DataFrame, length: int, gram: int) -> Data
         import pyarrow as pa
 
         h, r, left = (table.column(c).to_numpy() for c in ("hash", "reach", "left"))
-        found = solve_shard(h, left, [x.as_py() for x in table.column("piece")], length)
+        found = solve_shard(table.column("__row").to_numpy(), table.column("a").to_numpy(), [x.as_py() for x in table.column("piece")], length)
         k = np.array([x[0] for x in found], np.int64)
         return pa.table({
             "hash": pa.array(h[k], pa.int64()), "reach": pa.array(r[k], pa.int64()),
