@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from .tokens import WORD, penn_tag_sql
 
 # Phrase patterns and their replacements, applied in order. {n} is a group.
+# Repeats are bounded, since the regular expressions of the JVM recurse once a repeat.
 CHUNKS = (
-    (r"((\((DT|JJ|CD|NN|NNS|PRP) [^() ]+\) ?)+)", "(NP {1}) "),
-    (r"\(IN ([^() ]+)\) \(NP ((\([A-Z]+ [^() ]+\) ?)+)\)", "(PP (IN {1}) (NP {2}))"),
-    (r"\((MD|VBZ|VBD|VBG|VB) ([^() ]+)\)( \(NP (\([A-Z]+ [^() ]+\) ?)+\))?", "(VP ({1} {2}){3})"),
+    (r"((\((DT|JJ|CD|NN|NNS|PRP) [^() ]+\) ?){1,40})", "(NP {1}) "),
+    (r"\(IN ([^() ]+)\) \(NP ((\([A-Z]+ [^() ]+\) ?){1,40})\)", "(PP (IN {1}) (NP {2}))"),
+    (r"\((MD|VBZ|VBD|VBG|VB) ([^() ]+)\)( \(NP (\([A-Z]+ [^() ]+\) ?){1,40}\))?", "(VP ({1} {2}){3})"),
     (r"\(WDT ([^() ]+)\) (.*)$", "(SBAR (WHNP (WDT {1})) (S {2}))"),
 )
 
