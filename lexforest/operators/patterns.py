@@ -41,7 +41,8 @@ def flagged(nodes: DataFrame) -> DataFrame:
     """
     label, parent, head, after = F.col("label"), F.col("parent_label"), F.col("head_label"), F.col("next_label")
     sisters = Window.partitionBy(*TREE, "parent")
-    n = with_heads(nodes).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE))})
+    n = with_heads(nodes).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
+    n = n.drop("kids")  # the rest sorts narrow rows
     n = from_children(
         n,
         finite_vp_kid=any_kid(F.col("vp") & F.col("finite")),
@@ -51,7 +52,7 @@ def flagged(nodes: DataFrame) -> DataFrame:
     )
     n = from_children(
         n,
-        clause_vp_kid=any_kid(F.col("vp") & (F.col("finite") | (has_kid("CC") & sure(F.col("finite_vp_kid"))))),
+        clause_vp_kid=any_kid(F.col("vp") & (F.col("finite") | (F.col("cc") & sure(F.col("finite_vp_kid"))))),
         that_sts=F.collect_set(child(F.when((label == "IN") & sure(F.col("that_kid")), F.col("st")))),
     )
     under_root = sure(parent == "ROOT")
@@ -69,8 +70,7 @@ def flagged(nodes: DataFrame) -> DataFrame:
     s4 = sure(label.isin(*SENTENCE))
     later = s4 & F.col("parent").isNotNull() & sure(F.col("ci") > F.col("first_s"))
     n = inside(n.withColumn("is_T1", s4 & (F.col("under_root") | (later & (F.col("above_blocks") == 0)))), "is_T1")
-    first_kid = F.try_element_at("kids", F.lit(1))["label"]
-    intro = (head == "WHNP") | ((head == "IN") & F.array_contains("that_sts", F.col("head_st"))) | (first_kid == "S")
+    intro = (head == "WHNP") | ((head == "IN") & F.array_contains("that_sts", F.col("head_st"))) | (F.col("first_label") == "S")
     return n.withColumns({
         "is_S": sure((label == "ROOT") & F.col("parent").isNull()),
         "is_VP1": sure(F.col("vp") & parent.isin(*CLAUSE)),
@@ -81,7 +81,7 @@ def flagged(nodes: DataFrame) -> DataFrame:
         "is_CN2": sure((label == "SBAR") & sure(intro) & (sure(after == "VP") | sure(parent == "VP"))),
         "is_CN3": sure((label == "S") & (after == "VP") & F.col("loose_vp_kid")),
         "is_CT": F.col("is_T1") & (F.col("below_is_DC") > 0),
-        "is_CP": sure(label.isin("ADJP", "ADVP", "NP", "VP") & has_kid("CC")),
+        "is_CP": sure(label.isin("ADJP", "ADVP", "NP", "VP") & F.col("cc")),
     })
 
 

@@ -37,4 +37,5 @@ def surrogate_forests(docs: DataFrame) -> DataFrame:
     escape = lambda sql: sql.replace("\\", "\\\\")
     tagged = f"array_join(transform(ws, w -> concat('(', {penn_tag_sql('w')}, ' ', w, ')')), ' ')"
     trees = f"transform(transform(sentences, ws -> {escape(chunked_sql(tagged, '$'))}), t -> concat(if(t LIKE '%(VP %', '(ROOT (S ', '(ROOT (FRAG '), t, ' (. .)))'))"
+    docs = docs.select("doc_id", "text").repartition("doc_id")  # the node table keeps this partitioning
     return docs.select("doc_id", words.alias("sentences")).select("doc_id", F.expr(f"array_join({trees}, '\\n')").alias("forest"))

@@ -31,14 +31,14 @@ def unbalanced(forests: DataFrame) -> DataFrame:
     return ends.select("doc_id", error.alias("error")).where("error IS NOT NULL")
 
 
-def shred(forests: DataFrame) -> DataFrame:
-    """Nodes of every balanced forest (doc_id, forest).
+def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Nodes of every balanced forest (doc_id, forest). partitioned: the forests are dealt out by doc_id already.
 
     doc_id, tree_id, st, en, label, lvl, parent, parent_label, ci (child index from 0, -1 for a root), sisters (children
     of the parent), prev_label, next_label (of sisters), is_leaf, pre (has one child, a leaf), left_edge, right_edge
     (leaves before the node and up to its end). Unbalanced documents give no rows (see unbalanced).
     """
-    toks = bracket_tokens(forests.repartition("doc_id"))
+    toks = bracket_tokens(forests if partitioned else forests.repartition("doc_id"))
     doc = Window.partitionBy("doc_id")
     by_pos = doc.orderBy("pos")
     whole = by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

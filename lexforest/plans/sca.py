@@ -8,32 +8,32 @@ from pyspark.sql import functions as F
 from ..operators import combine, measures, patterns, trees
 
 
-def flagged(forests: DataFrame) -> DataFrame:
+def flagged(forests: DataFrame, partitioned: bool = False) -> DataFrame:
     """The flagged node table; columns that a caller doesn't read are not computed."""
-    return patterns.flagged(trees.shred(forests))
+    return patterns.flagged(trees.shred(forests, partitioned))
 
 
-def counts(forests: DataFrame, names=measures.COUNTED) -> DataFrame:
+def counts(forests: DataFrame, names=measures.COUNTED, partitioned: bool = False) -> DataFrame:
     """doc_id and the named counted measures of every document; unbalanced ones count no structures."""
     wanted = [n for n in names if n != "W"]
     out = patterns.word_counts(forests) if "W" in names else forests.select("doc_id")
     if wanted:
-        out = out.join(patterns.counts(flagged(forests), wanted), "doc_id", "left")
+        out = out.join(patterns.counts(flagged(forests, partitioned), wanted), "doc_id", "left")
     return out.select("doc_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
 
 
-def analyse(forests: DataFrame, select=None, definitions: list[dict] | None = None) -> DataFrame:
+def analyse(forests: DataFrame, select=None, definitions: list[dict] | None = None, partitioned: bool = False) -> DataFrame:
     """doc_id and the selected measures (default: all 23 and the user's). Only what they need is counted."""
     registry = measures.Registry(definitions)
     names = list(dict.fromkeys(select or registry.default))
-    return measures.select(counts(forests, registry.needed(names)), registry, names)
+    return measures.select(counts(forests, registry.needed(names), partitioned), registry, names)
 
 
-def combined(forests: DataFrame, groups: DataFrame, select=None, definitions: list[dict] | None = None) -> DataFrame:
+def combined(forests: DataFrame, groups: DataFrame, select=None, definitions: list[dict] | None = None, partitioned: bool = False) -> DataFrame:
     """group_id and measures of the groups of documents."""
     registry = measures.Registry(definitions)
     names = list(dict.fromkeys(select or registry.default))
-    total = combine.combine_counts(counts(forests, registry.needed(names)), groups)
+    total = combine.combine_counts(counts(forests, registry.needed(names), partitioned), groups)
     return measures.select(total, registry, names, "group_id")
 
 

@@ -131,7 +131,7 @@ def tree_shred(spark, sf_dir):
 
 def tree_props(spark, sf_dir):
     """Nodes, leaves, preterminals and depth of every document's surrogate forest."""
-    n = trees.shred(surrogate_forests(documents(spark, sf_dir)))
+    n = trees.shred(surrogate_forests(documents(spark, sf_dir)), partitioned=True)
     return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if("pre").alias("preterminals"), F.max("lvl").cast("long").alias("depth"), F.count_if(F.col("parent").isNull()).alias("trees"))
 
 
@@ -175,11 +175,11 @@ def sca_w(spark, sf_dir):
 
 
 def sca_counts(spark, sf_dir):
-    return sca.counts(surrogate_forests(documents(spark, sf_dir)))
+    return sca.counts(surrogate_forests(documents(spark, sf_dir)), partitioned=True)
 
 
 def sca_ratios(spark, sf_dir):
-    return sca.analyse(surrogate_forests(documents(spark, sf_dir)))
+    return sca.analyse(surrogate_forests(documents(spark, sf_dir)), partitioned=True)
 
 
 def sca_inline(spark, sf_dir):
@@ -192,7 +192,7 @@ def sca_matches(spark, sf_dir):
 
 def sca_combine(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return sca.combined(surrogate_forests(docs), groups_by_source(docs))
+    return sca.combined(surrogate_forests(docs), groups_by_source(docs), partitioned=True)
 
 
 def formula_custom(spark, sf_dir):
