@@ -327,11 +327,12 @@ def oracle_sql() -> dict[str, str]:
         "formula_custom": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ratio('VP + CP + 2 * CN', 'C')} AS \"PHRASES\", T FROM sums",
         "select_measures": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ratio('W', 'S')} AS \"MLS\", W FROM sums",
         "files_add_rejects": "SELECT url AS path, CASE WHEN url LIKE '%0' THEN 'already added' WHEN coalesce(strlen(html), 0) = 0 THEN 'empty' ELSE 'added' END AS status FROM (SELECT DISTINCT url, max(html) AS html FROM pages GROUP BY url)",
-        "cache_valid": "WITH s AS (SELECT user_id::VARCHAR AS path, max(ts) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id::VARCHAR AS path, max(ts) AS at, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT path, coalesce(at > m AND n > 0, FALSE) AS valid FROM s LEFT JOIN c USING (path)",
+        "cache_valid": "WITH s AS (SELECT user_id::VARCHAR AS path, max(ts) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id::VARCHAR AS path, max(ts) AS cached_at, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT path, coalesce(cached_at > m AND n > 0, FALSE) AS valid FROM s LEFT JOIN c USING (path)",
         "export_long": matches + ' SELECT doc_id::VARCHAR AS "Filename", measure AS "Structure", match AS "Match" FROM spelled',
         "table_sort": f"SELECT row_number() OVER (ORDER BY len(ws) DESC, doc_id) AS row, doc_id, len(ws)::BIGINT AS n_words, len(list_distinct(ws))::BIGINT AS n_types FROM (SELECT doc_id, regexp_extract_all(lower(text), '{sql.TOKEN}') AS ws FROM documents) ORDER BY row LIMIT 100",
         "measures_list": "SELECT * FROM (VALUES {}) t(ord, name)".format(", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate((*measures.DEFAULT, "PHRASES")))),
         "match_drilldown": matches + " SELECT doc_id, measure, match, count(*) AS n FROM spelled GROUP BY ALL",
+        "file_sizes": "SELECT doc_id, CASE WHEN n < 1024 THEN n::VARCHAR || ' B' WHEN n < 1048576 THEN round(n / 1024::DOUBLE, 2)::VARCHAR || ' KiB' ELSE round(n / 1048576::DOUBLE, 2)::VARCHAR || ' MiB' END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)",
         "section_types": own + "SELECT doc_id, (pos // 50)::BIGINT AS chunk, count(DISTINCT lemma) AS types, count(*) AS tokens FROM plain GROUP BY ALL",
         "rollup_words": f"SELECT lang, source, sum(len(regexp_extract_all(lower(text), '{sql.TOKEN}')))::BIGINT AS n_words, count(*) AS n_docs FROM documents GROUP BY ROLLUP (lang, source)",
         "conversation_words": f"WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{sql.TOKEN}')) AS lemma FROM conversations) SELECT conv_id, count(DISTINCT lemma) AS word_t, count(*) AS word_n, count(DISTINCT lemma)::DOUBLE / count(*) AS \"TTR\" FROM w GROUP BY conv_id",
