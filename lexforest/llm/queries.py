@@ -19,5 +19,27 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [array_to_string(ws, ' ')] END) AS s FROM w WHERE len(ws) > 0),
+n AS (SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN sh USING (doc_id) GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x),
+digest AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY s) AS d FROM sh GROUP BY doc_id),
+class AS (SELECT d, min(doc_id) AS class_id FROM digest GROUP BY d)
+SELECT n.doc_id, n AS n_shingles, component_id, n.doc_id = component_id AS kept, coalesce(class_id, n.doc_id) AS class_id
+FROM n JOIN comp ON comp.doc_id = n.doc_id LEFT JOIN digest g ON g.doc_id = n.doc_id LEFT JOIN class ON class.d = g.d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold hashes, checksums or models that SQL lacks; tests compare them with brute force."""
+    return {"op6_exact_topk": TOP_K, "op7_near_dup": NEAR}
