@@ -36,6 +36,8 @@ N_TERMS = CLASSES * CLASSES + WORD_BUCKETS + 2
 #: Weights of the blocks of terms: character pairs, words, repeats.
 BLOCK_WEIGHTS = (1.0, 0.5, 1.0)
 BLOCK = 1024
+#: Weight of the mean label in a text of one word; neighbours have NEIGHBOURS together at most.
+LEAN = 30.0
 
 _CLASS = np.full(256, 31, np.int64)
 _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("0") : ord("9") + 1] = 0, 1, 2
@@ -44,8 +46,8 @@ for _k, _c in enumerate(".,!?|%$#&*'\"-_:;()/@<>=+~"):
     _CLASS[ord(_c)] = 6 + _k
 
 
-def terms(text) -> np.ndarray:
-    """Rows of term weights of an Arrow string column."""
+def terms(text) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of term weights of an Arrow string column, and the texts' numbers of words."""
     buf, off = string_bytes(text)
     n = len(off) - 1
     doc = np.repeat(np.arange(n), np.diff(off))
@@ -60,7 +62,9 @@ def terms(text) -> np.ndarray:
     rep = np.bincount(of[1:][again], minlength=n)
     repeats = np.stack([rep, total - rep], axis=1).astype(np.float32)
     out = [np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1)) * w for x, w in zip((chars, words, repeats), BLOCK_WEIGHTS, strict=True)]
-    return np.concatenate(out, axis=1)
+    x = np.concatenate(out, axis=1)
+    x[total == 0] = 0  # no words, no terms
+    return x, total
 
 
 @dataclass
@@ -86,7 +90,8 @@ class Voter:
         z[~x.any(1)] = 0
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
-    def vote(self, x: np.ndarray, neighbours: int) -> np.ndarray:
+    def vote(self, x: np.ndarray, n_words: np.ndarray, neighbours: int) -> np.ndarray:
+        """Weighted mean label of the neighbours; a text of few words says little, and leans to the mean label."""
         prior, k = float(self.labels.mean()), min(neighbours, len(self.labels))
         out = np.empty(len(x))
         for a in range(0, len(x), BLOCK):
@@ -94,7 +99,8 @@ class Voter:
             cos = z @ self.vectors.T
             near = np.argpartition(cos, len(self.labels) - k, axis=1)[:, -k:]
             w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** 4
-            out[a : a + BLOCK] = ((w * self.labels[near]).sum(1) + 1e-6 * prior) / (w.sum(1) + 1e-6)
+            lean = LEAN / np.maximum(n_words[a : a + BLOCK], 1)
+            out[a : a + BLOCK] = ((w * self.labels[near]).sum(1) + lean * prior) / (w.sum(1) + lean)
         return np.clip(out, 0, 1)
 
 
@@ -120,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
 
         for batch in batches:
             for a, b in slices(batch.column(2)):
-                x = terms(batch.column(2).slice(a, b - a))
+                x, _ = terms(batch.column(2).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     rows = labelled_sample(docs, labels, max_labelled, folds).select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary").toPandas()
@@ -146,8 +152,8 @@ def score(docs: DataFrame, voter: Voter | None, neighbours: int = NEIGHBOURS, th
         for batch in batches:
             text = batch.columns[-1]
             for a, b in slices(text):
-                x = terms(text.slice(a, b - a))
-                s = model.vote(x, neighbours) if model is not None else np.full(len(x), 0.5)
+                x, n_words = terms(text.slice(a, b - a))
+                s = model.vote(x, n_words, neighbours) if model is not None else np.full(len(x), 0.5)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return src.mapInArrow(run, schema)
