@@ -176,7 +176,10 @@ def stretches(scratch: Scratch, docs: DataFrame, length: int, gram: int) -> Data
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every document.
+
+    docs is read from files, so that a row has the same number at each reading.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
     docs = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = scratch.save(stretches(scratch, docs, length, gram).groupBy("__row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
