@@ -34,6 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .common import Scratch, as_documents, mix64, slices, stream64, string_bytes, table, words_of
 from .components import components
 
@@ -177,8 +178,8 @@ def promising(pairs: DataFrame, sketch: DataFrame, threshold: tuple[int, int]) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs a, b whose full sets reach the threshold."""
+def full_sets(scratch: Scratch, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and members (the sorted shingle hashes) of the documents in ids. Only their texts are shuffled, and few others."""
 
     def collect(batches):
         import pyarrow as pa
@@ -188,6 +189,43 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, th
                 sets = shingle_sets(batch.column(1).slice(a, b - a), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
 
+    few = bitmap.thin(as_documents(docs).where("doc_id IS NOT NULL"), "doc_id", scratch.save(bitmap.build(ids, "doc_id")))
+    return few.join(ids, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, members binary")
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """holders: the documents of every shingle that three documents in sets or fewer have.
+
+    Least, greatest and the exclusive or of the holders name all three, so no list is gathered.
+    """
+
+    def spread(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1 << 19):
+                buf, off = string_bytes(batch.column(1).slice(a, b - a))
+                ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(off) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(buf.view(np.int64))], names=["doc_id", "shingle"])
+
+    rows = sets.dropDuplicates(["doc_id"]).mapInArrow(spread, "doc_id long, shingle long")
+    d = "doc_id"
+    per = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi"), F.bit_xor(d).alias("x")).where("n <= 3")
+    mid = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    return per.select(F.when(F.col("n") == 1, F.array("lo")).when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", mid, "hi")).alias("holders"))
+
+
+def rare_pairs(rare: DataFrame) -> DataFrame:
+    """a < b and r, the number of rare shingles that both have."""
+    h = F.col("holders")
+    two = lambda i, j: F.struct(F.element_at(h, i).alias("a"), F.element_at(h, j).alias("b"))
+    found = rare.where(F.size(h) > 1).select(F.explode(F.when(F.size(h) == 2, F.array(two(1, 2))).otherwise(F.array(two(1, 2), two(1, 3), two(2, 3)))).alias("p"))
+    return found.groupBy("p.a", "p.b").agg(F.count("*").alias("r"))
+
+
+def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs a, b whose full sets reach the threshold."""
+
     def check(batches):
         import pyarrow as pa
 
@@ -203,13 +241,13 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, width: int, th
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([c.take(keep) for c in ids], names=["a", "b"])
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.save(as_documents(docs).join(ids, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, members binary"))
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
-    found = scratch.save(two.mapInArrow(check, "a long, b long").distinct())
-    scratch.drop(sets)
-    return found
+    return scratch.save(two.mapInArrow(check, "a long, b long").distinct())
+
+
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -223,22 +261,42 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int,
     own = scratch.save(sketch.where("n_shingles > 0").join(member.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     scratch.drop(sketch)
     posted = own.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = posted.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-    bucket = scratch.save(posted.join(shared, ["band", "key"]).select("band", "key", "hub", "doc_id"))
-    stars = scratch.save(bucket.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = verified(scratch, docs, scratch.save(promising(stars, own, threshold)), width, threshold)
+    shared = posted.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    bucket = scratch.save(posted.join(shared, ["band", "key"]).select("band", "key", "n", "doc_id"))
+    # the member that meets most others is likeliest to be what the others were made from
+    degree = bucket.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    hubs = bucket.join(degree, "doc_id").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("hub"))
+    hubs = hubs.select("band", "key", (-F.col("hub.low")).alias("hub"))
+    ordered = [F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")]
+    stars = scratch.save(bucket.join(hubs, ["band", "key"]).where("doc_id <> hub").select(*ordered).distinct())
+    hopeful = scratch.save(promising(stars, own, threshold))
+    sets = scratch.save(full_sets(scratch, docs, ids_of(hopeful), width))
+    links = verified(scratch, hopeful, sets, threshold)
+    scratch.drop(sets)
     found = components(scratch, links)
 
     # members of one bucket that are still apart
-    label = lambda df: df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = label(bucket.select("band", "key", "doc_id"))
+    labelled = bucket.select("band", "key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("doc_id", "n_shingles"), "doc_id"))
-    left = apart.select("band", "key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    right = apart.select("band", "key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    fits = F.least("na", "nb") * threshold[1] >= F.greatest("na", "nb") * threshold[0]
-    pairs = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-    rest = verified(scratch, docs, scratch.save(promising(pairs.join(stars, ["a", "b"], "left_anti"), own, threshold)), width, threshold)
+    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("doc_id", "n_shingles", "bands"), "doc_id"))
+    sets = scratch.save(full_sets(scratch, docs, apart.select("doc_id").distinct(), width))
+    # a pair's common shingles are rare ones, which are counted, and at most the common ones of either
+    rare = scratch.save(rare_shingles(sets))
+    n_rare = rare.select(F.explode("holders").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("rare"))
+    apart = scratch.save(apart.join(n_rare, "doc_id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("rare", F.lit(0))).drop("rare"))
+    fits = lambda most: most * threshold[1] >= (F.col("na") + F.col("nb") - most) * threshold[0]
+    side = lambda df, x, *key: df.select(*key, F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("c").alias(f"m{x}"))
+    differ = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    # a pair counts in the first band that it shares
+    before = lambda c: F.slice(c, F.lit(1), F.col("band"))
+    first = ~F.exists(F.zip_with(before("bands"), before("other"), lambda x, y: x == y), lambda same: same)
+    left, right = side(apart, "a", "band", "key", "bands"), side(apart.withColumnRenamed("bands", "other"), "b", "band", "key", "other")
+    pairs = left.join(right, ["band", "key"]).where(differ & fits(F.least("ma", "mb")) & first).select("a", "b")
+    alone = apart.dropDuplicates(["doc_id"])
+    sparse = rare_pairs(rare).join(side(alone, "a"), "a").join(side(alone, "b"), "b").where(differ & fits(F.least("ma", "mb") + F.col("r"))).select("a", "b")
+    pairs = pairs.unionByName(sparse).distinct()
+    rest = verified(scratch, scratch.save(promising(pairs.join(stars, ["a", "b"], "left_anti"), own, threshold)), sets, threshold)
+    scratch.drop(sets)
     found = components(scratch, links.union(rest))
     joined = member.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
