@@ -11,8 +11,9 @@ the number of edits allows; a line's probes are its substrings at those places,
 keyed by length and segment (its own segments are among them). Keys that only one
 line has are dropped by a partial aggregate of (key, least line, greatest line)
 and a bitmap of fixed size, so text never moves: lines are split again from the
-documents, thinned by the bitmap, and joined exactly. Candidates are verified by
-the banded edit distance with a cut-off.
+documents, thinned by the bitmap, and joined exactly. Pairs whose lengths or
+character parities differ too much for the edits are left out, and the rest are
+verified by the banded edit distance with a cut-off.
 
 Edge cases: null and empty texts have no lines to drop; short lines and lines of
 white space stay; of repeated rows the first (in the table's order) keeps its
@@ -76,16 +77,24 @@ def near_pairs(scratch: Scratch, lines: DataFrame, edits: int, least: int) -> Da
     shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
     few = bitmap.thin(rows, "key", scratch.save(bitmap.build(shared, "key"))).distinct()
     few = scratch.save(few.join(shared, "key", "left_semi"))
-    own = few.where("own").select("key", F.col("id").alias("a"))
-    pairs = own.join(few.select("key", F.col("id").alias("b")), "key").where("a <> b")
-    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = scratch.save(few.select("id").distinct())
     texts = bitmap.thin(lines.select(F.xxhash64("line").alias("id"), "line"), "id", scratch.save(bitmap.build(ids, "id"))).distinct()
-    texts = scratch.save(texts.join(ids, "id", "left_semi"))
+    texts = scratch.save(texts.join(ids, "id", "left_semi").withColumns({"size": F.char_length("line"), "odd": parity(F.col("line"))}))
+    few = scratch.save(few.join(texts.select("id", "size", "odd"), "id"))
+    side = lambda df, x: df.select("key", F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
+    # an edit changes a line's length by one at most, and two bits of its parities at most
+    close = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2 * edits)
+    pairs = side(few.where("own"), "a").join(side(few, "b"), "key").where((F.col("a") != F.col("b")) & close)
+    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     return scratch.save(both.where(F.levenshtein("la", "lb", edits).between(0, edits)).select("a", "b").distinct())
 
 
+def parity(line: Column) -> Column:
+    """64 bits: whether characters of each of 64 kinds occur an odd number of times."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))))
+
+
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """__row (kept from docs), doc_id, n_lines, n_exact and n_near (lines dropped) and dropped (their places) of every document."""
     scratch = Scratch(docs.sparkSession, "lines")
