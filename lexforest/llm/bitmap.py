@@ -5,24 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap. 2^24 bits are at most 512 rows of 4 KB, whatever was put in.
+#: Bits of the bitmap. 2^24 bits are at most 262,144 words of 64 bits, whatever was put in.
 BITS = 24
 
 
+def _word(s: Column) -> Column:
+    return F.shiftright(s, 6)
+
+
+def _bit(s: Column) -> Column:
+    return s.bitwiseAND(63).cast("int")
+
+
 def slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << BITS))
+    return F.pmod(F.xxhash64(F.lit(3), key), F.lit(1 << BITS)).cast("long")
 
 
 def build(keys: DataFrame, key: str) -> DataFrame:
-    """At most 2^BITS / 32768 rows: __word, __bits."""
+    """At most 2^BITS / 64 rows: __word, __bits."""
     at = keys.select(slot(F.col(key)).alias("s"))
-    return at.groupBy(F.bitmap_bucket_number("s").alias("__word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("s")))
+    return at.groupBy(_word(F.col("s")).alias("__word")).agg(F.bit_or(one).alias("__bits"))
 
 
 def thin(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     """rows without most of those whose key is not in the bitmap; none whose key is in it is lost."""
-    s = rows.withColumn("__slot", slot(F.col(key))).withColumn("__word", F.bitmap_bucket_number("__slot")).withColumn("__bit", F.bitmap_bit_position("__slot"))
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    on = F.expr("shiftright({0}, cast(__bit % 8 as int)) & 1".format("__byte"))
+    s = rows.withColumn("__slot", slot(F.col(key))).withColumn("__word", _word(F.col("__slot")))
+    on = F.call_function("shiftright", F.col("__bits"), _bit(F.col("__slot"))).bitwiseAND(1) == 1
     # the bitmap's size is fixed
-    return s.join(F.broadcast(bitmap), "__word").withColumn("__byte", byte).where(on == 1).drop("__slot", "__word", "__bit", "__bits", "__byte")
+    return s.join(F.broadcast(bitmap), "__word").where(on).drop("__slot", "__word", "__bits")
