@@ -115,12 +115,11 @@ class Registry:
         for x in ast.walk(tree):
             if isinstance(x, ast.BinOp) and not isinstance(x.op, ast.Add) or isinstance(x, (ast.Constant, ast.UnaryOp)):
                 return None
-        for x in ast.walk(tree):
-            if isinstance(x, ast.Name):
-                own = self.is_sum(x.id)
-                if own is None:
-                    return None
-                parts += own
+        for x in sorted((x for x in ast.walk(tree) if isinstance(x, ast.Name)), key=lambda x: x.col_offset):
+            own = self.is_sum(x.id)
+            if own is None:
+                return None
+            parts += own
         return parts
 
     def listing(self, spark) -> DataFrame:

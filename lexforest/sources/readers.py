@@ -4,8 +4,7 @@ Spark lists and reads the files; the unpacking of word-processor files is a
 small helper inside an Arrow function.
 """
 
-from __future__ import annotations
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -43,13 +42,15 @@ def decode(content: bytes) -> str:
         return content.decode("latin-1")
 
 
-@arrow_udf("string")
-def text_of(content, kind):
-    import pyarrow as pa
-
+def _texts(content: pa.Array, kind: pa.Array) -> pa.Array:
     return pa.array([decode(c) if k == "txt" else unpack(c, k) for c, k in zip(content.to_pylist(), kind.to_pylist(), strict=True)], pa.string())
 
 
+def text_of(content: str, kind: str):
+    """Column of the text of file contents; the function needs a session, so it is made when asked for."""
+    return arrow_udf(_texts, "string")(content, kind)
+
+
 def read_files(spark: SparkSession, paths: list[str], recursive: bool = False, suffixes=SUFFIXES) -> DataFrame:
     """doc_id, path, mtime, size and text of the supported files; names that start with . or ~$ are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
