@@ -15,6 +15,12 @@ documents, thinned by the bitmap, and joined exactly. Pairs whose lengths or
 character parities differ too much for the edits are left out, and the rest are
 verified by the banded edit distance with a cut-off.
 
+Segments of short lines are too frequent for keys, so lines below NEAR (and up to
+EDITS more, to meet those beyond) are made distinct first and have other keys. Below
+HALVES: what is left of a line after up to two deletions; lines within two edits
+leave the same if the longer loses two characters. From HALVES: the first and the
+last half with one character deleted, since one half has one edit at most.
+
 Edge cases: null and empty texts have no lines to drop; short lines and lines of
 white space stay; of repeated rows the first (in the table's order) keeps its
 lines; an empty table gives no rows; other columns are ignored.
@@ -29,6 +35,8 @@ from . import bitmap
 from .common import Scratch, table
 
 EDITS, LEAST, NEAR = 2, 10, 40
+#: From this length on, up to NEAR, keys are made of half a line.
+HALVES = 20
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -70,10 +78,39 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
     return with_length.select("id", F.posexplode(keys).alias("k", "key")).where("key IS NOT NULL").select("id", (F.col("k") < n_own).alias("own"), "key")
 
 
-def near_pairs(scratch: Scratch, lines: DataFrame, edits: int, least: int) -> DataFrame:
+def keyed_by_deletions(lines: DataFrame) -> DataFrame:
+    """id, own and key of each string left after up to two deletions (from columns id, line); own ones lack two characters."""
+    length = F.char_length("line")
+    # a place beyond the end deletes nothing
+    at = lines.withColumn("i", F.explode(F.sequence(F.lit(1), length + 1)))
+    at = at.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.greatest(length, F.col("i")) + 1)))
+    left = F.expr("concat(substring(line, 1, i - 1), substring(line, i + 1, j - i - 1), substring(line, j + 1))")
+    return at.select("id", (F.col("j") <= length).alias("own"), F.xxhash64(F.lit("deletions"), left).alias("key"))
+
+
+def keyed_by_halves(lines: DataFrame) -> DataFrame:
+    """id, own and key of the halves of a line (columns id, line), and of a line of up to two characters less, without one character."""
+    length = F.char_length("line")
+    parts = []
+    for less in (0, 1):
+        first, last = F.floor(length / 2).cast("int") - less, F.ceil(length / 2).cast("int") - less
+        for side, part in (("first", F.substring(F.col("line"), F.lit(1), first)), ("last", F.substring(F.col("line"), length - last + 1, last))):
+            parts.append(F.struct(F.lit(less == 0).alias("own"), F.lit(side).alias("side"), part.alias("part")))
+    at = lines.select("id", F.explode(F.array(*parts)).alias("p")).select("id", "p.*")
+    at = at.withColumn("i", F.explode(F.sequence(F.lit(1), F.char_length("part"))))
+    left = F.expr("concat(substring(part, 1, i - 1), substring(part, i + 1))")
+    return at.select("id", "own", F.xxhash64("side", left).alias("key"))
+
+
+def near_pairs(scratch: Scratch, lines: DataFrame, edits: int, least: int, near: int) -> DataFrame:
     """Pairs a < b of ids of lines within the edits."""
-    lines = candidates_of(lines, least)
-    rows = keyed(lines, edits)
+    if edits > 2:
+        raise ValueError("short lines have keys for two edits at most")
+    lines, length = candidates_of(lines, least), F.char_length("line")
+    short = scratch.save(lines.where(length < near + edits).select(F.xxhash64("line").alias("id"), "line").distinct())
+    halves = min(HALVES, near)
+    rows = keyed(lines.where(length >= near), edits)
+    rows = rows.unionByName(keyed_by_deletions(short.where(length < halves + edits))).unionByName(keyed_by_halves(short.where(length >= halves)))
     shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
     few = bitmap.thin(rows, "key", scratch.save(bitmap.build(shared, "key"))).distinct()
     few = scratch.save(few.join(shared, "key", "left_semi"))
@@ -102,7 +139,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: in
     order = F.struct("doc_id", "__row", "place")
     seen = scratch.save(candidates_of(lines, least).select("__row", "doc_id", "place", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")))
     first = scratch.save(seen.groupBy("id", "id2").agg(F.min(order).alias("first")))
-    pairs = near_pairs(scratch, lines, edits, near)
+    pairs = near_pairs(scratch, lines, edits, least, near)
     at = lambda x: first.select(F.col("id").alias(x), F.col("first").alias(f"f{x}"))
     later = pairs.join(at("a"), "a").join(at("b"), "b").select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
     status = scratch.save(first.join(later.withColumn("near", F.lit(True)), "id", "left").withColumn("near", F.coalesce("near", F.lit(False))))

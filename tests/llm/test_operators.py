@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -140,6 +141,31 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(line_dedup.numbered(none)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(4)
+    lines = []
+    for n in [*range(10, 14), *range(17, 25), *range(36, 44)] * 3:
+        base = "".join(rng.choice("abcdeé ") for _ in range(n)) + "."
+        lines.append(base)
+        for _ in range(4):
+            x = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at, kind = rng.randrange(len(x)), rng.randrange(3)
+                x[at : at + (kind != 0)] = [rng.choice("abcdeé ")] if kind < 2 else []
+            lines.append("".join(x))
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_dedup(line_dedup.numbered(docs)).collect()}
+    placed = [(x, i, p) for i in range(40) for p, x in enumerate(lines[i::40])]
+    want, earlier = {i: [] for i in range(40)}, []
+    for x, i, p in placed:
+        if len(x) >= 10:
+            if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in earlier):
+                want[i].append(p)
+            earlier.append(x)
+    assert got == want and sum(map(len, want.values())) > 50
+
+
 def test_mixing(spark, docs, none):
     documents, schedule = mixing.mix(docs)
     size = {}
