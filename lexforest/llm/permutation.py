@@ -14,7 +14,7 @@ depend on how often a vector repeats. Queries travel to the blocks in chunks.
 
 Edge cases: a vector that is null, empty, zero, of another length than most, or
 holds a null or non-finite component takes no part; fewer than k candidates give
-all of them; ties go to the smaller vec_id; an empty table gives no rows; other
+all of them; ties, of the footrule too, go to the smaller vec_id; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -68,11 +68,13 @@ class Index:
     def candidates(self, order: np.ndarray, n: int) -> np.ndarray:
         if n >= len(self.x):
             return np.arange(len(self.x))
-        return np.argpartition(self.footrule(order), n - 1)[:n]
+        # ties to the earlier row, since copies of one vector tie
+        return np.argpartition(self.footrule(order) * len(self.x) + np.arange(len(self.x)), n - 1)[:n]
 
 
 def search_block(ids, vectors, q_ids, queries, pivots, k: int, share: float):
-    x, q = unit(vectors), unit(queries)
+    by_id = np.argsort(ids, kind="stable")
+    ids, x, q = ids[by_id], unit(vectors[by_id]), unit(queries)
     index = Index(x, pivots, ORDER)
     n = max(RERANK_LEAST, int(len(x) * share))
     out_q, out_v, out_s = [], [], []

@@ -237,6 +237,20 @@ def test_permutation_index(spark, embeddings):
     assert permutation.permutation_search(vectors.usable(df.limit(0)), F.lit(True)).count() == 0
 
 
+def test_permutation_index_ties_to_the_smaller_id(spark, embeddings):
+    df, x = embeddings
+    rows = permutation.permutation_search(vectors.usable(df, allow_zero=False), F.col("vec_id") % 50 == 0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.query_id, r.vec_id) for r in rows}
+    want = set()
+    for q in range(0, 700, 50):
+        s = (u * u[q]).sum(1)
+        s[q] = -9
+        want |= {(q, int(k)) for k in np.lexsort((np.arange(700), -s))[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+    assert {p for p in got if 100 <= p[0] < 400} == {p for p in want if 100 <= p[0] < 400}
+
+
 def sets_of(rows, width):
     out = {}
     for i, t in rows:
