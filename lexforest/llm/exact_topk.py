@@ -1,16 +1,17 @@
 """Operator 6: exact top-k by inner product with a Voronoi partition.
 
 Vectors and queries are grouped by their nearest pivot. A summary of each group
-(size, radius, largest norm, and the k + 1 smallest distances to its pivot)
-gives, for a query q and a group with pivot p and radius r,
+(size, radius, largest norm, and the k + 1 smallest distances to its pivot, of
+rows of different vec_id) gives, for a query q and a group with pivot p and radius r,
 
     q.x <= min(q.p + |q| r, |q| max|x|)      for every x of the group
     q.x >= q.p - |q| d                       for an x at distance d,
 
-so the summaries alone give a score that k candidates reach, and a query is sent
+so the summaries alone give a score that k candidates of another vec_id than the
+query's reach, and a query is sent
 only to the groups whose bound reaches it. Each group is cut into blocks of
-bounded size by a hash of vec_id (a vector with many copies fills many blocks,
-not one), each block answers its queries by one exact product of whole numbers,
+bounded size by a hash of vec_id and the row's number (a vector or vec_id with
+many copies fills many blocks, not one), each block answers its queries by one exact product of whole numbers,
 and the blocks' best k are merged per query. Nothing is left out: a group is
 skipped only if its bound is below what k other candidates reach.
 
@@ -64,20 +65,22 @@ def assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 class Summaries:
     """Bounds that hold for every candidate of a cell; one row a pivot."""
 
-    def __init__(self, pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray, near: list[list[float]], k: int):
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray, near: list[list[tuple[float, int]]], k: int):
         self.pivots, self.radius, self.norm, self.k = pivots, radius, norm, k
         self.of = np.repeat(np.arange(len(pivots)), [len(x) for x in near])
-        self.near = np.array([d for x in near for d in x])
+        self.near = np.array([d for x in near for d, _ in x], np.float64)
+        self.ids = np.array([i for x in near for _, i in x], np.int64)
 
-    def needed(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def needed(self, q: np.ndarray, q_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(queries x cells that may hold one of the best k, the score that k candidates reach)."""
         slack = 1e-9 * (1 + self.norm.max(initial=0)) * (1 + np.linalg.norm(q, axis=1, keepdims=True))  # of doubles
         length = np.linalg.norm(q, axis=1, keepdims=True)
         product = q @ self.pivots.T
         upper = np.minimum(product + length * self.radius, length * self.norm) + slack
         lower = product[:, self.of] - length * self.near - slack
-        # one of the candidates may be the query itself
-        reach = np.full(len(q), -np.inf) if lower.shape[1] < self.k + 1 else np.partition(lower, -(self.k + 1), axis=1)[:, -(self.k + 1)]
+        # rows of the query's own vec_id are no candidates
+        lower[q_ids[:, None] == self.ids] = -np.inf
+        reach = np.full(len(q), -np.inf) if lower.shape[1] < self.k else np.partition(lower, -self.k, axis=1)[:, -self.k]
         return upper >= reach[:, None], reach
 
 
@@ -118,11 +121,11 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     pivots = choose_pivots(rows, int(min(max(n**0.5 / 4, PIVOTS[0]), PIVOTS[1])), SEED)
     cells = scratch.save(assign(rows, pivots))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    spare = F.struct("cell", F.floor(F.rand(SEED) * 64).alias("salt"))
-    # a row a cell; the k + 1 nearest of a cell come from the nearest of its salted parts
-    parts = cells.withColumn("norm", norm).withColumn("part", spare)
-    w = Window.partitionBy("part").orderBy("distance")
-    near = parts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("distance")), 1, k + 1).alias("near"))
+    parts = cells.withColumn("norm", norm)
+    # a row a cell; the k + 1 nearest of a cell come from the nearest of its salted parts, each vec_id counted once
+    salted = cells.groupBy("cell", "vec_id").agg(F.min("distance").alias("distance")).withColumn("salt", F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(64)))
+    w = Window.partitionBy("cell", "salt").orderBy("distance", "vec_id")
+    near = salted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))), 1, k + 1).alias("near"))
     summary = {r.cell: r for r in parts.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.max("norm").alias("norm")).join(near, "cell").collect()}
     m = len(pivots)
     get = lambda name, empty: [summary[c][name] if c in summary else empty for c in range(m)]
@@ -139,7 +142,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         for batch in batches:
             for a in range(0, len(batch), QUERY_BLOCK):
                 part = batch.slice(a, QUERY_BLOCK)
-                need, reach = s.needed(matrix(part.column(1)))
+                need, reach = s.needed(matrix(part.column(1)), part.column(0).to_numpy())
                 row, cell = np.nonzero(need & (own > 0))
                 times = per_cell[cell]
                 row, cell = np.repeat(row, times), np.repeat(cell, times)
@@ -149,7 +152,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     sent = rows.where(is_query).mapInArrow(send, "vec_id long, v array<double>, cell int, block int, reach double")
     block_counts = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("cell") + 1)
-    dealt = cells.withColumn("block", F.pmod(F.xxhash64("vec_id"), block_counts).cast("int"))
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block_counts).cast("int"))
 
     def solve(key, left, right):
         import pyarrow as pa

@@ -222,6 +222,23 @@ def test_exact_topk(spark, embeddings):
     assert exact_topk.exact_topk(whole.limit(0), F.lit(True)).count() == 0
 
 
+def test_exact_topk_of_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    x, ids = np.round(rng.normal(size=(1600, 8)) * 100), np.arange(1600)
+    # the query stands eight times, is the first pivot, and is far from the others
+    query = spark.range(1600).orderBy(F.xxhash64(F.lit(exact_topk.SEED), "id")).first().id
+    x[query] *= 5
+    ids, x = np.concatenate([ids, [query] * 7]), np.concatenate([x, [x[query]] * 7])
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
+    asked = [query, (query + 1) % 1600]
+    got = defaultdict(list)
+    for r in exact_topk.exact_topk(df, F.col("vec_id").isin(asked)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in asked:
+        pairs = [(-int(s), int(i)) for a in x[ids == q] for i, s in zip(ids, x @ a, strict=True) if i != q]
+        assert got[q] == [(-s, i) for s, i in sorted(pairs)[:5]]
+
+
 def test_permutation_index(spark, embeddings):
     df, x = embeddings
     rows = permutation.permutation_search(vectors.usable(df, allow_zero=False), F.col("vec_id") % 50 == 0).collect()
