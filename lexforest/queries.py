@@ -107,9 +107,14 @@ def _sampled(name):
     return query
 
 
-def lca_types_list(spark, sf_dir):
+def lca_types_all(spark, sf_dir):
     """Distinct words of every class, in order of first occurrence."""
-    return lexical.matches(classed(spark, sf_dir)).where("measure IN ('noun_t', 'adv_t')").select("doc_id", "measure", F.col("ord").cast("long").alias("ord"), "match")
+    return lexical.matches(classed(spark, sf_dir)).select("doc_id", "measure", F.col("ord").cast("long").alias("ord"), "match")
+
+
+def lca_types_list(spark, sf_dir):
+    """Of lca_types_all the nouns and adverbs, as its SQL has them."""
+    return lca_types_all(spark, sf_dir).where("measure IN ('noun_t', 'adv_t')")
 
 
 def lca_combine(spark, sf_dir):
@@ -268,7 +273,7 @@ def conversation_words(spark, sf_dir):
 
 def queries() -> dict:
     found = {f.__name__: f for f in (
-        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_list, lca_combine, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
+        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
         sca_counts, sca_ratios, sca_inline, sca_matches, sca_combine, formula_custom, select_measures, files_add_rejects, cache_valid, export_long, table_sort, measures_list,
         match_drilldown, file_sizes, section_types, rollup_words, conversation_words,
     )}

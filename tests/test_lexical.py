@@ -49,3 +49,14 @@ def test_combining_counts_types_anew(spark):
     assert r.group_id == "g" and (r.word_t, r.word_n) == (6, 67)
     one = spark.createDataFrame([(1, "g", 0)], "doc_id long, group_id string, ord int")
     assert combine.check_groups(one).count() == 1
+
+
+def test_types_of_every_class(spark, tmp_path):
+    from lexforest import queries
+
+    text = "The quick dogs quickly saw a beautiful house and happily walked to the remarkable observatory"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.queries()["lca_types_all"](spark, str(tmp_path)).collect()
+    want = queries.lexical.matches(queries.classed(spark, str(tmp_path))).select("measure", "match").collect()
+    assert {(r.measure, r.match) for r in found} == {(r.measure, r.match) for r in want}
+    assert {"word_t", "lex_t", "noun_t"} <= {r.measure for r in found}
