@@ -122,11 +122,13 @@ def inside(nodes: DataFrame, *flags: str) -> DataFrame:
 
 
 def heights(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree_id, st and height (a leaf has 1): a node's deepest descendant, by the interval."""
-    a = nodes.select(*TREE, "st", "en", "lvl")
-    d = nodes.select(*TREE, F.col("st").alias("d_st"), F.col("lvl").alias("d_lvl"))
-    inside = (F.col("d_st") >= F.col("st")) & (F.col("d_st") <= F.col("en"))
-    return a.join(d, TREE).where(inside).groupBy(*TREE, "st").agg((F.max("d_lvl") - F.max("lvl") + 1).alias("height"))
+    """doc_id, tree_id, st and height (a leaf has 1): a node's deepest leaf, among those between its edges."""
+    leaf = F.when(F.col("is_leaf"), F.struct("left_edge", "lvl"))
+    per = nodes.groupBy(*TREE).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"), F.collect_list(F.struct("st", "lvl", "left_edge", "right_edge")).alias("nodes"))
+    depth = lambda x: F.array_max(F.slice("depths", x["left_edge"] + 1, x["right_edge"] - x["left_edge"]))
+    per = per.select(*TREE, "nodes", F.transform("leaves", lambda x: x["lvl"]).alias("depths"))
+    found = per.select(*TREE, F.explode(F.transform("nodes", lambda x: F.struct(x["st"].alias("st"), (depth(x) - x["lvl"] + 1).alias("height")))).alias("n"))
+    return found.select(*TREE, "n.st", "n.height")
 
 
 def spans(nodes: DataFrame, chosen: DataFrame) -> DataFrame:

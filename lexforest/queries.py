@@ -6,6 +6,9 @@ written here, or forests built from every sentence of ``documents``.
 
 from __future__ import annotations
 
+from functools import partial
+from inspect import signature
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +41,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def inline(spark: SparkSession) -> DataFrame:
+def inline(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     return spark.createDataFrame(FORESTS, "doc_id long, forest string")
 
 
+def of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_forests(documents(spark, sf_dir))
+
+
 def word_lists(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stand-ins for the published lists: the corpus's own frequencies, and the words tagged ADJ."""
     return lexical.corpus_frequencies(toks), toks.where("tag = 'ADJ'").select("lemma").distinct()
@@ -130,8 +137,8 @@ def lca_combine(spark, sf_dir):
 # ---- trees
 
 
-def tree_shred(spark, sf_dir):
-    return trees.shred(inline(spark)).select("doc_id", "tree_id", "st", "en", "label", F.col("lvl").cast("long").alias("lvl"), "parent", F.col("ci").cast("long").alias("ci"), "next_label", "is_leaf")
+def tree_shred(spark, sf_dir, forests=inline):
+    return trees.shred(forests(spark, sf_dir)).select("doc_id", "tree_id", "st", "en", "label", F.col("lvl").cast("long").alias("lvl"), "parent", F.col("ci").cast("long").alias("ci"), "next_label", "is_leaf")
 
 
 def tree_props(spark, sf_dir):
@@ -140,36 +147,36 @@ def tree_props(spark, sf_dir):
     return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if("pre").alias("preterminals"), F.max("lvl").cast("long").alias("depth"), F.count_if(F.col("parent").isNull()).alias("trees"))
 
 
-def tree_edges(spark, sf_dir):
-    n = trees.shred(inline(spark))
+def tree_edges(spark, sf_dir, forests=inline):
+    n = trees.shred(forests(spark, sf_dir))
     edged = n.select("doc_id", "tree_id", "st", "en", F.col("left_edge").cast("long").alias("left_edge"), F.col("right_edge").cast("long").alias("right_edge"))
     return trees.spans(n, edged).drop("en")
 
 
-def tree_heights(spark, sf_dir):
-    return trees.heights(trees.shred(inline(spark))).withColumn("height", F.col("height").cast("long"))
+def tree_heights(spark, sf_dir, forests=inline):
+    return trees.heights(trees.shred(forests(spark, sf_dir))).withColumn("height", F.col("height").cast("long"))
 
 
-def tree_tagged(spark, sf_dir):
-    return trees.tagged_leaves(trees.shred(inline(spark)))
+def tree_tagged(spark, sf_dir, forests=inline):
+    return trees.tagged_leaves(trees.shred(forests(spark, sf_dir)))
 
 
-def head_child(spark, sf_dir):
-    n = heads.with_heads(trees.shred(inline(spark))).where("n_kids > 0")
+def head_child(spark, sf_dir, forests=inline):
+    n = heads.with_heads(trees.shred(forests(spark, sf_dir))).where("n_kids > 0")
     return n.select("doc_id", "tree_id", "st", "head_st", "head_label")
 
 
 def _axis(name, n=None):
-    def query(spark, sf_dir):
-        nodes = axes.axis_nodes(heads.with_heads(trees.shred(inline(spark)))).persist()
+    def query(spark, sf_dir, forests=inline):
+        nodes = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir)))).persist()
         return axes.axis(nodes, name, n, CATEGORY)
 
     return query
 
 
 def _structure(name):
-    def query(spark, sf_dir):
-        n = patterns.matches(sca.flagged(inline(spark)), (name,))
+    def query(spark, sf_dir, forests=inline):
+        n = patterns.matches(sca.flagged(forests(spark, sf_dir)), (name,))
         return n.select("doc_id", "tree_id", "st")
 
     return query
@@ -187,12 +194,12 @@ def sca_ratios(spark, sf_dir):
     return sca.analyse(surrogate_forests(documents(spark, sf_dir)), partitioned=True)
 
 
-def sca_inline(spark, sf_dir):
-    return sca.analyse(inline(spark))
+def sca_inline(spark, sf_dir, forests=inline):
+    return sca.analyse(forests(spark, sf_dir))
 
 
-def sca_matches(spark, sf_dir):
-    return sca.matches(inline(spark)).withColumn("ord", F.col("ord").cast("long"))
+def sca_matches(spark, sf_dir, forests=inline):
+    return sca.matches(forests(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
 
 
 def sca_combine(spark, sf_dir):
@@ -200,12 +207,12 @@ def sca_combine(spark, sf_dir):
     return sca.combined(surrogate_forests(docs), groups_by_source(docs), partitioned=True)
 
 
-def formula_custom(spark, sf_dir):
-    return sca.analyse(inline(spark), ["PHRASES", "T"], [DEFINITION])
+def formula_custom(spark, sf_dir, forests=inline):
+    return sca.analyse(forests(spark, sf_dir), ["PHRASES", "T"], [DEFINITION])
 
 
-def select_measures(spark, sf_dir):
-    return sca.analyse(inline(spark), ["MLS", "W", "MLS"])
+def select_measures(spark, sf_dir, forests=inline):
+    return sca.analyse(forests(spark, sf_dir), ["MLS", "W", "MLS"])
 
 
 # ---- files and tables
@@ -226,9 +233,9 @@ def cache_valid(spark, sf_dir):
     return files.cache_lookup(source, cached).select("path", "valid")
 
 
-def export_long(spark, sf_dir):
+def export_long(spark, sf_dir, forests=inline):
     """File, structure and match rows, as an export writes them."""
-    return tables.long_matches(sca.matches(inline(spark)))
+    return tables.long_matches(sca.matches(forests(spark, sf_dir)))
 
 
 def table_sort(spark, sf_dir):
@@ -240,8 +247,8 @@ def measures_list(spark, sf_dir):
     return measures.Registry([DEFINITION]).listing(spark).select(F.col("ord").cast("long").alias("ord"), "name")
 
 
-def match_drilldown(spark, sf_dir):
-    return sca.matches(inline(spark)).groupBy("doc_id", "measure", "match").agg(F.count("*").alias("n"))
+def match_drilldown(spark, sf_dir, forests=inline):
+    return sca.matches(forests(spark, sf_dir)).groupBy("doc_id", "measure", "match").agg(F.count("*").alias("n"))
 
 
 def file_sizes(spark, sf_dir):
@@ -285,7 +292,9 @@ def queries() -> dict:
     }
     found |= {f"sca_{n}": _structure(n) for n in patterns.PRIMITIVES}
     found |= {f"axis_{n}": _axis(n) for n in (*axes.SIMPLE, *axes.PATHS, "unbroken_precedes", "unbroken_follows")}
-    return found | {f"axis_{n}_{'last' if k < 0 else k}": _axis(n, k) for n in ("ith_child_of", "has_ith_child", "ancestor_of_ith_leaf") for k in (2, -1)}
+    found |= {f"axis_{n}_{'last' if k < 0 else k}": _axis(n, k) for n in ("ith_child_of", "has_ith_child", "ancestor_of_ith_leaf") for k in (2, -1)}
+    # those over the inline forests, whose SQL is over them too, stand a second time over the documents
+    return found | {f"{n}_docs": partial(f, forests=of_documents) for n, f in found.items() if "forests" in signature(f).parameters}
 
 
 def oracle_sql() -> dict[str, str]:
