@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ``[^\x20\x09-\x0D]+``: a word is a run of anything but ASCII white space.
@@ -35,7 +36,9 @@ def _root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _roots:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:  # tests and single machines only
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             shared = "file://" + tempfile.mkdtemp(prefix="lexforest-")
         _roots[app] = f"{shared.rstrip('/')}/lexforest-{uuid.uuid4().hex}"
 
@@ -74,6 +77,25 @@ class Scratch:
             _delete(self.spark, df._scratch_path)
 
 
+def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs with __row, a number of the row that is the same at each reading, however Spark cuts the files.
+
+    It is the number of the file (in the order of the paths) and the row's place in it, if
+    docs are rows read from files, chosen or filtered but not multiplied. Other
+    rows are written once with their numbers. A column __row of docs is replaced.
+    """
+    docs = docs.drop("__row")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    try:
+        at = docs.select(*own, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    except AnalysisException:
+        return scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()))
+    # a row a file, no more than the driver lists to plan the scan
+    files = at.select("__file").distinct().select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__n"))
+    number = F.call_function("shiftleft", F.col("__n"), F.lit(40)) + F.col("__index")
+    return at.join(F.broadcast(scratch.save(files)), "__file").select(*own, number.alias("__row"))
+
+
 def as_documents(df: DataFrame, *extra: str) -> DataFrame:
     """doc_id (bigint), text (string) and the named columns, others dropped."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

@@ -1,19 +1,25 @@
 """Operator 4: line deduplication with a segment-partition edit join (DataFrame functions only).
 
-A line is dropped if an equal line stands earlier (by doc_id, then place), or if
-a line within EDITS insertions, deletions and replacements of it has its first
-occurrence earlier. Equal lines are those of at least LEAST characters; the edit
-join takes lines of at least NEAR characters.
-
-The edit join splits a line of length L into EDITS + 1 segments. If two lines are
-within EDITS edits, a segment of the shorter occurs in the longer at a place that
-the number of edits allows; a line's probes are its substrings at those places,
-keyed by length and segment (its own segments are among them). Keys that only one
-line has are dropped by a partial aggregate of (key, least line, greatest line)
-and a bitmap of fixed size, so text never moves: lines are split again from the
-documents, thinned by the bitmap, and joined exactly. Pairs whose lengths or
-character parities differ too much for the edits are left out, and the rest are
-verified by the banded edit distance with a cut-off.
+A line is dropped if an equal line stands earlier (by doc_id, then row and place),
+or if a line within EDITS insertions, deletions and replacements of it has its
+first occurrence earlier. All lines of at least LEAST characters take part.
+
+The edit join cuts a line into m segments of one size, of which two edits touch two
+at most: whichever two are left out, the others stand in the other line too, those
+before the first edit at their place from the start, those after the last edit at
+their place from the end, and those between them shifted by one character at most.
+With m = EDITS + 1 one segment is left, and a line has three keys of its own and
+two shifted ones. The size steps with the length, so that lines of nearly
+one length have the same; a line near a step has the keys of the step below too.
+
+Keys that only one line has are dropped by a partial aggregate of (key, least line,
+greatest line) and a bitmap; then keys are joined exactly. A line needs *one*
+earlier near line only, so each key's lines are compared with its first line
+(and its first line that has the key as its own), and those that are near are done.
+Lines that are left are compared with all earlier ones of their key only where a
+key has SMALL lines at most; larger keys are cut up by keys of more segments
+(LEVELS), and so on. Lines are compared by length and character parities, and then
+by the banded bit-parallel edit distance.
 
 Segments of short lines are too frequent for keys, so lines below NEAR (and up to
 EDITS more, to meet those beyond) are made distinct first and have other keys. Below
@@ -21,9 +27,9 @@ HALVES: what is left of a line after up to two deletions; lines within two edits
 leave the same if the longer loses two characters. From HALVES: the first and the
 last half with one character deleted, since one half has one edit at most.
 
-Edge cases: null and empty texts have no lines to drop; short lines and lines of
+Edge cases: null and empty texts have no lines to drop; lines below LEAST and lines of
 white space stay; of repeated rows the first (in the table's order) keeps its
-lines; an empty table gives no rows; other columns are ignored.
+lines; a null doc_id stands before all others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,51 +37,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitmap
-from .common import Scratch, table
+from .bitmap import Bitmap
+from .common import Scratch, numbered, table
+from .edits import within
+from .ordering import globally_sorted, ranked
 
 EDITS, LEAST, NEAR = 2, 10, 40
 #: From this length on, up to NEAR, keys are made of half a line.
 HALVES = 20
+#: Segments of a line: at first, and in keys with more than SMALL lines.
+LEVELS, SMALL = (3, 6, 12), 32
+ORDER = ("doc_id", "__row", "place")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """__row, doc_id, place (from 0) and line of every line."""
     text = F.col("text").cast("string")
-    return docs.select("__row", "doc_id", F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    return docs.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
 
 
 def candidates_of(lines: DataFrame, least: int) -> DataFrame:
-    return lines.where((F.char_length("line") >= least) & F.col("line").rlike(r"\S"))
+    """Lines that take part, with two 64-bit hashes."""
+    lines = lines.where((F.char_length("line") >= least) & F.col("line").rlike(r"\S"))
+    return lines.withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), "line")})
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 0, length) of segment i of a line: the first ones are the shorter ones."""
-    base, extra = F.floor(length / (edits + 1)), length % (edits + 1)
-    longer = F.greatest(F.lit(0), F.lit(i) - (edits + 1 - extra))
-    return (base * i + longer).cast("int"), (base + F.when(F.lit(i) >= edits + 1 - extra, 1).otherwise(0)).cast("int")
+def segment_size(length: Column, m: int) -> Column:
+    """A size of which m fit into a line of that length: at most a quarter less than would fit, in steps."""
+    most = F.floor(length / m).cast("int")
+    step = F.call_function("shiftleft", F.lit(1), F.greatest(F.floor(F.log2(most)).cast("int") - 2, F.lit(0)))
+    return F.floor(most / step).cast("int") * step
 
 
-def probes(edits: int) -> tuple[Column, int]:
-    """Keys of a line's substrings (column line, of __len characters); the first ones are its own segments'."""
-    own, other = [], []
-    length = F.col("__len")
-    for less in range(edits + 1):
-        shorter = length - less
-        for i in range(edits + 1):
-            start, size = segment(shorter, i, edits)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(shorter, F.lit(i), F.substring(F.col("line"), start + shift + 1, size))
-                (own if less == 0 and shift == 0 else other).append(F.when(start + shift >= 0, key))
-    return F.array(*own, *other), len(own)
+def segment_key(m: int, size: Column, first, last, shift) -> Column:
+    """Key of a line (columns line, __len) without segments first < last; those between them stand shift later."""
+    first, last, shift = (F.lit(x) if isinstance(x, int) else x for x in (first, last, shift))
+    after = (F.lit(m - 1) - last) * size
+    line = F.col("line")
+    parts = (F.substring(line, F.lit(1), first * size), F.substring(line, (first + 1) * size + shift + 1, (last - first - 1) * size), F.substring(line, F.col("__len") - after + 1, after))
+    return F.xxhash64(F.lit(m), size, first, last, *parts)
 
 
-def keyed(lines: DataFrame, edits: int) -> DataFrame:
-    """id, own (the key is of one of the line's segments) and key."""
-    keys, n_own = probes(edits)
-    with_length = lines.select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("__len"))
-    return with_length.select("id", F.posexplode(keys).alias("k", "key")).where("key IS NOT NULL").select("id", (F.col("k") < n_own).alias("own"), "key")
+def choices(m: int) -> list[tuple[int, int, int]]:
+    """(first, last, shift) of all keys of m segments; those without a shift come first."""
+    every = [(i, j, s) for i in range(m) for j in range(i + 1, m) for s in ((0, 1, -1) if j > i + 1 else (0,))]
+    return sorted(every, key=lambda x: x[2] != 0)
+
+
+def first_keys(length: Column, m: int) -> tuple[Column, int]:
+    """All keys of a line as an array, and how many of the first ones are its own."""
+    own, below = F.col("__size"), F.col("__below")
+    keys = lambda size: [segment_key(m, size, *c) for c in choices(m)]
+    return F.when(own == below, F.array(*keys(own))).otherwise(F.array(*keys(own), *keys(below))), sum(c[2] == 0 for c in choices(m))
+
+
+def with_sizes(lines: DataFrame, m: int, edits: int) -> DataFrame:
+    length = F.char_length("line")
+    return lines.withColumns({"__len": length, "__size": segment_size(length, m), "__below": segment_size(length - edits, m)})
+
+
+def finer_keys(lines: DataFrame, m: int, edits: int) -> DataFrame:
+    """no, own and key of lines (columns no, line) cut into m segments."""
+    size = F.explode(F.array_distinct(F.array("__size", "__below")))
+    of = with_sizes(lines, m, edits).select("no", "line", "__len", "__size", size.alias("size"))
+    of = of.where("size > 0").select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(s).alias("s")) for i, j, s in choices(m)))))
+    own = (F.col("s") == 0) & (F.col("size") == F.col("__size"))
+    return of.select("no", own.alias("own"), segment_key(m, F.col("size"), F.col("i"), F.col("j"), F.col("s")).alias("key"))
 
 
 def keyed_by_deletions(lines: DataFrame) -> DataFrame:
@@ -102,59 +129,124 @@ def keyed_by_halves(lines: DataFrame) -> DataFrame:
     return at.select("id", "own", F.xxhash64("side", left).alias("key"))
 
 
-def near_pairs(scratch: Scratch, lines: DataFrame, edits: int, least: int, near: int) -> DataFrame:
-    """Pairs a < b of ids of lines within the edits."""
-    if edits > 2:
-        raise ValueError("short lines have keys for two edits at most")
-    lines, length = candidates_of(lines, least), F.char_length("line")
-    short = scratch.save(lines.where(length < near + edits).select(F.xxhash64("line").alias("id"), "line").distinct())
-    halves = min(HALVES, near)
-    rows = keyed(lines.where(length >= near), edits)
-    rows = rows.unionByName(keyed_by_deletions(short.where(length < halves + edits))).unionByName(keyed_by_halves(short.where(length >= halves)))
-    shared = scratch.save(rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key"))
-    few = bitmap.thin(rows, "key", scratch.save(bitmap.build(shared, "key"))).distinct()
-    few = scratch.save(few.join(shared, "key", "left_semi"))
-    ids = scratch.save(few.select("id").distinct())
-    texts = bitmap.thin(lines.select(F.xxhash64("line").alias("id"), "line"), "id", scratch.save(bitmap.build(ids, "id"))).distinct()
-    texts = scratch.save(texts.join(ids, "id", "left_semi").withColumns({"size": F.char_length("line"), "odd": parity(F.col("line"))}))
-    few = scratch.save(few.join(texts.select("id", "size", "odd"), "id"))
-    side = lambda df, x: df.select("key", F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
-    # an edit changes a line's length by one at most, and two bits of its parities at most
-    close = (F.abs(F.col("na") - F.col("nb")) <= edits) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2 * edits)
-    pairs = side(few.where("own"), "a").join(side(few, "b"), "key").where((F.col("a") != F.col("b")) & close)
-    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-    return scratch.save(both.where(F.levenshtein("la", "lb", edits).between(0, edits)).select("a", "b").distinct())
-
-
 def parity(line: Column) -> Column:
     """64 bits: whether characters of each of 64 kinds occur an odd number of times."""
     return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(c), F.lit(64)))))
 
 
+def shared_keys(rows: DataFrame, line: str) -> DataFrame:
+    """The keys that more than one line has."""
+    return rows.groupBy("key").agg(F.min(line).alias("low"), F.max(line).alias("high")).where("low <> high").select("key")
+
+
+class EditJoin:
+    """Marks the lines that have an earlier line within the edits.
+
+    lines: no (their order), line, size and odd of every line that shares a key.
+    """
+
+    def __init__(self, scratch: Scratch, lines: DataFrame, edits: int):
+        self.scratch, self.lines, self.edits = scratch, lines, edits
+        self.found: DataFrame | None = None
+
+    def _close(self, t: str, p: str) -> Column:
+        # an edit changes a line's length by one at most, and two bits of its parities at most
+        sizes = F.abs(F.col(f"{t}.size") - F.col(f"{p}.size")) <= self.edits
+        return sizes & (F.bit_count(F.col(f"{t}.odd").bitwiseXOR(F.col(f"{p}.odd"))) <= 2 * self.edits)
+
+    def _mark(self, pairs: DataFrame) -> None:
+        """Adds the t of pairs (t, p) that are within the edits."""
+        text = lambda x: self.lines.select(F.col("no").alias(x), F.col("line").alias(f"line_{x}"))
+        both = pairs.distinct().join(text("t"), "t").join(text("p"), "p")
+        near = self.scratch.save(both.where(within(F.col("line_t"), F.col("line_p"), self.edits)).select(F.col("t").alias("no")).distinct())
+        self.found = near if self.found is None else self.scratch.save(self.found.union(near).distinct())
+
+    def compare(self, rows: DataFrame, last: bool) -> DataFrame | None:
+        """Compares the lines that share a key (no, own, key, final); returns the lines (no) of keys that are to be cut up."""
+        light = self.lines.select("no", "size", "odd")
+        me = F.struct("no", "size", "odd").alias("t")
+        member = self.scratch.save(rows.join(light, "no").select("key", "own", "final", me))
+        first = lambda only: F.min(F.when(only, F.col("t")))
+        lead = member.groupBy("key").agg(first(F.lit(True)).alias("any"), first(F.col("own")).alias("p"), F.count("*").alias("n"))
+        led = self.scratch.save(member.join(lead, "key"))
+        earlier = lambda p: (F.col(f"{p}.no") < F.col("t.no")) & self._close("t", p)
+        pair = lambda p: led.where(earlier(p) & (F.col("own") | F.lit(p == "p"))).select(F.col("t.no").alias("t"), F.col(f"{p}.no").alias("p"))
+        self._mark(pair("p").union(pair("any")))
+        done = self.found.withColumn("done", F.lit(True))
+        led = led.withColumn("no", F.col("t.no")).join(done, "no", "left").withColumn("open", F.col("done").isNull() & (F.col("any.no") < F.col("no")))
+        small = F.lit(True) if last else (F.col("n") <= SMALL) | F.col("final")
+        led = self.scratch.save(led.withColumn("small", small).select("key", "own", "t", "n", "open", "small"))
+        left = led.where("small AND open").select("key", F.col("own").alias("own_t"), "t")
+        right = led.where("small").select("key", F.col("own").alias("own_p"), F.col("t").alias("p"))
+        # a key's lines are SMALL at most here, but at the last level
+        pairs = left.join(right, (left.key == right.key) & (F.col("own_t") | F.col("own_p")) & (F.col("p.no") < F.col("t.no")) & self._close("t", "p"))
+        self._mark(pairs.select(F.col("t.no").alias("t"), F.col("p.no").alias("p")))
+        if last:
+            return None
+        large = led.where("NOT small")
+        keys = large.groupBy("key").agg(F.max("open").alias("open")).where("open").select("key")
+        return large.join(keys, "key").select("t.no").distinct()
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """no of the lines that have an earlier line within the edits."""
+        for level, m in enumerate(LEVELS):
+            rest = self.compare(rows, m == LEVELS[-1])
+            if rest is None:
+                break
+            rest = self.scratch.save(rest)
+            if rest.isEmpty():
+                break
+            keys = self.scratch.save(finer_keys(self.lines.join(rest, "no").select("no", "line"), LEVELS[level + 1], self.edits))
+            own = keys.join(shared_keys(keys, "no"), "key").groupBy("key", "no").agg(F.max("own").alias("own"))
+            rows = own.withColumn("final", F.lit(False))
+        return self.found
+
+
 def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: int = NEAR) -> DataFrame:
     """__row (kept from docs), doc_id, n_lines, n_exact and n_near (lines dropped) and dropped (their places) of every document."""
+    if edits > 2:
+        raise ValueError("lines have keys for two edits at most")
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs)
-    order = F.struct("doc_id", "__row", "place")
-    seen = scratch.save(candidates_of(lines, least).select("__row", "doc_id", "place", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")))
-    first = scratch.save(seen.groupBy("id", "id2").agg(F.min(order).alias("first")))
-    pairs = near_pairs(scratch, lines, edits, least, near)
-    at = lambda x: first.select(F.col("id").alias(x), F.col("first").alias(f"f{x}"))
-    later = pairs.join(at("a"), "a").join(at("b"), "b").select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    status = scratch.save(first.join(later.withColumn("near", F.lit(True)), "id", "left").withColumn("near", F.coalesce("near", F.lit(False))))
-    marked = seen.join(status, ["id", "id2"]).select("__row", "place", (F.col("first") != order).alias("exact"), (F.col("near") & (F.col("first") == order)).alias("near"))
+    lines, length = candidates_of(lines_of(docs), least), F.char_length("line")
+    keys, n_own = first_keys(length, LEVELS[0])
+    seen = with_sizes(lines, LEVELS[0], edits).select(*ORDER, "id", "id2", F.when(F.col("__len") >= near, keys).alias("keys"))
+    seen = scratch.save(seen)
+
+    # keys that lines share
+    short = scratch.save(lines.where(length < near + edits).select("id", "line").distinct())
+    halves = min(HALVES, near)
+    from_short = keyed_by_deletions(short.where(length < halves + edits)).withColumn("final", F.lit(True))
+    from_short = from_short.unionByName(keyed_by_halves(short.where(length >= halves)).withColumn("final", F.lit(False)))
+    from_long = seen.where("keys IS NOT NULL").select("id", F.posexplode("keys").alias("k", "key")).select("id", (F.col("k") < n_own).alias("own"), "key", F.lit(False).alias("final"))
+    rows = from_long.unionByName(from_short)
+    shared = scratch.save(shared_keys(rows, "id"))
+    few = Bitmap(scratch, shared, "key").thin(rows, "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("final").alias("final"))
+    few = scratch.save(few.join(shared, "key"))
+
+    # where lines that stand twice or share a key stand first
+    ids = scratch.save(few.select("id").distinct())
+    twice = seen.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    wanted = scratch.save(ids.union(twice).distinct())
+    marks = Bitmap(scratch, wanted, "id")
+    first = marks.thin(seen.drop("keys"), "id").join(wanted, "id").groupBy("id", "id2").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n"))
+    first = scratch.save(first)
+    texts = Bitmap(scratch, ids, "id").thin(lines.select("id", "id2", "line"), "id").distinct().join(ids, "id")
+    texts = globally_sorted(scratch, texts.join(first, ["id", "id2"]).select("id", "id2", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.__row").alias("row"), F.col("first.place").alias("place")), [F.col("doc_id"), F.col("row"), F.col("place")])
+    texts = scratch.save(ranked(texts).select(F.col("__rank").alias("no"), "id", "id2", "line", F.char_length("line").alias("size"), parity(F.col("line")).alias("odd")))
+
+    found = EditJoin(scratch, texts, edits).run(few.join(texts.select("id", "no"), "id").select("key", "no", "own", "final"))
+    near_ids = texts.join(found, "no").select("id", "id2", F.lit(True).alias("near"))
+    status = first.join(near_ids, ["id", "id2"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near OR n > 1")
+    status = scratch.save(status)
+    order = F.struct(*ORDER)
+    marked = Bitmap(scratch, status, "id").thin(seen.drop("keys"), "id").join(status, ["id", "id2"])
+    marked = marked.select("__row", "place", (F.col("first") != order).alias("exact"), (F.col("near") & (F.col("first") == order)).alias("near"))
     per = marked.where("exact OR near").groupBy("__row").agg(F.count_if("exact").alias("n_exact"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("place")).alias("dropped"))
-    out = docs.select("__row", "doc_id", F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).alias("n_lines")).join(per, "__row", "left")
+    out = docs.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split(F.col("text").cast("string"), "\n")), F.lit(0)).alias("n_lines")).join(per, "__row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("__row", "doc_id", F.col("n_lines").cast("long").alias("n_lines"), zero("n_exact"), zero("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number of the row in the table's order, the same at each reading of the same files."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = numbered(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = numbered(Scratch(spark, "lines"), table(spark, sf_dir, "documents").select("doc_id", "text"))
     return line_dedup(docs).drop("__row")

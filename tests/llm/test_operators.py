@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from lexforest.llm import exact_topk, line_dedup, mixing, near_dup, packing, permutation, quality, repeats, sharding, token_counts, vectors
+from lexforest.llm.common import Scratch, numbered
 from lexforest.llm.induced import common_with_previous, suffix_array
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def test_line_dedup(spark, none):
     base = "the quick brown fox jumps over the lazy dog and naps"
     rows = [(1, base + "\nshort\n" + base), (2, base.replace("fox", "fix") + "\nshort\nunique line of this document, long enough to count"), (3, base.replace("quick", "quack").replace("dog", "dig") + "\n\n" + base + "!"),
             (4, None), (5, ""), (6, "entirely different words stand in this line, é and ß too"), (7, "entirely different words stand in this line, e and ß toe"), (8, base.replace("naps", "sings loud")), (6, "entirely different words stand in this line, é and ß too")]
-    df = line_dedup.numbered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    df = numbered(Scratch(spark, "test"), spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     got = [(r.doc_id, list(r.dropped)) for r in line_dedup.line_dedup(df).orderBy("__row").collect()]
     first = {}
     for k, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
@@ -138,7 +139,7 @@ def test_line_dedup(spark, none):
     near = {a for a in first for b in first if len(a) >= 40 and len(b) >= 40 and first[b] < first[a] and distance(a, b) <= 2}
     want = [(i, [p for p, x in enumerate((t or "").split("\n")) if x in first and (first[x] != (i, k, p) or x in near)]) for k, (i, t) in enumerate(rows)]
     assert got == want and any(d for _, d in want)
-    assert line_dedup.line_dedup(line_dedup.numbered(none)).count() == 0
+    assert line_dedup.line_dedup(numbered(Scratch(spark, "test"), none)).count() == 0
 
 
 def test_line_dedup_of_short_lines(spark):
@@ -155,7 +156,7 @@ def test_line_dedup_of_short_lines(spark):
             lines.append("".join(x))
     rng.shuffle(lines)
     docs = spark.createDataFrame([(i, "\n".join(lines[i::40])) for i in range(40)], "doc_id long, text string")
-    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_dedup(line_dedup.numbered(docs)).collect()}
+    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_dedup(numbered(Scratch(spark, "test"), docs)).collect()}
     placed = [(x, i, p) for i in range(40) for p, x in enumerate(lines[i::40])]
     want, earlier = {i: [] for i in range(40)}, []
     for x, i, p in placed:
