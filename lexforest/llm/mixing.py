@@ -50,8 +50,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return s.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))).drop("cap", "ratio", "level", "place")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, schedule).
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, schedule). row: the column of docs that numbers the rows, if there is one.
 
     documents: row_id, doc_id, source, size, source_size, target.
     schedule: row_id, pass, words, whole (the item is the whole document),
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = scratch.save(
         docs.select(
-            *([F.col("__row_id").alias("row_id")] if "__row_id" in docs.columns else [F.monotonically_increasing_id().alias("row_id")]),
+            (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"),
             F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source.isNull().cast("int").alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), size.alias("size"),
         )
     )
