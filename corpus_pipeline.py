@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforest.llm.common import WORD, Scratch, table
-from lexforest.llm.line_dedup import line_dedup, numbered
+from lexforest.llm.common import WORD, Scratch, numbered, table
+from lexforest.llm.line_dedup import line_dedup
 from lexforest.llm.mixing import mix
 from lexforest.llm.near_dup import near_duplicates
 from lexforest.llm.packing import pack
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand earlier in the corpus; a document of such lines only has an empty text."""
-    docs = numbered(docs.select(*COLUMNS))
+    docs = numbered(Scratch(spark, "pipeline"), docs.select(*COLUMNS))
     found = line_dedup(docs).where(F.size("dropped") > 0).select("__row", "dropped")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i)), "\n")
     out = docs.join(found, "__row", "left")
@@ -43,7 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id; of repeated rows the first."""
-    docs = numbered(docs.select(*COLUMNS))
+    docs = numbered(Scratch(spark, "pipeline"), docs.select(*COLUMNS))
     found = near_duplicates(docs, SHINGLE, SIMILARITY).where("doc_id = component_id").select("doc_id").distinct()
     firsts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("__row").alias("__row")).join(found, "doc_id").select("__row")
     rows = firsts.union(docs.where("doc_id IS NULL").select("__row"))
@@ -52,9 +52,9 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; one that the budget cuts keeps the words taken."""
-    docs = docs.select(*COLUMNS).withColumn("__row_id", F.monotonically_increasing_id())
-    _, schedule = mix(docs)
-    taken = docs.join(schedule.select(F.col("row_id").alias("__row_id"), "words", "whole"), "__row_id")
+    docs = numbered(Scratch(spark, "pipeline"), docs.select(*COLUMNS))
+    _, schedule = mix(docs, row="__row")
+    taken = docs.join(schedule.select(F.col("row_id").alias("__row"), "words", "whole"), "__row")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     taken = taken.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(cut))
     return taken.withColumn("n_chars", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
