@@ -11,21 +11,28 @@ from .common import Scratch
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node in links (a, b).
 
-    Each round gives a node the smallest label among its neighbours' and then the
-    label's own label, so the rounds grow with the logarithm of the longest chain.
-    A node with many links is only ever a key of a join or of a partial aggregate.
+    Every node has a parent, at first itself. In each round the smallest
+    grandparent among a node's neighbours becomes the parent of the node and of its
+    parent, if it is smaller, and every node moves up to its grandparent. Since
+    whole trees are hooked, not only nodes, long chains take about as many rounds as the
+    logarithm of their length. A node with many links is only ever a key of a
+    join or of a partial aggregate.
     """
     both = scratch.save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    parents = scratch.save(both.select(F.col("a").alias("node")).distinct().withColumn("parent", F.col("node")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        step = scratch.save(step)
-        roots = step.select(F.col("node").alias("root"), F.col("component").alias("jump"))
-        after = scratch.save(step.join(roots, step.component == roots.root).select("node", F.least("component", "jump").alias("component"), "was"))
-        changed = after.where("component <> was").limit(1).count()
-        scratch.drop(labels, step)
-        labels = after
-        if not changed:
+        above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        known = scratch.save(parents.join(above, "parent"))
+        least = both.join(known.select(F.col("node").alias("b"), "grand"), "b").groupBy("a").agg(F.min("grand").alias("least"))
+        moves = known.join(least, known.node == least.a).select("node", "parent", "grand", "least")
+        to = F.inline(F.array(F.struct(F.col("node").alias("child"), F.least("grand", "least").alias("to")), F.struct(F.col("parent").alias("child"), F.col("least").alias("to"))))
+        moves = moves.select(to).groupBy("child").agg(F.min("to").alias("to"))
+        after = known.join(moves, known.node == moves.child).select("node", F.least("parent", "to").alias("parent"), (F.col("to") < F.col("parent")).alias("moved"))
+        after = scratch.save(after)
+        moved = not after.where("moved").isEmpty()
+        scratch.drop(parents, known)
+        parents = after.select("node", "parent")
+        parents._scratch_path = after._scratch_path
+        if not moved:
             scratch.drop(both)
-            return labels.select("node", "component")
+            return parents.select("node", F.col("parent").alias("component"))

@@ -13,19 +13,23 @@ maximum likelihood with the known set sizes; pairs whose estimate is far below
 the threshold (``SIGMAS`` standard errors) are dropped and all others are
 verified on the full sets.
 
-Documents with one and the same set form a class, of which the smallest doc_id
-stands for all. Candidates are not expanded to all pairs of a band bucket: first
-every member is compared with the bucket's smallest, the verified links are
-merged to components, and then only members of different components of a bucket
-are compared, so no link that could join two components is lost.
+Rows with one and the same set form a class, of which the first row stands for
+all. Candidates are not expanded to all pairs of a band bucket: first every member
+is compared with the bucket's hub, the member that meets most others, and the
+verified links are merged to components. Then only members of different
+components of a bucket are compared, so no link that could join two components is
+lost; a pair goes on only if few enough of the low bits of FINE more registers of
+the two differ, which the join itself counts.
 
 A pair of similarity s shares none of the BANDS bands of ROWS registers with
 probability (1 - s^ROWS)^BANDS: 5e-9 at 0.85, 6e-7 at 0.8.
 
 Edge cases: null and empty texts have the empty set and are linked with nothing;
 a text with fewer words than a shingle has one shingle, the whole sequence; rows
-that share a doc_id share the result; a null doc_id is linked with nothing and kept; an empty table gives no rows; other columns
-are ignored.
+that share a doc_id count as linked and share the component, whatever their texts; a
+null doc_id is linked with nothing and its ids are null; an empty table gives no
+rows; other columns are ignored. A whole text's shingles are held at once by
+one task.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitmap
-from .common import Scratch, as_documents, mix64, slices, stream64, string_bytes, table, words_of
+from .bitmap import Bitmap
+from .common import Scratch, mix64, numbered, slices, stream64, string_bytes, table, words_of
 from .components import components
 
 SHINGLE, THRESHOLD = 3, (85, 100)
@@ -44,14 +48,16 @@ REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate and the largest register but one.
 B, A, Q = 1.001, 20.0, 2**16 - 2
 SIGMAS = 6.0
+#: Further registers of the members of mixed buckets, a bit of each.
+FINE = 1024
 #: Shingles hashed at once.
 CHUNK = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_MULTIPLY = stream64(REGISTERS, 71) | np.uint64(1)
-_FLIP = stream64(REGISTERS, 72)
+_HASHES = stream64(REGISTERS, 71) | np.uint64(1), stream64(REGISTERS, 72)
+_FINE_HASHES = stream64(FINE, 75) | np.uint64(1), stream64(FINE, 76)
 
 
 def shingle_sets(text, width: int) -> list[np.ndarray]:
@@ -81,23 +87,25 @@ def shingle_sets(text, width: int) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
+def registers(sets: list[np.ndarray], hashes: tuple[np.ndarray, np.ndarray] = _HASHES) -> np.ndarray:
     """SetSketch registers, a row a set; sets may not be empty."""
-    least = np.empty((len(sets), REGISTERS), np.uint64)
+    multiply, flip = hashes
+    least = np.empty((len(sets), len(flip)), np.uint64)
+    chunk = CHUNK * REGISTERS // len(flip)
     k = 0
     while k < len(sets):
         upto, size = k, 0
-        while upto < len(sets) and (upto == k or size + len(sets[upto]) <= CHUNK):
+        while upto < len(sets) and (upto == k or size + len(sets[upto]) <= chunk):
             size += len(sets[upto])
             upto += 1
         if upto == k + 1:
             whole = sets[k]
-            parts = [((whole[a : a + CHUNK, None] ^ _FLIP) * _MULTIPLY).min(0) for a in range(0, len(whole), CHUNK)]
+            parts = [((whole[a : a + chunk, None] ^ flip) * multiply).min(0) for a in range(0, len(whole), chunk)]
             least[k] = np.minimum.reduce(parts)
         else:
             flat = np.concatenate(sets[k:upto])
             starts = np.cumsum([0, *(len(x) for x in sets[k : upto - 1])])
-            least[k:upto] = np.minimum.reduceat((flat[:, None] ^ _FLIP) * _MULTIPLY, starts, axis=0)
+            least[k:upto] = np.minimum.reduceat((flat[:, None] ^ flip) * multiply, starts, axis=0)
         k = upto
     uniform = (least.astype(np.float64) + 1.0) * 2.0**-64
     x = np.maximum(-np.log1p(-np.minimum(uniform, 1 - 2.0**-53)) / A, 1e-300)
@@ -126,7 +134,7 @@ def estimate(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray, ste
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest_a, digest_b (of the whole set), regs and bands."""
+    """__row, n_shingles, digest_a, digest_b (of the whole set), regs and bands."""
 
     def run(batches):
         import pyarrow as pa
@@ -149,17 +157,17 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     reg_out[i], band_out[i] = regs[k].tobytes(), keys[k]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(reg_out, pa.binary()), pa.array(band_out, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest_a", "digest_b", "regs", "bands"],
+                    names=["__row", "n_shingles", "digest_a", "digest_b", "regs", "bands"],
                 )
 
-    return as_documents(docs).mapInArrow(run, "doc_id long, n_shingles long, digest_a long, digest_b long, regs binary, bands array<bigint>")
+    return docs.select("__row", "text").mapInArrow(run, "__row long, n_shingles long, digest_a long, digest_b long, regs binary, bands array<bigint>")
 
 
 def promising(pairs: DataFrame, sketch: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs a, b whose sizes allow the threshold and whose estimate is not far below it."""
     t = threshold[0] / threshold[1]
     floor = t - SIGMAS * (t * (1 - t) / REGISTERS) ** 0.5
-    side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    side = lambda x: sketch.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("na", "nb") * threshold[1] >= F.greatest("na", "nb") * threshold[0])
 
@@ -178,8 +186,14 @@ def promising(pairs: DataFrame, sketch: DataFrame, threshold: tuple[int, int]) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def full_sets(scratch: Scratch, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and members (the sorted shingle hashes) of the documents in ids. Only their texts are shuffled, and few others."""
+def with_texts(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """__row and text of the rows in nodes. Only their texts are shuffled, and few others."""
+    few = Bitmap(scratch, nodes, "node").thin(docs.select("__row", "text"), "__row")
+    return few.join(nodes, few["__row"] == nodes.node).select("__row", "text")
+
+
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node and members (the sorted shingle hashes) of each text."""
 
     def collect(batches):
         import pyarrow as pa
@@ -187,40 +201,32 @@ def full_sets(scratch: Scratch, docs: DataFrame, ids: DataFrame, width: int) ->
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
 
-    few = bitmap.thin(as_documents(docs).where("doc_id IS NOT NULL"), "doc_id", scratch.save(bitmap.build(ids, "doc_id")))
-    return few.join(ids, "doc_id", "left_semi").mapInArrow(collect, "doc_id long, members binary")
+    return texts.mapInArrow(collect, "node long, members binary")
 
 
-def rare_shingles(sets: DataFrame) -> DataFrame:
-    """holders: the documents of every shingle that three documents in sets or fewer have.
+def fine_bits(texts: DataFrame, width: int) -> DataFrame:
+    """node and f0, f1, ...: the low bits of FINE registers of each text, in words of 64."""
+    names = [f"f{k}" for k in range(FINE // 64)]
 
-    Least, greatest and the exclusive or of the holders name all three, so no list is gathered.
-    """
-
-    def spread(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 19):
-                buf, off = string_bytes(batch.column(1).slice(a, b - a))
-                ids = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(off) // 8)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(buf.view(np.int64))], names=["doc_id", "shingle"])
+            for a, b in slices(batch.column(1)):
+                sets = shingle_sets(batch.column(1).slice(a, b - a), width)
+                low = (registers(sets, _FINE_HASHES) & 1).astype(np.uint8)
+                words = np.packbits(low, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(names)))], names=["node", *names])
 
-    rows = sets.dropDuplicates(["doc_id"]).mapInArrow(spread, "doc_id long, shingle long")
-    d = "doc_id"
-    per = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min(d).alias("lo"), F.max(d).alias("hi"), F.bit_xor(d).alias("x")).where("n <= 3")
-    mid = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
-    return per.select(F.when(F.col("n") == 1, F.array("lo")).when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", mid, "hi")).alias("holders"))
+    return texts.mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
 
 
-def rare_pairs(rare: DataFrame) -> DataFrame:
-    """a < b and r, the number of rare shingles that both have."""
-    h = F.col("holders")
-    two = lambda i, j: F.struct(F.element_at(h, i).alias("a"), F.element_at(h, j).alias("b"))
-    found = rare.where(F.size(h) > 1).select(F.explode(F.when(F.size(h) == 2, F.array(two(1, 2))).otherwise(F.array(two(1, 2), two(1, 3), two(2, 3)))).alias("p"))
-    return found.groupBy("p.a", "p.b").agg(F.count("*").alias("r"))
+def most_differing(threshold: tuple[int, int]) -> int:
+    """Of FINE low bits, how many of a pair at the threshold differ at most (SIGMAS standard errors above the mean)."""
+    p = (1 - threshold[0] / threshold[1]) / 2
+    return int(np.ceil(FINE * p + SIGMAS * (FINE * p * (1 - p)) ** 0.5))
 
 
 def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -241,67 +247,78 @@ def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: tup
             keep = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([c.take(keep) for c in ids], names=["a", "b"])
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("sa")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("members").alias("sb")), "b")
     return scratch.save(two.mapInArrow(check, "a long, b long").distinct())
 
 
-def ids_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id (smallest reachable) of every row."""
+    """__row, doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id (smallest reachable) of every row.
+
+    docs has __row, which numbers the rows and is the same at each reading.
+    """
     scratch = Scratch(docs.sparkSession, "near-dup")
+    docs = docs.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = scratch.save(sketches(docs, width))
     digest = ["digest_a", "digest_b", "n_shingles"]
-    classes = sketch.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("class_id"))
-    member = scratch.save(sketch.join(classes, digest, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
+    ids = docs.select("__row", "doc_id")
+    sized = sketch.select("__row", *digest).join(ids, "__row")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = sized.where(linked).groupBy(*digest).agg(F.min("__row").alias("node"), F.min("doc_id").alias("class_id"))
+    member = sized.join(classes, digest, "left")
+    node = F.when(linked, F.col("node")).otherwise(F.col("__row"))
+    member = scratch.save(member.select("__row", "doc_id", "n_shingles", node.alias("node"), F.when(linked, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")))
     # one sketch a class
-    own = scratch.save(sketch.where("n_shingles > 0").join(member.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    heads = member.where("node = __row AND n_shingles > 0 AND doc_id IS NOT NULL").select("node")
+    own = scratch.save(sketch.join(heads, sketch["__row"] == heads.node).select("node", "n_shingles", "regs", "bands"))
     scratch.drop(sketch)
-    posted = own.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    posted = own.select("node", F.posexplode("bands").alias("band", "key"))
     shared = posted.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    bucket = scratch.save(posted.join(shared, ["band", "key"]).select("band", "key", "n", "doc_id"))
+    bucket = scratch.save(posted.join(shared, ["band", "key"]).select("band", "key", "n", "node"))
     # the member that meets most others is likeliest to be what the others were made from
-    degree = bucket.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    hubs = bucket.join(degree, "doc_id").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("low"))).alias("hub"))
+    degree = bucket.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = bucket.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("node")).alias("low"))).alias("hub"))
     hubs = hubs.select("band", "key", (-F.col("hub.low")).alias("hub"))
-    ordered = [F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")]
-    stars = scratch.save(bucket.join(hubs, ["band", "key"]).where("doc_id <> hub").select(*ordered).distinct())
+    ordered = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
+    stars = scratch.save(bucket.join(hubs, ["band", "key"]).where("node <> hub").select(*ordered).distinct())
     hopeful = scratch.save(promising(stars, own, threshold))
-    sets = scratch.save(full_sets(scratch, docs, ids_of(hopeful), width))
+    texts = with_texts(scratch, docs, scratch.save(ends_of(hopeful)))
+    sets = scratch.save(full_sets(texts, width))
     links = verified(scratch, hopeful, sets, threshold)
     scratch.drop(sets)
     found = components(scratch, links)
 
     # members of one bucket that are still apart
-    labelled = bucket.select("band", "key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = bucket.select("band", "key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("doc_id", "n_shingles", "bands"), "doc_id"))
-    sets = scratch.save(full_sets(scratch, docs, apart.select("doc_id").distinct(), width))
-    # a pair's common shingles are rare ones, which are counted, and at most the common ones of either
-    rare = scratch.save(rare_shingles(sets))
-    n_rare = rare.select(F.explode("holders").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("rare"))
-    apart = scratch.save(apart.join(n_rare, "doc_id", "left").withColumn("c", F.col("n_shingles") - F.coalesce("rare", F.lit(0))).drop("rare"))
-    fits = lambda most: most * threshold[1] >= (F.col("na") + F.col("nb") - most) * threshold[0]
-    side = lambda df, x, *key: df.select(*key, F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("c").alias(f"m{x}"))
-    differ = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    # a pair counts in the first band that it shares
-    before = lambda c: F.slice(c, F.lit(1), F.col("band"))
-    first = ~F.exists(F.zip_with(before("bands"), before("other"), lambda x, y: x == y), lambda same: same)
-    left, right = side(apart, "a", "band", "key", "bands"), side(apart.withColumnRenamed("bands", "other"), "b", "band", "key", "other")
-    pairs = left.join(right, ["band", "key"]).where(differ & fits(F.least("ma", "mb")) & first).select("a", "b")
-    alone = apart.dropDuplicates(["doc_id"])
-    sparse = rare_pairs(rare).join(side(alone, "a"), "a").join(side(alone, "b"), "b").where(differ & fits(F.least("ma", "mb") + F.col("r"))).select("a", "b")
-    pairs = pairs.unionByName(sparse).distinct()
-    rest = verified(scratch, scratch.save(promising(pairs.join(stars, ["a", "b"], "left_anti"), own, threshold)), sets, threshold)
-    scratch.drop(sets)
-    found = components(scratch, links.union(rest))
-    joined = member.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-    return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("node", F.col("n_shingles").alias("n")), "node"))
+    texts = scratch.save(with_texts(scratch, docs, scratch.save(apart.select("node").distinct())))
+    apart = scratch.save(apart.join(fine_bits(texts, width), "node"))
+    left, right = apart.alias("l"), apart.alias("r")
+    differ = F.lit(0)
+    for k in range(FINE // 64):
+        differ = differ + F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}")))
+    sizes = F.least("l.n", "r.n") * threshold[1] >= F.greatest("l.n", "r.n") * threshold[0]
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
+    pairs = left.join(right, on & sizes & (differ <= most_differing(threshold))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    pairs = scratch.save(promising(pairs.join(stars, ["a", "b"], "left_anti"), own, threshold))
+    texts = texts.join(ends_of(pairs), F.col("__row") == F.col("node")).select("__row", "text")
+    rest = verified(scratch, pairs, scratch.save(full_sets(texts, width)), threshold)
+
+    # rows of one doc_id but of different sets
+    several = member.where(linked).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high")
+    same_id = member.where(linked).join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
+    found = components(scratch, links.union(rest).union(same_id))
+    joined = member.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return joined.join(least, "component").select("__row", "doc_id", "n_shingles", "class_id", "component_id")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    docs = numbered(Scratch(spark, "near-dup"), table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(docs)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from lexforest.llm import exact_topk, line_dedup, mixing, near_dup, packing, permutation, quality, repeats, sharding, token_counts, vectors
 from lexforest.llm.common import Scratch, numbered
+from lexforest.llm.components import components
 from lexforest.llm.induced import common_with_previous, suffix_array
 from pyspark.sql import functions as F
 
@@ -293,9 +294,41 @@ def test_near_duplicates(spark, docs, none, width, num):
             if a < b and common and 100 * common >= num * (len(sets[a]) + len(sets[b]) - common):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs, width, (num, 100)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(numbered(Scratch(spark, "test"), docs), width, (num, 100)).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in sets}
-    assert near_dup.near_duplicates(none, width).count() == 0
+    assert near_dup.near_duplicates(numbered(Scratch(spark, "test"), none), width).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(8)
+    one, two = (" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(200)) for _ in range(2))
+    rows = [(1, one), (1, two), (2, one + " word"), (3, two + " word"), (4, "apart from all others"), (None, one), (None, None)]
+    df = numbered(Scratch(spark, "test"), spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+
+
+def test_members_far_from_the_hub_are_linked(spark):
+    """Copies of one base with more and more words changed: neighbours are near, the ends are not."""
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(words)))
+        for _ in range(2):
+            words[rng.randrange(300)] = f"x{rng.randint(0, 10**6)}"
+    rng.shuffle(rows)
+    df = numbered(Scratch(spark, "test"), spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in near_dup.near_duplicates(df).collect()} == {0}
+
+
+def test_components_of_a_long_chain(spark):
+    nodes = list(range(10_001))
+    random.Random(1).shuffle(nodes)
+    scratch = Scratch(spark, "test")
+    got = components(scratch, spark.createDataFrame(list(zip(nodes, nodes[1:])) + [(20_005, 20_001)], "a long, b long"))
+    assert {(r.component, r["count"]) for r in got.groupBy("component").count().collect()} == {(0, 10_001), (20_001, 2)}
+    assert scratch.n < 2 + 2 * 25
 
 
 def test_sketch_estimates():
