@@ -44,9 +44,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest doc_id; of repeated rows the first."""
     docs = numbered(Scratch(spark, "pipeline"), docs.select(*COLUMNS))
-    found = near_duplicates(docs, SHINGLE, SIMILARITY).where("doc_id = component_id").select("doc_id").distinct()
-    firsts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("__row").alias("__row")).join(found, "doc_id").select("__row")
-    rows = firsts.union(docs.where("doc_id IS NULL").select("__row"))
+    found = near_duplicates(docs, SHINGLE, SIMILARITY)
+    firsts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
+    rows = firsts.union(found.where("doc_id IS NULL").select("__row"))
     return docs.join(rows, "__row", "left_semi").select(*COLUMNS)
 
 
