@@ -16,9 +16,8 @@ Keys that only one line has are dropped by a partial aggregate of (key, least li
 greatest line) and a bitmap; then keys are joined exactly. A line needs *one*
 earlier near line only, so each key's lines are compared with its first line
 (and its first line that has the key as its own), and those that are near are done.
-Lines that are left are compared with all earlier ones of their key only where a
-key has SMALL lines at most; larger keys are cut up by keys of more segments
-(LEVELS), and so on. Lines are compared by length and character parities, and then
+Lines that are left are compared with all earlier ones of their key where that is
+less work than to cut the key up by keys of more segments (LEVELS), and so on. Lines are compared by length and character parities, and then
 by the banded bit-parallel edit distance.
 
 Segments of short lines are too frequent for keys, so lines below NEAR (and up to
@@ -45,8 +44,10 @@ from .ordering import globally_sorted, ranked
 EDITS, LEAST, NEAR = 2, 10, 40
 #: From this length on, up to NEAR, keys are made of half a line.
 HALVES = 20
-#: Segments of a line: at first, and in keys with more than SMALL lines.
-LEVELS, SMALL = (3, 6, 12), 32
+#: Segments of a line: at first, and in keys that are cut up.
+LEVELS = (3, 6, 12)
+#: Comparisons that cost as much as one key.
+PER_KEY = 4
 ORDER = ("doc_id", "__row", "place")
 
 
@@ -161,8 +162,8 @@ class EditJoin:
         near = self.scratch.save(both.where(within(F.col("line_t"), F.col("line_p"), self.edits)).select(F.col("t").alias("no")).distinct())
         self.found = near if self.found is None else self.scratch.save(self.found.union(near).distinct())
 
-    def compare(self, rows: DataFrame, last: bool) -> DataFrame | None:
-        """Compares the lines that share a key (no, own, key, final); returns the lines (no) of keys that are to be cut up."""
+    def compare(self, rows: DataFrame, most: int | None) -> DataFrame | None:
+        """Compares the lines that share a key (no, own, key, final); returns the lines (no) of keys of more than most lines, which are to be cut up."""
         light = self.lines.select("no", "size", "odd")
         me = F.struct("no", "size", "odd").alias("t")
         member = self.scratch.save(rows.join(light, "no").select("key", "own", "final", me))
@@ -174,14 +175,13 @@ class EditJoin:
         self._mark(pair("p").union(pair("any")))
         done = self.found.withColumn("done", F.lit(True))
         led = led.withColumn("no", F.col("t.no")).join(done, "no", "left").withColumn("open", F.col("done").isNull() & (F.col("any.no") < F.col("no")))
-        small = F.lit(True) if last else (F.col("n") <= SMALL) | F.col("final")
+        small = F.lit(True) if most is None else (F.col("n") <= most) | F.col("final")
         led = self.scratch.save(led.withColumn("small", small).select("key", "own", "t", "n", "open", "small"))
         left = led.where("small AND open").select("key", F.col("own").alias("own_t"), "t")
         right = led.where("small").select("key", F.col("own").alias("own_p"), F.col("t").alias("p"))
-        # a key's lines are SMALL at most here, but at the last level
         pairs = left.join(right, (left.key == right.key) & (F.col("own_t") | F.col("own_p")) & (F.col("p.no") < F.col("t.no")) & self._close("t", "p"))
         self._mark(pairs.select(F.col("t.no").alias("t"), F.col("p.no").alias("p")))
-        if last:
+        if most is None:
             return None
         large = led.where("NOT small")
         keys = large.groupBy("key").agg(F.max("open").alias("open")).where("open").select("key")
@@ -189,14 +189,14 @@ class EditJoin:
 
     def run(self, rows: DataFrame) -> DataFrame:
         """no of the lines that have an earlier line within the edits."""
-        for level, m in enumerate(LEVELS):
-            rest = self.compare(rows, m == LEVELS[-1])
+        for finer in (*LEVELS[1:], None):
+            rest = self.compare(rows, PER_KEY * len(choices(finer)) if finer else None)
             if rest is None:
                 break
             rest = self.scratch.save(rest)
             if rest.isEmpty():
                 break
-            keys = self.scratch.save(finer_keys(self.lines.join(rest, "no").select("no", "line"), LEVELS[level + 1], self.edits))
+            keys = self.scratch.save(finer_keys(self.lines.join(rest, "no").select("no", "line"), finer, self.edits))
             own = keys.join(shared_keys(keys, "no"), "key").groupBy("key", "no").agg(F.max("own").alias("own"))
             rows = own.withColumn("final", F.lit(False))
         return self.found
@@ -228,8 +228,8 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: in
     twice = seen.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     wanted = scratch.save(ids.union(twice).distinct())
     marks = Bitmap(scratch, wanted, "id")
-    first = marks.thin(seen.drop("keys"), "id").join(wanted, "id").groupBy("id", "id2").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n"))
-    first = scratch.save(first)
+    first = marks.thin(seen.drop("keys"), "id").groupBy("id", "id2").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n"))
+    first = scratch.save(first.join(wanted, "id"))
     texts = Bitmap(scratch, ids, "id").thin(lines.select("id", "id2", "line"), "id").distinct().join(ids, "id")
     texts = globally_sorted(scratch, texts.join(first, ["id", "id2"]).select("id", "id2", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.__row").alias("row"), F.col("first.place").alias("place")), [F.col("doc_id"), F.col("row"), F.col("place")])
     texts = scratch.save(ranked(texts).select(F.col("__rank").alias("no"), "id", "id2", "line", F.char_length("line").alias("size"), parity(F.col("line")).alias("odd")))
