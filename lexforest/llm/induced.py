@@ -2,15 +2,21 @@
 
 Suffixes are classified as smaller (S) or larger (L) than the next one; the
 leftmost smaller ones (LMS) are sorted, first as substrings by one round of
-inducing and then, where substrings repeat, by their ranks recursively in pairs;
-all others are induced from them bucket by bucket. A bucket's entries are placed
-together: each wave holds the predecessors of the wave before.
+inducing and then, where substrings repeat, by the suffix array of the string of
+their names, which is made in the same way; all others are induced from them. With
+few symbols this goes bucket by bucket: a bucket's entries are placed together,
+each wave holds the predecessors of the wave before, and is dealt to the buckets
+by a radix sort of 16-bit symbols. The shorter strings of many names are gone
+through entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Most symbols of a string that is induced bucket by bucket.
+ALPHABET = 512
+
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True where a suffix is of type S. t ends with a unique smallest sentinel."""
@@ -25,7 +31,7 @@ def classify(t: np.ndarray) -> np.ndarray:
 
 def _place(sa, slots, keys, values, step):
     """Puts values in order into the buckets of keys, from slots on in the direction of step."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # numpy sorts 16-bit numbers by radix
     k = keys[order]
     counts = np.bincount(k, minlength=len(slots))
     first = np.cumsum(counts) - counts
@@ -35,6 +41,8 @@ def _place(sa, slots, keys, values, step):
 
 def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The suffix array that an order of the LMS places induces."""
+    if len(sizes) > ALPHABET:
+        return _induce_in_turn(t.tolist(), smaller.tolist(), lms.tolist(), sizes)
     sa = np.full(len(t), -1, np.int64)
     ends = np.cumsum(sizes)
     heads, tails = ends - sizes, ends - 1
@@ -72,37 +80,42 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sizes: np.ndarra
     return sa
 
 
-def _rank_pairs(names: np.ndarray, rounds: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, by ranks of twice the length each round."""
-    rank = names.astype(np.int64)
-    width = 1
-    for _ in range(rounds):
-        nxt = np.zeros(len(rank), np.int64)
-        nxt[:-width] = rank[width:] + 1
-        key = rank * (len(rank) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        fresh = np.empty(len(rank), np.int64)
-        fresh[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = fresh
-        width *= 2
-        if width >= len(rank) or rank.max() == len(rank) - 1:
-            break
-    return np.argsort(rank, kind="stable")
-
-
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of whole numbers from 1 to 257, right to depth: suffixes that agree so far stand in any order."""
+def _induce_in_turn(t: list, smaller: list, lms: list, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    heads, tails = (ends - sizes).tolist(), (ends - 1).tolist()
+    sa = [-1] * len(t)
+    for i in reversed(lms):
+        c = t[i]
+        sa[tails[c]] = i
+        tails[c] -= 1
+    for i in sa:  # sees what it puts further on
+        if i > 0 and not smaller[i - 1]:
+            c = t[i - 1]
+            sa[heads[c]] = i - 1
+            heads[c] += 1
+    tails = (ends - 1).tolist()
+    for k in range(len(sa) - 1, -1, -1):
+        i = sa[k]
+        if i > 0 and smaller[i - 1]:
+            c = t[i - 1]
+            sa[tails[c]] = i - 1
+            tails[c] -= 1
+    sa[0] = len(t) - 1
+    return np.array(sa, np.int64)
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffix array of whole numbers from 1."""
     t = np.concatenate([text.astype(np.int64), [0]])
     smaller = classify(t)
     is_lms = np.zeros(len(t), bool)
     is_lms[1:] = smaller[1:] & ~smaller[:-1]
     lms = np.flatnonzero(is_lms)
-    sizes = np.bincount(t, minlength=258)
+    sizes = np.bincount(t)
     if len(lms) > 1:
         first = induce(t, smaller, lms, sizes)
         by_substring = first[is_lms[first]]
-        # equal neighbours: same length and same bytes, told by a polynomial hash
+        # equal neighbours: same length and same symbols, told by a polynomial hash
         power = np.cumprod(np.full(len(t), 0x9E3779B97F4A7C15, np.uint64))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t + 1).astype(np.uint64) * power)])
         number = np.empty(len(t), np.int64)
@@ -120,35 +133,41 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         new = (length[1:] != length[:-1]) | (left != right)
         names = np.empty(len(lms), np.int64)
         names[place] = np.concatenate([[0], np.cumsum(new)])
-        if names.max() < len(lms) - 1:
-            lms = lms[_rank_pairs(names, int(np.ceil(np.log2(depth))) + 1)]
-        else:
-            lms = by_substring
+        lms = by_substring if names.max() == len(lms) - 1 else lms[suffix_array(names + 1)]
     return induce(t, smaller, lms, sizes)[1:]
 
 
 def common_with_previous(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
-    """For each place of the text the common prefix with the suffix before it in the array, up to depth (permuted order)."""
+    """For each place of the text the common prefix with the suffix before it in the array, up to depth (permuted order).
+
+    The symbols are from 1 to 257: seven of them are a word; twice and four times as many and so on, up to depth, are told by a hash.
+    """
     n = len(text)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    wide = np.concatenate([text, np.zeros(depth + 8, text.dtype)]).astype(np.uint64)
-    word = np.zeros(n + depth, np.uint64)
-    for k in range(6):  # six symbols of nine bits
-        word = (word << np.uint64(9)) | wide[k : k + n + depth]
+    widths = [7]
+    while widths[-1] < depth:
+        widths.append(2 * widths[-1])
+    wide = np.concatenate([text, np.zeros(2 * widths[-1], text.dtype)]).astype(np.uint64)
+    word = np.zeros(n + widths[-1], np.uint64)
+    for k in range(7):  # symbols of nine bits
+        word = (word << np.uint64(9)) | wide[k : k + len(word)]
+    runs = [word]
+    for w in widths[:-1]:
+        x = runs[-1]
+        x = x[:-w] * np.uint64(0x9E3779B97F4A7C15) + x[w:]
+        runs.append(x ^ (x >> np.uint64(29)))
     out = np.zeros(n, np.int64)
     live = np.flatnonzero(phi >= 0)
-    at = 0
-    while len(live) and at < depth:
-        same = word[live + at] == word[phi[live] + at]
-        out[live[same]] = at + 6
-        lost = live[~same]
-        if len(lost):
-            x = word[lost + at] ^ word[phi[lost] + at]
-            extra = np.zeros(len(lost), np.int64)
-            for k in range(5):
-                extra += (x >> np.uint64(9 * (5 - k))) == 0
-            out[lost] = at + extra
-        live = live[same]
-        at += 6
+    at, other = live.copy(), phi[live]
+    for w, run in zip(widths[-2::-1], runs[-2::-1], strict=True):
+        same = (run[np.minimum(at, len(run) - 1)] == run[np.minimum(other, len(run) - 1)]) & (np.maximum(at, other) < len(run))
+        at += w * same
+        other += w * same
+    inside = np.maximum(at, other) < len(word)
+    x = word[np.minimum(at, len(word) - 1)] ^ word[np.minimum(other, len(word) - 1)]
+    extra = np.zeros(len(live), np.int64)
+    for k in range(7):
+        extra += (x >> np.uint64(9 * (6 - k))) == 0
+    out[live] = at - live + np.where(inside, extra, 0)
     return np.minimum(out, depth)

@@ -2,12 +2,13 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts somewhere else
 (in any document, matches never crossing documents). Two equal strings of that
-length choose the same minimiser: the GRAM bytes of least hash among those inside.
-So the places around one minimiser hash meet in one shard, and no match is
+length choose the same minimiser: the first GRAM bytes of least hash among those inside.
+So the strings around one minimiser hash meet in one shard, and no match is
 compared across shards:
 
-1. every document gives its minimisers (hash, place) and a checksum of the bytes
-   within reach of each, in one pass;
+1. every document gives its minimisers (hash, place) and, of each, the stretch of
+   bytes in which the strings that choose it lie (its reach), with a checksum, in
+   one pass; a string is in one reach only;
 2. hashes that occur once are dropped by a partial aggregate; a reach that occurs
    twice is repeated throughout; only hashes with several distinct reaches go on;
 3. one copy of each such reach is brought to the shard of its hash. The shard's
@@ -17,13 +18,15 @@ compared across shards:
    is cut once.
 
 Copies are counted, not shipped, so a passage that a third of all documents hold
-is one reach. Shards hold SHARD_BYTES or so, and all distinct reaches of one hash
-stand in one shard: a gram of GRAM bytes in very many different surroundings makes
-that shard large.
+is one reach. A hash whose distinct reaches have more than SHARD_BYTES is cut up:
+the strings that start in one BLOCK of places before the gram share almost all their bytes, and
+these join the hash as the key of the next level, down to single strings, which are
+only counted. So a shard holds some SHARD_BYTES, however often a gram occurs.
 
 Edge cases: null text is empty; shorter texts than LENGTH stay; rows that share a
 doc_id are separate documents; an empty table gives no rows; other columns are
-ignored.
+ignored. A whole text's minimisers are found at once by one task (some tens of
+bytes of memory a byte of text).
 """
 
 from __future__ import annotations
@@ -34,11 +37,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices, stream64, string_bytes, table
+from .common import Scratch, mix64, numbered, slices, stream64, string_bytes, table
 from .induced import common_with_previous, suffix_array
 
 LENGTH, GRAM = 200, 64
 SHARD_BYTES = 2 << 20
+#: Starting places that share a key at each level; the first has all of a minimiser.
+BLOCKS = (LENGTH, 16, 1)
 
 _CODE = stream64(256, 81) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,8 +59,8 @@ def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
     return f(a[: len(a) - (width - n)], a[width - n :]) if n < width else a
 
 
-def minimisers(b: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are least in some string of length bytes; ties are all taken."""
+def minimisers(b: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are the first least of some string of length bytes, and the first and last start of those strings."""
     h, n, p = _CODE[b], 1, _BASE
     with np.errstate(over="ignore"):
         while n < gram:
@@ -64,18 +69,53 @@ def minimisers(b: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.nd
     h = mix64(h)
     width = length - gram + 1
     least = _slide(h, width, np.minimum)
+    # the choice changes where another gram is least or the last choice stood at the start
+    fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])])
+    start = np.flatnonzero(fresh)
+    stop = np.append(start[1:], len(least)) - 1
+    # the first place from the start on with that hash, among the places of any hash that is chosen
+    values, rank = np.unique(least[start], return_inverse=True)
     pad = np.zeros(width - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h)
-    return chosen, h[chosen]
+    some = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == h)
+    at = np.searchsorted(values, h[some])
+    keys = np.sort(at * np.int64(len(b) + 1) + some)
+    place = keys[np.searchsorted(keys, rank * np.int64(len(b) + 1) + start)] % (len(b) + 1)
+    return place, least[start], start, stop
+
+
+class Checksums:
+    """Polynomial checksums of any stretch of bytes, from running sums."""
+
+    def __init__(self, b: np.ndarray):
+        power = np.cumprod(np.full(len(b) + 1, _BASE, np.uint64))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[b] * power[:-1])])
+        self.back = np.cumprod(np.full(len(b) + 1, _INVERSE, np.uint64))
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        # brought to one exponent by the inverse powers
+        return (self.total[last] - self.total[first]) * self.back[first]
+
+
+def reach_of(sums: Checksums, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix64(sums.of(first, last) + ((place - first) * 1024 + last - place).astype(np.uint64))
+
+
+ANCHOR = "__row long, place int, hash long, left int, right int, reach long"
+
+
+def _anchor_batch(out: list[tuple]):
+    import pyarrow as pa
+
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    names = [x.split()[0] for x in ANCHOR.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """__row, place, hash, and left and right (bytes within reach) and reach (their checksum) of every minimiser."""
-    side = length - gram
+    """__row, place, hash, and left and right (bytes of the reach before and from the place) and reach (their checksum) of every minimiser."""
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for a, z in slices(batch.column(1)):
                 buf, off = string_bytes(batch.column(1).slice(a, z - a))
@@ -83,22 +123,42 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 out = []
                 for k in np.flatnonzero(np.diff(off) >= length).tolist():
                     b = buf[off[k] : off[k + 1]]
-                    place, h = minimisers(b, gram, length)
-                    left, right = np.minimum(place, side), np.minimum(len(b) - place, length)
-                    # polynomial checksum of b[place - left : place + right], from running sums
-                    power = np.cumprod(np.full(len(b) + 1, _BASE, np.uint64))
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[b] * power[:-1])])
-                    first, last = place - left, place + right
-                    # brought to one exponent by the inverse powers
-                    back = np.cumprod(np.full(len(b) + 1, _INVERSE, np.uint64))
-                    reach = mix64((total[last] - total[first]) * back[first] + (left * 1024 + right).astype(np.uint64))
-                    out.append((np.full(len(place), rows[k]), place, h.view(np.int64), left, right, reach.view(np.int64)))
+                    place, h, first, last = minimisers(b, gram, length)
+                    last = last + length
+                    reach = reach_of(Checksums(b), place, first, last)
+                    out.append((np.full(len(place), rows[k]), place, h, place - first, last - place, reach))
                 if out:
-                    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds, strict=True)], names=["__row", "place", "hash", "left", "right", "reach"])
+                    yield _anchor_batch(out)
+
+    return docs.select("__row", "text").mapInArrow(run, ANCHOR)
+
 
-    return docs.select("__row", "text").mapInArrow(run, "__row long, place int, hash long, left int, right int, reach long")
+def finer_anchors(docs: DataFrame, found: DataFrame, length: int, block: int) -> DataFrame:
+    """The anchors in found (__row, place, hash, left, right) once for each block of starts, with what its strings share in the hash."""
+    per = found.groupBy("__row").agg(F.collect_list(F.struct("place", "hash", "left", "right")).alias("cuts"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                sums = Checksums(np.frombuffer(text.encode(), np.uint8))
+                place, h, left, right = (np.array([c[x] for c in cuts], np.int64) for x in ("place", "hash", "left", "right"))
+                # starts lie back = place - start before the gram
+                least = left + right - length
+                least = left - least
+                n = left // block - least // block + 1
+                k = np.repeat(np.arange(len(place)), n)
+                number = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + least[k] // block
+                far, near = np.minimum(left[k], number * block + block - 1), np.maximum(least[k], number * block)
+                p = place[k]
+                core = sums.of(p - number * block, p - number * block - block + 1 + length)
+                key = mix64(h[k].view(np.uint64) ^ mix64(core + number.astype(np.uint64)))
+                first, last = p - far, p - near + length
+                out.append((np.full(len(p), row), p, key, p - first, last - p, reach_of(sums, p, first, last)))
+            if out:
+                yield _anchor_batch(out)
+
+    return docs.select("__row", "text").join(per, "__row").mapInArrow(run, ANCHOR)
 
 
 def solve_shard(rows: np.ndarray, begins: np.ndarray, texts: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -112,7 +172,7 @@ def solve_shard(rows: np.ndarray, begins: np.ndarray, texts: list[bytes], length
     text = np.ones(int(sizes.sum()) + len(texts), np.int64)  # 1 ends a text
     for a, x in zip(first.tolist(), texts, strict=True):
         text[a : a + len(x)] = np.frombuffer(x, np.uint8).astype(np.int64) + 2
-    sa = suffix_array(text, length)
+    sa = suffix_array(text)
     shared = common_with_previous(text, sa, length)[sa]
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     inside = np.arange(len(text)) - first[owner]
@@ -138,25 +198,11 @@ def solve_shard(rows: np.ndarray, begins: np.ndarray, texts: list[bytes], length
     return out
 
 
-def stretches(scratch: Scratch, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """__row, begin and end of repeated stretches of bytes; they may overlap."""
-    every = scratch.save(anchors(docs, length, gram))
-    per = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")).where("n > 1")
-    per = scratch.save(per.select("hash", (F.col("low") != F.col("high")).alias("mixed")))
-    known = scratch.save(every.join(per, "hash"))
-    scratch.drop(every)
-    one = known.groupBy("hash", "reach").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.max("left").alias("left"), F.max("right").alias("right"), F.min(F.struct("__row", "place")).alias("at"))
-    one = scratch.save(one)
-    whole = one.where("n > 1").select("hash", "reach", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
-
-    # a copy of each reach of the mixed hashes; those that are repeated anyway still count as partners
-    wanted = one.where("mixed").select(F.col("at.__row").alias("__row"), "hash", "reach", (F.col("at.place") - F.col("left")).alias("a"), (F.col("left") + F.col("right")).alias("size"), "left")
+def solved(docs: DataFrame, wanted: DataFrame, shards: int, length: int) -> DataFrame:
+    """hash, reach, begin and end (from the place) of the repeated stretches of the reaches in wanted (__row, hash, reach, a, size, left)."""
     wanted = wanted.groupBy("__row").agg(F.collect_list(F.struct("hash", "reach", "a", "size", "left")).alias("cuts"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = docs.select("__row", F.encode(text, "utf-8").alias("bytes")).join(wanted, "__row").select("bytes", F.explode("cuts").alias("c"), "__row")
+    pieces = docs.select("__row", F.encode("text", "utf-8").alias("bytes")).join(wanted, "__row").select("bytes", F.explode("cuts").alias("c"), "__row")
     pieces = pieces.select("c.hash", "c.reach", "c.left", "__row", "c.a", F.substring("bytes", F.col("c.a") + 1, F.col("c.size")).alias("piece"))
-    total = one.where("mixed").agg(F.sum(F.col("left") + F.col("right"))).first()[0] or 0
-    shards = int(max(1, total // SHARD_BYTES))
 
     def solve(table):
         import pyarrow as pa
@@ -170,19 +216,47 @@ def stretches(scratch: Scratch, docs: DataFrame, length: int, gram: int) -> Data
         })
 
     part = pieces.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
-    sorted_out = part.groupBy("shard").applyInArrow(solve, "hash long, reach long, begin int, end int")
-    repeated = scratch.save(whole.unionByName(sorted_out))
-    return known.join(repeated, ["hash", "reach"]).select("__row", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end"))
+    return part.groupBy("shard").applyInArrow(solve, "hash long, reach long, begin int, end int")
+
+
+def stretches(scratch: Scratch, docs: DataFrame, length: int, gram: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """__row, begin and end of repeated stretches of bytes; they may overlap."""
+    every, parts = scratch.save(anchors(docs, length, gram)), []
+    for finer in (*BLOCKS[1:], None):
+        per = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")).where("n > 1")
+        per = scratch.save(per.select("hash", (F.col("low") != F.col("high")).alias("mixed")))
+        known = scratch.save(every.join(per, "hash"))
+        scratch.drop(every)
+        # equal reaches of a hash have the same bytes to the left and right
+        one = known.groupBy("hash", "reach").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.max("left").alias("left"), F.max("right").alias("right"), F.min(F.struct("__row", "place")).alias("at"))
+        one = scratch.save(one)
+        whole = one.where("n > 1").select("hash", "reach", (-F.col("left")).alias("begin"), F.col("right").alias("end"))
+        # a copy of each reach of the mixed hashes; those that are repeated anyway still count as partners
+        mixed = one.where("mixed").select("hash", "reach", "left", "right", F.col("at.__row").alias("__row"), F.col("at.place").alias("place"))
+        sizes = scratch.save(mixed.groupBy("hash").agg(F.sum(F.col("left") + F.col("right")).alias("bytes")))
+        hot = F.lit(finer is not None) & (F.col("bytes") > shard_bytes)
+        total, n_hot = sizes.agg(F.coalesce(F.sum(F.when(~hot, F.col("bytes"))), F.lit(0)), F.count_if(hot)).first()
+        wanted = mixed.join(sizes.where(~hot), "hash").select("__row", "hash", "reach", (F.col("place") - F.col("left")).alias("a"), (F.col("left") + F.col("right")).alias("size"), "left")
+        repeated = scratch.save(whole.unionByName(solved(docs, wanted, max(1, total // shard_bytes), length)))
+        parts.append(known.join(repeated, ["hash", "reach"]).select("__row", (F.col("place") + F.col("begin")).alias("begin"), (F.col("place") + F.col("end")).alias("end")))
+        if not n_hot:
+            break
+        every = scratch.save(finer_anchors(docs, mixed.join(sizes.where(hot), "hash"), length, finer))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and kept_sha256 of every document.
 
     docs is read from files, so that a row has the same number at each reading.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    docs = docs.select(F.monotonically_increasing_id().alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = scratch.save(stretches(scratch, docs, length, gram).groupBy("__row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = numbered(scratch, docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    spans = scratch.save(stretches(scratch, docs, length, gram, shard_bytes).groupBy("__row").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
 
     def cut(batches):
         import pyarrow as pa

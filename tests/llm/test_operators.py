@@ -13,6 +13,7 @@ import pytest
 from lexforest.llm import exact_topk, line_dedup, mixing, near_dup, packing, permutation, quality, repeats, sharding, token_counts, vectors
 from lexforest.llm.common import Scratch, numbered
 from lexforest.llm.components import components
+from lexforest.llm.edits import within
 from lexforest.llm.induced import common_with_previous, suffix_array
 from pyspark.sql import functions as F
 
@@ -168,6 +169,54 @@ def test_line_dedup_of_short_lines(spark):
     assert got == want and sum(map(len, want.values())) > 50
 
 
+def test_line_dedup_cuts_up_large_keys(spark, monkeypatch):
+    """Many lines with one start, of which few are near another; keys are cut up from a few lines on."""
+    monkeypatch.setattr(line_dedup, "PER_KEY", 0.1)
+    rng = random.Random(7)
+    start = "all of these lines begin with the very same words, and then "
+    lines = [start + "".join(rng.choice("abcdefghij") for _ in range(30)) for _ in range(150)]
+    for _ in range(60):
+        x = list(rng.choice(lines))
+        for at in rng.sample(range(len(x)), rng.randint(1, 3)):
+            x[at] = "#"
+        lines.append("".join(x)[rng.randint(0, 1) :])
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::20]), 1, "x", 2) for i in range(20)], "doc_id long, text string, place int, line string, key int")
+    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_dedup(numbered(Scratch(spark, "test"), docs)).collect()}
+    want, earlier = {i: [] for i in range(20)}, []
+    for i in range(20):
+        for p, x in enumerate(lines[i::20]):
+            if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in earlier):
+                want[i].append(p)
+            earlier.append(x)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_edit_distance(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(3000):
+        a = [rng.choice("ab\U0001f600é\n") for _ in range(rng.randint(0, 24))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at, kind = rng.randint(0, len(b)), rng.randrange(3)
+            b[at : at + (kind != 0)] = [rng.choice("ab\U0001f600é")] if kind < 2 else []
+        rows.append((i, "".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "i long, a string, b string")
+    flags = df.select(*(F.struct(within(F.col("a"), F.col("b"), e).alias("got"), (F.levenshtein("a", "b") <= e).alias("want")).alias(f"e{e}") for e in (0, 1, 2, 3))).collect()
+    assert all(x.got == x.want for r in flags for x in r)
+
+
+def test_row_numbers_do_not_depend_on_the_splits(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS doc_id", "repeat(cast(id AS string), 20) AS text").repartition(3).write.option("parquet.block.size", "65536").parquet(str(tmp_path / "t"))
+    seen = []
+    for size in ("64m", "100k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append({r.doc_id: r["__row"] for r in numbered(Scratch(spark, "test"), spark.read.parquet(str(tmp_path / "t"))).select("doc_id", "__row").collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 20_000
+
+
 def test_mixing(spark, docs, none):
     documents, schedule = mixing.mix(docs)
     size = {}
@@ -343,12 +392,7 @@ def test_sketch_estimates():
         assert abs(est - true) < 0.2
 
 
-def test_repeats(spark, docs, none, tmp_path):
-    length, gram = 60, 16
-    rows = texts(docs) + [(500, "ab" * 100), (501, "x" * 59), (502, "y" * 130)]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
-    df = spark.read.parquet(str(tmp_path / "docs"))
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut_repeats(df, length, gram).collect())
+def cut_by_hand(rows, length):
     raw = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(b[k : k + length] for _, b in raw for k in range(len(b) - length + 1))
     want = Counter()
@@ -359,17 +403,52 @@ def test_repeats(spark, docs, none, tmp_path):
                 gone[k : k + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want[i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
-    assert got == want
+    return want
+
+
+def cut_by_operator(spark, rows, path, *args):
+    spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, hash long, __row long").repartition(3).write.parquet(path)
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut_repeats(spark.read.parquet(path), *args).collect())
+
+
+def test_repeats(spark, docs, none, tmp_path):
+    rows = texts(docs) + [(500, "ab" * 100), (501, "x" * 59), (502, "y" * 130)]
+    assert cut_by_operator(spark, rows, str(tmp_path / "docs"), 60, 16) == cut_by_hand(rows, 60)
     assert repeats.cut_repeats(none).count() == 0
 
 
+def test_repeats_of_a_gram_in_many_surroundings(spark, tmp_path):
+    """Shards of 3,000 bytes, and one phrase of 40 bytes between random words, some of them equal on one side."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    phrase, sides = "the phrase that very many documents hold", [say(40) for _ in range(6)]
+    rows = []
+    for i in range(300):
+        left, right = rng.choice(sides), rng.choice(sides)
+        rows.append((i, left[rng.randrange(len(left)) :] + phrase + right[: rng.randrange(len(right))] + say(20)))
+    got = cut_by_operator(spark, rows, str(tmp_path / "docs"), 220, 32, 3000)
+    assert got == cut_by_hand(rows, 220) and sum(n for _, _, n, _, _ in got) > 10_000
+
+
+def test_minimisers_are_chosen_by_content():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        b = rng.integers(97, 97 + int(rng.integers(1, 4)), int(rng.integers(60, 400))).astype(np.uint8)
+        place, _, first, last = repeats.minimisers(b, 16, 60)
+        assert first[0] == 0 and last[-1] == len(b) - 60 and (first[1:] == last[:-1] + 1).all()
+        at = {}
+        for p, x, y in zip(place.tolist(), first.tolist(), last.tolist(), strict=True):
+            assert all(at.setdefault(b[w : w + 60].tobytes(), p - w) == p - w and 0 <= p - w <= 44 for w in range(x, y + 1))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for _ in range(60):
         n, k = int(rng.integers(1, 300)), int(rng.integers(1, 5))
         t = rng.integers(1, 1 + k, n)
         b = bytes(t.astype(np.uint8))
-        sa = suffix_array(t, 1000)
+        sa = suffix_array(t)
         assert sa.tolist() == sorted(range(n), key=lambda i: b[i:])
         shared = common_with_previous(t, sa, 50)
         for i, j in zip(sa[1:].tolist(), sa[:-1].tolist(), strict=True):
