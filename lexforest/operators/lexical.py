@@ -2,7 +2,9 @@
 
 Input is a table of tokens (doc_id, pos, lemma, tag). A document's counts come
 from two aggregates, by document and lemma and then by document, so no distinct
-aggregate is expanded; word lists are joined once.
+aggregate is expanded; word lists are joined once. Classes depend on lemma and tag only,
+so rows may also be aggregated already: a column n then says how many tokens a row stands for,
+and first where the first of them stands.
 """
 
 from __future__ import annotations
@@ -70,15 +72,20 @@ def word_class(lemma: Column, tag: Column, is_adverb_lemma: Column, tagset: str)
     return F.when(noun, "noun").when(adj, "adj").when(adv & is_adverb_lemma, "adv").when(verb, "verb")
 
 
+def lemma_counts(tokens: DataFrame, *keys: str) -> DataFrame:
+    """keys, n (tokens) and first (least pos): what the counts of a text need of it."""
+    return tokens.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+
+
 def classify(tokens: DataFrame, easy: DataFrame, adjectives: DataFrame, tagset: str = "ud") -> DataFrame:
     """Words only, with class (noun, adj, adv, verb or null) and soph. easy: at most a few thousand lemmas."""
     number = "NUM" if tagset == "ud" else "CD"
     words = tokens.where(~is_misc(F.col("lemma"), F.col("tag"), tagset))
     adverbs = adjectives.select("lemma").union(adjectives.select(F.concat("lemma", F.lit("ly")))).distinct().withColumn("of_adj", F.lit(True))
     # the list of easy words has a fixed bound; that of adjectives is joined as its size asks
-    out = words.join(F.broadcast(easy.withColumn("easy", F.lit(True))), "lemma", "left").join(adverbs, "lemma", "left")
+    out = words.join(F.broadcast(easy.select("lemma").distinct().withColumn("easy", F.lit(True))), "lemma", "left").join(adverbs, "lemma", "left")
     cls = word_class(F.col("lemma"), F.col("tag"), F.coalesce("of_adj", F.lit(False)), tagset)
-    return out.select("doc_id", "pos", "lemma", "tag", cls.alias("class"), (F.col("easy").isNull() & (F.col("tag") != number)).alias("soph"))
+    return out.select(*tokens.columns, cls.alias("class"), (F.col("easy").isNull() & (F.col("tag") != number)).alias("soph"))
 
 
 def membership() -> dict[str, Column]:
@@ -90,10 +97,12 @@ def membership() -> dict[str, Column]:
     }
 
 
-def counts(classified: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and <class>_t, <class>_n for the nine classes."""
+def counts(classified: DataFrame, key: str = "doc_id", once: bool = False) -> DataFrame:
+    """key and <class>_t, <class>_n for the nine classes. once: a lemma has one row a key already."""
     member = {c: F.coalesce(x, F.lit(False)) for c, x in membership().items()}
-    per_lemma = classified.groupBy(key, "lemma").agg(*(F.count_if(x).alias(c) for c, x in member.items()))
+    n = F.col("n") if "n" in classified.columns else F.lit(1)
+    own = {c: F.when(x, n).otherwise(0).cast("long") for c, x in member.items()}
+    per_lemma = classified.select(key, *(x.alias(c) for c, x in own.items())) if once else classified.groupBy(key, "lemma").agg(*(F.sum(x).alias(c) for c, x in own.items()))
     types = [F.count_if(F.col(c) > 0).alias(f"{c}_t") for c in CLASSES]
     return per_lemma.groupBy(key).agg(*types, *(F.sum(c).alias(f"{c}_n") for c in CLASSES))
 
@@ -153,11 +162,20 @@ def section_types(tokens: DataFrame, section: int = SECTION) -> DataFrame:
     return t.groupBy("doc_id", "chunk").agg(F.count_distinct("lemma").alias("types"), F.count("*").alias("tokens"))
 
 
+def _of_classes(classified: DataFrame, ending: str) -> DataFrame:
+    found = F.filter(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(f"{c}_{ending}")) for c, x in membership().items())), lambda m: m.isNotNull())
+    return classified.withColumn("measure", F.explode(found))
+
+
 def matches(classified: DataFrame) -> DataFrame:
     """doc_id, measure, ord and match: types of a class in order of first occurrence."""
-    long = None
-    for c, x in membership().items():
-        part = classified.where(F.coalesce(x, F.lit(False))).groupBy("doc_id", "lemma").agg(F.min("pos").alias("first")).withColumn("measure", F.lit(f"{c}_t"))
-        long = part if long is None else long.unionByName(part)
+    at = "first" if "first" in classified.columns else "pos"
+    long = _of_classes(classified, "t").groupBy("doc_id", "measure", "lemma").agg(F.min(at).alias("first"))
     w = Window.partitionBy("doc_id", "measure").orderBy("first")
     return long.select("doc_id", "measure", (F.row_number().over(w) - 1).alias("ord"), F.col("lemma").alias("match"))
+
+
+def token_matches(classified: DataFrame) -> DataFrame:
+    """doc_id, measure, ord and match: tokens of a class in order."""
+    w = Window.partitionBy("doc_id", "measure").orderBy("pos")
+    return _of_classes(classified, "n").select("doc_id", "measure", (F.row_number().over(w) - 1).alias("ord"), F.col("lemma").alias("match"))

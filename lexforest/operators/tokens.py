@@ -48,12 +48,30 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def tokens(docs: DataFrame, tagset: str = "ud") -> DataFrame:
-    """doc_id, pos (from 0), lemma and tag of every word."""
-    flat = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "lemma"))
+def lemmas(docs: DataFrame) -> DataFrame:
+    """doc_id, pos (from 0) and lemma of every word."""
+    return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "lemma"))
+
+
+def with_tags(rows: DataFrame, tagset: str = "ud") -> DataFrame:
+    """rows with the tag of their lemma."""
     penn = F.expr(penn_tag_sql("lemma"))
     if tagset == "ptb":
-        return flat.withColumn("tag", penn)
+        return rows.withColumn("tag", penn)
     # a map, so that the long expression stands in the plan once
     names = F.create_map(*(F.lit(x) for u, tags in UNIVERSAL.items() for t in tags for x in (t, u)))
-    return flat.withColumn("tag", F.coalesce(F.try_element_at(names, penn), F.lit("X")))
+    return rows.withColumn("tag", F.coalesce(F.try_element_at(names, penn), F.lit("X")))
+
+
+def tokens(docs: DataFrame, tagset: str = "ud") -> DataFrame:
+    """doc_id, pos (from 0), lemma and tag of every word."""
+    return with_tags(lemmas(docs), tagset)
+
+
+def vocabulary(per_lemma: DataFrame, tagset: str = "ud") -> DataFrame:
+    """lemma, freq, ins_ord and tag of the distinct words in rows of lemma and n.
+
+    The long tag expression runs once a word, not once a token. Several parts of a
+    query read the vocabulary, so it is kept (on disk where memory is short).
+    """
+    return with_tags(per_lemma.groupBy("lemma").agg(F.sum("n").alias("freq")), tagset).withColumn("ins_ord", F.col("lemma")).persist()

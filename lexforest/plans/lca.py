@@ -9,9 +9,9 @@ from ..operators import combine, lexical
 
 def analyse(tokens: DataFrame, frequencies: DataFrame, adjectives: DataFrame, tagset: str = "ud", easy: int = lexical.EASY, section: int = lexical.SECTION, trials: int = lexical.TRIALS, order=("pos",)) -> DataFrame:
     """doc_id, the eighteen counts and the twenty-five indices."""
-    words = lexical.classify(tokens, lexical.easy_words(frequencies, easy), adjectives, tagset)
-    counted = lexical.counts(words)
-    kept = words if order == ("pos",) else tokens.where(~lexical.is_misc(tokens["lemma"], tokens["tag"], tagset))
+    per = lexical.lemma_counts(tokens, "doc_id", "lemma", "tag")
+    counted = lexical.counts(lexical.classify(per, lexical.easy_words(frequencies, easy), adjectives, tagset))
+    kept = tokens.where(~lexical.is_misc(tokens["lemma"], tokens["tag"], tagset))
     return counted.join(lexical.indices(counted), "doc_id").join(lexical.sampled(kept, section, trials, order=order), "doc_id")
 
 

@@ -16,7 +16,7 @@ from . import oracle as sql
 from .functions.scalar import safe_div
 from .operators import axes, combine, files, heads, lexical, measures, patterns, tables, trees
 from .operators.surrogate import surrogate_forests
-from .operators.tokens import tokens
+from .operators.tokens import lemmas, tokens, vocabulary
 from .plans import lca, sca
 
 FORESTS = [
@@ -49,15 +49,24 @@ def of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate_forests(documents(spark, sf_dir))
 
 
-def word_lists(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stand-ins for the published lists: the corpus's own frequencies, and the words tagged ADJ."""
-    return lexical.corpus_frequencies(toks), toks.where("tag = 'ADJ'").select("lemma").distinct()
+def words_and_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lemma, n and first of every document's words; lemma, class and soph of every word).
 
+    The published word lists are not available: the corpus's own frequencies and its words tagged ADJ stand in for them.
+    """
+    per = lexical.lemma_counts(lemmas(documents(spark, sf_dir)), "doc_id", "lemma")
+    known = vocabulary(per)
+    classes = lexical.classify(known, lexical.easy_words(known), known.where("tag = 'ADJ'"))
+    return per, classes.select("lemma", "class", "soph")
 
-def classed(spark: SparkSession, sf_dir: str, toks: DataFrame | None = None) -> DataFrame:
-    own = tokens(documents(spark, sf_dir))
-    frequencies, adjectives = word_lists(own)
-    return lexical.classify(own if toks is None else toks, lexical.easy_words(frequencies), adjectives)
+
+def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per, classes = words_and_classes(spark, sf_dir)
+    return per.join(classes, "lemma")
+
+
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.counts(classed(spark, sf_dir), once=True)
 
 
 def groups_by_source(docs: DataFrame) -> DataFrame:
@@ -76,20 +85,20 @@ def tok_counts(spark, sf_dir):
 
 
 def wordlist_topk(spark, sf_dir):
-    return lexical.easy_words(lexical.corpus_frequencies(tokens(documents(spark, sf_dir))), 2000)
+    return lexical.easy_words(lexical.corpus_frequencies(lemmas(documents(spark, sf_dir))), 2000)
 
 
 def lca_classes(spark, sf_dir):
-    return classed(spark, sf_dir).groupBy(F.coalesce("class", F.lit("none")).alias("class"), "soph").agg(F.count("*").alias("n"))
+    return classed(spark, sf_dir).groupBy(F.coalesce("class", F.lit("none")).alias("class"), "soph").agg(F.sum("n").alias("n"))
 
 
 def lca_counts(spark, sf_dir):
-    return lexical.counts(classed(spark, sf_dir))
+    return class_counts(spark, sf_dir)
 
 
 def _indices(*names, digits=None):
     def query(spark, sf_dir):
-        out = lexical.indices(lexical.counts(classed(spark, sf_dir)), names)
+        out = lexical.indices(class_counts(spark, sf_dir), names)
         return out if digits is None else out.select("doc_id", *(F.round(n, digits).alias(n) for n in names))
 
     return query
@@ -97,7 +106,7 @@ def _indices(*names, digits=None):
 
 def lca_ttr_family(spark, sf_dir):
     """Needs no classes: two aggregates over the words."""
-    toks = tokens(documents(spark, sf_dir))
+    toks = lemmas(documents(spark, sf_dir))
     per = toks.groupBy("doc_id", "lemma").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.count("*").alias("word_t"), F.sum("n").alias("word_n"))
     return lexical.indices(per, ("TTR", "CTTR", "RTTR"))
 
@@ -125,13 +134,11 @@ def lca_types_list(spark, sf_dir):
 
 
 def lca_combine(spark, sf_dir):
-    """Counts of groups of documents, from their tokens."""
-    docs = documents(spark, sf_dir)
-    own = tokens(docs)
-    joined = combine.combine_tokens(own, groups_by_source(docs))
-    frequencies, adjectives = word_lists(own)
-    counted = lexical.counts(lexical.classify(joined.select("doc_id", "pos", "lemma", "tag"), lexical.easy_words(frequencies), adjectives))
-    return counted.select(F.col("doc_id").alias("group_id"), "word_t", "word_n", "noun_t", "noun_n", "sword_t", "lex_t", "lex_n")
+    """Counts of groups of documents, from the words of their members."""
+    per, classes = words_and_classes(spark, sf_dir)
+    joined = per.join(groups_by_source(documents(spark, sf_dir)), "doc_id").groupBy("group_id", "lemma").agg(F.sum("n").alias("n"))
+    counted = lexical.counts(joined.join(classes, "lemma"), "group_id", once=True)
+    return counted.select("group_id", "word_t", "word_n", "noun_t", "noun_n", "sword_t", "lex_t", "lex_n")
 
 
 # ---- trees

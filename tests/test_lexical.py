@@ -14,14 +14,23 @@ ROWS = {
 
 def test_classes_and_counts(spark):
     toks = table(spark, ROWS)
-    easy = spark.createDataFrame([("dog", 9, 0), ("run", 5, 1), ("seven", 5, 2)], "lemma string, freq long, ins_ord long")
+    # a lemma may stand twice in a list
+    easy = spark.createDataFrame([("dog", 9, 0), ("dog", 9, 3), ("run", 5, 1), ("seven", 5, 2)], "lemma string, freq long, ins_ord long")
     adj = spark.createDataFrame([("quick",)], "lemma string")
-    got = {r.doc_id: r for r in lexical.counts(lexical.classify(toks, lexical.easy_words(easy, 1), adj)).collect()}
+    got = {r.doc_id: r for r in lexical.counts(lexical.classify(toks, lexical.easy_words(easy, 2), adj)).collect()}
     r = got[1]
     assert (r.word_t, r.word_n) == (6, 7)  # the mark and the odd X are no words
     assert (r.noun_t, r.noun_n, r.verb_t, r.adj_t, r.adv_t, r.adv_n) == (1, 2, 1, 1, 1, 1)  # very is no derived adverb
     assert (r.sword_t, r.lex_n, r.slex_n, r.sverb_t) == (4, 5, 3, 1)  # the number is never sophisticated
     assert got[2].word_t == 1 and got[2].word_n == 60
+    per = lexical.lemma_counts(toks, "doc_id", "lemma", "tag")
+    assert {x.doc_id: x for x in lexical.counts(lexical.classify(per, lexical.easy_words(easy, 2), adj)).collect()} == got
+
+
+def test_matches_of_tokens(spark):
+    none = spark.createDataFrame([], "lemma string")
+    rows = lexical.token_matches(lexical.classify(table(spark, ROWS), none, none)).where("doc_id = 1 AND measure = 'noun_n'").orderBy("ord").collect()
+    assert [(r.ord, r.match) for r in rows] == [(0, "dog"), (1, "dog")]
 
 
 def test_penn_classes(spark):
