@@ -12,7 +12,7 @@ query's reach, and a query is sent
 only to the groups whose bound reaches it. Each group is cut into blocks of
 bounded size by a hash of vec_id and the row's number (a vector or vec_id with
 many copies fills many blocks, not one), each block answers its queries by one exact product of whole numbers,
-and the blocks' best k are merged per query. Nothing is left out: a group is
+and the blocks' best k are merged per query. Queries meet a block in chunks of bounded size. Nothing is left out: a group is
 skipped only if its bound is below what k other candidates reach.
 
 In a block, rows are sorted by distance to the pivot and only those beyond the
@@ -37,6 +37,8 @@ from .vectors import choose_pivots, exact_products, matrix, top_rows, usable
 K, QUERY_EVERY, SCALE = 5, 50, 256
 #: Rows of a block and queries multiplied at once.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Queries that a block meets in one group.
+CHUNK = 8192
 #: Bounds of the number of pivots, which grows with the square root of the rows.
 PIVOTS = (4, 512)
 SEED = 6
@@ -152,7 +154,9 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     sent = rows.where(is_query).mapInArrow(send, "vec_id long, v array<double>, cell int, block int, reach double")
     block_counts = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("cell") + 1)
-    dealt = cells.withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block_counts).cast("int"))
+    chunks = max(1, -(-rows.where(is_query).count() // CHUNK))
+    sent = sent.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int"))
+    dealt = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block_counts).cast("int"))
 
     def solve(key, left, right):
         import pyarrow as pa
@@ -165,7 +169,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         found = solve_block(s.pivots[key[0].as_py()], one(x, "vec_id").to_numpy(), matrix(one(x, "v")), one(x, "distance").to_numpy(), one(q, "vec_id").to_numpy(), matrix(one(q, "v")), one(q, "reach").to_numpy(), k)
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
-    best = dealt.groupBy("cell", "block").cogroup(sent.groupBy("cell", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")
+    best = dealt.groupBy("cell", "block", "chunk").cogroup(sent.groupBy("cell", "block", "chunk")).applyInArrow(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

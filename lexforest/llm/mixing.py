@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, shuffle_partitions, table
-from .ordering import globally_sorted, running
+from .ordering import globally_sorted, ranked, running
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 SEED = 20
@@ -34,20 +34,22 @@ BUCKETS = 3
 KEY = ["no_source", "source_key"]
 
 
-def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Adds weight and target to KEY, source_size. One row a source; windows over it see one row a source."""
-    ranks = Window.orderBy(*KEY)
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.row_number().over(ranks) - 1) % len(weights) + 1)
-    s = sources.withColumn("weight", w).withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", *KEY)
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def targets(scratch: Scratch, sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Adds target to KEY, source_size and others. Sources are ordered by ranges, so there may be very many."""
+    weight = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("__rank") % len(weights) + 1).cast("int"))
+    s = ranked(globally_sorted(scratch, sources, KEY)).withColumn("weight", weight)
+    s = s.select(*sources.columns, "weight", (F.col("source_size") * float(most) / F.col("weight")).alias("ratio"))
+    s = globally_sorted(scratch, s, ["ratio", *KEY])
+    sizes = running(s, "source_size").select(*KEY, F.col("__upto").alias("size_upto"), F.col("__total").alias("size"))
+    s = running(s, "weight", "double").join(sizes, KEY)
     # the level if all with a smaller ratio are full and the rest share by weight
-    s = s.withColumn("level", (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    s = s.withColumn("place", F.row_number().over(by_ratio))
-    s = s.withColumn("level", F.min_by("level", F.when(F.col("ratio") >= F.col("level"), F.col("place"))).over(everything))
-    return s.withColumn("target", F.least("cap", F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))).drop("cap", "ratio", "level", "place")
+    rest = F.col("__total") - F.col("__upto") + F.col("weight")
+    level = (F.col("size") * share - (F.col("size_upto") - F.col("source_size")) * float(most)) / rest
+    s = s.withColumn("level", level).select(*sources.columns, "weight", "ratio", "level")
+    # the first source that is not full says the level of all
+    found = s.where("ratio >= level").agg(F.min_by("level", F.struct("ratio", *KEY))).first()[0]
+    cap = F.col("source_size") * float(most)
+    return s.withColumn("target", cap if found is None else F.least(cap, F.col("weight") * F.lit(found))).drop("weight", "ratio", "level")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, row: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,8 +71,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     )
     n = BUCKETS * shuffle_partitions(spark)
     sources = narrow.groupBy(*KEY).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sources = targets(sources, weights, share, most).withColumn("buckets", F.ceil(n * F.col("n_rows") / F.sum("n_rows").over(everything))).drop("n_rows", "weight")
+    total, n_rows = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    sources = targets(scratch, sources, weights, share, most).withColumn("buckets", F.ceil(n * F.col("n_rows") / F.lit(max(1, n_rows)))).drop("n_rows")
     sources = scratch.save(sources.withColumn("quota", F.round("target").cast("long")))
     # place in the shuffled queue: 53 bits of a hash, as a fraction
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row_id")), 11) * F.lit(2.0**-53)
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     items = items.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("start")))).where("words > 0")
     items = items.select("row_id", "pass", "words", (F.col("words") == F.col("size")).alias("whole"), ((F.col("start") + F.col("words")) / F.col("target")).alias("virtual_finish"))
     ordered = globally_sorted(scratch, items, ["virtual_finish", "row_id", "pass"])
-    budget = sources.agg(F.round(F.least(F.sum("source_size") * share, F.sum("source_size") * float(most))).cast("long")).first()[0] or 0
+    budget = round(min(total * share, total * float(most)))
     # quotas are rounded, so the last items may pass the budget by a few words: they are cut
     schedule = running(ordered, "words")
     kept = F.least(F.col("words"), F.greatest(F.lit(0), F.lit(budget) - (F.col("__upto") - F.col("words"))))

@@ -23,13 +23,13 @@ def globally_sorted(scratch: Scratch, df: DataFrame, keys: list) -> DataFrame:
     return scratch.save(out)
 
 
-def part_offsets(df: DataFrame, value) -> DataFrame:
+def part_offsets(df: DataFrame, value, kind: str = "long") -> DataFrame:
     """__part, __before (sum of value over the ranges before it) and __total; a row a range."""
-    per = df.groupBy("__part").agg(F.sum(value).cast("long").alias("__own"))
+    per = df.groupBy("__part").agg(F.sum(value).cast(kind).alias("__own"))
     # as many rows as shuffle partitions, whatever the input
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return per.select("__part", F.coalesce(F.sum("__own").over(w), F.lit(0)).alias("__before"), F.sum("__own").over(everything).alias("__total"))
+    return per.select("__part", F.coalesce(F.sum("__own").over(w), F.lit(0).cast(kind)).alias("__before"), F.sum("__own").over(everything).alias("__total"))
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(part_offsets(df, F.lit(1))), "__part").withColumn("__rank", F.col("__before") + F.col("__row"))
 
 
-def running(df: DataFrame, value: str) -> DataFrame:
-    """Adds __upto, the sum of value up to and with the row in the global order."""
+def running(df: DataFrame, value: str, kind: str = "long") -> DataFrame:
+    """Adds __upto, the sum of value up to and with the row in the global order, and __total, that of all rows."""
     w = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("__own_upto", F.sum(value).over(w))
-    return own.join(F.broadcast(part_offsets(df, F.col(value))), "__part").withColumn("__upto", F.col("__before") + F.col("__own_upto"))
+    return own.join(F.broadcast(part_offsets(df, F.col(value), kind)), "__part").withColumn("__upto", F.col("__before") + F.col("__own_upto"))

@@ -10,7 +10,8 @@ exact cosine in double precision. The blocks' best are merged per query.
 
 Every row is indexed; only the pivots are a bounded sample (``PIVOTS`` rows of
 the smallest hash of vec_id). Blocks have a bounded size, so memory does not
-depend on how often a vector repeats. Queries travel to the blocks in chunks.
+depend on how often a vector repeats, and a block meets the queries in chunks of a
+bounded size.
 
 Edge cases: a vector that is null, empty, zero, of another length than most, or
 holds a null or non-finite component takes no part; fewer than k candidates give
@@ -31,7 +32,7 @@ K, QUERY_EVERY = 5, 50
 PIVOTS, ORDER = 128, 64
 #: Share of a block that is reranked, and a least number of its rows.
 RERANK, RERANK_LEAST = 0.2, 64
-BLOCK, CHUNK = 4096, 512
+BLOCK, CHUNK = 4096, 8192
 SEED = 9
 
 
@@ -100,12 +101,13 @@ def permutation_search(vectors: DataFrame, is_query, k: int = K, n_pivots: int =
     pivots = unit(choose_pivots(rows, n_pivots, SEED))
     shared = spark.sparkContext.broadcast(pivots)
     blocks = -(-n // BLOCK)
-    data = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    # each query goes to every block, a chunk of queries at a time
+    # each query goes to every block; a group has one block and one chunk of queries
     n_queries = rows.where(is_query).count()
     chunks = max(1, -(-n_queries // CHUNK))
     asked = rows.where(is_query).select("vec_id", "v", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    data = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
     def solve(key, left, right):
         import pyarrow as pa
@@ -116,7 +118,7 @@ def permutation_search(vectors: DataFrame, is_query, k: int = K, n_pivots: int =
             found = search_block(one(left, "vec_id").to_numpy(), matrix(one(left, "v")), one(right, "vec_id").to_numpy(), matrix(one(right, "v")), shared.value, k, share)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    best = data.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(solve, "query_id long, vec_id long, score double")
+    best = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(solve, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

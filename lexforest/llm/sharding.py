@@ -1,7 +1,8 @@
 """Operator 2: shards cut from a Hilbert curve over metadata (DataFrame functions only).
 
 Three metadata dimensions (language, source and size) are quantised to 2^BITS
-levels at their quantiles. The rows are sorted along the Hilbert curve through
+levels at their quantiles: a language or source has the level of the share of rows
+that stand before it in string order. The rows are sorted along the Hilbert curve through
 that grid, rows of a cell by the checksum of their text, so that equal texts of a
 cell stand together, then by doc_id. Runs of that order are the shards: files
 that each cover a small box of the grid, which min/max statistics can prune in
@@ -11,7 +12,7 @@ Text is read once, for its size and checksum; only the narrow rows are sorted, b
 ranges of a unique key, so a frequent language or source fills no single task.
 
 Edge cases: null text counts 0 bytes and has the checksum of the empty text; null
-metadata are level 0; fewer rows than shards leave shards empty; repeated rows
+metadata count as empty strings; fewer rows than shards leave shards empty; repeated rows
 each get a slot; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,16 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .ordering import globally_sorted, ranked
+from .ordering import globally_sorted, ranked, running
 
 SHARDS, BITS, OVERHEAD = 40, 4, 16
-#: Bytes of a string that its quantile level looks at.
-PREFIX = 7
 
 
-def string_number(c: Column) -> Column:
-    """The first PREFIX bytes as a number, in string order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("long")
+def string_levels(scratch: Scratch, rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """column and its level for every distinct value; the values are ordered by ranges, not in one task."""
+    values = globally_sorted(scratch, rows.groupBy(column).agg(F.count("*").alias("n")), [column])
+    before = F.col("__upto") - F.col("n")
+    return running(values, "n").select(column, F.floor(before * (1 << bits) / F.col("__total")).cast("int").alias(f"level_{column}"))
 
 
 def hilbert(levels: list[Column], bits: int) -> Column:
@@ -81,15 +82,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     narrow = scratch.save(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-            string_number(F.col("lang").cast("string")).alias("d0"), string_number(F.col("source").cast("string")).alias("d1"), F.octet_length(text).cast("long").alias("d2"),
+            F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.octet_length(text).cast("long").alias("bytes"),
         )
     )
-    dims = ["d0", "d1", "d2"]
     steps = [k / (1 << bits) for k in range(1, 1 << bits)]
-    # 2^bits - 1 cuts a dimension
-    cuts = narrow.agg(*(F.percentile_approx(d, steps, 10_000).alias(d) for d in dims)).first()
-    place = hilbert([level(F.col(d), sorted(set(cuts[d] or []))) for d in dims], bits)
-    ordered = globally_sorted(scratch, narrow.select("doc_id", "size", "text_crc32", place.alias("curve")), ["curve", "text_crc32", "doc_id"])
+    # 2^bits - 1 cuts
+    cuts = narrow.agg(F.percentile_approx("bytes", steps, 10_000).alias("bytes")).first()["bytes"]
+    levelled = narrow
+    for column in ("lang", "source"):
+        # as many rows as values: Spark broadcasts them only under its own size limit
+        levelled = levelled.join(scratch.save(string_levels(scratch, narrow, column, bits)), column)
+    place = hilbert([F.col("level_lang"), F.col("level_source"), level(F.col("bytes"), sorted(set(cuts or [])))], bits)
+    ordered = globally_sorted(scratch, levelled.select("doc_id", "size", "text_crc32", place.alias("curve")), ["curve", "text_crc32", "doc_id"])
     scratch.drop(narrow)
     out = ranked(ordered)
     base, extra = F.expr(f"__total div {shards}"), F.col("__total") % shards
