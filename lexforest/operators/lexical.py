@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import chunk_of, safe_div, safe_log
 
 CLASSES = ("word", "sword", "lex", "slex", "noun", "verb", "sverb", "adj", "adv")
+#: How the classes are called in lists of measures.
+CLASS_NAMES = {"word": "words", "sword": "sophisticated words", "lex": "lexical words", "slex": "sophisticated lexical words", "noun": "nouns", "verb": "verbs", "sverb": "sophisticated verbs", "adj": "adjectives", "adv": "adverbs"}
 EASY, SECTION, TRIALS = 2000, 50, 10
 
 #: name -> formula over <class>_t (types) and <class>_n (tokens); ratios are one division of whole numbers.
@@ -42,6 +44,12 @@ INDICES = {
     "ModV": lambda c: safe_div(c("adv_t") + c("adj_t"), c("lex_n")),
 }
 SAMPLED = ("NDW-50", "NDW-ER50", "NDW-ES50", "MSTTR")
+DESCRIPTIONS = {
+    "LD": "lexical density", "LS1": "lexical sophistication I", "LS2": "lexical sophistication II", "VS1": "verb sophistication I", "VS2": "verb sophistication II", "CVS1": "corrected verb sophistication",
+    "NDW": "number of different words", "NDW-50": "different words among the first 50", "NDW-ER50": "different words of random samples of 50", "NDW-ES50": "different words of random sequences of 50",
+    "TTR": "type-token ratio", "MSTTR": "mean segmental type-token ratio", "CTTR": "corrected type-token ratio", "RTTR": "root type-token ratio", "LogTTR": "bilogarithmic type-token ratio", "Uber": "Uber index",
+    "VV1": "verb variation I", "SVV1": "squared verb variation", "CVV1": "corrected verb variation", "LV": "lexical word variation", "VV2": "verb variation II", "NV": "noun variation", "AdjV": "adjective variation", "AdvV": "adverb variation", "ModV": "modifier variation",
+}
 
 
 def easy_words(frequencies: DataFrame, n: int = EASY) -> DataFrame:

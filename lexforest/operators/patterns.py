@@ -17,6 +17,9 @@ from .trees import TREE, child, from_children, inside
 FINITE = ("MD", "VBZ", "VBP", "VBD")
 CLAUSE, SENTENCE = ("S", "SINV", "SQ"), ("S", "SBARQ", "SINV", "SQ")
 NOMINAL = ("JJ", "POS", "PP", "S", "VBG")
+THAT = ("That", "that", "For", "for")
+#: Every label that a definition names.
+NAMED = tuple(sorted({*FINITE, *CLAUSE, *SENTENCE, *NOMINAL, *THAT, "ROOT", "FRAG", "SBAR", "NP", "VP", "ADJP", "ADVP", "CC", "IN", "VB", "TO", "WHNP"}))
 PRIMITIVES = ("S", "VP1", "VP2", "C1", "C2", "T1", "T2", "CN1", "CN2", "CN3", "DC", "CT", "CP")
 # Fixed value: a counted word in bracket text, a tag of capitals and a token without brackets and dashes.
 WORD = "\\([A-Z]+\\$? [^()—–-]+\\)"
@@ -41,14 +44,16 @@ def flagged(nodes: DataFrame) -> DataFrame:
     """
     label, parent, head, after = F.col("label"), F.col("parent_label"), F.col("head_label"), F.col("next_label")
     sisters = Window.partitionBy(*TREE, "parent")
-    n = with_heads(nodes).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
+    # a word below its tag plays no part, unless it looks like a label; that leaves half of the rows
+    word = F.col("is_leaf") & (F.col("sisters") == 1) & F.col("parent").isNotNull() & ~sure(label.isin(*NAMED))
+    n = with_heads(nodes.where(~word)).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
     n = n.drop("kids")  # the rest sorts narrow rows
     n = from_children(
         n,
         finite_vp_kid=any_kid(F.col("vp") & F.col("finite")),
         vb_vp_first=any_kid(F.col("vp") & (head == "VB") & (F.col("ci") == 0)),
         loose_vp_kid=any_kid(F.col("vp") & head.isin("VBG", "TO")),
-        that_kid=any_kid(label.isin("That", "that", "For", "for")),
+        that_kid=any_kid(label.isin(*THAT)),
     )
     n = from_children(
         n,
@@ -88,7 +93,7 @@ def flagged(nodes: DataFrame) -> DataFrame:
 def matches(nodes: DataFrame, names=PRIMITIVES) -> DataFrame:
     """doc_id, tree_id, st, en and measure of every match; nodes are flagged."""
     found = F.filter(F.array(*(F.when(F.col(f"is_{n}"), F.lit(n)) for n in names)), lambda x: x.isNotNull())
-    return nodes.select(*TREE, "st", "en", F.explode(found).alias("measure"))
+    return nodes.select(*TREE, "st", "en", "left_edge", "right_edge", F.explode(found).alias("measure"))
 
 
 def counts(nodes: DataFrame, names=PRIMITIVES) -> DataFrame:

@@ -132,10 +132,10 @@ def heights(nodes: DataFrame) -> DataFrame:
 
 
 def spans(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen (doc_id, tree_id, st, en, ...) with span, the leaves below joined by blanks."""
-    leaves = nodes.where("is_leaf").groupBy(*TREE).agg(F.array_sort(F.collect_list(F.struct("st", "label"))).alias("leaves"))
-    inside = F.filter("leaves", lambda x: (x["st"] >= F.col("st")) & (x["st"] <= F.col("en")))
-    return chosen.join(leaves, TREE).withColumn("span", F.array_join(F.transform(inside, lambda x: x["label"]), " ")).drop("leaves")
+    """chosen (doc_id, tree_id, left_edge, right_edge, ...) with span, the leaves between the edges joined by blanks."""
+    leaves = nodes.where("is_leaf").groupBy(*TREE).agg(F.transform(F.array_sort(F.collect_list(F.struct("st", "label"))), lambda x: x["label"]).alias("leaves"))
+    own = F.slice("leaves", F.col("left_edge").cast("int") + 1, (F.col("right_edge") - F.col("left_edge")).cast("int"))
+    return chosen.join(leaves, TREE).withColumn("span", F.array_join(own, " ")).drop("leaves")
 
 
 def tagged_leaves(nodes: DataFrame, divider: str = "/") -> DataFrame:

@@ -15,6 +15,12 @@ def analyse(tokens: DataFrame, frequencies: DataFrame, adjectives: DataFrame, ta
     return counted.join(lexical.indices(counted), "doc_id").join(lexical.sampled(kept, section, trials, order=order), "doc_id")
 
 
+def matches(tokens: DataFrame, frequencies: DataFrame, adjectives: DataFrame, tagset: str = "ud", easy: int = lexical.EASY) -> DataFrame:
+    """doc_id, measure, ord and match: the types and tokens of every class."""
+    classified = lexical.classify(tokens, lexical.easy_words(frequencies, easy), adjectives, tagset)
+    return lexical.matches(classified).unionByName(lexical.token_matches(classified))
+
+
 def combined(tokens: DataFrame, groups: DataFrame, frequencies: DataFrame, adjectives: DataFrame, **options) -> DataFrame:
     """The same for groups of documents, from their tokens in order."""
     joined = combine.combine_tokens(tokens, groups)

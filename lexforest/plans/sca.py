@@ -39,7 +39,19 @@ def combined(forests: DataFrame, groups: DataFrame, select=None, definitions: li
 
 def matches(forests: DataFrame, names=patterns.PRIMITIVES) -> DataFrame:
     """doc_id, measure, ord and match (the words below) of every structure."""
-    nodes = flagged(forests)
-    found = trees.spans(trees.shred(forests), patterns.matches(nodes, names))
+    found = trees.spans(trees.shred(forests), patterns.matches(flagged(forests), names))
     w = Window.partitionBy("doc_id", "measure").orderBy("tree_id", "st")
     return found.select("doc_id", "measure", (F.row_number().over(w) - 1).alias("ord"), F.col("span").alias("match"))
+
+
+def measure_matches(forests: DataFrame, select=None, definitions: list[dict] | None = None) -> DataFrame:
+    """doc_id, measure, ord and match of the selected measures that count or only add: a sum has its parts' matches, part by part."""
+    registry = measures.Registry(definitions)
+    parts = [(n, i, p) for n in dict.fromkeys(select or registry.default) for i, p in enumerate(registry.is_sum(n) or []) if p in patterns.PRIMITIVES]
+    if not parts:
+        return forests.sparkSession.createDataFrame([], "doc_id long, measure string, ord int, match string")
+    # a row a measure and part
+    of = F.broadcast(forests.sparkSession.createDataFrame(parts, "name string, part int, measure string"))
+    found = matches(forests, tuple(dict.fromkeys(p for _, _, p in parts))).join(of, "measure")
+    w = Window.partitionBy("doc_id", "name").orderBy("part", "ord")
+    return found.select("doc_id", F.col("name").alias("measure"), (F.row_number().over(w) - 1).alias("ord"), "match")

@@ -4,8 +4,10 @@ Spark lists and reads the files; the unpacking of word-processor files is a
 small helper inside an Arrow function.
 """
 
+import os
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -32,18 +34,41 @@ def unpack(content: bytes, kind: str) -> str | None:
     return "\n".join("".join(p.itertext()) for p in root.iter(ODT_P))
 
 
+# Legacy encodings that are tried where a file is no Unicode, and the letters that texts in them hold.
+LEGACY = {
+    "cp1252": "éèêëàâäçôöùûüîïñáíóúßœæøåÉÀÄÖÜÇÑ’‘“”–—…«»¿¡°€",
+    "cp1250": "ąćęłńóśźżčďěňřšťůžáéíýúőűäöüßĄĆĘŁŃŚŹŻČŘŠŽ„”“’–…",
+    "cp1251": "абвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ«»—–…",
+}
+#: The first level of GB 2312: the two-byte characters from B0A1 to D7F9, and common marks.
+_FIRST_LEVEL = "".join(bytes((a, b)).decode("gb18030") for a in range(0xB0, 0xD8) for b in range(0xA1, 0xFF) if (a, b) <= (0xD7, 0xF9)) + "，。、；：？！"
+_LETTERS = {k: frozenset(v) for k, v in (LEGACY | {"gb18030": _FIRST_LEVEL}).items()}
+
+
 def decode(content: bytes) -> str:
-    """UTF-8 if it is that, with or without a mark, else UTF-16 by its mark, else Latin-1; decided for each file alone."""
+    """UTF-8 if it is that, with or without a mark, else UTF-16 by its mark, else the legacy encoding that reads most
+    of the other bytes as letters of its languages (ties to the first); decided for each file alone."""
     if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return content.decode("utf-16", "replace")
     try:
         return content.decode("utf-8-sig")
     except UnicodeDecodeError:
-        return content.decode("latin-1")
+        pass
+    best, text = -1.0, content.decode("latin-1")
+    for name, letters in _LETTERS.items():
+        try:
+            read = content.decode(name)
+        except UnicodeDecodeError:
+            continue
+        high = [c for c in read if c > "\x7f"]
+        share = sum(c in letters for c in high) / len(high) if high else 0.0
+        if share > best:
+            best, text = share, read
+    return text
 
 
 def _texts(content: pa.Array, kind: pa.Array) -> pa.Array:
-    return pa.array([decode(c) if k == "txt" else unpack(c, k) for c, k in zip(content.to_pylist(), kind.to_pylist(), strict=True)], pa.string())
+    return pa.array([unpack(c, k) if k in ("docx", "odt") else decode(c) for c, k in zip(content.to_pylist(), kind.to_pylist(), strict=True)], pa.string())
 
 
 def text_of(content: str, kind: str):
@@ -51,12 +76,29 @@ def text_of(content: str, kind: str):
     return arrow_udf(_texts, "string")(content, kind)
 
 
+def local_path(path: str) -> str:
+    """A path as read_files gives it: absolute, and without a scheme if it is local."""
+    return path if "://" in path else os.path.abspath(path.removeprefix("file:"))
+
+
+def plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_files(spark: SparkSession, paths: list[str], recursive: bool = False, suffixes=SUFFIXES) -> DataFrame:
-    """doc_id, path, mtime, size and text of the supported files; names that start with . or ~$ are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    """doc_id, path, mtime, size and text of the supported files; names that start with . or ~$ are left out.
+
+    Other kinds of files are left out by their names, before any is read. suffixes: None takes all files as plain text.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if suffixes is not None:
+        either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" for c in s)
+        files = files.option("pathGlobFilter", "*.{%s}" % ",".join(either(s) for s in suffixes))
+    files = files.load(paths)
     name = F.element_at(F.split("path", "/"), -1)
-    files = files.where(~name.startswith(".") & ~name.startswith("~$")).withColumn("kind", suffix(F.col("path"))).where(F.col("kind").isin(*suffixes))
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), text_of("content", "kind").alias("text"))
+    kind = F.lit("txt") if suffixes is None else suffix(F.col("path"))
+    files = files.where(~name.startswith(".") & ~name.startswith("~$")).withColumn("kind", kind)
+    return files.select(F.xxhash64("path").alias("doc_id"), plain(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), text_of("content", "kind").alias("text"))
 
 
 def inline_text(spark: SparkSession, text: str, name: str = "cli_text") -> DataFrame:
@@ -69,9 +111,20 @@ def read_forests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("doc_id"), "path", "forest")
 
 
+def tagged_words(texts: DataFrame, column: str) -> DataFrame:
+    """doc_id, pos, lemma and tag of texts of one lemma_TAG a line."""
+    lines = texts.select("doc_id", F.posexplode(F.filter(F.split(column, r"\r?\n"), lambda x: x != "")).alias("pos", "line"))
+    cut = r"^(.*)_([^_]*)$"
+    return lines.select("doc_id", "pos", F.lower(F.regexp_extract("line", cut, 1)).alias("lemma"), F.regexp_extract("line", cut, 2).alias("tag"))
+
+
+def tagged_text(pos: str, lemma: str, tag: str) -> Column:
+    """Aggregate: a document's words, one lemma_TAG a line in order."""
+    rows = F.array_sort(F.collect_list(F.struct(pos, F.concat_ws("_", lemma, tag).alias("w"))))
+    return F.array_join(F.transform(rows, lambda x: x["w"]), "\n")
+
+
 def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, pos, lemma and tag from files of one lemma_TAG a line."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("t"))
-    lines = whole.select(F.xxhash64("path").alias("doc_id"), F.posexplode(F.filter(F.split("t", r"\r?\n"), lambda x: x != "")).alias("pos", "line"))
-    cut = r"^(.*)_([^_]*)$"
-    return lines.select("doc_id", "pos", F.lower(F.regexp_extract("line", cut, 1)).alias("lemma"), F.regexp_extract("line", cut, 2).alias("tag"))
+    return tagged_words(whole.select(F.xxhash64("path").alias("doc_id"), "t"), "t")

@@ -1,9 +1,12 @@
+import csv
 import io
 import json
 import zipfile
 
+import pytest
 from lexforest import cli, sinks
-from lexforest.operators import files
+from lexforest.operators import cache, files
+from lexforest.plans import sca
 from lexforest.sources import readers
 from lexforest.streaming import stream
 
@@ -67,3 +70,68 @@ def test_cli(capsys, tmp_path):
     assert len(capsys.readouterr().out.splitlines()) == 23
     cli.main(["lca", "--list"])
     assert len(capsys.readouterr().out.splitlines()) == 43
+
+
+@pytest.fixture
+def folder(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "b.txt").write_text("The dog barks and the cat runs.")
+    (tmp_path / "a.txt").write_text("The old dog ran home quickly.")
+    (tmp_path / "t.trees").write_text("(ROOT (S (NP (DT the) (NN dog)) (VP (VBZ barks)) (. .)))")
+    return tmp_path
+
+
+def rows_of(path):
+    with open(path, encoding="utf-8") as f:
+        return list(csv.DictReader(f))
+
+
+def test_cli_names_files_and_groups(spark, folder):
+    cli.main(["sca", "b.txt", "a.txt", "-c", "b.txt", "a.txt", "-c", "a.txt", "b.txt", "--select", "W", "S", "-o", "o.csv"])
+    rows = {r["Filepath"]: (r["W"], r["S"]) for r in rows_of("o.csv")}
+    assert rows == {str(folder / "a.txt"): ("6", "1"), str(folder / "b.txt"): ("7", "1"), "b.txt+a.txt": ("13", "2"), "a.txt+b.txt": ("13", "2")}
+    with pytest.raises(SystemExit):
+        cli.main(["sca", "-c", "a.txt"])
+
+
+def test_cli_combines_words_in_the_order_of_the_files(spark, folder):
+    for first, second in (("a.txt", "b.txt"), ("b.txt", "a.txt")):
+        cli.main(["lca", "-c", first, second, "-o", "l.csv"])
+        r = rows_of("l.csv")[0]
+        assert r["Filepath"] == f"{first}+{second}" and r["word_n"] == "13" and r["NDW-50"] == "10.0"
+
+
+def test_cli_matches_and_bracketed_input(spark, folder, capsys):
+    cli.main(["sca", "t.trees", "--no-parse", "-m", "-o", "x.json", "--select", "VP", "W"])
+    assert json.loads((folder / "x.json").read_text())[0]["VP"] == "1"
+    assert [r.value for r in spark.read.text(str(folder / "x_matches/doc=t.trees/measure_name=VP")).collect()] == ["barks"]
+    cli.main(["sca", "--no-parse", "-t", "(ROOT (S (VP (VB go))))", "--stdout", "--select", "S"])
+    assert capsys.readouterr().out.split() == ["Filepath,S", "cli_text,1"]
+    cli.main(["lca", "-t", "the dog saw the dog", "-m", "-o", "w.csv"])
+    got = {m: [r.value for r in spark.read.text(str(folder / f"w_matches/doc=cli_text/measure_name=noun_{m}")).collect()] for m in "tn"}
+    assert got == {"t": ["dog", "saw"], "n": ["dog", "saw", "dog"]}
+
+
+def test_cli_cache(spark, folder):
+    cli.main(["sca", "a.txt", "b.txt", "--cache", "-o", "1.csv"])
+    kept = cache.AnnotationCache(spark, str(folder / "lexforest-cache"), "sca")
+    assert {r.path for r in kept.listing().collect()} == {str(folder / "a.txt"), str(folder / "b.txt")}
+    kept.save(spark.createDataFrame([(str(folder / "a.txt"), "(ROOT (S (X y)))")], "path string, annotation string"))
+    cli.main(["sca", "a.txt", "b.txt", "--use-cache", "-o", "2.csv", "--select", "W"])
+    assert {r["Filepath"].rpartition("/")[2]: r["W"] for r in rows_of("2.csv")} == {"a.txt": "1", "b.txt": "7"}
+    kept.delete(spark.createDataFrame([(str(folder / "a.txt"),)], "path string"))
+    kept.compact()
+    assert [r.path for r in kept.entries().collect()] == [str(folder / "b.txt")] and len(list((folder / "lexforest-cache/sca").iterdir())) == 1
+
+
+def test_encodings():
+    for text, name in (("Größe und Maß, naïve café", "cp1252"), ("Привет, мир и все слова", "cp1251"), ("zażółć gęślą jaźń", "cp1250"), ("他们知道我在这里工作。", "gb18030"), ("né", "utf-16"), ("né", "utf-8")):
+        assert readers.decode(text.encode(name)) == text, name
+
+
+def test_sums_have_the_matches_of_their_parts(spark):
+    forest = "(ROOT (S (NP (PRP I)) (VP (VBP know))))\n(ROOT (SQ (MD can) (NP (PRP we))))"
+    df = spark.createDataFrame([(1, forest)], "doc_id long, forest string")
+    rows = sca.measure_matches(df, ["VP", "MLS", "W"]).orderBy("ord").collect()
+    assert [(r.measure, r.ord, r.match) for r in rows] == [("VP", 0, "know"), ("VP", 1, "can")]
+    assert sca.measure_matches(df, ["MLS"]).count() == 0
