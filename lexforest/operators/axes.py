@@ -111,9 +111,11 @@ def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False) -
     arcs = nodes.alias("x").where(F.expr(category)).select(*TREE, F.col("left_edge").alias("p"), F.col("right_edge").alias("q"))
     still = nodes.select(*TREE, F.col("right_edge").alias("p"), F.col("right_edge").alias("q"))
     reach = arcs.union(still).distinct()
-    size = -1
+    reach, before, size = reach.persist(), None, -1
     while (now := reach.count()) != size:
-        size = now
+        if before is not None:
+            before.unpersist()
+        size, before = now, reach
         more = reach.select(*TREE, "p", F.col("q").alias("m")).join(reach.select(*TREE, F.col("p").alias("m"), "q"), [*TREE, "m"]).select(*TREE, "p", "q")
         reach = reach.union(more).distinct().persist()
     first = nodes.select(*TREE, F.col("st").alias("s1"), F.col("right_edge").alias("p"))

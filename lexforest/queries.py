@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as sql
 from .functions.scalar import safe_div
-from .operators import axes, combine, files, heads, lexical, measures, patterns, tables, trees
+from .operators import axes, combine, files, heads, lexical, measures, patterns, predicates, properties, tables, trees
 from .operators.surrogate import surrogate_forests
 from .operators.tokens import lemmas, tokens, vocabulary
 from .plans import lca, sca
@@ -173,6 +173,54 @@ def head_child(spark, sf_dir, forests=inline):
     return n.select("doc_id", "tree_id", "st", "head_st", "head_label")
 
 
+def tree_kinds(spark, sf_dir, forests=inline):
+    return properties.kinds(trees.shred(forests(spark, sf_dir))).select("doc_id", "tree_id", "st", "phrasal", "unary", "prepreterminal", "binary")
+
+
+def tree_texts(spark, sf_dir, forests=inline):
+    return properties.texts(trees.shred(forests(spark, sf_dir)))
+
+
+def tree_equal(spark, sf_dir, forests=inline):
+    return properties.equal_nodes(trees.shred(forests(spark, sf_dir)))
+
+
+def head_words(spark, sf_dir, forests=inline):
+    return properties.head_words(axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir)))))
+
+
+def tree_paths(spark, sf_dir, forests=inline):
+    return properties.paths(trees.shred(forests(spark, sf_dir))).withColumn("step", F.col("step").cast("long"))
+
+
+def tree_meetings(spark, sf_dir, forests=inline):
+    """Where each word meets the last word of its tree."""
+    n = trees.shred(forests(spark, sf_dir))
+    leaves = n.where("is_leaf")
+    last = leaves.groupBy("doc_id", "tree_id").agg(F.max("st").alias("b"))
+    met = properties.meetings(n, leaves.select("doc_id", "tree_id", F.col("st").alias("a")).join(last, ["doc_id", "tree_id"]))
+    return met.withColumns({"up": F.col("up").cast("long"), "down": F.col("down").cast("long")})
+
+
+def tree_item(spark, sf_dir, forests=inline):
+    """The last child of every node's first child."""
+    return properties.item(trees.shred(forests(spark, sf_dir)), [0, -1])
+
+
+def node_search(spark, sf_dir, forests=inline):
+    """Noun phrases (by basic category) that hold a noun of any kind, under a clause but not before a conjunction."""
+    n = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir))))
+    p = predicates
+    return p.search(n, p.text("NP", basic=True), p.Related("dominates", p.regex("^nn", "i")), p.Related("dominated_by", p.any_of(p.text("S"), p.text("SINV", "SQ"))), p.Related("immediate_left_sister_of", p.text("CC"), negated=True))
+
+
+def node_negations(spark, sf_dir, forests=inline):
+    """Nodes that are neither roots nor labelled N..., and have a child."""
+    n = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir))))
+    p = predicates
+    return p.search(n, p.any_of(p.root, p.regex("^N"), negated=True), p.Related("parent_of"))
+
+
 def _axis(name, n=None):
     def query(spark, sf_dir, forests=inline):
         nodes = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir)))).persist()
@@ -288,6 +336,7 @@ def conversation_words(spark, sf_dir):
 def queries() -> dict:
     found = {f.__name__: f for f in (
         tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
+        tree_kinds, tree_texts, tree_equal, head_words, tree_paths, tree_meetings, tree_item, node_search, node_negations,
         sca_counts, sca_ratios, sca_inline, sca_matches, sca_combine, formula_custom, select_measures, files_add_rejects, cache_valid, export_long, table_sort, measures_list,
         match_drilldown, file_sizes, section_types, rollup_words, conversation_words,
     )}
@@ -323,6 +372,10 @@ def oracle_sql() -> dict[str, str]:
     matched = " UNION ALL ".join(f"SELECT doc_id, tree_id, st, en, '{p}' AS measure FROM found WHERE is_{p}" for p in patterns.PRIMITIVES)
     matches = f"WITH {inl}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS}, m AS ({matched}), spelled AS (SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY tree_id, st) - 1 AS ord, {spans} AS match FROM m n)"
     own = f"WITH {sql.TOKENS} "
+    text_sql = trees_inline + r""", shown AS (SELECT doc_id, pos, CASE WHEN tok = '(' THEN '(' WHEN tok = ')' THEN ')' WHEN prev = '(' THEN tok ELSE ' ' || tok END AS s, tok FROM around),
+        texts AS (SELECT n.doc_id, n.tree_id, n.st, CASE WHEN n.st = n.en THEN n.label ELSE (SELECT string_agg(CASE WHEN s.tok = '(' AND s.pos > n.st THEN ' (' ELSE s.s END, '' ORDER BY s.pos) FROM shown s WHERE s.doc_id = n.doc_id AND s.pos >= n.st AND s.pos <= n.en) END AS text FROM nodes n)"""
+    members = " UNION ALL ".join(f"SELECT doc_id, '{c}_t' AS measure, lemma AS match, min(pos) AS p FROM classed WHERE {m} GROUP BY ALL" for c, m in sql.MEMBER.items())
+    types_sql = f"WITH {sql.CLASSED}, firsts AS ({members}) SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY p) - 1 AS ord, match FROM firsts"
     out = {
         "tok_counts": f"SELECT doc_id, len(ws)::BIGINT AS n_words, len(list_distinct(ws))::BIGINT AS n_types FROM (SELECT doc_id, regexp_extract_all(lower(text), '{sql.TOKEN}') AS ws FROM documents)",
         "wordlist_topk": own + "SELECT lemma FROM plain GROUP BY lemma ORDER BY count(*) DESC, lemma LIMIT 2000",
@@ -339,6 +392,20 @@ def oracle_sql() -> dict[str, str]:
         "tree_heights": trees_inline + " SELECT a.doc_id, a.tree_id, a.st, (max(d.lvl) - max(a.lvl) + 1)::BIGINT AS height FROM nodes a JOIN nodes d ON a.doc_id = d.doc_id AND a.tree_id = d.tree_id AND d.st >= a.st AND d.st <= a.en GROUP BY ALL",
         "tree_tagged": trees_inline + " SELECT p.doc_id, p.tree_id, p.st, c.label || '/' || p.label AS tagged FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1",
         "head_child": f"WITH {inl}, {sql.NODES}, {sql.heads()} SELECT doc_id, tree_id, st, head_st, head_label FROM headed WHERE n_kids > 0",
+        "tree_kinds": trees_inline + """, pre AS (SELECT p.doc_id, p.st FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1),
+            k AS (SELECT n.*, n.is_leaf OR EXISTS (SELECT 1 FROM pre WHERE pre.doc_id = n.doc_id AND pre.st = n.st) AS low, EXISTS (SELECT 1 FROM pre WHERE pre.doc_id = n.doc_id AND pre.st = n.st) AS is_pre FROM nodes n)
+            SELECT doc_id, tree_id, st, NOT low AS phrasal, n_kids = 1 AS unary, n_kids > 0 AND NOT EXISTS (SELECT 1 FROM k c WHERE c.doc_id = n.doc_id AND c.parent = n.st AND NOT c.is_pre) AS prepreterminal,
+            NOT EXISTS (SELECT 1 FROM k d WHERE d.doc_id = n.doc_id AND d.st >= n.st AND d.en <= n.en AND NOT d.low AND d.n_kids <> 2) AS binary FROM k n""",
+        "tree_texts": text_sql + " SELECT doc_id, tree_id, st, text FROM texts",
+        "tree_equal": text_sql + " SELECT text, count(*) AS n FROM texts JOIN nodes USING (doc_id, st) WHERE NOT is_leaf GROUP BY text",
+        "head_words": f"WITH RECURSIVE {inl}, {sql.NODES}, {sql.heads()}, chain(doc_id, tree_id, st, node) AS (SELECT doc_id, tree_id, st, st FROM headed UNION ALL SELECT c.doc_id, c.tree_id, c.st, h.head_st FROM chain c JOIN headed h ON h.doc_id = c.doc_id AND h.st = c.node WHERE h.head_st IS NOT NULL) SELECT c.doc_id, c.tree_id, c.st, n.label AS word FROM chain c JOIN nodes n ON n.doc_id = c.doc_id AND n.st = c.node WHERE n.is_leaf",
+        "tree_paths": f"WITH RECURSIVE {inl}, {sql.NODES}, way(doc_id, tree_id, st, step, node) AS (SELECT doc_id, tree_id, st, 0, st FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT w.doc_id, w.tree_id, w.st, w.step + 1, p.st FROM way w JOIN nodes n ON n.doc_id = w.doc_id AND n.st = w.node JOIN nodes p ON p.doc_id = n.doc_id AND p.st = n.parent WHERE p.parent IS NOT NULL) SELECT doc_id, tree_id, st, step::BIGINT AS step, node FROM way",
+        "tree_meetings": trees_inline + ", lasts AS (SELECT doc_id, tree_id, max(st) AS b FROM nodes WHERE is_leaf GROUP BY ALL), m AS (SELECT a.doc_id, a.tree_id, a.st AS a, l.b, (SELECT max(x.st) FROM nodes x WHERE x.doc_id = a.doc_id AND x.tree_id = a.tree_id AND x.st <= a.st AND x.en >= l.b) AS meet FROM nodes a JOIN lasts l USING (doc_id, tree_id) WHERE a.is_leaf) SELECT m.doc_id, m.tree_id, m.a, m.b, meet, (x.lvl - z.lvl)::BIGINT AS up, (y.lvl - z.lvl)::BIGINT AS down FROM m JOIN nodes x ON x.doc_id = m.doc_id AND x.st = m.a JOIN nodes y ON y.doc_id = m.doc_id AND y.st = m.b JOIN nodes z ON z.doc_id = m.doc_id AND z.st = m.meet",
+        "tree_item": trees_inline + " SELECT n.doc_id, n.tree_id, n.st, d.st AS node FROM nodes n JOIN nodes c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.ci = 0 JOIN nodes d ON d.doc_id = c.doc_id AND d.parent = c.st AND d.ci = c.n_kids - 1",
+        "node_search": trees_inline + """ SELECT n.doc_id, n.tree_id, n.st FROM nodes n WHERE split_part(n.label, '-', 1) = 'NP' AND EXISTS (SELECT 1 FROM nodes d WHERE d.doc_id = n.doc_id AND d.st > n.st AND d.en < n.en AND upper(d.label) LIKE 'NN%')
+            AND EXISTS (SELECT 1 FROM nodes u WHERE u.doc_id = n.doc_id AND u.st < n.st AND u.en > n.en AND u.label IN ('S', 'SQ', 'SINV')) AND coalesce(n.next_label <> 'CC', TRUE)""",
+        "node_negations": trees_inline + " SELECT n.doc_id, n.tree_id, n.st FROM nodes n WHERE n.parent IS NOT NULL AND coalesce(n.label NOT LIKE 'N%', TRUE) AND n.n_kids > 0",
+        "lca_types_all": types_sql,
         "sca_W": f"WITH {sur} SELECT doc_id, len(regexp_extract_all(forest, '{sql.WORD}'))::BIGINT AS \"W\" FROM forests",
         "sca_counts": sql.structure_counts(sur) + f" SELECT doc_id, W, {', '.join(patterns.PRIMITIVES)} FROM prim",
         "sca_ratios": sql.structure_counts(sur) + f" SELECT doc_id, {sql.ALL} FROM sums",
