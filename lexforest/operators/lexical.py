@@ -164,6 +164,43 @@ def sampled(tokens: DataFrame, section: int = SECTION, trials: int = TRIALS, key
     return seq.select(key, ndw_first(w, section).alias("NDW-50"), ndw_random(k, w, section, trials).alias("NDW-ER50"), ndw_window(k, w, section, trials).alias("NDW-ES50"), msttr(w, section).alias("MSTTR"))
 
 
+def placed(tokens: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """key, place (from 0 over all members of the key) and lemma; order: the member's columns and then the place in the member.
+
+    Words are numbered inside their member and moved on by the sizes of the members before it, so a
+    group of many documents is never sorted or held by one task.
+    """
+    member = [key, *order[:-1]]
+    t = tokens.select(*member, "lemma", (F.row_number().over(Window.partitionBy(*member).orderBy(order[-1])) - 1).cast("long").alias("place"))
+    sizes = t.groupBy(*member).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(key).orderBy(*order[:-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*member, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return t.join(sizes, member).select(key, (F.col("place") + F.col("before")).alias("place"), "lemma")
+
+
+def sampled_groups(tokens: DataFrame, section: int = SECTION, trials: int = TRIALS, key: str = "doc_id", order=("ord", "pos")) -> DataFrame:
+    """What ``sampled`` gives, for groups of any size: rows instead of one array a group."""
+    t, k = placed(tokens, key, order), F.col(key).cast("string")
+    sizes = t.groupBy(key, "lemma").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
+    distinct = lambda rows, *by: rows.select(key, *by, "lemma").distinct().groupBy(key, *by).agg(F.count("*").alias("types"))
+    first = distinct(t.where(F.col("place") < section)).select(key, F.col("types").cast("double").alias("NDW-50"))
+    known = t.join(sizes.select(key, "n"), key)
+    full = F.expr(f"n div {section}") * section
+    cut = distinct(known.where(F.col("place") < full).withColumn("at", F.expr(f"place div {section}")), "at").groupBy(key).agg(F.sum("types").alias("types_of_sections"))
+    # the trials of groups that are longer than a section
+    asked = sizes.where(F.col("n") > section).select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", k, F.col("trial").cast("string"))), 1, 8), 16, 10).cast("long") % (F.col("n") - section + 1)
+    runs = asked.select(key, "trial", F.explode(F.sequence(start, start + section - 1)).alias("place")).join(t, [key, "place"])
+    hashed = known.where(F.col("n") > section).select(key, "place", "lemma", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    hashed = hashed.withColumn("h", F.md5(F.concat_ws("|", k, F.col("trial").cast("string"), F.col("place").cast("string"))))
+    drawn = hashed.withColumn("r", F.row_number().over(Window.partitionBy(key, "trial").orderBy("h", "lemma"))).where(F.col("r") <= section)
+    mean = lambda rows, name: distinct(rows, "trial").groupBy(key).agg((F.sum("types") / F.lit(float(trials))).alias(name))
+    out = sizes.join(first, key).join(mean(drawn, "er"), key, "left").join(mean(runs, "es"), key, "left").join(cut, key, "left")
+    own = F.col("types").cast("double")
+    msttr_ = F.when(full < section, safe_div(F.col("types"), F.col("n"))).otherwise(safe_div(F.col("types_of_sections"), full))
+    return out.select(key, "NDW-50", F.coalesce("er", own).alias("NDW-ER50"), F.coalesce("es", own).alias("NDW-ES50"), msttr_.alias("MSTTR"))
+
+
 def section_types(tokens: DataFrame, section: int = SECTION) -> DataFrame:
     """doc_id, chunk, types and tokens of every section."""
     t = tokens.withColumn("chunk", chunk_of(F.col("pos"), section))

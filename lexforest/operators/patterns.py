@@ -46,7 +46,8 @@ def flagged(nodes: DataFrame) -> DataFrame:
     sisters = Window.partitionBy(*TREE, "parent")
     # a word below its tag plays no part, unless it looks like a label; that leaves half of the rows
     word = F.col("is_leaf") & (F.col("sisters") == 1) & F.col("parent").isNotNull() & ~sure(label.isin(*NAMED))
-    n = with_heads(nodes.where(~word)).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
+    childless = F.col("is_leaf") | (F.col("pre") & ~sure(F.col("word").isin(*NAMED)))
+    n = with_heads(nodes.where(~word).withColumn("__childless", childless)).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
     n = n.drop("kids")  # the rest sorts narrow rows
     n = from_children(
         n,

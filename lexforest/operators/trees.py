@@ -35,7 +35,7 @@ def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
     """Nodes of every balanced forest (doc_id, forest). partitioned: the forests are dealt out by doc_id already.
 
     doc_id, tree_id, st, en, label, lvl, parent, parent_label, ci (child index from 0, -1 for a root), sisters (children
-    of the parent), prev_label, next_label (of sisters), is_leaf, pre (has one child, a leaf), left_edge, right_edge
+    of the parent), prev_label, next_label (of sisters), is_leaf, pre (has one child, a leaf), word (that leaf's label), left_edge, right_edge
     (leaves before the node and up to its end). Unbalanced documents give no rows (see unbalanced).
     """
     toks = bracket_tokens(forests if partitioned else forests.repartition("doc_id"))
@@ -74,7 +74,7 @@ def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
     nodes = nodes.withColumn("prev_label", F.lag("label").over(in_family)).withColumn("next_label", F.lead("label").over(in_family))
     tree = Window.partitionBy("doc_id", "tree_id").orderBy("st")
     inner = lambda k: F.coalesce(F.lead("st", k).over(tree) <= F.col("en"), F.lit(False))
-    nodes = nodes.withColumn("pre", inner(1) & ~inner(2))
+    nodes = nodes.withColumn("pre", inner(1) & ~inner(2)).withColumn("word", F.when(F.col("pre"), F.lead("label").over(tree)))
     # unlabelled roots with one child are no nodes; they are a tree's first rows
     bare = F.col("label").isNull() & ~F.col("is_leaf") & F.coalesce(F.lead("sisters").over(tree) == 1, F.lit(False))
     nodes = nodes.withColumn("bare", F.min(bare.cast("int")).over(tree.rowsBetween(Window.unboundedPreceding, 0)) == 1)
@@ -85,18 +85,24 @@ def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
     for c in ("parent", "parent_label", "prev_label", "next_label"):
         nodes = nodes.withColumn(c, F.when(~root, F.col(c)))
     nodes = nodes.withColumn("ci", F.when(root, -1).otherwise(F.col("ci")))
-    return nodes.select("doc_id", "tree_id", "st", "en", "label", "lvl", "parent", "parent_label", "ci", "sisters", "prev_label", "next_label", "is_leaf", "pre", F.col("left_edge").cast("int").alias("left_edge"), F.col("right_edge").cast("int").alias("right_edge"))
+    return nodes.select("doc_id", "tree_id", "st", "en", "label", "lvl", "parent", "parent_label", "ci", "sisters", "prev_label", "next_label", "is_leaf", "pre", "word", F.col("left_edge").cast("int").alias("left_edge"), F.col("right_edge").cast("int").alias("right_edge"))
 
 
 def from_children(nodes: DataFrame, **aggregates: Column) -> DataFrame:
     """nodes with each name: the aggregate over the node's children (null or empty without any).
 
     A node stands once among its sisters and once at the head of its children, so a window
-    by family brings the children's values up without a join or another shuffle.
+    by family brings the children's values up without a join or another shuffle. A node known
+    to have no children (a column __childless) needs no second row.
     """
     family = Window.partitionBy(*TREE, F.when(F.col("__up"), F.col("st")).otherwise(F.col("parent")))
-    both = nodes.withColumn("__up", F.explode(F.array(F.lit(False), F.lit(True))))
-    return both.withColumns({n: a.over(family) for n, a in aggregates.items()}).where("__up").drop("__up")
+    twice = F.array(F.lit(False), F.lit(True))
+    if "__childless" not in nodes.columns:
+        both = nodes.withColumn("__up", F.explode(twice))
+        return both.withColumns({n: a.over(family) for n, a in aggregates.items()}).where("__up").drop("__up")
+    both = nodes.withColumn("__up", F.explode(F.when(F.col("__childless"), F.array(F.lit(False))).otherwise(twice)))
+    both = both.withColumns({n: a.over(family) for n, a in aggregates.items()}).where("__up OR __childless")
+    return both.withColumns({n: F.when(F.col("__up"), F.col(n)) for n in aggregates}).drop("__up")
 
 
 def child(value: Column) -> Column:

@@ -12,7 +12,8 @@ def analyse(tokens: DataFrame, frequencies: DataFrame, adjectives: DataFrame, ta
     per = lexical.lemma_counts(tokens, "doc_id", "lemma", "tag")
     counted = lexical.counts(lexical.classify(per, lexical.easy_words(frequencies, easy), adjectives, tagset))
     kept = tokens.where(~lexical.is_misc(tokens["lemma"], tokens["tag"], tagset))
-    return counted.join(lexical.indices(counted), "doc_id").join(lexical.sampled(kept, section, trials, order=order), "doc_id")
+    of_sections = lexical.sampled(kept, section, trials) if order == ("pos",) else lexical.sampled_groups(kept, section, trials, order=order)
+    return counted.join(lexical.indices(counted), "doc_id").join(of_sections, "doc_id")
 
 
 def matches(tokens: DataFrame, frequencies: DataFrame, adjectives: DataFrame, tagset: str = "ud", easy: int = lexical.EASY) -> DataFrame:

@@ -60,6 +60,13 @@ def test_combining_counts_types_anew(spark):
     assert combine.check_groups(one).count() == 1
 
 
+def test_samples_of_groups_are_those_of_one_array(spark):
+    rows = [(g, o, p, f"w{(g * 7 + o * 5 + p * p) % 23}", "NOUN") for g, sizes in ((1, (40, 35, 61)), (2, (20,)), (3, (50, 1))) for o, n in enumerate(sizes) for p in range(n)]
+    toks = spark.createDataFrame(rows, "doc_id long, ord int, pos int, lemma string, tag string")
+    key = lambda df: sorted(tuple(r) for r in df.select("doc_id", "`NDW-50`", "`NDW-ER50`", "`NDW-ES50`", "MSTTR").collect())
+    assert key(lexical.sampled_groups(toks)) == key(lexical.sampled(toks, order=("ord", "pos")))
+
+
 def test_types_of_every_class(spark, tmp_path):
     from lexforest import queries
 
