@@ -37,6 +37,35 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0)), keep=["doc_id"]).collect()} == {0.5}
 
 
+def test_quality_votes(spark, docs):
+    """Scores against a vote with loops: pair counts, the projection, all cosines sorted."""
+    labels = spark.createDataFrame([(i, int(i % 6 != 5), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    voter = quality.fit(docs, labels, folds=5)
+    got = defaultdict(list)
+    for r in quality.score(docs, voter, keep=["doc_id"]).collect():
+        got[r.doc_id].append(r.score)
+    for i, t in texts(docs):
+        raw = (t or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        if not words:
+            continue
+        chars, buckets = [0.0] * quality.CLASSES**2, [0.0] * quality.WORD_BUCKETS
+        for a, b in zip(raw, raw[1:]):
+            chars[int(quality._CLASS[a]) * quality.CLASSES + int(quality._CLASS[b])] += 1
+        h = quality.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3]
+        for x in h.tolist():
+            buckets[x % quality.WORD_BUCKETS] += 1
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        x = [math.sqrt(v / max(sum(block), 1)) * w for block, w in zip((chars, buckets, [again, len(words) - again]), quality.BLOCK_WEIGHTS) for v in block]
+        z = (np.array(x) - voter.mean) @ voter.basis
+        z /= np.linalg.norm(z)
+        near = sorted(((float(z @ v), y) for v, y in zip(voter.vectors.astype(float), voter.labels.tolist())), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0) ** 4, y) for c, y in near]
+        lean = quality.LEAN / len(words)
+        want = (sum(w * y for w, y in votes) + lean * float(voter.labels.mean())) / (sum(w for w, _ in votes) + lean)
+        assert any(abs(s - want) < 2e-3 for s in got[i]), (i, want, got[i])
+
+
 def test_sharding(spark, docs, none):
     rows = sharding.shard(docs, 7).collect()
     by = defaultdict(list)
@@ -245,6 +274,8 @@ def test_mixing(spark, docs, none):
     again = {(r.row_id, r["pass"]): r.words for r in mixing.mix(docs)[1].collect()}
     assert again == {(r.row_id, r["pass"]): r.words for r in schedule.collect()}
     assert mixing.mix(none)[1].count() == 0
+    clash = docs.withColumns({"__row_id": F.lit(1), "row_id": F.lit(2), "size": F.lit(3), "__row": F.lit(4)})
+    assert sorted(r.words for r in mixing.mix(clash)[1].collect()) == sorted(again.values())
 
 
 @pytest.fixture(scope="module")
