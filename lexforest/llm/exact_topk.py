@@ -8,8 +8,9 @@ rows of different vec_id) gives, for a query q and a group with pivot p and radi
     q.x >= q.p - |q| d                       for an x at distance d,
 
 so the summaries alone give a score that k candidates of another vec_id than the
-query's reach, and a query is sent
-only to the groups whose bound reaches it. Each group is cut into blocks of
+query's reach. The same bounds for a whole group of queries (with their distance to the group's
+pivot as slack) tell which groups of vectors a group of queries may need at
+all; among those a query is sent only to the groups whose own bound reaches its score. Each group is cut into blocks of
 bounded size by a hash of vec_id and the row's number (a vector or vec_id with
 many copies fills many blocks, not one), each block answers its queries by one exact product of whole numbers,
 and the blocks' best k are merged per query. Queries meet a block in chunks of bounded size. Nothing is left out: a group is
@@ -73,8 +74,29 @@ class Summaries:
         self.near = np.array([d for x in near for d, _ in x], np.float64)
         self.ids = np.array([i for x in near for _, i in x], np.int64)
 
-    def needed(self, q: np.ndarray, q_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(queries x cells that may hold one of the best k, the score that k candidates reach)."""
+    def group_needs(self, radius: np.ndarray) -> np.ndarray:
+        """Query groups x cells: whether a query at most so far from its group's pivot may need the cell."""
+        product, length = self.pivots @ self.pivots.T, np.linalg.norm(self.pivots, axis=1)[:, None]
+        spread = radius[:, None] * self.norm
+        slack = 1e-9 * (1 + self.norm.max(initial=0)) * (1 + length + radius[:, None])
+        upper = np.minimum(product + length * self.radius + spread, (length + radius[:, None]) * self.norm) + slack
+        lower = product[:, self.of] - length * self.near - spread[:, self.of] - slack
+        # one of the nearest may be the query's own vec_id
+        k = self.k + 1
+        reach = np.full(len(radius), -np.inf) if lower.shape[1] < k else np.partition(lower, -k, axis=1)[:, -k]
+        return upper >= reach[:, None]
+
+    def needed(self, q: np.ndarray, q_ids: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries x cells that may hold one of the best k, the score that k candidates reach); only the named cells are looked at."""
+        chosen = np.isin(self.of, cells)
+        s = Summaries(self.pivots[cells], self.radius[cells], self.norm[cells], [[] for _ in cells], self.k)
+        s.of, s.near, s.ids = np.searchsorted(cells, self.of[chosen]), self.near[chosen], self.ids[chosen]
+        found, reach = s._needed(q, q_ids)
+        out = np.zeros((len(q), len(self.pivots)), bool)
+        out[:, cells] = found
+        return out, reach
+
+    def _needed(self, q: np.ndarray, q_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slack = 1e-9 * (1 + self.norm.max(initial=0)) * (1 + np.linalg.norm(q, axis=1, keepdims=True))  # of doubles
         length = np.linalg.norm(q, axis=1, keepdims=True)
         product = q @ self.pivots.T
@@ -134,17 +156,22 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     summaries = Summaries(pivots, np.array(get("radius", 0.0)), np.array(get("norm", 0.0)), get("near", []), k)
     counts = np.array(get("n", 0))
     blocks = np.maximum(1, -(-counts // BLOCK))
-    shared = spark.sparkContext.broadcast((summaries, blocks, counts))
+    asked = cells.where(is_query).select("vec_id", "v", "cell", "distance")
+    far = {r.cell: r.far for r in asked.groupBy("cell").agg(F.max("distance").alias("far")).collect()}
+    groups = summaries.group_needs(np.array([far.get(c, 0.0) for c in range(m)]))
+    shared = spark.sparkContext.broadcast((summaries, blocks, counts, groups))
 
     def send(batches):
         """A row for each query and block of a cell that it needs."""
         import pyarrow as pa
 
-        s, per_cell, own = shared.value
+        s, per_cell, own, of_group = shared.value
         for batch in batches:
-            for a in range(0, len(batch), QUERY_BLOCK):
-                part = batch.slice(a, QUERY_BLOCK)
-                need, reach = s.needed(matrix(part.column(1)), part.column(0).to_numpy())
+            group = batch.column(2).to_numpy()
+            order = np.argsort(group, kind="stable")
+            edges = np.flatnonzero(np.diff(group[order])) + 1
+            for part in (batch.take(pa.array(rows[a : a + QUERY_BLOCK])) for rows in np.split(order, edges) for a in range(0, len(rows), QUERY_BLOCK)):
+                need, reach = s.needed(matrix(part.column(1)), part.column(0).to_numpy(), np.flatnonzero(of_group[part.column(2)[0].as_py()]))
                 row, cell = np.nonzero(need & (own > 0))
                 times = per_cell[cell]
                 row, cell = np.repeat(row, times), np.repeat(cell, times)
@@ -152,16 +179,16 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(reach[row])], names=["vec_id", "v", "cell", "block", "reach"])
 
-    sent = rows.where(is_query).mapInArrow(send, "vec_id long, v array<double>, cell int, block int, reach double")
+    sent = asked.mapInArrow(send, "vec_id long, v array<double>, cell int, block int, reach double")
     block_counts = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("cell") + 1)
-    chunks = max(1, -(-rows.where(is_query).count() // CHUNK))
+    chunks = max(1, -(-asked.count() // CHUNK))
     sent = sent.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int"))
     dealt = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block_counts).cast("int"))
 
     def solve(key, left, right):
         import pyarrow as pa
 
-        s, _, _ = shared.value
+        s = shared.value[0]
         x, q = left.combine_chunks(), right.combine_chunks()
         one = lambda t, c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
         if not len(x) or not len(q):
