@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int,
     # members of one bucket that are still apart
     labelled = bucket.select("band", "key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("node", F.col("n_shingles").alias("n")), "node"))
+    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("node", F.col("n_shingles").alias("n"), "bands"), "node"))
     texts = scratch.save(with_texts(scratch, docs, scratch.save(apart.select("node").distinct())))
     apart = scratch.save(apart.join(fine_bits(texts, width), "node"))
     left, right = apart.alias("l"), apart.alias("r")
@@ -304,7 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int,
         differ = differ + F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}")))
     sizes = F.least("l.n", "r.n") * threshold[1] >= F.greatest("l.n", "r.n") * threshold[0]
     on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-    pairs = left.join(right, on & sizes & (differ <= most_differing(threshold))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    # a pair counts in the first band that it shares
+    first = F.when(F.col("l.bands")[0] == F.col("r.bands")[0], 0)
+    for k in range(1, BANDS):
+        first = first.when(F.col("l.bands")[k] == F.col("r.bands")[k], k)
+    pairs = left.join(right, on & sizes & (differ <= most_differing(threshold)) & (first == F.col("l.band"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     pairs = scratch.save(promising(pairs.join(stars, ["a", "b"], "left_anti"), own, threshold))
     texts = texts.join(ends_of(pairs), F.col("__row") == F.col("node")).select("__row", "text")
     rest = verified(scratch, pairs, scratch.save(full_sets(texts, width)), threshold)
