@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,14 @@ def combine_counts(counted: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def combine_matches(matches: DataFrame, groups: DataFrame) -> DataFrame:
-    """group_id, measure and the members' matches in a row, by member, tree and place."""
-    both = matches.join(groups, "doc_id")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "tree_id", "st", "span")))
-    return both.groupBy("group_id", "measure").agg(F.transform(ordered, lambda x: x["span"]).alias("matches"))
+    """group_id, measure, ord and match: the members' matches (doc_id, measure, ord, match) one after another, by member.
+
+    A match moves on by the number of matches of the members before it, so no group is gathered.
+    """
+    sizes = matches.groupBy("doc_id", "measure").agg(F.count("*").alias("n")).join(groups.withColumnRenamed("ord", "member"), "doc_id")
+    earlier = Window.partitionBy("group_id", "measure").orderBy("member", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("doc_id", "group_id", "measure", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return matches.join(sizes, ["doc_id", "measure"]).select("group_id", "measure", (F.col("ord") + F.col("before")).cast("long").alias("ord"), "match")
 
 
 def combine_tokens(tokens: DataFrame, groups: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import sys
+import textwrap
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,11 @@ def write_one(df: DataFrame, path: str | None, kind: str = "csv", digits: int =
     out = open(path, "w", encoding="utf-8", newline="") if path else sys.stdout
     try:
         if kind == "json":
-            out.write(json.dumps(list(rows_as_text(df, digits)), ensure_ascii=False, indent=2) + "\n")
+            before = "[\n"
+            for row in rows_as_text(df, digits):
+                out.write(before + textwrap.indent(json.dumps(row, ensure_ascii=False, indent=2), "  "))
+                before = ",\n"
+            out.write("[]\n" if before == "[\n" else "\n]\n")
         else:
             writer = csv.DictWriter(out, df.columns, delimiter="\t" if kind == "tsv" else ",")
             writer.writeheader()
