@@ -49,7 +49,7 @@ REGISTERS = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 2**16 - 2
 SIGMAS = 6.0
 #: Further registers of the members of mixed buckets, a bit of each.
-FINE = 1024
+FINE = 2048
 #: Shingles hashed at once.
 CHUNK = 4096
 
