@@ -150,10 +150,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of concatenated texts: starts, ends, text index of each, and a 64-bit hash of its bytes."""
+def words_of(buf: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of concatenated texts (runs of bytes that are not space): starts, ends, text index of each, and a 64-bit hash of its bytes."""
     n = len(buf)
-    inside = ~_SPACE[buf]
+    inside = ~space[buf]
     before = np.empty(n, bool)
     before[:1] = False
     before[1:] = inside[:-1]

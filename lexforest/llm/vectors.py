@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(embeddings: DataFrame, allow_zero: bool = True) -> DataFrame:
-    """vec_id and v (array<double>) of the rows whose vector is there, of finite components, and of the usual length.
+def usable(embeddings: DataFrame, allow_zero: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v (array<double>) and the columns keep of the rows whose vector is there, of finite components, and of the usual length.
 
     The usual length is that of most rows, ties to the longer; a vector of another length has no product with those.
     """
-    df = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    df = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), *keep)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     df = df.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.coalesce(F.exists("v", bad), F.lit(False)))
     if not allow_zero:
