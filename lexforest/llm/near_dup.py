@@ -14,12 +14,16 @@ the threshold (``SIGMAS`` standard errors) are dropped and all others are
 verified on the full sets.
 
 Rows with one and the same set form a class, of which the first row stands for
-all. Candidates are not expanded to all pairs of a band bucket: first every member
+all. Candidates are not expanded to all pairs of a band bucket. First every member
 is compared with the bucket's hub, the member that meets most others, and the
 verified links are merged to components. Then only members of different
-components of a bucket are compared, so no link that could join two components is
-lost; a pair goes on only if few enough of the low bits of FINE more registers of
-the two differ, which the join itself counts.
+components of a bucket are compared, by a prefix filter on what parts them from their hub:
+for sets x and y and a hub h, the symmetric difference of x and y is that of
+D(x) = x - h + h - x and D(y), so a pair above the threshold shares a known least part of D(x) and
+D(y), and that is never nothing unless both are linked to h already. Shingles that a hub's
+members have in common are in no D; those that an edit made are in one only, so that among the
+rarest of D(x) that must hold a common one (the prefix) hardly any leads to another member, and a
+group of near copies of one text costs about as much as its members' differences. No link is lost.
 
 A pair of similarity s shares none of the BANDS bands of ROWS registers with
 probability (1 - s^ROWS)^BANDS: 5e-9 at 0.85, 6e-7 at 0.8.
@@ -35,7 +39,7 @@ one task.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bitmap import Bitmap
@@ -48,8 +52,6 @@ REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate and the largest register but one.
 B, A, Q = 1.001, 20.0, 2**16 - 2
 SIGMAS = 6.0
-#: Further registers of the members of mixed buckets, a bit of each.
-FINE = 2048
 #: Shingles hashed at once.
 CHUNK = 4096
 
@@ -57,7 +59,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 _HASHES = stream64(REGISTERS, 71) | np.uint64(1), stream64(REGISTERS, 72)
-_FINE_HASHES = stream64(FINE, 75) | np.uint64(1), stream64(FINE, 76)
 
 
 def shingle_sets(text, width: int) -> list[np.ndarray]:
@@ -87,11 +88,10 @@ def shingle_sets(text, width: int) -> list[np.ndarray]:
     return out
 
 
-def registers(sets: list[np.ndarray], hashes: tuple[np.ndarray, np.ndarray] = _HASHES) -> np.ndarray:
+def registers(sets: list[np.ndarray]) -> np.ndarray:
     """SetSketch registers, a row a set; sets may not be empty."""
-    multiply, flip = hashes
-    least = np.empty((len(sets), len(flip)), np.uint64)
-    chunk = CHUNK * REGISTERS // len(flip)
+    multiply, flip = _HASHES
+    least, chunk = np.empty((len(sets), len(flip)), np.uint64), CHUNK
     k = 0
     while k < len(sets):
         upto, size = k, 0
@@ -206,27 +206,58 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(collect, "node long, members binary")
 
 
-def fine_bits(texts: DataFrame, width: int) -> DataFrame:
-    """node and f0, f1, ...: the low bits of FINE registers of each text, in words of 64."""
-    names = [f"f{k}" for k in range(FINE // 64)]
+def differences(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, node, component, n (the set's size), d and parts (the shingles in one of the node's and the hub's sets only)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1).slice(a, b - a), width)
-                low = (registers(sets, _FINE_HASHES) & 1).astype(np.uint8)
-                words = np.packbits(low, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(names)))], names=["node", *names])
-
-    return texts.mapInArrow(run, "node long, " + ", ".join(f"{n} long" for n in names))
-
-
-def most_differing(threshold: tuple[int, int]) -> int:
-    """Of FINE low bits, how many of a pair at the threshold differ at most (SIGMAS standard errors above the mean)."""
-    p = (1 - threshold[0] / threshold[1]) / 2
-    return int(np.ceil(FINE * p + SIGMAS * (FINE * p * (1 - p)) ** 0.5))
+            col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            n, d, parts = [], [], []
+            for x, h in zip(col["own"], col["of_hub"], strict=True):
+                x, h = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(h.as_py(), np.uint64)
+                parts.append(np.setxor1d(x, h, assume_unique=True).view(np.int64))
+                n.append(len(x))
+                d.append(len(parts[-1]))
+            yield pa.RecordBatch.from_arrays(
+                [col["hub"], col["node"], col["component"], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["hub", "node", "component", "n", "d", "parts"]
+            )
+
+    both = group.join(sets.select("node", F.col("members").alias("own")), "node").join(sets.select(F.col("node").alias("hub"), F.col("members").alias("of_hub")), "hub")
+    return both.mapInArrow(run, "hub long, node long, component long, n long, d long, parts array<bigint>")
+
+
+def apart_pairs(scratch: Scratch, group: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs a, b of nodes of one hub and different components that the prefix filter leaves; group: hub, node, component."""
+    num, den = threshold
+    parted = scratch.save(differences(group, sets).select("hub", "node", "component", "n", "d", F.explode("parts").alias("part")))
+    # how often a part occurs with a hub, and the component that has it most often
+    each = parted.groupBy("hub", "part", "component").agg(F.count("*").alias("times"))
+    lists = each.groupBy("hub", "part").agg(F.sum("times").alias("times"), F.max_by("component", F.struct("times", "component")).alias("major"), F.count("*").alias("components")).where("times > 1")
+    shared = parted.join(scratch.save(lists), ["hub", "part"])
+    # rarest first; parts that no other member has come before these
+    own = Window.partitionBy("hub", "node")
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "part"))
+    # of a pair, the one with the smaller difference needs the shorter prefix
+    most = F.expr(f"n * {den - num} div {num}")
+    placed = shared.withColumn("place", place).where((F.col("components") > 1) & (F.col("place") <= most + 1))
+    placed = scratch.save(placed.select("hub", "part", "node", "component", "n", "d", "place", (F.col("component") == F.col("major")).alias("main"), (F.col("place") <= F.expr(f"n * {den - num} div {2 * num}") + 1).alias("short")))
+    side = lambda df, x: df.select("hub", "part", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "d", "place")))
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        smaller = F.struct("x_d", "x_node") < F.struct("y_d", "y_node")
+        sizes = F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num
+        # at the first part that they share: as many may follow, and as many are needed
+        follow = 1 + F.least(F.col("x_d") - F.col("x_place"), F.col("y_d") - F.col("y_place"))
+        enough = 2 * (den + num) * follow >= (den + num) * (F.col("x_d") + F.col("y_d")) - (den - num) * (F.col("x_n") + F.col("y_n"))
+        left, right = side(left, "x"), side(right, "y")
+        on = (left.hub == right.hub) & (left.part == right.part) & (F.col("x_component") != F.col("y_component")) & smaller & sizes & enough
+        return left.join(right, on).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+
+    # members of a list's main component need not meet each other
+    first = placed.where("short")
+    return joined(first.where("NOT main"), placed).union(joined(first.where("main"), placed.where("NOT main"))).distinct()
 
 
 def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -283,35 +314,25 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int,
     degree = bucket.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = bucket.join(degree, "node").groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("node")).alias("low"))).alias("hub"))
     hubs = hubs.select("band", "key", (-F.col("hub.low")).alias("hub"))
+    met = scratch.save(bucket.join(hubs, ["band", "key"]).select("band", "key", "node", "hub"))
     ordered = [F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")]
-    stars = scratch.save(bucket.join(hubs, ["band", "key"]).where("node <> hub").select(*ordered).distinct())
+    stars = scratch.save(met.where("node <> hub").select(*ordered).distinct())
     hopeful = scratch.save(promising(stars, own, threshold))
     texts = with_texts(scratch, docs, scratch.save(ends_of(hopeful)))
     sets = scratch.save(full_sets(texts, width))
     links = verified(scratch, hopeful, sets, threshold)
-    scratch.drop(sets)
+    scratch.drop(sets, bucket)
     found = components(scratch, links)
 
     # members of one bucket that are still apart
-    labelled = bucket.select("band", "key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    apart = scratch.save(labelled.join(mixed, ["band", "key"]).join(own.select("node", F.col("n_shingles").alias("n"), "bands"), "node"))
-    texts = scratch.save(with_texts(scratch, docs, scratch.save(apart.select("node").distinct())))
-    apart = scratch.save(apart.join(fine_bits(texts, width), "node"))
-    left, right = apart.alias("l"), apart.alias("r")
-    differ = F.lit(0)
-    for k in range(FINE // 64):
-        differ = differ + F.bit_count(F.col(f"l.f{k}").bitwiseXOR(F.col(f"r.f{k}")))
-    sizes = F.least("l.n", "r.n") * threshold[1] >= F.greatest("l.n", "r.n") * threshold[0]
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-    # a pair counts in the first band that it shares
-    first = F.when(F.col("l.bands")[0] == F.col("r.bands")[0], 0)
-    for k in range(1, BANDS):
-        first = first.when(F.col("l.bands")[k] == F.col("r.bands")[k], k)
-    pairs = left.join(right, on & sizes & (differ <= most_differing(threshold)) & (first == F.col("l.band"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    apart = scratch.save(labelled.join(mixed, ["band", "key"]).where("node <> hub").select("hub", "node", "component").distinct())
+    needed = scratch.save(apart.select("node").union(apart.select("hub")).distinct())
+    sets = scratch.save(full_sets(with_texts(scratch, docs, needed), width))
+    pairs = apart_pairs(scratch, apart, sets, threshold)
     pairs = scratch.save(promising(pairs.join(stars, ["a", "b"], "left_anti"), own, threshold))
-    texts = texts.join(ends_of(pairs), F.col("__row") == F.col("node")).select("__row", "text")
-    rest = verified(scratch, pairs, scratch.save(full_sets(texts, width)), threshold)
+    rest = verified(scratch, pairs, sets, threshold)
 
     # rows of one doc_id but of different sets
     several = member.where(linked).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a <> high")

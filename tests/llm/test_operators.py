@@ -512,3 +512,32 @@ def test_token_counts(spark, docs, none):
     assert Counter(tuple(r) for r in token_counts.token_counts(df, path).collect()) == want
     assert token_counts.token_counts(none, path).count() == 0
     assert math.isclose(sum(map(math.exp, model.scores.values())), 1.0, rel_tol=1e-9)
+
+
+def test_prefix_filter_loses_no_pair_and_leaves_few(spark):
+    """Edited copies of a hub, versions of it that share a passage, and chains of edits: all pairs above the threshold, few others."""
+    rng = random.Random(21)
+    fresh = iter(range(10**6, 10**9))
+    hub = [next(fresh) for _ in range(200)]
+    sets, component = {0: frozenset(hub)}, {}
+
+    def edited(base, n):
+        out = list(base)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = next(fresh)
+        return frozenset(out)
+
+    version = [next(fresh) for _ in range(40)] + hub[40:]
+    for i in range(1, 241):
+        sets[i] = edited(hub, rng.randint(17, 22)) if i <= 160 else edited(version, rng.randint(0, 6)) if i <= 190 else edited(sets[i - 1], 7) | {next(fresh)} if i > 210 else edited(sets[i - 3], 2)
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    for t in ((85, 100), (80, 100)):
+        near = {(a, b) for a in sets for b in sets if 0 < a < b and jaccard(sets[a], sets[b]) >= t[0] / 100}
+        linked = {a for a in sets if jaccard(sets[a], sets[0]) >= t[0] / 100}
+        component = {a: 0 if a in linked else a for a in sets}
+        want = {(a, b) for a, b in near if component[a] != component[b]}
+        binary = spark.createDataFrame([(i, np.sort(np.array(list(s), np.uint64)).tobytes()) for i, s in sets.items()], "node long, members binary")
+        group = spark.createDataFrame([(0, i, component[i]) for i in sets if i], "hub long, node long, component long")
+        got = {(r.a, r.b) for r in near_dup.apart_pairs(Scratch(spark, "test"), group, binary, t).collect()}
+        assert want and want <= got
+        assert len(got - want) < 0.1 * len(sets) ** 2 / 2
