@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, shuffle_partitions, table
+from .common import WORD, Scratch, numbered, shuffle_partitions, table
 from .ordering import globally_sorted, ranked, running
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -52,8 +52,8 @@ def targets(scratch: Scratch, sources: DataFrame, weights=WEIGHTS, share: float
     return s.withColumn("target", cap if found is None else F.least(cap, F.col("weight") * F.lit(found))).drop("weight", "ratio", "level")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, row: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, schedule). row: the column of docs that numbers the rows, if there is one.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, row: str = "__row") -> tuple[DataFrame, DataFrame]:
+    """(documents, schedule). row: the column of docs that numbers the rows, the same at each reading (see ``numbered``), so that reruns agree.
 
     documents: row_id, doc_id, source, size, source_size, target.
     schedule: row_id, pass, words, whole (the item is the whole document),
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     narrow = scratch.save(
         docs.select(
-            (F.col(row) if row else F.monotonically_increasing_id()).alias("row_id"),
+            F.col(row).alias("row_id"),
             F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source.isNull().cast("int").alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), size.alias("size"),
         )
     )
@@ -99,7 +99,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, schedule = mix(table(spark, sf_dir, "documents"))
+    docs = numbered(Scratch(spark, "mixing"), table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    documents, schedule = mix(docs, row="__row")
     rows = documents.withColumn("taken", F.lit(0)).unionByName(schedule.select("row_id", F.col("words").alias("taken")), allowMissingColumns=True)
     first = [F.max(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
     return rows.groupBy("row_id").agg(*first, F.sum("taken").cast("long").alias("taken")).drop("row_id")
