@@ -4,7 +4,7 @@ Three metadata dimensions (language, source and size) are quantised to 2^BITS
 levels at their quantiles: a language or source has the level of the share of rows
 that stand before it in string order. The rows are sorted along the Hilbert curve through
 that grid, rows of a cell by the checksum of their text, so that equal texts of a
-cell stand together, then by doc_id. Runs of that order are the shards: files
+cell stand together, then by doc_id and the number of the row, so that no key repeats. Runs of that order are the shards: files
 that each cover a small box of the grid, which min/max statistics can prune in
 every dimension. The law is ``rows``: shard sizes differ by one row at most.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, numbered, table
 from .ordering import globally_sorted, ranked, running
 
 SHARDS, BITS, OVERHEAD = 40, 4, 16
@@ -79,9 +79,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = numbered(scratch, docs.select("doc_id", "text", "lang", "source"))
     narrow = scratch.save(
         docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
+            F.col("__row").alias("number"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
             F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.octet_length(text).cast("long").alias("bytes"),
         )
     )
@@ -93,7 +94,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
         # as many rows as values: Spark broadcasts them only under its own size limit
         levelled = levelled.join(scratch.save(string_levels(scratch, narrow, column, bits)), column)
     place = hilbert([F.col("level_lang"), F.col("level_source"), level(F.col("bytes"), sorted(set(cuts or [])))], bits)
-    ordered = globally_sorted(scratch, levelled.select("doc_id", "size", "text_crc32", place.alias("curve")), ["curve", "text_crc32", "doc_id"])
+    ordered = globally_sorted(scratch, levelled.select("doc_id", "size", "text_crc32", place.alias("curve"), "number"), ["curve", "text_crc32", "doc_id", "number"])
     scratch.drop(narrow)
     out = ranked(ordered)
     base, extra = F.expr(f"__total div {shards}"), F.col("__total") % shards
