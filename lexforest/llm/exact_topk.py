@@ -11,7 +11,7 @@ so the summaries alone give a score that k candidates of another vec_id than the
 query's reach. The same bounds for a whole group of queries (with their distance to the group's
 pivot as slack) tell which groups of vectors a group of queries may need at
 all; among those a query is sent only to the groups whose own bound reaches its score. Each group is cut into blocks of
-bounded size by a hash of vec_id and the row's number (a vector or vec_id with
+bounded size by a hash of the row's number (a vector or vec_id with
 many copies fills many blocks, not one), each block answers its queries by one exact product of whole numbers,
 and the blocks' best k are merged per query. Queries meet a block in chunks of bounded size. Nothing is left out: a group is
 skipped only if its bound is below what k other candidates reach.
@@ -22,7 +22,7 @@ least useful distance, (score to reach - q.p) / |q|, are multiplied.
 Edge cases: a vector that is null, empty, of another length than most, or holds a
 null or non-finite component takes no part, as query or candidate; fewer than k
 candidates give all of them; rows that share a vec_id are separate candidates of
-the others and never answer their own id; an empty table gives no rows; other
+the others and never answer their own id, and each of them that is a query has its own k rows in the result; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -46,7 +46,7 @@ SEED = 6
 
 
 def assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, v, cell (nearest pivot) and distance to it."""
+    """row, vec_id, v, cell (nearest pivot) and distance to it."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
@@ -54,15 +54,15 @@ def assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
         p = shared.value
         for batch in batches:
-            x = matrix(batch.column(1))
+            x = matrix(batch.column(2))
             if not len(x):
                 continue
             d2 = (x * x).sum(1)[:, None] - 2 * (x @ p.T) + (p * p).sum(1)
             cell = d2.argmin(1)
             distance = np.linalg.norm(x - p[cell], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(distance)], names=["vec_id", "v", "cell", "distance"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell.astype(np.int32)), pa.array(distance)], names=["row", "vec_id", "v", "cell", "distance"])
 
-    return df.mapInArrow(run, "vec_id long, v array<double>, cell int, distance double")
+    return df.select("row", "vec_id", "v").mapInArrow(run, "row long, vec_id long, v array<double>, cell int, distance double")
 
 
 class Summaries:
@@ -109,7 +109,7 @@ class Summaries:
 
 
 def solve_block(cell_pivot: np.ndarray, ids, x, distance, q_ids, q, reach, k: int):
-    """(query_id, vec_id, score) of the best k of one block for each of its queries."""
+    """(index of the query, vec_id, score) of the best k of one block for each of its queries."""
     order = np.argsort(-distance, kind="stable")
     ids, x, distance = ids[order], x[order], distance[order]
     out = []
@@ -129,7 +129,7 @@ def solve_block(cell_pivot: np.ndarray, ids, x, distance, q_ids, q, reach, k: in
         rows = np.repeat(np.arange(len(part)), best.shape[1])
         flat = best.ravel()
         ok = ~own[rows, flat]
-        out.append((part_ids[rows][ok], ids[flat][ok], scores[rows, flat][ok]))
+        out.append((a + rows[ok], ids[flat][ok], scores[rows, flat][ok]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
 
 
@@ -137,7 +137,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products for every query row of vec_id, v (whole numbers)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    rows = scratch.save(vectors)
+    # written, so that a row has the same number at each reading
+    rows = scratch.save(vectors.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     schema = "query_id long, rank int, vec_id long, score long"
     if not n:
@@ -156,7 +157,7 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     summaries = Summaries(pivots, np.array(get("radius", 0.0)), np.array(get("norm", 0.0)), get("near", []), k)
     counts = np.array(get("n", 0))
     blocks = np.maximum(1, -(-counts // BLOCK))
-    asked = cells.where(is_query).select("vec_id", "v", "cell", "distance")
+    asked = cells.where(is_query).select("row", "vec_id", "v", "cell", "distance")
     far = {r.cell: r.far for r in asked.groupBy("cell").agg(F.max("distance").alias("far")).collect()}
     groups = summaries.group_needs(np.array([far.get(c, 0.0) for c in range(m)]))
     shared = spark.sparkContext.broadcast((summaries, blocks, counts, groups))
@@ -167,23 +168,25 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
         s, per_cell, own, of_group = shared.value
         for batch in batches:
-            group = batch.column(2).to_numpy()
+            group = batch.column(3).to_numpy()
             order = np.argsort(group, kind="stable")
             edges = np.flatnonzero(np.diff(group[order])) + 1
             for part in (batch.take(pa.array(rows[a : a + QUERY_BLOCK])) for rows in np.split(order, edges) for a in range(0, len(rows), QUERY_BLOCK)):
-                need, reach = s.needed(matrix(part.column(1)), part.column(0).to_numpy(), np.flatnonzero(of_group[part.column(2)[0].as_py()]))
+                need, reach = s.needed(matrix(part.column(2)), part.column(1).to_numpy(), np.flatnonzero(of_group[part.column(3)[0].as_py()]))
                 row, cell = np.nonzero(need & (own > 0))
                 times = per_cell[cell]
                 row, cell = np.repeat(row, times), np.repeat(cell, times)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(reach[row])], names=["vec_id", "v", "cell", "block", "reach"])
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns[:3]), pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(reach[row])], names=["row", "vec_id", "v", "cell", "block", "reach"])
 
-    sent = asked.mapInArrow(send, "vec_id long, v array<double>, cell int, block int, reach double")
+    sent = asked.mapInArrow(send, "row long, vec_id long, v array<double>, cell int, block int, reach double")
     block_counts = F.element_at(F.array(*(F.lit(int(b)) for b in blocks)), F.col("cell") + 1)
     chunks = max(1, -(-asked.count() // CHUNK))
-    sent = sent.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(chunks)).cast("int"))
-    dealt = cells.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block_counts).cast("int"))
+    sent = scratch.save(sent.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(chunks)).cast("int")))
+    # a block is copied to the chunks with a query that needs it only
+    wanted = sent.select("cell", "block", F.col("chunk").alias("chunk")).distinct()
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("row"), block_counts).cast("int")).join(wanted, ["cell", "block"])
 
     def solve(key, left, right):
         import pyarrow as pa
@@ -191,13 +194,15 @@ def exact_topk(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         s = shared.value[0]
         x, q = left.combine_chunks(), right.combine_chunks()
         one = lambda t, c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
+        names = ("query_row", "query_id", "vec_id", "score")
         if not len(x) or not len(q):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        found = solve_block(s.pivots[key[0].as_py()], one(x, "vec_id").to_numpy(), matrix(one(x, "v")), one(x, "distance").to_numpy(), one(q, "vec_id").to_numpy(), matrix(one(q, "v")), one(q, "reach").to_numpy(), k)
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
+            return pa.table({n: pa.array([], pa.int64()) for n in names})
+        q_ids = one(q, "vec_id").to_numpy()
+        at, ids, scores = solve_block(s.pivots[key[0].as_py()], one(x, "vec_id").to_numpy(), matrix(one(x, "v")), one(x, "distance").to_numpy(), q_ids, matrix(one(q, "v")), one(q, "reach").to_numpy(), k)
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, (one(q, "row").to_numpy()[at], q_ids[at], ids, scores), strict=True)})
 
-    best = dealt.groupBy("cell", "block", "chunk").cogroup(sent.groupBy("cell", "block", "chunk")).applyInArrow(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = dealt.groupBy("cell", "block", "chunk").cogroup(sent.groupBy("cell", "block", "chunk")).applyInArrow(solve, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
