@@ -22,12 +22,16 @@ def usable(embeddings: DataFrame, allow_zero: bool = True, keep: tuple[str, ...]
     return df.where(F.size("v") == (found["n"] if found else 0))
 
 
+def bounded_sample(df: DataFrame, n: int, seed: int) -> np.ndarray:
+    """At most n vectors, in the order of a hash of vec_id."""
+    rows = df.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").select("v").limit(n).collect()
+    return np.array([r.v for r in rows]) if rows else np.zeros((0, 0))
+
+
 def choose_pivots(df: DataFrame, n: int, seed: int) -> np.ndarray:
     """At most n distinct vectors, by the smallest hash of vec_id."""
-    rows = df.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").select("v").limit(n).collect()
-    if not rows:
-        return np.zeros((0, 0))
-    return np.unique(np.array([r.v for r in rows]), axis=0)
+    rows = bounded_sample(df, n, seed)
+    return np.unique(rows, axis=0) if len(rows) else rows
 
 
 def matrix(column) -> np.ndarray:

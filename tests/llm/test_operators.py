@@ -15,6 +15,7 @@ from lexforest.llm.common import Scratch, numbered
 from lexforest.llm.components import components
 from lexforest.llm.edits import within
 from lexforest.llm.induced import common_with_previous, suffix_array
+from lexforest.llm.queries import queries as registered
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,8 +247,25 @@ def test_row_numbers_do_not_depend_on_the_splits(spark, tmp_path):
     assert seen[0] == seen[1] and len(set(seen[0].values())) == 20_000
 
 
+def rows_of(spark, df):
+    return numbered(Scratch(spark, "test"), df)
+
+
+@pytest.mark.parametrize("name", ["op2_sharding", "op4_line_dedup", "op5_mixing"])
+def test_registered_queries_do_not_depend_on_the_splits(spark, docs, tmp_path, name):
+    """Texts and ids that repeat, in files of many row groups."""
+    copies = docs.unionByName(docs.where("doc_id < 20")).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\nx"), "doc_id")).otherwise(F.col("text")))
+    copies.repartition(3).write.option("parquet.block.size", "4096").option("parquet.page.size", "1024").parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for size in ("64m", "64k", "9k")[: 2 if name == "op4_line_dedup" else 3]:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append(Counter(str(r) for r in registered()[name](spark, str(tmp_path)).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(x == seen[0] for x in seen)
+
+
 def test_mixing(spark, docs, none):
-    documents, schedule = mixing.mix(docs)
+    documents, schedule = mixing.mix(rows_of(spark, docs))
     size = {}
     total = defaultdict(int)
     for r in documents.collect():
@@ -271,11 +289,11 @@ def test_mixing(spark, docs, none):
         target = 2 * total[s] if s in full else level * weight[s]
         assert abs(target - next(t for x, _, t in size.values() if x == s)) < 1e-6 and abs(taken[s] - target) <= len(names)
     assert all(n <= 2 * size[k][1] for k, n in per.items())
-    again = {(r.row_id, r["pass"]): r.words for r in mixing.mix(docs)[1].collect()}
+    again = {(r.row_id, r["pass"]): r.words for r in mixing.mix(rows_of(spark, docs))[1].collect()}
     assert again == {(r.row_id, r["pass"]): r.words for r in schedule.collect()}
-    assert mixing.mix(none)[1].count() == 0
+    assert mixing.mix(rows_of(spark, none))[1].count() == 0
     clash = docs.withColumns({"__row_id": F.lit(1), "row_id": F.lit(2), "size": F.lit(3), "__row": F.lit(4)})
-    assert sorted(r.words for r in mixing.mix(clash)[1].collect()) == sorted(again.values())
+    assert sorted(r.words for r in mixing.mix(rows_of(spark, clash))[1].collect()) == sorted(again.values())
 
 
 @pytest.fixture(scope="module")
@@ -304,7 +322,10 @@ def test_exact_topk(spark, embeddings):
     assert exact_topk.exact_topk(whole.limit(0), F.lit(True)).count() == 0
 
 
-def test_exact_topk_of_repeated_ids(spark):
+@pytest.mark.parametrize("chunk", [8192, 2])
+def test_exact_topk_of_repeated_ids(spark, chunk, monkeypatch):
+    """Each row of a repeated query has its own five."""
+    monkeypatch.setattr(exact_topk, "CHUNK", chunk)
     rng = np.random.default_rng(5)
     x, ids = np.round(rng.normal(size=(1600, 8)) * 100), np.arange(1600)
     # the query stands eight times, is the first pivot, and is far from the others
@@ -313,12 +334,40 @@ def test_exact_topk_of_repeated_ids(spark):
     ids, x = np.concatenate([ids, [query] * 7]), np.concatenate([x, [x[query]] * 7])
     df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
     asked = [query, (query + 1) % 1600]
-    got = defaultdict(list)
-    for r in exact_topk.exact_topk(df, F.col("vec_id").isin(asked)).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
+    want = Counter()
+    for i, a in zip(ids, x, strict=True):
+        if i in asked:
+            best = sorted((-int(s), int(j)) for j, s in zip(ids, x @ a, strict=True) if j != i)[:5]
+            want.update((int(i), r + 1, j, -s) for r, (s, j) in enumerate(best))
+    got = Counter(tuple(r) for r in exact_topk.exact_topk(df, F.col("vec_id").isin(asked)).collect())
+    assert got == want
+
+
+def test_permutation_index_of_repeated_ids(spark, monkeypatch):
+    """A vec_id with many rows fills many blocks, and each row of a repeated query has its own five."""
+    monkeypatch.setattr(permutation, "BLOCK", 50)
+    monkeypatch.setattr(permutation, "CHUNK", 3)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(8, 6))[rng.integers(0, 8, 900)] + rng.normal(size=(900, 6)) * 0.1
+    ids = np.where(np.arange(900) % 3 == 0, 0, np.arange(900))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
+    rows = permutation.permutation_search(df, F.col("vec_id") % 50 == 0).collect()
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert Counter(r.query_id for r in rows) == Counter({int(i): 5 * int((ids == i).sum()) for i in set(ids[asked].tolist())})
+    u, want = x / np.linalg.norm(x, axis=1, keepdims=True), Counter()
     for q in asked:
-        pairs = [(-int(s), int(i)) for a in x[ids == q] for i, s in zip(ids, x @ a, strict=True) if i != q]
-        assert got[q] == [(-s, i) for s, i in sorted(pairs)[:5]]
+        s = np.where(ids == ids[q], -9, u @ u[q])
+        want.update((int(ids[q]), int(ids[k])) for k in np.lexsort((ids, -s))[:5])
+    got = Counter((r.query_id, r.vec_id) for r in rows)
+    assert sum((got & want).values()) >= 0.9 * sum(want.values())
+
+
+def test_clustered_vectors_need_few_cells():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16)) * 5
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.2
+    assert permutation.cells_needed(x, permutation.unit(x[:128]), 5, 0.96) < 20
+    assert permutation.cells_needed(x[:1], permutation.unit(x[:1]), 5, 0.96) == 1
 
 
 def test_permutation_index(spark, embeddings):
