@@ -30,7 +30,7 @@ def _shr(x: Column, n: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, n)
 
 
-def _shared(a: Column, b: Column) -> Column:
+def shared_start(a: Column, b: Column) -> Column:
     """Length of the common start, by halving steps."""
     shorter = F.least(F.char_length(a), F.char_length(b))
     powers = F.reverse(F.sequence(F.lit(0), F.floor(F.log2(shorter + 1)).cast("int")))
@@ -82,7 +82,7 @@ def _distance(long: Column, short: Column, most: int) -> Column:
 def _trimmed(x: Column, y: Column, f) -> Column:
     """f of the reversed rest of x and y without their common start."""
     rest = lambda c, n: F.reverse(F.substring(c, n + 1, F.char_length(c)))
-    return _let(_shared(x, y), lambda n: _let(F.struct(rest(x, n).alias("x"), rest(y, n).alias("y")), lambda s: f(s["x"], s["y"])))
+    return _let(shared_start(x, y), lambda n: _let(F.struct(rest(x, n).alias("x"), rest(y, n).alias("y")), lambda s: f(s["x"], s["y"])))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:

@@ -1,8 +1,8 @@
 """Operator 4: line deduplication with a segment-partition edit join (DataFrame functions only).
 
-A line is dropped if an equal line stands earlier (by doc_id, then row and place),
-or if a line within EDITS insertions, deletions and replacements of it has its
-first occurrence earlier. All lines of at least LEAST characters take part.
+A line is dropped if an equal line stands earlier (by doc_id, then row and place), however short,
+or if it has LEAST characters or more and a line within EDITS insertions, deletions and replacements
+of it has its first occurrence earlier. (Two edits make another word of a shorter line.)
 
 The edit join cuts a line into m segments of one size, of which two edits touch two
 at most: whichever two are left out, the others stand in the other line too, those
@@ -16,8 +16,13 @@ Keys that only one line has are dropped by a partial aggregate of (key, least li
 greatest line) and a bitmap; then keys are joined exactly. A line needs *one*
 earlier near line only, so each key's lines are compared with its first line
 (and its first line that has the key as its own), and those that are near are done.
-Lines that are left are compared with all earlier ones of their key where that is
-less work than to cut the key up by keys of more segments (LEVELS), and so on. Lines are compared by length and character parities, and then
+Lines that are left are compared with all earlier ones of their key only where the key is small.
+The lines of a key agree in all but the two segments that it leaves out, and for one of their
+keys two near lines differ by their edits in these only. So the lines of a large key get new
+keys from what these segments hold, without the start and the end that all lines of
+the key share there: what is left of it after up to two deletions if that is short (WIDTH),
+as in boilerplate with a number in it; if it is not, lines are cut into more segments (LEVELS), and
+at the last of these into halves without a character. Lines are compared by length and character parities, and then
 by the banded bit-parallel edit distance.
 
 Segments of short lines are too frequent for keys, so lines below NEAR (and up to
@@ -26,7 +31,7 @@ HALVES: what is left of a line after up to two deletions; lines within two edits
 leave the same if the longer loses two characters. From HALVES: the first and the
 last half with one character deleted, since one half has one edit at most.
 
-Edge cases: null and empty texts have no lines to drop; lines below LEAST and lines of
+Edge cases: null and empty texts have no lines to drop; lines of
 white space stay; of repeated rows the first (in the table's order) keeps its
 lines; a null doc_id stands before all others; an empty table gives no rows; other columns are ignored.
 """
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import Bitmap
 from .common import Scratch, numbered, table
-from .edits import within
+from .edits import shared_start, within
 from .ordering import globally_sorted, ranked
 
 EDITS, LEAST, NEAR = 2, 10, 40
@@ -46,8 +51,12 @@ EDITS, LEAST, NEAR = 2, 10, 40
 HALVES = 20
 #: Segments of a line: at first, and in keys that are cut up.
 LEVELS = (3, 6, 12)
-#: Comparisons that cost as much as one key.
-PER_KEY = 4
+#: Comparisons that cost as much as one key, and lines of a key that are compared with each other anyway.
+PER_KEY, FEW = 4, 64
+#: Characters of what a large key's lines differ in, up to which it gives keys of deletions.
+WIDTH = 24
+#: Parts the two segments that a key leaves out.
+MARK = "\u0000"
 ORDER = ("doc_id", "__row", "place")
 
 
@@ -57,9 +66,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
 
 
-def candidates_of(lines: DataFrame, least: int) -> DataFrame:
+def candidates_of(lines: DataFrame) -> DataFrame:
     """Lines that take part, with two 64-bit hashes."""
-    lines = lines.where((F.char_length("line") >= least) & F.col("line").rlike(r"\S"))
+    lines = lines.where(F.col("line").rlike(r"\S"))
     return lines.withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -97,26 +106,50 @@ def with_sizes(lines: DataFrame, m: int, edits: int) -> DataFrame:
     return lines.withColumns({"__len": length, "__size": segment_size(length, m), "__below": segment_size(length - edits, m)})
 
 
+def code_of(m, first, last, shift, below) -> Column:
+    """A key's place in one number: segments, those left out, the shift, and whether it is one of the step below."""
+    return (((F.lit(m) * 32 + first) * 32 + last) * 8 + (shift + 1) * 2 + below.cast("int")).cast("int")
+
+
+def first_codes(m: int) -> Column:
+    """The codes of first_keys, in its order."""
+    return F.array(*(code_of(m, *(F.lit(x) for x in c), F.lit(b)) for b in (False, True) for c in choices(m)))
+
+
+def left_out(lines: DataFrame, edits: int) -> DataFrame:
+    """Adds r1 and r2, what the two segments hold that the key (column code) of a line leaves out."""
+    place = {"m": F.expr("code div 8192"), "first": F.expr("code div 256 % 32"), "last": F.expr("code div 8 % 32"), "shift": F.expr("code div 2 % 4 - 1"), "below": F.expr("code % 2")}
+    at = lines.withColumns({f"__{n}": c.cast("int") for n, c in place.items()}).withColumn("__len", F.char_length("line"))
+    at = at.withColumn("__size", segment_size(F.col("__len") - F.col("__below") * edits, F.col("__m")))
+    r1 = F.expr("substring(line, __first * __size + 1, __size + __shift)")
+    r2 = F.expr("substring(line, __last * __size + __shift + 1, __len - (__m - 1 - __last) * __size - __last * __size - __shift)")
+    return at.withColumns({"r1": r1, "r2": r2}).drop("__m", "__first", "__last", "__shift", "__below", "__len", "__size")
+
+
 def finer_keys(lines: DataFrame, m: int, edits: int) -> DataFrame:
-    """no, own and key of lines (columns no, line) cut into m segments."""
+    """no, own, code and key of lines (columns no, line) cut into m segments."""
     size = F.explode(F.array_distinct(F.array("__size", "__below")))
     of = with_sizes(lines, m, edits).select("no", "line", "__len", "__size", size.alias("size"))
     of = of.where("size > 0").select("*", F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(s).alias("s")) for i, j, s in choices(m)))))
     own = (F.col("s") == 0) & (F.col("size") == F.col("__size"))
-    return of.select("no", own.alias("own"), segment_key(m, F.col("size"), F.col("i"), F.col("j"), F.col("s")).alias("key"))
+    code = code_of(m, F.col("i"), F.col("j"), F.col("s"), F.col("size") != F.col("__size"))
+    return of.select("no", own.alias("own"), code.alias("code"), segment_key(m, F.col("size"), F.col("i"), F.col("j"), F.col("s")).alias("key"))
 
 
-def keyed_by_deletions(lines: DataFrame) -> DataFrame:
-    """id, own and key of each string left after up to two deletions (from columns id, line); own ones lack two characters."""
+def keyed_by_deletions(lines: DataFrame, *shared: str) -> DataFrame:
+    """id, own and key of each string left after up to two deletions (from columns id, line); own ones lack two characters.
+
+    shared: columns that lines of a key must share as well.
+    """
     length = F.char_length("line")
     # a place beyond the end deletes nothing
     at = lines.withColumn("i", F.explode(F.sequence(F.lit(1), length + 1)))
     at = at.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.greatest(length, F.col("i")) + 1)))
     left = F.expr("concat(substring(line, 1, i - 1), substring(line, i + 1, j - i - 1), substring(line, j + 1))")
-    return at.select("id", (F.col("j") <= length).alias("own"), F.xxhash64(F.lit("deletions"), left).alias("key"))
+    return at.select("id", (F.col("j") <= length).alias("own"), F.xxhash64(F.lit("deletions"), *shared, left).alias("key"))
 
 
-def keyed_by_halves(lines: DataFrame) -> DataFrame:
+def keyed_by_halves(lines: DataFrame, *shared: str) -> DataFrame:
     """id, own and key of the halves of a line (columns id, line), and of a line of up to two characters less, without one character."""
     length = F.char_length("line")
     parts = []
@@ -124,10 +157,10 @@ def keyed_by_halves(lines: DataFrame) -> DataFrame:
         first, last = F.floor(length / 2).cast("int") - less, F.ceil(length / 2).cast("int") - less
         for side, part in (("first", F.substring(F.col("line"), F.lit(1), first)), ("last", F.substring(F.col("line"), length - last + 1, last))):
             parts.append(F.struct(F.lit(less == 0).alias("own"), F.lit(side).alias("side"), part.alias("part")))
-    at = lines.select("id", F.explode(F.array(*parts)).alias("p")).select("id", "p.*")
+    at = lines.select("id", *shared, F.explode(F.array(*parts)).alias("p")).select("id", *shared, "p.*")
     at = at.withColumn("i", F.explode(F.sequence(F.lit(1), F.char_length("part"))))
     left = F.expr("concat(substring(part, 1, i - 1), substring(part, i + 1))")
-    return at.select("id", "own", F.xxhash64("side", left).alias("key"))
+    return at.select("id", "own", F.xxhash64("side", *shared, left).alias("key"))
 
 
 def parity(line: Column) -> Column:
@@ -162,11 +195,27 @@ class EditJoin:
         near = self.scratch.save(both.where(within(F.col("line_t"), F.col("line_p"), self.edits)).select(F.col("t").alias("no")).distinct())
         self.found = near if self.found is None else self.scratch.save(self.found.union(near).distinct())
 
-    def compare(self, rows: DataFrame, most: int | None) -> DataFrame | None:
-        """Compares the lines that share a key (no, own, key, final); returns the lines (no) of keys of more than most lines, which are to be cut up."""
+    def _rests(self, wide: DataFrame) -> DataFrame:
+        """key, no, line (what the key leaves out of the line, without what all lines of the key share there) and width (of the key's widest), from rows of key, no, code."""
+        of = self.scratch.save(left_out(wide.join(self.lines.select("no", "line"), "no"), self.edits).select("key", "no", "r1", "r2"))
+        found = {}
+        for r in ("r1", "r2"):
+            found |= {f"{r}_low": F.min(r), f"{r}_high": F.max(r), f"{r}_back_low": F.min(F.reverse(r)), f"{r}_back_high": F.max(F.reverse(r)), f"{r}_least": F.min(F.char_length(r)), f"{r}_most": F.max(F.char_length(r))}
+        per = of.groupBy("key").agg(*(c.alias(n) for n, c in found.items()))
+        # the start that the first and the last in order share is that of all
+        for r in ("r1", "r2"):
+            per = per.withColumn(f"{r}_start", shared_start(F.col(f"{r}_low"), F.col(f"{r}_high")))
+            per = per.withColumn(f"{r}_end", F.least(shared_start(F.col(f"{r}_back_low"), F.col(f"{r}_back_high")), F.col(f"{r}_least") - F.col(f"{r}_start")))
+        width = sum((F.col(f"{r}_most") - F.col(f"{r}_start") - F.col(f"{r}_end") for r in ("r1", "r2")), F.lit(1))
+        per = self.scratch.save(per.select("key", width.alias("width"), *(f"{r}_{x}" for r in ("r1", "r2") for x in ("start", "end"))))
+        cut = [F.expr(f"substring({r}, {r}_start + 1, char_length({r}) - {r}_start - {r}_end)") for r in ("r1", "r2")]
+        return self.scratch.save(of.join(per, "key").select("key", "no", F.concat(cut[0], F.lit(MARK), cut[1]).alias("line"), "width").distinct())
+
+    def compare(self, rows: DataFrame, finer: int | None) -> DataFrame | None:
+        """Compares the lines that share a key (no, own, code, key, final); returns the lines (no) that are to be cut into finer segments, if there is such a number."""
         light = self.lines.select("no", "size", "odd")
         me = F.struct("no", "size", "odd").alias("t")
-        member = self.scratch.save(rows.join(light, "no").select("key", "own", "final", me))
+        member = self.scratch.save(rows.join(light, "no").select("key", "own", "final", "code", me))
         first = lambda only: F.min(F.when(only, F.col("t")))
         lead = member.groupBy("key").agg(first(F.lit(True)).alias("any"), first(F.col("own")).alias("p"), F.count("*").alias("n"))
         led = self.scratch.save(member.join(lead, "key"))
@@ -175,29 +224,48 @@ class EditJoin:
         self._mark(pair("p").union(pair("any")))
         done = self.found.withColumn("done", F.lit(True))
         led = led.withColumn("no", F.col("t.no")).join(done, "no", "left").withColumn("open", F.col("done").isNull() & (F.col("any.no") < F.col("no")))
-        small = F.lit(True) if most is None else (F.col("n") <= most) | F.col("final")
-        led = self.scratch.save(led.withColumn("small", small).select("key", "own", "t", "n", "open", "small"))
-        left = led.where("small AND open").select("key", F.col("own").alias("own_t"), "t")
-        right = led.where("small").select("key", F.col("own").alias("own_p"), F.col("t").alias("p"))
+        led = self.scratch.save(led.select("key", "own", "code", "final", "no", "t", "n", "open"))
+
+        # larger keys of which a line is open
+        wide = led.where((F.col("n") > FEW) & ~F.col("final"))
+        wide = self.scratch.save(wide.join(wide.where("open").select("key").distinct(), "key"))
+        large, narrow = None, None
+        if not wide.isEmpty():
+            rest = self._rests(wide.where("code IS NOT NULL").select("key", "no", "code"))
+            # keys of deletions: so many pairs of places, each in place of so many comparisons
+            keys = F.col("width") * (F.col("width") + 1) / 2 + 1
+            size = wide.groupBy("key").agg(F.first("n").alias("n")).join(rest.groupBy("key").agg(F.first("width").alias("width")), "key", "left")
+            dense = (F.col("width") <= WIDTH) & (F.col("n") > 2 * PER_KEY * keys)
+            more = F.col("n") > (PER_KEY * len(choices(finer)) if finer else 2 * PER_KEY * F.col("width"))
+            kind = F.when(dense, "deletions").when(more & F.lit(finer is not None), "finer").when(more & F.col("width").isNotNull(), "halves")
+            kinds = self.scratch.save(size.select("key", kind.alias("kind")).where("kind IS NOT NULL"))
+            of = lambda kind: kinds.where(F.col("kind") == kind).select("key")
+            parts = rest.withColumnRenamed("no", "id")
+            narrow = keyed_by_deletions(parts.join(of("deletions"), "key").withColumnRenamed("key", "within"), "within").union(keyed_by_halves(parts.join(of("halves"), "key").withColumnRenamed("key", "within"), "within"))
+            narrow = narrow.select(F.col("id").alias("no"), "own", F.lit(None).cast("int").alias("code"), "key", F.lit(True).alias("final"))
+            large = wide.join(of("finer"), "key").select("no").distinct()
+            led = led.join(kinds, "key", "left_anti")
+        left = led.where("open").select("key", F.col("own").alias("own_t"), "t")
+        right = led.select("key", F.col("own").alias("own_p"), F.col("t").alias("p"))
         pairs = left.join(right, (left.key == right.key) & (F.col("own_t") | F.col("own_p")) & (F.col("p.no") < F.col("t.no")) & self._close("t", "p"))
         self._mark(pairs.select(F.col("t.no").alias("t"), F.col("p.no").alias("p")))
-        if most is None:
-            return None
-        large = led.where("NOT small")
-        keys = large.groupBy("key").agg(F.max("open").alias("open")).where("open").select("key")
-        return large.join(keys, "key").select("t.no").distinct()
+        if narrow is not None:
+            narrow = self.scratch.save(narrow.groupBy("no", "code", "key", "final").agg(F.max("own").alias("own")))
+            if not narrow.isEmpty():
+                self.compare(narrow.join(self.scratch.save(shared_keys(narrow, "no")), "key"), None)
+        return large
 
     def run(self, rows: DataFrame) -> DataFrame:
         """no of the lines that have an earlier line within the edits."""
         for finer in (*LEVELS[1:], None):
-            rest = self.compare(rows, PER_KEY * len(choices(finer)) if finer else None)
-            if rest is None:
+            rest = self.compare(rows, finer)
+            if rest is None or finer is None:
                 break
             rest = self.scratch.save(rest)
             if rest.isEmpty():
                 break
             keys = self.scratch.save(finer_keys(self.lines.join(rest, "no").select("no", "line"), finer, self.edits))
-            own = keys.join(shared_keys(keys, "no"), "key").groupBy("key", "no").agg(F.max("own").alias("own"))
+            own = keys.join(shared_keys(keys, "no"), "key").groupBy("key", "no", "code").agg(F.max("own").alias("own"))
             rows = own.withColumn("final", F.lit(False))
         return self.found
 
@@ -207,20 +275,20 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: in
     if edits > 2:
         raise ValueError("lines have keys for two edits at most")
     scratch = Scratch(docs.sparkSession, "lines")
-    lines, length = candidates_of(lines_of(docs), least), F.char_length("line")
+    lines, length = candidates_of(lines_of(docs)), F.char_length("line")
     keys, n_own = first_keys(length, LEVELS[0])
     seen = with_sizes(lines, LEVELS[0], edits).select(*ORDER, "id", "id2", F.when(F.col("__len") >= near, keys).alias("keys"))
     seen = scratch.save(seen)
 
     # keys that lines share
-    short = scratch.save(lines.where(length < near + edits).select("id", "line").distinct())
+    short = scratch.save(lines.where((length >= least) & (length < near + edits)).select("id", "line").distinct())
     halves = min(HALVES, near)
     from_short = keyed_by_deletions(short.where(length < halves + edits)).withColumn("final", F.lit(True))
-    from_short = from_short.unionByName(keyed_by_halves(short.where(length >= halves)).withColumn("final", F.lit(False)))
-    from_long = seen.where("keys IS NOT NULL").select("id", F.posexplode("keys").alias("k", "key")).select("id", (F.col("k") < n_own).alias("own"), "key", F.lit(False).alias("final"))
+    from_short = from_short.unionByName(keyed_by_halves(short.where(length >= halves)).withColumn("final", F.lit(False))).withColumn("code", F.lit(None).cast("int"))
+    from_long = seen.where("keys IS NOT NULL").select("id", F.posexplode("keys").alias("k", "key")).select("id", (F.col("k") < n_own).alias("own"), "key", F.lit(False).alias("final"), F.get(first_codes(LEVELS[0]), F.col("k")).alias("code"))
     rows = from_long.unionByName(from_short)
     shared = scratch.save(shared_keys(rows, "id"))
-    few = Bitmap(scratch, shared, "key").thin(rows, "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("final").alias("final"))
+    few = Bitmap(scratch, shared, "key").thin(rows, "key").groupBy("key", "id", "code").agg(F.max("own").alias("own"), F.max("final").alias("final"))
     few = scratch.save(few.join(shared, "key"))
 
     # where lines that stand twice or share a key stand first
@@ -234,7 +302,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, near: in
     texts = globally_sorted(scratch, texts.join(first, ["id", "id2"]).select("id", "id2", "line", F.col("first.doc_id").alias("doc_id"), F.col("first.__row").alias("row"), F.col("first.place").alias("place")), [F.col("doc_id"), F.col("row"), F.col("place")])
     texts = scratch.save(ranked(texts).select(F.col("__rank").alias("no"), "id", "id2", "line", F.char_length("line").alias("size"), parity(F.col("line")).alias("odd")))
 
-    found = EditJoin(scratch, texts, edits).run(few.join(texts.select("id", "no"), "id").select("key", "no", "own", "final"))
+    found = EditJoin(scratch, texts, edits).run(few.join(texts.select("id", "no"), "id").select("key", "no", "own", "final", "code"))
     near_ids = texts.join(found, "no").select("id", "id2", F.lit(True).alias("near"))
     status = first.join(near_ids, ["id", "id2"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near OR n > 1")
     status = scratch.save(status)

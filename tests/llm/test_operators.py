@@ -166,7 +166,7 @@ def test_line_dedup(spark, none):
     first = {}
     for k, (i, t) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= 10 and line.strip():
+            if line.strip():
                 first.setdefault(line, (i, k, p))
     near = {a for a in first for b in first if len(a) >= 40 and len(b) >= 40 and first[b] < first[a] and distance(a, b) <= 2}
     want = [(i, [p for p, x in enumerate((t or "").split("\n")) if x in first and (first[x] != (i, k, p) or x in near)]) for k, (i, t) in enumerate(rows)]
@@ -177,13 +177,13 @@ def test_line_dedup(spark, none):
 def test_line_dedup_of_short_lines(spark):
     rng = random.Random(4)
     lines = []
-    for n in [*range(10, 14), *range(17, 25), *range(36, 44)] * 3:
+    for n in [*range(1, 14), *range(17, 25), *range(36, 44)] * 3:
         base = "".join(rng.choice("abcdeé ") for _ in range(n)) + "."
         lines.append(base)
         for _ in range(4):
             x = list(base)
             for _ in range(rng.randint(1, 3)):
-                at, kind = rng.randrange(len(x)), rng.randrange(3)
+                at, kind = rng.randrange(len(x) or 1), rng.randrange(3)
                 x[at : at + (kind != 0)] = [rng.choice("abcdeé ")] if kind < 2 else []
             lines.append("".join(x))
     rng.shuffle(lines)
@@ -192,10 +192,9 @@ def test_line_dedup_of_short_lines(spark):
     placed = [(x, i, p) for i in range(40) for p, x in enumerate(lines[i::40])]
     want, earlier = {i: [] for i in range(40)}, []
     for x, i, p in placed:
-        if len(x) >= 10:
-            if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in earlier):
-                want[i].append(p)
-            earlier.append(x)
+        if x.strip() and x in earlier or len(x) >= 10 and any(len(y) >= 10 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in earlier):
+            want[i].append(p)
+        earlier.append(x)
     assert got == want and sum(map(len, want.values())) > 50
 
 
@@ -222,6 +221,33 @@ def test_line_dedup_cuts_up_large_keys(spark, monkeypatch):
     assert got == want and sum(map(len, want.values())) > 20
 
 
+@pytest.mark.parametrize("frame", ["Subscriber reference {} was recorded by the office of {} on request", "id {} and a very long stretch of words that never changes at all, as often in boilerplate {}"])
+def test_line_dedup_of_boilerplate(spark, frame, monkeypatch):
+    """Large keys whose lines differ in a few places only: keys of deletions, of more segments and of halves against brute force."""
+    monkeypatch.setattr(line_dedup, "FEW", 4)
+    monkeypatch.setattr(line_dedup, "PER_KEY", 0.02)
+    monkeypatch.setattr(line_dedup, "WIDTH", 12)
+    rng = random.Random(len(frame))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    lines = [frame.format(digits(8), rng.choice(["", digits(2), digits(14), digits(30)])) for _ in range(90)]
+    for _ in range(60):
+        x = list(rng.choice(lines))
+        for _ in range(rng.randint(1, 3)):
+            at, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[at : at + (kind != 0)] = [rng.choice("0123456789")] if kind < 2 else []
+        lines.append("".join(x))
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::20])) for i in range(20)], "doc_id long, text string")
+    got = {r.doc_id: list(r.dropped) for r in line_dedup.line_dedup(numbered(Scratch(spark, "test"), docs)).collect()}
+    want, earlier = {i: [] for i in range(20)}, []
+    for i in range(20):
+        for p, x in enumerate(lines[i::20]):
+            if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in earlier):
+                want[i].append(p)
+            earlier.append(x)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_edit_distance(spark):
     rng = random.Random(1)
     rows = []
