@@ -1,15 +1,18 @@
 """Tree axes as join conditions between two node rows a and b of one tree.
 
-Conditions are SQL text over the columns of ``axis_nodes``. Axes along a path are
-an interval condition and the absence of a breaking node x on the path, so no
-axis walks the tree; only chains of neighbours need closure over positions.
+Conditions are SQL text over the columns of ``axis_nodes``; those that hold an equality of
+columns run as equi-joins. Axes up and down a tree are ways for the structural join, which is
+linear in nodes and pairs. Chains of neighbours are closed over the positions of a tree, from right to left.
+Only precedes, follows and same_tree give about all pairs of a tree, which is their result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .structural import structural_join
 from .trees import TREE
 
 DOMINATES = "a.st < b.st AND a.en > b.en"
@@ -48,7 +51,7 @@ SIMPLE = {
     "same_tree": (":", "TRUE"),
 }
 
-#: name -> (symbol, condition, condition on a node x that breaks the path)
+#: name -> (symbol, condition of "a rel b", condition on a node x that breaks the path); they say what WAYS must give
 PATHS = {
     "unary_path_ancestor_of": ("<<:", DOMINATES, "x.n_kids > 1 AND x.st >= a.st AND x.en <= a.en AND x.st < b.st AND x.en > b.en"),
     "unary_path_descendant_of": (">>:", "b.st < a.st AND b.en > a.en", "x.n_kids > 1 AND x.st >= b.st AND x.en <= b.en AND x.st < a.st AND x.en > a.en"),
@@ -59,6 +62,25 @@ PATHS = {
 }
 
 
+_LAST, _FIRST = "ci = sisters - 1", "ci = 0"
+#: name -> (a is the ancestor, conditions on nodes of the structural join); {c} is the category
+WAYS = {
+    "dominates": (True, {}),
+    "dominated_by": (False, {}),
+    "has_rightmost_descendant": (True, {"leave": _LAST}),
+    "rightmost_descendant_of": (False, {"leave": _LAST}),
+    "has_leftmost_descendant": (True, {"leave": _FIRST}),
+    "leftmost_descendant_of": (False, {"leave": _FIRST}),
+    "ancestor_of_leaf": (True, {"lower": "is_leaf"}),
+    "unary_path_ancestor_of": (True, {"enter": "n_kids = 1"}),
+    "unary_path_descendant_of": (False, {"enter": "n_kids = 1"}),
+    "headed_by": (True, {"leave": "is_head"}),
+    "heads": (False, {"leave": "is_head"}),
+    "unbroken_dominates": (True, {"through": "{c}"}),
+    "unbroken_dominated_by": (False, {"through": "{c}"}),
+}
+
+
 def numbered(name: str, n: int) -> str:
     """Condition of the axes that count children or leaves, from 1 or from -1 at the other end."""
     if n == 0:
@@ -77,7 +99,7 @@ def axis_nodes(features: DataFrame) -> DataFrame:
     """The columns that conditions use; is_head: the node is its parent's head child, and roots count as such."""
     heads = features.where("head_st IS NOT NULL").select(*TREE, F.col("head_st").alias("st"), F.lit(True).alias("is_head"))
     n = features.join(heads, [*TREE, "st"], "left")
-    return n.select(*TREE, "st", "en", "label", "parent", "ci", "n_kids", "left_edge", "right_edge", "is_leaf", "head_st", F.coalesce("is_head", F.col("parent").isNull()).alias("is_head"))
+    return n.select(*TREE, "st", "en", "label", "lvl", "parent", "ci", "sisters", "n_kids", "left_edge", "right_edge", "is_leaf", "head_st", F.coalesce("is_head", F.col("parent").isNull()).alias("is_head"))
 
 
 def pairs(nodes: DataFrame, condition: str, broken_by: str | None = None) -> DataFrame:
@@ -92,34 +114,95 @@ def pairs(nodes: DataFrame, condition: str, broken_by: str | None = None) -> Dat
 
 def axis(nodes: DataFrame, name: str, n: int | None = None, category: str | None = None) -> DataFrame:
     """Pairs of an axis by name. n: for the counting axes. category: SQL over x.label for the unbroken ones."""
+    if name in WAYS:
+        over, conditions = WAYS[name]
+        fits = f"coalesce({category.replace('x.label', 'label')}, false)" if category else "false"
+        found = structural_join(nodes, **{k: F.expr(c.replace("{c}", fits)) for k, c in conditions.items()})
+        return found if over else found.select(*TREE, F.col("b").alias("a"), F.col("a").alias("b"))
+    if name == "parent_equals":
+        return pairs(nodes, SAME).union(pairs(nodes, SIMPLE["parent_of"][1]))
     if name in SIMPLE:
         return pairs(nodes, SIMPLE[name][1])
-    if name in PATHS:
-        _, condition, broken = PATHS[name]
-        return pairs(nodes, condition, broken.replace("{c}", f"coalesce({category}, false)"))
     if name in ("unbroken_precedes", "unbroken_follows"):
         return neighbour_chains(nodes, category, backwards=name.endswith("follows"))
     return pairs(nodes, numbered(name, n))
 
 
+def reachable(first: np.ndarray, after: np.ndarray, size: int) -> list[int]:
+    """For each position up to size, the positions that arcs lead to from it, itself included, as bits counted from it.
+
+    Arcs go from first to after, which is larger; positions are filled once, from right to left.
+    """
+    reach = [1] * (size + 1)
+    order = np.lexsort((after, -first))
+    for p, q in zip(first[order].tolist(), after[order].tolist(), strict=True):
+        reach[p] |= reach[q] << (q - p)
+    return reach
+
+
 def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False) -> DataFrame:
     """a before b with only nodes of the category, edge to edge, between (or b before a).
 
-    Reachable positions of a tree are closed by joining the relation with itself,
-    which doubles the chains' length, until nothing is new.
+    A task goes through its trees one after the other. Of a tree it holds the nodes and, for each position
+    between leaves, the later positions that chains reach, as bits.
     """
-    arcs = nodes.alias("x").where(F.expr(category)).select(*TREE, F.col("left_edge").alias("p"), F.col("right_edge").alias("q"))
-    still = nodes.select(*TREE, F.col("right_edge").alias("p"), F.col("right_edge").alias("q"))
-    reach = arcs.union(still).distinct()
-    reach, before, size = reach.persist(), None, -1
-    while (now := reach.count()) != size:
-        if before is not None:
-            before.unpersist()
-        size, before = now, reach
-        more = reach.select(*TREE, "p", F.col("q").alias("m")).join(reach.select(*TREE, F.col("p").alias("m"), "q"), [*TREE, "m"]).select(*TREE, "p", "q")
-        reach = reach.union(more).distinct().persist()
-    first = nodes.select(*TREE, F.col("st").alias("s1"), F.col("right_edge").alias("p"))
-    second = nodes.select(*TREE, F.col("st").alias("s2"), F.col("left_edge").alias("q"))
-    found = first.join(reach, [*TREE, "p"]).join(second, [*TREE, "q"])
-    a, b = ("s2", "s1") if backwards else ("s1", "s2")
+    fits = F.expr(f"coalesce({category.replace('x.label', 'label')}, false)")
+    rows = nodes.select(*TREE, "st", F.col("parent").isNull().alias("root"), "left_edge", "right_edge", fits.alias("arc")).repartition("doc_id").sortWithinPartitions("doc_id", "tree_id", "st")
+    kind = nodes.schema["doc_id"].dataType.simpleString()
+    a, b = ("second", "first") if backwards else ("first", "second")
+
+    def chains(left, right, arc):
+        """Index pairs (first, second) of the nodes of one tree."""
+        reach = reachable(left[arc], right[arc], int(right.max(initial=0)))
+        by_left = np.argsort(left, kind="stable")
+        starts = np.searchsorted(left[by_left], np.arange(len(reach) + 1))
+        for p in np.unique(right).tolist():
+            bits = np.frombuffer(reach[p].to_bytes(reach[p].bit_length() // 8 + 1, "little"), np.uint8)
+            ends = p + np.flatnonzero(np.unpackbits(bits, bitorder="little"))
+            second = np.concatenate([by_left[starts[q] : starts[q + 1]] for q in ends.tolist()])
+            first = np.flatnonzero(right == p)
+            yield np.repeat(first, len(second)), np.tile(second, len(first))
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in _with_end(batches):
+            if batch is not None and len(batch) == 0:
+                continue
+            now = [x for x in (held, batch) if x is not None]
+            if not now:
+                continue
+            now = pa.Table.from_batches(now).combine_chunks().to_batches()[0]
+            of = lambda name: now.column(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            st, left, right, arc, root = (of(n) for n in ("st", "left_edge", "right_edge", "arc", "root"))
+            # a tree's first row is its root
+            cuts = np.append(np.flatnonzero(root), len(st))
+            if batch is not None:
+                held, cuts = now.slice(int(cuts[-2])), cuts[:-1]
+            firsts, seconds, size = [], [], 0
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for one, two in chains(left[x:y], right[x:y], arc[x:y]):
+                    firsts.append(one + x)
+                    seconds.append(two + x)
+                    size += len(one)
+                    if size > 1 << 18:
+                        yield out(now, st, firsts, seconds)
+                        firsts, seconds, size = [], [], 0
+            if firsts:
+                yield out(now, st, firsts, seconds)
+
+    def out(now, st, firsts, seconds):
+        import pyarrow as pa
+
+        one, two = np.concatenate(firsts), np.concatenate(seconds)
+        take = pa.array(one)
+        return pa.RecordBatch.from_arrays([now.column("doc_id").take(take), now.column("tree_id").take(take), pa.array(st[one].astype(np.int32)), pa.array(st[two].astype(np.int32))], names=["doc_id", "tree_id", "first", "second"])
+
+    found = rows.mapInArrow(run, f"doc_id {kind}, tree_id int, first int, second int")
     return found.select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+def _with_end(batches):
+    yield from batches
+    yield None

@@ -1,4 +1,4 @@
-"""Properties of tree nodes: kinds of nodes, text, equality, head words, paths and lowest common ancestors.
+"""Properties of tree nodes: kinds of nodes, text, head words, paths and children by index (folds.py has equality and lowest common ancestors).
 
 Input is the node table of ``trees.shred``; with heads where a head is asked for.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .axes import axis
+from .structural import structural_join
 from .trees import TREE, child, from_children, inside
 
 
@@ -37,40 +37,45 @@ def texts(nodes: DataFrame) -> DataFrame:
     return own.join(parts, TREE).select(*TREE, "st", F.regexp_replace(text, r" \)", ")").alias("text"))
 
 
-def equal_nodes(nodes: DataFrame) -> DataFrame:
-    """text and n of the trees that occur, leaves apart: how often each stands in the corpus, at any depth."""
-    inner = nodes.where("NOT is_leaf").select(*TREE, "st")
-    return texts(nodes).join(inner, [*TREE, "st"]).groupBy("text").agg(F.count("*").alias("n"))
-
-
 def head_words(axis_nodes: DataFrame) -> DataFrame:
-    """doc_id, tree_id, st and word: the leaf at the end of a node's chain of heads, itself for a leaf."""
+    """doc_id, tree_id, st and word: the leaf at the end of a node's chain of heads, itself for a leaf.
+
+    Seen from below, a leaf heads the nodes that a way of heads leads up to.
+    """
     leaf = axis_nodes.where("is_leaf").select(*TREE, F.col("st").alias("b"), F.col("label").alias("word"))
-    below = axis(axis_nodes, "headed_by").join(leaf, [*TREE, "b"]).select(*TREE, F.col("a").alias("st"), "word")
+    below = structural_join(axis_nodes, leave=F.col("is_head"), lower=F.col("is_leaf")).join(leaf, [*TREE, "b"]).select(*TREE, F.col("a").alias("st"), "word")
     return below.unionByName(leaf.select(*TREE, F.col("b").alias("st"), "word"))
 
 
 def paths(nodes: DataFrame) -> DataFrame:
     """doc_id, tree_id, st, step (from 0, the node itself) and node: the way up, without the root."""
-    a, b = nodes.alias("a"), nodes.where("parent IS NOT NULL").alias("b")
-    up = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.tree_id") == F.col("b.tree_id")) & (F.col("b.st") <= F.col("a.st")) & (F.col("b.en") >= F.col("a.en")))
-    return up.select("a.doc_id", "a.tree_id", F.col("a.st").alias("st"), (F.col("a.lvl") - F.col("b.lvl")).cast("int").alias("step"), F.col("b.st").alias("node"))
-
-
-def meetings(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (doc_id, tree_id, a, b) with meet, the lowest node that has both (or is one of them), and the steps up from a and down to b."""
-    n = lambda x: nodes.select(*TREE, F.col("st").alias(x), F.col("en").alias(f"en_{x}"), F.col("lvl").alias(f"lvl_{x}"))
-    both = pairs.join(n("a"), [*TREE, "a"]).join(n("b"), [*TREE, "b"]).join(n("meet"), TREE)
-    both = both.where((F.col("meet") <= F.least("a", "b")) & (F.col("en_meet") >= F.greatest("en_a", "en_b")))
-    found = both.groupBy(*TREE, "a", "b", "lvl_a", "lvl_b").agg(F.max_by("meet", "lvl_meet").alias("meet"), F.max("lvl_meet").alias("l"))
-    return found.select(*TREE, "a", "b", "meet", (F.col("lvl_a") - F.col("l")).cast("int").alias("up"), (F.col("lvl_b") - F.col("l")).cast("int").alias("down"))
-
-
-def item(nodes: DataFrame, path: list[int]) -> DataFrame:
-    """doc_id, tree_id, st and node: the descendant that a path of child indexes leads to; a negative index counts from the last child."""
+    own = nodes.where("parent IS NOT NULL").select(*TREE, "st", F.lit(0).alias("step"), F.col("st").alias("node"))
+    at = lambda x: nodes.select(*TREE, F.col("st").alias(x), F.col("lvl").alias(f"lvl_{x}"))
+    up = structural_join(nodes, upper=F.col("parent").isNotNull()).join(at("a"), [*TREE, "a"]).join(at("b"), [*TREE, "b"])
+    return own.unionByName(up.select(*TREE, F.col("b").alias("st"), (F.col("lvl_b") - F.col("lvl_a")).cast("int").alias("step"), F.col("a").alias("node")))
+
+
+def chosen(at: int | slice, ci, n):
+    """Whether child ci of n is at an index, or in a slice, as lists have them."""
+    if isinstance(at, int):
+        return ci == (F.lit(at) if at >= 0 else n + at)
+    step = 1 if at.step is None else at.step
+    if step == 0:
+        raise ValueError("the step of a slice is not 0")
+    low, high = (F.lit(0), n) if step > 0 else (F.lit(-1), n - 1)
+    bound = lambda x: F.greatest(n + x, low) if x < 0 else F.least(F.lit(x), high)
+    first = (low if step > 0 else high) if at.start is None else bound(at.start)
+    stop = (high if step > 0 else low) if at.stop is None else bound(at.stop)
+    if step > 0:
+        return (ci >= first) & (ci < stop) & ((ci - first) % step == 0)
+    return (ci <= first) & (ci > stop) & ((first - ci) % -step == 0)
+
+
+def item(nodes: DataFrame, path: list[int | slice]) -> DataFrame:
+    """doc_id, tree_id, st and node: the descendants that a path of child indexes and slices leads to; a negative index counts from the last child."""
     found = nodes.select(*TREE, "st", F.col("st").alias("node"))
-    for i in path:
+    for at in path:
         # a child knows its index and how many sisters there are, itself included
-        kids = nodes.where((F.col("parent").isNotNull()) & (F.col("ci") == (F.lit(i) if i >= 0 else F.col("sisters") + i)))
+        kids = nodes.where(F.col("parent").isNotNull() & chosen(at, F.col("ci"), F.col("sisters")))
         found = found.join(kids.select(*TREE, F.col("parent").alias("node"), F.col("st").alias("kid")), [*TREE, "node"]).select(*TREE, "st", F.col("kid").alias("node"))
     return found

@@ -127,16 +127,6 @@ def inside(nodes: DataFrame, *flags: str) -> DataFrame:
     return out.drop("__end", "__at", *(f"__{k}_{f}" for k in ("met", "open") for f in flags))
 
 
-def heights(nodes: DataFrame) -> DataFrame:
-    """doc_id, tree_id, st and height (a leaf has 1): a node's deepest leaf, among those between its edges."""
-    leaf = F.when(F.col("is_leaf"), F.struct("left_edge", "lvl"))
-    per = nodes.groupBy(*TREE).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"), F.collect_list(F.struct("st", "lvl", "left_edge", "right_edge")).alias("nodes"))
-    depth = lambda x: F.array_max(F.slice("depths", x["left_edge"] + 1, x["right_edge"] - x["left_edge"]))
-    per = per.select(*TREE, "nodes", F.transform("leaves", lambda x: x["lvl"]).alias("depths"))
-    found = per.select(*TREE, F.explode(F.transform("nodes", lambda x: F.struct(x["st"].alias("st"), (depth(x) - x["lvl"] + 1).alias("height")))).alias("n"))
-    return found.select(*TREE, "n.st", "n.height")
-
-
 def spans(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen (doc_id, tree_id, left_edge, right_edge, ...) with span, the leaves between the edges joined by blanks."""
     leaves = nodes.where("is_leaf").groupBy(*TREE).agg(F.transform(F.array_sort(F.collect_list(F.struct("st", "label"))), lambda x: x["label"]).alias("leaves"))

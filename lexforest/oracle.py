@@ -5,7 +5,7 @@ from __future__ import annotations
 from .operators import axes
 from .operators.heads import HEAD_RULES, PUNCTUATION
 from .operators.patterns import CLAUSE, FINITE, NOMINAL, PRIMITIVES, SENTENCE, WORD
-from .operators.surrogate import chunked_sql
+from .operators.surrogate import SENTENCE as SENTENCE_FORM, chunked_sql
 from .operators.tokens import penn_tag_sql, universal_tag_sql
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -61,11 +61,6 @@ def index_query(wanted, digits: int | None = None) -> str:
 # ---- trees: forests, then nodes by nearest opener
 
 
-def inline_forests(rows) -> str:
-    values = ", ".join("({}, '{}')".format(i, f.replace("'", "''")) for i, f in rows)
-    return f"forests(doc_id, forest) AS (VALUES {values})"
-
-
 def surrogate() -> str:
     tagged = f"array_to_string(list_transform(ws, lambda w: '(' || {penn_tag_sql('w')} || ' ' || w || ')'), ' ')"
     one = chunked_sql("tagged", "\\", ", 'g'")
@@ -73,26 +68,27 @@ def surrogate() -> str:
 sent AS (SELECT doc_id, ord, regexp_extract_all(s, '{TOKEN}') AS ws FROM sentences),
 tags AS (SELECT doc_id, ord, {tagged} AS tagged FROM sent WHERE len(ws) > 0),
 chunks AS (SELECT doc_id, ord, {one} AS t FROM tags),
-forests AS (SELECT d.doc_id, coalesce(string_agg(CASE WHEN t LIKE '%(VP %' THEN '(ROOT (S ' ELSE '(ROOT (FRAG ' END || t || ' (. .)))', chr(10) ORDER BY ord), '') AS forest FROM documents d LEFT JOIN chunks USING (doc_id) GROUP BY d.doc_id)"""
+forests AS MATERIALIZED (SELECT d.doc_id, coalesce(string_agg({SENTENCE_FORM}, chr(10) ORDER BY ord), '') AS forest FROM documents d LEFT JOIN chunks USING (doc_id) GROUP BY d.doc_id)"""
 
 
 NODES = r"""
-toks AS (SELECT doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(forest, '[()]|[^\s()]+') AS ts FROM forests)),
-around AS (SELECT *, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS dep FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-closed AS (SELECT doc_id, pos AS st, tok, nxt, dep AS lvl, lead(pos) OVER (PARTITION BY doc_id, CASE tok WHEN '(' THEN dep ELSE dep + 1 END ORDER BY pos) AS en FROM around WHERE tok IN ('(', ')')),
-opened AS (SELECT doc_id, st, en, CASE WHEN nxt NOT IN ('(', ')') THEN nxt END AS label, lvl FROM closed WHERE tok = '('),
-raw AS (SELECT *, FALSE AS word FROM opened UNION ALL SELECT doc_id, pos, pos, tok, dep + 1, TRUE FROM around WHERE tok NOT IN ('(', ')') AND prev <> '(' AND dep > 0),
-up AS (SELECT r.*, p.st AS parent, p.label AS parent_label FROM raw r ASOF LEFT JOIN opened p ON r.doc_id = p.doc_id AND r.lvl - 1 = p.lvl AND r.st > p.st),
-rooted AS (SELECT u.*, t.st AS tree_id FROM up u ASOF JOIN (SELECT doc_id, st FROM opened WHERE lvl = 1) t ON u.doc_id = t.doc_id AND u.st >= t.st),
-kidcount AS (SELECT doc_id, parent AS st, count(*) AS n_kids FROM rooted WHERE parent IS NOT NULL GROUP BY ALL),
-nodes AS (SELECT r.doc_id, tree_id, r.st, en, label, lvl, parent, parent_label, coalesce(n_kids, 0) AS n_kids, coalesce(n_kids, 0) = 0 AS is_leaf,
+toks AS MATERIALIZED (SELECT doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(forest, '[()]|[^\s()]+') AS ts FROM forests)),
+around AS MATERIALIZED (SELECT *, lag(tok) OVER w AS prev, lead(tok) OVER w AS nxt, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w AS dep FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+closed AS MATERIALIZED (SELECT doc_id, pos AS st, tok, nxt, dep AS lvl, lead(pos) OVER (PARTITION BY doc_id, CASE tok WHEN '(' THEN dep ELSE dep + 1 END ORDER BY pos) AS en FROM around WHERE tok IN ('(', ')')),
+opened AS MATERIALIZED (SELECT doc_id, st, en, CASE WHEN nxt NOT IN ('(', ')') THEN nxt END AS label, lvl FROM closed WHERE tok = '('),
+raw AS MATERIALIZED (SELECT *, FALSE AS word FROM opened UNION ALL SELECT doc_id, pos, pos, tok, dep + 1, TRUE FROM around WHERE tok NOT IN ('(', ')') AND prev <> '(' AND dep > 0),
+marked AS (SELECT doc_id, st, en, label, lvl, word, lvl AS lv, NULL::INTEGER AS over_st, NULL::VARCHAR AS over_label FROM raw UNION ALL SELECT doc_id, st, NULL::INTEGER, label, NULL::INTEGER, FALSE, lvl + 1, st, label FROM opened),
+up AS MATERIALIZED (SELECT * EXCLUDE (o), o.st AS parent, o.label AS parent_label FROM (SELECT doc_id, st, en, label, lvl, word, last_value(CASE WHEN over_st IS NOT NULL THEN struct_pack(st := over_st, label := over_label) END IGNORE NULLS) OVER (PARTITION BY doc_id, lv ORDER BY st) AS o FROM marked) WHERE lvl IS NOT NULL),
+rooted AS MATERIALIZED (SELECT *, last_value(CASE WHEN lvl = 1 THEN st END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY st) AS tree_id FROM up),
+kidcount AS MATERIALIZED (SELECT doc_id, parent AS st, count(*) AS n_kids FROM rooted WHERE parent IS NOT NULL GROUP BY ALL),
+nodes AS MATERIALIZED (SELECT r.doc_id, tree_id, r.st, en, label, lvl, parent, parent_label, coalesce(n_kids, 0) AS n_kids, coalesce(n_kids, 0) = 0 AS is_leaf,
   CASE WHEN parent IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY r.doc_id, parent ORDER BY r.st) - 1 END AS ci,
   CASE WHEN parent IS NOT NULL THEN lead(label) OVER (PARTITION BY r.doc_id, parent ORDER BY r.st) END AS next_label
   FROM rooted r LEFT JOIN kidcount k ON r.doc_id = k.doc_id AND r.st = k.st)"""
 
 EDGES = """
-leaves AS (SELECT doc_id, tree_id, st FROM nodes WHERE is_leaf),
-edged AS (SELECT n.*, (SELECT count(*) FROM leaves l WHERE l.doc_id = n.doc_id AND l.tree_id = n.tree_id AND l.st < n.st) AS left_edge,
+leaves AS MATERIALIZED (SELECT doc_id, tree_id, st FROM nodes WHERE is_leaf),
+edged AS MATERIALIZED (SELECT n.*, (SELECT count(*) FROM leaves l WHERE l.doc_id = n.doc_id AND l.tree_id = n.tree_id AND l.st < n.st) AS left_edge,
   (SELECT count(*) FROM leaves l WHERE l.doc_id = n.doc_id AND l.tree_id = n.tree_id AND l.st <= n.en) AS right_edge FROM nodes n)"""
 
 
@@ -100,16 +96,16 @@ def heads(source: str = "nodes") -> str:
     rows = ", ".join(f"('{m}', {k}, '{d}', [{', '.join(repr(c) for c in cats.split())}]::VARCHAR[])" for m, rules in HEAD_RULES.items() for k, (d, cats) in enumerate(rules))
     return f"""
 rules(mother, ord, dir, cats) AS (VALUES {rows}),
-hits AS (SELECT p.doc_id, p.st, c.ci, r.ord * 1000000 + CASE WHEN r.dir IN ('left', 'right') THEN list_position(r.cats, c.label) ELSE 0 END * 1000 + CASE WHEN r.dir LIKE 'left%' THEN c.ci ELSE 900 - c.ci END AS k
+hits AS MATERIALIZED (SELECT p.doc_id, p.st, c.ci, r.ord * 1000000 + CASE WHEN r.dir IN ('left', 'right') THEN list_position(r.cats, c.label) ELSE 0 END * 1000 + CASE WHEN r.dir LIKE 'left%' THEN c.ci ELSE 900 - c.ci END AS k
   FROM {source} p JOIN rules r ON regexp_replace(p.label, '^@', '') = r.mother JOIN {source} c ON c.doc_id = p.doc_id AND c.parent = p.st AND list_contains(r.cats, c.label) WHERE p.n_kids > 1),
-best AS (SELECT doc_id, st, arg_min(ci, k) AS ci FROM hits GROUP BY ALL),
-lastrule AS (SELECT mother, arg_max(dir, ord) AS dir FROM rules GROUP BY mother),
-pres AS (SELECT n.doc_id, n.st FROM {source} n JOIN {source} c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.is_leaf WHERE n.n_kids = 1),
-shifted AS (SELECT b.doc_id, b.st, CASE WHEN b.ci >= 2 AND q.label IN ('CC', 'CONJP') AND NOT (x.label IN {names(p.replace("'", "''") for p in PUNCTUATION)} AND EXISTS (SELECT 1 FROM pres WHERE pres.doc_id = x.doc_id AND pres.st = x.st)) THEN b.ci - 2 ELSE b.ci END AS ci
+best AS MATERIALIZED (SELECT doc_id, st, arg_min(ci, k) AS ci FROM hits GROUP BY ALL),
+lastrule AS MATERIALIZED (SELECT mother, arg_max(dir, ord) AS dir FROM rules GROUP BY mother),
+pres AS MATERIALIZED (SELECT n.doc_id, n.st FROM {source} n JOIN {source} c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.is_leaf WHERE n.n_kids = 1),
+shifted AS MATERIALIZED (SELECT b.doc_id, b.st, CASE WHEN b.ci >= 2 AND q.label IN ('CC', 'CONJP') AND NOT (x.label IN {names(p.replace("'", "''") for p in PUNCTUATION)} AND EXISTS (SELECT 1 FROM pres WHERE pres.doc_id = x.doc_id AND pres.st = x.st)) THEN b.ci - 2 ELSE b.ci END AS ci
   FROM best b LEFT JOIN {source} q ON q.doc_id = b.doc_id AND q.parent = b.st AND q.ci = b.ci - 1 LEFT JOIN {source} x ON x.doc_id = b.doc_id AND x.parent = b.st AND x.ci = b.ci - 2),
-headci AS (SELECT n.doc_id, n.st, CASE WHEN n.n_kids = 1 THEN 0 WHEN n.n_kids > 1 AND s.ci IS NOT NULL THEN s.ci WHEN n.n_kids > 1 AND l.dir LIKE 'left%' THEN 0 WHEN n.n_kids > 1 AND l.dir IS NOT NULL THEN n.n_kids - 1 END AS ci
+headci AS MATERIALIZED (SELECT n.doc_id, n.st, CASE WHEN n.n_kids = 1 THEN 0 WHEN n.n_kids > 1 AND s.ci IS NOT NULL THEN s.ci WHEN n.n_kids > 1 AND l.dir LIKE 'left%' THEN 0 WHEN n.n_kids > 1 AND l.dir IS NOT NULL THEN n.n_kids - 1 END AS ci
   FROM {source} n LEFT JOIN shifted s ON s.doc_id = n.doc_id AND s.st = n.st LEFT JOIN lastrule l ON l.mother = regexp_replace(n.label, '^@', '')),
-headed AS (SELECT n.*, c.st AS head_st, c.label AS head_label FROM {source} n LEFT JOIN headci h ON h.doc_id = n.doc_id AND h.st = n.st LEFT JOIN {source} c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.ci = h.ci)"""
+headed AS MATERIALIZED (SELECT n.*, c.st AS head_st, c.label AS head_label FROM {source} n LEFT JOIN headci h ON h.doc_id = n.doc_id AND h.st = n.st LEFT JOIN {source} c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.ci = h.ci)"""
 
 
 def exists(alias: str, condition: str, source: str = "headed") -> str:
@@ -120,15 +116,15 @@ KID = lambda c: exists("k", f"k.parent = n.st AND {c}")
 FIN, S3, S4 = names(FINITE), names(CLAUSE), names(SENTENCE)
 #: Steps: each adds flags that later ones use.
 PATTERNS = f"""
-f1 AS (SELECT n.*, n.label = 'VP' AND coalesce(n.head_label IN {FIN}, FALSE) AS fin, {KID("k.label = 'CC'")} AS cc,
+f1 AS MATERIALIZED (SELECT n.*, n.label = 'VP' AND coalesce(n.head_label IN {FIN}, FALSE) AS fin, {KID("k.label = 'CC'")} AS cc,
   {KID(f"k.label = 'VP' AND k.head_label IN {FIN}")} AS finkid, {exists('k', "k.parent = n.st AND k.ci = 0 AND k.label = 'VP' AND k.head_label = 'VB'")} AS vbfirst FROM headed n),
-f2 AS (SELECT n.*, coalesce(n.label IN {S3}, FALSE) AND (coalesce(n.parent_label = 'ROOT', FALSE) AND vbfirst OR coalesce(n.head_label IN {FIN}, FALSE)
+f2 AS MATERIALIZED (SELECT n.*, coalesce(n.label IN {S3}, FALSE) AND (coalesce(n.parent_label = 'ROOT', FALSE) AND vbfirst OR coalesce(n.head_label IN {FIN}, FALSE)
   OR {exists('k', "k.parent = n.st AND (k.fin OR k.label = 'VP' AND k.cc AND k.finkid)", 'f1')}) AS core FROM f1 n),
-f3 AS (SELECT n.*, coalesce(n.label = 'SBAR', FALSE) AND {exists('k', 'k.parent = n.st AND k.core', 'f2')} AS dc,
+f3 AS MATERIALIZED (SELECT n.*, coalesce(n.label = 'SBAR', FALSE) AND {exists('k', 'k.parent = n.st AND k.core', 'f2')} AS dc,
   coalesce(n.label IN {S4}, FALSE) AND (coalesce(n.parent_label = 'ROOT', FALSE) OR {exists('k', f"k.parent = n.parent AND k.ci < n.ci AND k.label IN {S4}", 'f2')}
     AND NOT {exists('k', "k.st < n.st AND k.en > n.en AND k.label IN ('SBAR', 'VP')", 'f2')}) AS t1,
   coalesce(n.label IN {names(NOMINAL)}, FALSE) OR n.label = 'NP' AND {exists('k', "k.parent = n.parent AND k.ci > n.ci AND k.label = 'NP'", 'f2')} AND coalesce(n.next_label <> 'CC', TRUE) AS nominal FROM f2 n),
-found AS (SELECT n.doc_id, n.tree_id, n.st, n.en,
+found AS MATERIALIZED (SELECT n.doc_id, n.tree_id, n.st, n.en,
   n.label = 'ROOT' AND n.parent IS NULL AS is_S, n.label = 'VP' AND n.parent_label IN {S3} AS is_VP1,
   n.label IN {FIN} AND n.parent_label = 'SQ' AND NOT {exists('k', "k.parent = n.parent AND k.label = 'VP'", 'f3')} AS is_VP2, n.core AS is_C1,
   n.label = 'FRAG' AND n.parent_label = 'ROOT' AND NOT {exists('k', 'k.st > n.st AND k.en < n.en AND k.core', 'f3')} AS is_C2, n.t1 AS is_T1,
@@ -154,22 +150,48 @@ RATIOS = {"MLS": ("W", "S"), "MLT": ("W", "T"), "MLC": ("W", "C"), **{f"{a}/{b}"
 ALL = ", ".join(["W", "S", "VP", "C", "T", "DC", "CT", "CP", "CN", *(f'{ratio(a, b)} AS "{n}"' for n, (a, b) in RATIOS.items())])
 
 
-def axis_query(forests: str, condition: str, broken: str | None = None) -> str:
-    no = f" AND NOT EXISTS (SELECT 1 FROM ax x WHERE x.doc_id = a.doc_id AND x.tree_id = a.tree_id AND {broken})" if broken else ""
-    return f"""WITH {forests}, {NODES}, {EDGES}, {heads('edged')},
-ax AS (SELECT n.*, n.parent IS NULL OR EXISTS (SELECT 1 FROM headed p WHERE p.doc_id = n.doc_id AND p.head_st = n.st) AS is_head FROM headed n)
-SELECT a.doc_id, a.tree_id, a.st AS a, b.st AS b FROM ax a JOIN ax b ON a.doc_id = b.doc_id AND a.tree_id = b.tree_id WHERE {condition}{no}"""
+#: By plain joins: a node's forked nodes above it, the most of them above a leaf below it, and the sum of the weights below it.
+NUM_EDGES = """
+fork AS MATERIALIZED (SELECT n.*, NOT n.is_leaf AND n.parent IS NOT NULL AND p.n_kids > 1 AS forked FROM nodes n LEFT JOIN nodes p ON p.doc_id = n.doc_id AND p.st = n.parent),
+above AS MATERIALIZED (SELECT d.doc_id, d.tree_id, d.st, count(a.st) AS forks FROM fork d LEFT JOIN fork a ON a.doc_id = d.doc_id AND a.tree_id = d.tree_id AND a.st < d.st AND a.en > d.en AND a.forked GROUP BY ALL),
+full_fork AS MATERIALIZED (SELECT * FROM fork JOIN above USING (doc_id, tree_id, st)),
+heavy AS MATERIALIZED (SELECT n.doc_id, n.tree_id, n.st, n.en, n.forked, 1 + max(l.forks) - max(n.forks) AS weight FROM full_fork n JOIN full_fork l ON l.doc_id = n.doc_id AND l.tree_id = n.tree_id AND l.st >= n.st AND l.en <= n.en AND l.is_leaf GROUP BY ALL),
+own AS MATERIALIZED (SELECT h.*, CASE WHEN f.is_leaf THEN 1 WHEN h.forked THEN h.weight ELSE 0 END AS e FROM heavy h JOIN fork f USING (doc_id, tree_id, st)),
+counted_edges AS MATERIALIZED (SELECT n.doc_id, n.tree_id, n.st, sum(d.e)::BIGINT AS edges, max(n.weight)::BIGINT AS weight FROM own n JOIN own d ON d.doc_id = n.doc_id AND d.tree_id = n.tree_id AND d.st >= n.st AND d.en <= n.en GROUP BY n.doc_id, n.tree_id, n.st)"""
+
+
+def axis_nodes(forests: str) -> str:
+    return f"""{forests}, {NODES}, {EDGES}, {heads('edged')},
+ax AS MATERIALIZED (SELECT n.*, n.parent IS NULL OR h.st IS NOT NULL AS is_head FROM headed n LEFT JOIN (SELECT DISTINCT doc_id, head_st AS st FROM headed WHERE head_st IS NOT NULL) h ON h.doc_id = n.doc_id AND h.st = n.st)"""
+
+
+def axis_query(forests: str, condition: str) -> str:
+    return f"WITH {axis_nodes(forests)} SELECT a.doc_id, a.tree_id, a.st AS a, b.st AS b FROM ax a JOIN ax b ON a.doc_id = b.doc_id AND a.tree_id = b.tree_id WHERE {condition}"
+
+
+def way_query(forests: str, upwards: bool, leave: str = "TRUE", enter: str = "TRUE", through: str = "TRUE") -> str:
+    """Step by step from every node to its ancestors: leave and through are conditions on the node left (x), enter on the one reached (p)."""
+    a, b = ("low", "high") if upwards else ("high", "low")
+    up = "JOIN ax p ON p.doc_id = x.doc_id AND p.st = x.parent"
+    return f"""WITH RECURSIVE {axis_nodes(forests)},
+way(doc_id, tree_id, low, high) AS (SELECT x.doc_id, x.tree_id, x.st, p.st FROM ax x {up} WHERE {leave} AND {enter}
+  UNION ALL SELECT w.doc_id, w.tree_id, w.low, p.st FROM way w JOIN ax x ON x.doc_id = w.doc_id AND x.st = w.high {up} WHERE {leave} AND {enter} AND {through})
+SELECT doc_id, tree_id, {a} AS a, {b} AS b FROM way"""
 
 
 def chain_query(forests: str, category: str, backwards: bool) -> str:
     a, b = ("y", "x") if backwards else ("x", "y")
-    return f"""WITH RECURSIVE {forests}, {NODES}, {EDGES},
-reach(doc_id, tree_id, p, q) AS (SELECT DISTINCT doc_id, tree_id, right_edge, right_edge FROM edged UNION SELECT r.doc_id, r.tree_id, r.p, x.right_edge FROM reach r JOIN edged x ON x.doc_id = r.doc_id AND x.tree_id = r.tree_id AND x.left_edge = r.q AND {category})
-SELECT x.doc_id, x.tree_id, {a}.st AS a, {b}.st AS b FROM edged x JOIN reach r ON r.doc_id = x.doc_id AND r.tree_id = x.tree_id AND r.p = x.right_edge JOIN edged y ON y.doc_id = x.doc_id AND y.tree_id = x.tree_id AND y.left_edge = r.q"""
+    return f"""WITH RECURSIVE {forests}, {NODES}, {EDGES}, ends AS MATERIALIZED (SELECT * FROM edged),
+arcs AS MATERIALIZED (SELECT DISTINCT doc_id, tree_id, left_edge, right_edge FROM ends x WHERE {category}),
+reach(doc_id, tree_id, p, q) AS (SELECT DISTINCT doc_id, tree_id, right_edge, right_edge FROM ends UNION SELECT r.doc_id, r.tree_id, r.p, x.right_edge FROM reach r JOIN arcs x ON x.doc_id = r.doc_id AND x.tree_id = r.tree_id AND x.left_edge = r.q)
+SELECT x.doc_id, x.tree_id, {a}.st AS a, {b}.st AS b FROM ends x JOIN reach r ON r.doc_id = x.doc_id AND r.tree_id = x.tree_id AND r.p = x.right_edge JOIN ends y ON y.doc_id = x.doc_id AND y.tree_id = x.tree_id AND y.left_edge = r.q"""
 
 
 def axis_sql(forests: str) -> dict[str, str]:
+    category = "x.label IN ('NP', 'VP', 'S')"
     out = {f"axis_{n}": axis_query(forests, c) for n, (_, c) in axes.SIMPLE.items()}
-    out |= {f"axis_{n}": axis_query(forests, c, b.replace("{c}", "coalesce(x.label IN ('NP', 'VP', 'S'), false)")) for n, (_, c, b) in axes.PATHS.items()}
+    ways = {"unary_path_ancestor_of": {"enter": "p.n_kids = 1"}, "headed_by": {"leave": "x.is_head"}, "unbroken_dominates": {"through": f"coalesce({category}, FALSE)"}}
+    for down, up in (("unary_path_ancestor_of", "unary_path_descendant_of"), ("headed_by", "heads"), ("unbroken_dominates", "unbroken_dominated_by")):
+        out |= {f"axis_{down}": way_query(forests, False, **ways[down]), f"axis_{up}": way_query(forests, True, **ways[down])}
     out |= {f"axis_{n}_{'last' if k < 0 else k}": axis_query(forests, axes.numbered(n, k)) for n in ("ith_child_of", "has_ith_child", "ancestor_of_ith_leaf") for k in (2, -1)}
-    return out | {f"axis_unbroken_{w}": chain_query(forests, "x.label IN ('NP', 'VP', 'S')", w == "follows") for w in ("precedes", "follows")}
+    return out | {f"axis_unbroken_{w}": chain_query(forests, category, w == "follows") for w in ("precedes", "follows")}

@@ -1,7 +1,7 @@
 """Registered queries of the text-complexity engine and their SQL equivalents.
 
-Lexical queries read ``documents``. Tree queries read a small table of forests
-written here, or forests built from every sentence of ``documents``.
+Lexical queries read ``documents``. Tree queries read forests built from every sentence of
+``documents``, and are named NAME_docs; a few forests written here serve the tests.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as sql
 from .functions.scalar import safe_div
-from .operators import axes, combine, files, heads, lexical, measures, patterns, predicates, properties, tables, trees
+from .operators import axes, combine, files, folds, heads, lexical, measures, patterns, predicates, properties, tables, trees
 from .operators.surrogate import surrogate_forests
 from .operators.tokens import lemmas, tokens, vocabulary
 from .plans import lca, sca
@@ -34,6 +34,8 @@ FORESTS = [
     (12, "(ROOT (S (NP-SBJ (EX there)) (VP (VBZ is) (NP (NP (DT a) (NN plan)) (PP (IN of) (NP (NN war)))) (ADVP (RB now)))))"),
 ]
 CATEGORY = "x.label IN ('NP', 'VP', 'S')"
+#: Axes that relate about all pairs of a tree: conditions for searches, not results.
+ALL_PAIRS = ("same_tree", "precedes", "follows")
 DEFINITION = {"name": "PHRASES", "description": "verb, coordinate and nominal phrases a clause", "value_source": "(VP + CP + 2 * CN) / C"}
 
 
@@ -144,7 +146,7 @@ def lca_combine(spark, sf_dir):
 # ---- trees
 
 
-def tree_shred(spark, sf_dir, forests=inline):
+def tree_shred(spark, sf_dir, forests=of_documents):
     return trees.shred(forests(spark, sf_dir)).select("doc_id", "tree_id", "st", "en", "label", F.col("lvl").cast("long").alias("lvl"), "parent", F.col("ci").cast("long").alias("ci"), "next_label", "is_leaf")
 
 
@@ -154,67 +156,77 @@ def tree_props(spark, sf_dir):
     return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if("pre").alias("preterminals"), F.max("lvl").cast("long").alias("depth"), F.count_if(F.col("parent").isNull()).alias("trees"))
 
 
-def tree_edges(spark, sf_dir, forests=inline):
+def tree_edges(spark, sf_dir, forests=of_documents):
     n = trees.shred(forests(spark, sf_dir))
     edged = n.select("doc_id", "tree_id", "st", "en", F.col("left_edge").cast("long").alias("left_edge"), F.col("right_edge").cast("long").alias("right_edge"))
     return trees.spans(n, edged).drop("en")
 
 
-def tree_heights(spark, sf_dir, forests=inline):
-    return trees.heights(trees.shred(forests(spark, sf_dir))).withColumn("height", F.col("height").cast("long"))
+def tree_heights(spark, sf_dir, forests=of_documents):
+    return folds.heights(trees.shred(forests(spark, sf_dir))).withColumn("height", F.col("height").cast("long"))
 
 
-def tree_tagged(spark, sf_dir, forests=inline):
+def tree_tagged(spark, sf_dir, forests=of_documents):
     return trees.tagged_leaves(trees.shred(forests(spark, sf_dir)))
 
 
-def head_child(spark, sf_dir, forests=inline):
+def head_child(spark, sf_dir, forests=of_documents):
     n = heads.with_heads(trees.shred(forests(spark, sf_dir))).where("n_kids > 0")
     return n.select("doc_id", "tree_id", "st", "head_st", "head_label")
 
 
-def tree_kinds(spark, sf_dir, forests=inline):
+def tree_kinds(spark, sf_dir, forests=of_documents):
     return properties.kinds(trees.shred(forests(spark, sf_dir))).select("doc_id", "tree_id", "st", "phrasal", "unary", "prepreterminal", "binary")
 
 
-def tree_texts(spark, sf_dir, forests=inline):
+def tree_texts(spark, sf_dir, forests=of_documents):
     return properties.texts(trees.shred(forests(spark, sf_dir)))
 
 
-def tree_equal(spark, sf_dir, forests=inline):
-    return properties.equal_nodes(trees.shred(forests(spark, sf_dir)))
+def tree_equal(spark, sf_dir, forests=of_documents):
+    """Where every different subtree stands first, and how often it stands."""
+    return folds.equal_subtrees(trees.shred(forests(spark, sf_dir)))
 
 
-def head_words(spark, sf_dir, forests=inline):
+def tree_num_edges(spark, sf_dir, forests=of_documents):
+    return folds.num_edges(trees.shred(forests(spark, sf_dir)))
+
+
+def head_words(spark, sf_dir, forests=of_documents):
     return properties.head_words(axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir)))))
 
 
-def tree_paths(spark, sf_dir, forests=inline):
+def tree_paths(spark, sf_dir, forests=of_documents):
     return properties.paths(trees.shred(forests(spark, sf_dir))).withColumn("step", F.col("step").cast("long"))
 
 
-def tree_meetings(spark, sf_dir, forests=inline):
+def tree_meetings(spark, sf_dir, forests=of_documents):
     """Where each word meets the last word of its tree."""
     n = trees.shred(forests(spark, sf_dir))
     leaves = n.where("is_leaf")
     last = leaves.groupBy("doc_id", "tree_id").agg(F.max("st").alias("b"))
-    met = properties.meetings(n, leaves.select("doc_id", "tree_id", F.col("st").alias("a")).join(last, ["doc_id", "tree_id"]))
+    met = folds.meetings(n, leaves.select("doc_id", "tree_id", F.col("st").alias("a")).join(last, ["doc_id", "tree_id"]))
     return met.withColumns({"up": F.col("up").cast("long"), "down": F.col("down").cast("long")})
 
 
-def tree_item(spark, sf_dir, forests=inline):
+def tree_item(spark, sf_dir, forests=of_documents):
     """The last child of every node's first child."""
     return properties.item(trees.shred(forests(spark, sf_dir)), [0, -1])
 
 
-def node_search(spark, sf_dir, forests=inline):
+def tree_slice(spark, sf_dir, forests=of_documents):
+    """Of every node's children but the first, each second one from the end, and of these the first child."""
+    return properties.item(trees.shred(forests(spark, sf_dir)), [slice(None, 0, -2), 0])
+
+
+def node_search(spark, sf_dir, forests=of_documents):
     """Noun phrases (by basic category) that hold a noun of any kind, under a clause but not before a conjunction."""
     n = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir))))
     p = predicates
     return p.search(n, p.text("NP", basic=True), p.Related("dominates", p.regex("^nn", "i")), p.Related("dominated_by", p.any_of(p.text("S"), p.text("SINV", "SQ"))), p.Related("immediate_left_sister_of", p.text("CC"), negated=True))
 
 
-def node_negations(spark, sf_dir, forests=inline):
+def node_negations(spark, sf_dir, forests=of_documents):
     """Nodes that are neither roots nor labelled N..., and have a child."""
     n = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir))))
     p = predicates
@@ -222,15 +234,14 @@ def node_negations(spark, sf_dir, forests=inline):
 
 
 def _axis(name, n=None):
-    def query(spark, sf_dir, forests=inline):
-        nodes = axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir)))).persist()
-        return axes.axis(nodes, name, n, CATEGORY)
+    def query(spark, sf_dir, forests=of_documents):
+        return axes.axis(axes.axis_nodes(heads.with_heads(trees.shred(forests(spark, sf_dir)))), name, n, CATEGORY)
 
     return query
 
 
 def _structure(name):
-    def query(spark, sf_dir, forests=inline):
+    def query(spark, sf_dir, forests=of_documents):
         n = patterns.matches(sca.flagged(forests(spark, sf_dir)), (name,))
         return n.select("doc_id", "tree_id", "st")
 
@@ -249,11 +260,11 @@ def sca_ratios(spark, sf_dir):
     return sca.analyse(surrogate_forests(documents(spark, sf_dir)), partitioned=True)
 
 
-def sca_inline(spark, sf_dir, forests=inline):
+def sca_inline(spark, sf_dir, forests=of_documents):
     return sca.analyse(forests(spark, sf_dir))
 
 
-def sca_matches(spark, sf_dir, forests=inline):
+def sca_matches(spark, sf_dir, forests=of_documents):
     return sca.matches(forests(spark, sf_dir)).withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -262,11 +273,11 @@ def sca_combine(spark, sf_dir):
     return sca.combined(surrogate_forests(docs), groups_by_source(docs), partitioned=True)
 
 
-def formula_custom(spark, sf_dir, forests=inline):
+def formula_custom(spark, sf_dir, forests=of_documents):
     return sca.analyse(forests(spark, sf_dir), ["PHRASES", "T"], [DEFINITION])
 
 
-def select_measures(spark, sf_dir, forests=inline):
+def select_measures(spark, sf_dir, forests=of_documents):
     return sca.analyse(forests(spark, sf_dir), ["MLS", "W", "MLS"])
 
 
@@ -288,7 +299,7 @@ def cache_valid(spark, sf_dir):
     return files.cache_lookup(source, cached).select("path", "valid")
 
 
-def export_long(spark, sf_dir, forests=inline):
+def export_long(spark, sf_dir, forests=of_documents):
     """File, structure and match rows, as an export writes them."""
     return tables.long_matches(sca.matches(forests(spark, sf_dir)))
 
@@ -302,7 +313,7 @@ def measures_list(spark, sf_dir):
     return measures.Registry([DEFINITION]).listing(spark).select(F.col("ord").cast("long").alias("ord"), "name")
 
 
-def match_drilldown(spark, sf_dir, forests=inline):
+def match_drilldown(spark, sf_dir, forests=of_documents):
     return sca.matches(forests(spark, sf_dir)).groupBy("doc_id", "measure", "match").agg(F.count("*").alias("n"))
 
 
@@ -336,7 +347,7 @@ def conversation_words(spark, sf_dir):
 def queries() -> dict:
     found = {f.__name__: f for f in (
         tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
-        tree_kinds, tree_texts, tree_equal, head_words, tree_paths, tree_meetings, tree_item, node_search, node_negations,
+        tree_kinds, tree_texts, tree_equal, tree_num_edges, head_words, tree_paths, tree_meetings, tree_item, tree_slice, node_search, node_negations,
         sca_counts, sca_ratios, sca_inline, sca_matches, sca_combine, formula_custom, select_measures, files_add_rejects, cache_valid, export_long, table_sort, measures_list,
         match_drilldown, file_sizes, section_types, rollup_words, conversation_words,
     )}
@@ -347,14 +358,18 @@ def queries() -> dict:
         "lca_ndw_first_z": _sampled("NDW-50"), "lca_ndw_er": _sampled("NDW-ER50"), "lca_ndw_es": _sampled("NDW-ES50"), "lca_msttr": _sampled("MSTTR"),
     }
     found |= {f"sca_{n}": _structure(n) for n in patterns.PRIMITIVES}
-    found |= {f"axis_{n}": _axis(n) for n in (*axes.SIMPLE, *axes.PATHS, "unbroken_precedes", "unbroken_follows")}
+    found |= {f"axis_{n}": _axis(n) for n in (*axes.SIMPLE, *axes.PATHS, "unbroken_precedes", "unbroken_follows") if n not in ALL_PAIRS}
     found |= {f"axis_{n}_{'last' if k < 0 else k}": _axis(n, k) for n in ("ith_child_of", "has_ith_child", "ancestor_of_ith_leaf") for k in (2, -1)}
-    # those over the inline forests, whose SQL is over them too, stand a second time over the documents
-    return found | {f"{n}_docs": partial(f, forests=of_documents) for n, f in found.items() if "forests" in signature(f).parameters}
+    return {named(n, f): f for n, f in found.items()}
+
+
+def named(name: str, query) -> str:
+    """Queries over the forests of the documents are named so."""
+    return f"{name}_docs" if "forests" in signature(query).parameters else name
 
 
 def oracle_sql() -> dict[str, str]:
-    inl, sur = sql.inline_forests(FORESTS), sql.surrogate()
+    sur = sql.surrogate()
     grouped = f"""WITH {sql.CLASSED.replace('FROM documents)', "FROM documents)", 1)}, src AS (SELECT c.*, 'g-' || d.source AS group_id FROM classed c JOIN documents d USING (doc_id)), {sql.counts('group_id', 'src')}"""
     er = f"""WITH {sql.TOKENS}, size AS (SELECT doc_id, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY doc_id),
         drawn AS (SELECT doc_id, trial, lemma, row_number() OVER (PARTITION BY doc_id, trial ORDER BY md5(doc_id || '|' || trial || '|' || pos), lemma) AS r FROM plain JOIN size USING (doc_id), range(10) x(trial) WHERE n > 50),
@@ -367,13 +382,15 @@ def oracle_sql() -> dict[str, str]:
     msttr = f"""WITH {sql.TOKENS}, size AS (SELECT doc_id, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY doc_id),
         chunk AS (SELECT doc_id, pos // 50 AS k, count(*) AS n, count(DISTINCT lemma) AS t FROM plain GROUP BY ALL), full50 AS (SELECT doc_id, sum(t) AS t, count(*) * 50 AS n FROM chunk WHERE n = 50 GROUP BY doc_id)
         SELECT doc_id, CASE WHEN f.n IS NULL THEN s.t::DOUBLE / s.n ELSE f.t::DOUBLE / f.n END AS "MSTTR" FROM size s LEFT JOIN full50 f USING (doc_id)"""
-    trees_inline = f"WITH {inl}, {sql.NODES}"
+    trees_sql = f"WITH {sur}, {sql.NODES}"
     spans = "(SELECT string_agg(l.label, ' ' ORDER BY l.st) FROM nodes l WHERE l.doc_id = n.doc_id AND l.tree_id = n.tree_id AND l.is_leaf AND l.st >= n.st AND l.st <= n.en)"
     matched = " UNION ALL ".join(f"SELECT doc_id, tree_id, st, en, '{p}' AS measure FROM found WHERE is_{p}" for p in patterns.PRIMITIVES)
-    matches = f"WITH {inl}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS}, m AS ({matched}), spelled AS (SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY tree_id, st) - 1 AS ord, {spans} AS match FROM m n)"
+    matches = f"WITH {sur}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS}, m AS ({matched}), spelled AS (SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY tree_id, st) - 1 AS ord, {spans} AS match FROM m n)"
     own = f"WITH {sql.TOKENS} "
-    text_sql = trees_inline + r""", shown AS (SELECT doc_id, pos, CASE WHEN tok = '(' THEN '(' WHEN tok = ')' THEN ')' WHEN prev = '(' THEN tok ELSE ' ' || tok END AS s, tok FROM around),
-        texts AS (SELECT n.doc_id, n.tree_id, n.st, CASE WHEN n.st = n.en THEN n.label ELSE (SELECT string_agg(CASE WHEN s.tok = '(' AND s.pos > n.st THEN ' (' ELSE s.s END, '' ORDER BY s.pos) FROM shown s WHERE s.doc_id = n.doc_id AND s.pos >= n.st AND s.pos <= n.en) END AS text FROM nodes n)"""
+    # a tree's tokens as a list, of which a node's are a slice
+    text_sql = trees_sql + """, owned AS (SELECT doc_id, tok, pos, prev, last_value(CASE WHEN tok = '(' AND dep = 1 THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS tree_id FROM around),
+        lists AS (SELECT doc_id, tree_id, list(CASE WHEN tok = '(' AND pos > tree_id THEN ' (' WHEN tok IN ('(', ')') OR prev = '(' THEN tok ELSE ' ' || tok END ORDER BY pos) AS ts FROM owned GROUP BY ALL),
+        texts AS (SELECT n.doc_id, n.tree_id, n.st, n.is_leaf, trim(array_to_string(ts[n.st - n.tree_id + 1 : n.en - n.tree_id + 1], '')) AS text FROM nodes n JOIN lists USING (doc_id, tree_id))"""
     members = " UNION ALL ".join(f"SELECT doc_id, '{c}_t' AS measure, lemma AS match, min(pos) AS p FROM classed WHERE {m} GROUP BY ALL" for c, m in sql.MEMBER.items())
     types_sql = f"WITH {sql.CLASSED}, firsts AS ({members}) SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY p) - 1 AS ord, match FROM firsts"
     out = {
@@ -386,34 +403,36 @@ def oracle_sql() -> dict[str, str]:
         "lca_ndw_first_z": own + 'SELECT doc_id, count(DISTINCT lemma)::DOUBLE AS "NDW-50" FROM plain WHERE pos < 50 GROUP BY doc_id', "lca_ndw_er": er, "lca_ndw_es": es, "lca_msttr": msttr,
         "lca_types_list": f"WITH {sql.CLASSED}, firsts AS (SELECT doc_id, class || '_t' AS measure, lemma AS match, min(pos) AS p FROM classed WHERE class IN ('noun', 'adv') GROUP BY ALL) SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY p) - 1 AS ord, match FROM firsts",
         "lca_combine": grouped + " SELECT group_id, word_t, word_n, noun_t, noun_n, sword_t, lex_t, lex_n FROM counted",
-        "tree_shred": trees_inline + " SELECT doc_id, tree_id, st, en, label, lvl::BIGINT AS lvl, parent, ci, next_label, is_leaf FROM nodes",
+        "tree_shred": trees_sql + " SELECT doc_id, tree_id, st, en, label, lvl::BIGINT AS lvl, parent, ci, next_label, is_leaf FROM nodes",
         "tree_props": f"WITH {sur}, {sql.NODES}, pre AS (SELECT p.doc_id, count(*) AS preterminals FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1 GROUP BY p.doc_id) SELECT n.doc_id, count(*) AS nodes, count(*) FILTER (is_leaf) AS leaves, coalesce(any_value(preterminals), 0) AS preterminals, max(lvl)::BIGINT AS depth, count(*) FILTER (parent IS NULL) AS trees FROM nodes n LEFT JOIN pre ON pre.doc_id = n.doc_id GROUP BY n.doc_id",
-        "tree_edges": f"WITH {inl}, {sql.NODES}, {sql.EDGES} SELECT doc_id, tree_id, st, left_edge, right_edge, {spans} AS span FROM edged n",
-        "tree_heights": trees_inline + " SELECT a.doc_id, a.tree_id, a.st, (max(d.lvl) - max(a.lvl) + 1)::BIGINT AS height FROM nodes a JOIN nodes d ON a.doc_id = d.doc_id AND a.tree_id = d.tree_id AND d.st >= a.st AND d.st <= a.en GROUP BY ALL",
-        "tree_tagged": trees_inline + " SELECT p.doc_id, p.tree_id, p.st, c.label || '/' || p.label AS tagged FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1",
-        "head_child": f"WITH {inl}, {sql.NODES}, {sql.heads()} SELECT doc_id, tree_id, st, head_st, head_label FROM headed WHERE n_kids > 0",
-        "tree_kinds": trees_inline + """, pre AS (SELECT p.doc_id, p.st FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1),
+        "tree_edges": f"WITH {sur}, {sql.NODES}, {sql.EDGES} SELECT doc_id, tree_id, st, left_edge, right_edge, {spans} AS span FROM edged n",
+        "tree_heights": trees_sql + " SELECT a.doc_id, a.tree_id, a.st, (max(d.lvl) - max(a.lvl) + 1)::BIGINT AS height FROM nodes a JOIN nodes d ON a.doc_id = d.doc_id AND a.tree_id = d.tree_id AND d.st >= a.st AND d.st <= a.en GROUP BY ALL",
+        "tree_tagged": trees_sql + " SELECT p.doc_id, p.tree_id, p.st, c.label || '/' || p.label AS tagged FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1",
+        "head_child": f"WITH {sur}, {sql.NODES}, {sql.heads()} SELECT doc_id, tree_id, st, head_st, head_label FROM headed WHERE n_kids > 0",
+        "tree_kinds": trees_sql + """, pre AS (SELECT p.doc_id, p.st FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1),
             k AS (SELECT n.*, n.is_leaf OR EXISTS (SELECT 1 FROM pre WHERE pre.doc_id = n.doc_id AND pre.st = n.st) AS low, EXISTS (SELECT 1 FROM pre WHERE pre.doc_id = n.doc_id AND pre.st = n.st) AS is_pre FROM nodes n)
             SELECT doc_id, tree_id, st, NOT low AS phrasal, n_kids = 1 AS unary, n_kids > 0 AND NOT EXISTS (SELECT 1 FROM k c WHERE c.doc_id = n.doc_id AND c.parent = n.st AND NOT c.is_pre) AS prepreterminal,
             NOT EXISTS (SELECT 1 FROM k d WHERE d.doc_id = n.doc_id AND d.st >= n.st AND d.en <= n.en AND NOT d.low AND d.n_kids <> 2) AS binary FROM k n""",
         "tree_texts": text_sql + " SELECT doc_id, tree_id, st, text FROM texts",
-        "tree_equal": text_sql + " SELECT text, count(*) AS n FROM texts JOIN nodes USING (doc_id, st) WHERE NOT is_leaf GROUP BY text",
-        "head_words": f"WITH RECURSIVE {inl}, {sql.NODES}, {sql.heads()}, chain(doc_id, tree_id, st, node) AS (SELECT doc_id, tree_id, st, st FROM headed UNION ALL SELECT c.doc_id, c.tree_id, c.st, h.head_st FROM chain c JOIN headed h ON h.doc_id = c.doc_id AND h.st = c.node WHERE h.head_st IS NOT NULL) SELECT c.doc_id, c.tree_id, c.st, n.label AS word FROM chain c JOIN nodes n ON n.doc_id = c.doc_id AND n.st = c.node WHERE n.is_leaf",
-        "tree_paths": f"WITH RECURSIVE {inl}, {sql.NODES}, way(doc_id, tree_id, st, step, node) AS (SELECT doc_id, tree_id, st, 0, st FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT w.doc_id, w.tree_id, w.st, w.step + 1, p.st FROM way w JOIN nodes n ON n.doc_id = w.doc_id AND n.st = w.node JOIN nodes p ON p.doc_id = n.doc_id AND p.st = n.parent WHERE p.parent IS NOT NULL) SELECT doc_id, tree_id, st, step::BIGINT AS step, node FROM way",
-        "tree_meetings": trees_inline + ", lasts AS (SELECT doc_id, tree_id, max(st) AS b FROM nodes WHERE is_leaf GROUP BY ALL), m AS (SELECT a.doc_id, a.tree_id, a.st AS a, l.b, (SELECT max(x.st) FROM nodes x WHERE x.doc_id = a.doc_id AND x.tree_id = a.tree_id AND x.st <= a.st AND x.en >= l.b) AS meet FROM nodes a JOIN lasts l USING (doc_id, tree_id) WHERE a.is_leaf) SELECT m.doc_id, m.tree_id, m.a, m.b, meet, (x.lvl - z.lvl)::BIGINT AS up, (y.lvl - z.lvl)::BIGINT AS down FROM m JOIN nodes x ON x.doc_id = m.doc_id AND x.st = m.a JOIN nodes y ON y.doc_id = m.doc_id AND y.st = m.b JOIN nodes z ON z.doc_id = m.doc_id AND z.st = m.meet",
-        "tree_item": trees_inline + " SELECT n.doc_id, n.tree_id, n.st, d.st AS node FROM nodes n JOIN nodes c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.ci = 0 JOIN nodes d ON d.doc_id = c.doc_id AND d.parent = c.st AND d.ci = c.n_kids - 1",
-        "node_search": trees_inline + """ SELECT n.doc_id, n.tree_id, n.st FROM nodes n WHERE split_part(n.label, '-', 1) = 'NP' AND EXISTS (SELECT 1 FROM nodes d WHERE d.doc_id = n.doc_id AND d.st > n.st AND d.en < n.en AND upper(d.label) LIKE 'NN%')
+        "tree_equal": text_sql + ", firsts AS (SELECT *, count(*) OVER (PARTITION BY text) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id, tree_id, st) AS k FROM texts WHERE NOT is_leaf) SELECT doc_id, tree_id, st, n FROM firsts WHERE k = 1",
+        "tree_num_edges": f"WITH {sur}, {sql.NODES}, {sql.NUM_EDGES} SELECT doc_id, tree_id, st, edges, weight FROM counted_edges",
+        "tree_slice": trees_sql + " SELECT n.doc_id, n.tree_id, n.st, d.st AS node FROM nodes n JOIN nodes c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.ci >= 1 AND (n.n_kids - 1 - c.ci) % 2 = 0 JOIN nodes d ON d.doc_id = c.doc_id AND d.parent = c.st AND d.ci = 0",
+        "head_words": f"WITH RECURSIVE {sur}, {sql.NODES}, {sql.heads()}, chain(doc_id, tree_id, st, node) AS (SELECT doc_id, tree_id, st, st FROM headed UNION ALL SELECT c.doc_id, c.tree_id, c.st, h.head_st FROM chain c JOIN headed h ON h.doc_id = c.doc_id AND h.st = c.node WHERE h.head_st IS NOT NULL) SELECT c.doc_id, c.tree_id, c.st, n.label AS word FROM chain c JOIN nodes n ON n.doc_id = c.doc_id AND n.st = c.node WHERE n.is_leaf",
+        "tree_paths": f"WITH RECURSIVE {sur}, {sql.NODES}, way(doc_id, tree_id, st, step, node) AS (SELECT doc_id, tree_id, st, 0, st FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT w.doc_id, w.tree_id, w.st, w.step + 1, p.st FROM way w JOIN nodes n ON n.doc_id = w.doc_id AND n.st = w.node JOIN nodes p ON p.doc_id = n.doc_id AND p.st = n.parent WHERE p.parent IS NOT NULL) SELECT doc_id, tree_id, st, step::BIGINT AS step, node FROM way",
+        "tree_meetings": trees_sql + ", lasts AS (SELECT doc_id, tree_id, max(st) AS b FROM nodes WHERE is_leaf GROUP BY ALL), m AS (SELECT a.doc_id, a.tree_id, a.st AS a, l.b, (SELECT max(x.st) FROM nodes x WHERE x.doc_id = a.doc_id AND x.tree_id = a.tree_id AND x.st <= a.st AND x.en >= l.b) AS meet FROM nodes a JOIN lasts l USING (doc_id, tree_id) WHERE a.is_leaf) SELECT m.doc_id, m.tree_id, m.a, m.b, meet, (x.lvl - z.lvl)::BIGINT AS up, (y.lvl - z.lvl)::BIGINT AS down FROM m JOIN nodes x ON x.doc_id = m.doc_id AND x.st = m.a JOIN nodes y ON y.doc_id = m.doc_id AND y.st = m.b JOIN nodes z ON z.doc_id = m.doc_id AND z.st = m.meet",
+        "tree_item": trees_sql + " SELECT n.doc_id, n.tree_id, n.st, d.st AS node FROM nodes n JOIN nodes c ON c.doc_id = n.doc_id AND c.parent = n.st AND c.ci = 0 JOIN nodes d ON d.doc_id = c.doc_id AND d.parent = c.st AND d.ci = c.n_kids - 1",
+        "node_search": trees_sql + """ SELECT n.doc_id, n.tree_id, n.st FROM nodes n WHERE split_part(n.label, '-', 1) = 'NP' AND EXISTS (SELECT 1 FROM nodes d WHERE d.doc_id = n.doc_id AND d.st > n.st AND d.en < n.en AND upper(d.label) LIKE 'NN%')
             AND EXISTS (SELECT 1 FROM nodes u WHERE u.doc_id = n.doc_id AND u.st < n.st AND u.en > n.en AND u.label IN ('S', 'SQ', 'SINV')) AND coalesce(n.next_label <> 'CC', TRUE)""",
-        "node_negations": trees_inline + " SELECT n.doc_id, n.tree_id, n.st FROM nodes n WHERE n.parent IS NOT NULL AND coalesce(n.label NOT LIKE 'N%', TRUE) AND n.n_kids > 0",
+        "node_negations": trees_sql + " SELECT n.doc_id, n.tree_id, n.st FROM nodes n WHERE n.parent IS NOT NULL AND coalesce(n.label NOT LIKE 'N%', TRUE) AND n.n_kids > 0",
         "lca_types_all": types_sql,
         "sca_W": f"WITH {sur} SELECT doc_id, len(regexp_extract_all(forest, '{sql.WORD}'))::BIGINT AS \"W\" FROM forests",
         "sca_counts": sql.structure_counts(sur) + f" SELECT doc_id, W, {', '.join(patterns.PRIMITIVES)} FROM prim",
         "sca_ratios": sql.structure_counts(sur) + f" SELECT doc_id, {sql.ALL} FROM sums",
-        "sca_inline": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ALL} FROM sums",
+        "sca_inline": sql.structure_counts(sur) + f" SELECT doc_id, {sql.ALL} FROM sums",
         "sca_matches": matches + " SELECT * FROM spelled",
         "sca_combine": sql.structure_counts(sur) + f", grouped AS (SELECT 'g-' || source AS group_id, {', '.join(f'sum({c})::BIGINT AS {c}' for c in ('W', 'S', 'VP', 'C', 'T', 'DC', 'CT', 'CP', 'CN'))} FROM sums JOIN documents USING (doc_id) GROUP BY ALL) SELECT group_id, {sql.ALL} FROM grouped",
-        "formula_custom": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ratio('VP + CP + 2 * CN', 'C')} AS \"PHRASES\", T FROM sums",
-        "select_measures": sql.structure_counts(inl) + f" SELECT doc_id, {sql.ratio('W', 'S')} AS \"MLS\", W FROM sums",
+        "formula_custom": sql.structure_counts(sur) + f" SELECT doc_id, {sql.ratio('VP + CP + 2 * CN', 'C')} AS \"PHRASES\", T FROM sums",
+        "select_measures": sql.structure_counts(sur) + f" SELECT doc_id, {sql.ratio('W', 'S')} AS \"MLS\", W FROM sums",
         "files_add_rejects": "SELECT url AS path, CASE WHEN url LIKE '%0' THEN 'already added' WHEN coalesce(strlen(html), 0) = 0 THEN 'empty' ELSE 'added' END AS status FROM (SELECT DISTINCT url, max(html) AS html FROM pages GROUP BY url)",
         "cache_valid": "WITH s AS (SELECT user_id::VARCHAR AS path, max(ts) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT user_id::VARCHAR AS path, max(ts) AS cached_at, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT path, coalesce(cached_at > m AND n > 0, FALSE) AS valid FROM s LEFT JOIN c USING (path)",
         "export_long": matches + ' SELECT doc_id::VARCHAR AS "Filename", measure AS "Structure", match AS "Match" FROM spelled',
@@ -425,5 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "rollup_words": f"SELECT lang, source, sum(len(regexp_extract_all(lower(text), '{sql.TOKEN}')))::BIGINT AS n_words, count(*) AS n_docs FROM documents GROUP BY ROLLUP (lang, source)",
         "conversation_words": f"WITH w AS (SELECT conv_id, unnest(regexp_extract_all(lower(text), '{sql.TOKEN}')) AS lemma FROM conversations) SELECT conv_id, count(DISTINCT lemma) AS word_t, count(*) AS word_n, count(DISTINCT lemma)::DOUBLE / count(*) AS \"TTR\" FROM w GROUP BY conv_id",
     }
-    out |= {f"sca_{p}": f"WITH {inl}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS} SELECT doc_id, tree_id, st FROM found WHERE is_{p}" for p in patterns.PRIMITIVES}
-    return out | sql.axis_sql(inl)
+    out |= {f"sca_{p}": f"WITH {sur}, {sql.NODES}, {sql.heads()}, {sql.PATTERNS} SELECT doc_id, tree_id, st FROM found WHERE is_{p}" for p in patterns.PRIMITIVES}
+    out |= sql.axis_sql(sur)
+    have = queries()
+    return {n if n in have else f"{n}_docs": q for n, q in out.items() if n in have or f"{n}_docs" in have}

@@ -1,7 +1,7 @@
 """Every axis against a walk over small trees, the structures against single trees, and deep trees."""
 
 import pytest
-from lexforest.operators import axes, heads, patterns, predicates, properties, trees
+from lexforest.operators import axes, folds, heads, patterns, predicates, properties, trees
 from lexforest.plans import sca
 from lexforest.queries import FORESTS
 from pyspark.sql import functions as F
@@ -163,7 +163,7 @@ def test_deep_trees(spark):
     df = spark.createDataFrame([(1, "(ROOT " + deep(1100) + ")"), (2, "(ROOT (S (NP (PRP it)) " + "(VP (VBD said) (SBAR (S (NP (PRP he)) " * 300 + "(VP (VBZ is))" + ")))" * 300 + "))")], "doc_id long, forest string")
     n = trees.shred(df).persist()
     assert n.where("doc_id = 1").agg(F.max("lvl"), F.count("*")).first()[:] == (1102, 1102)
-    assert {r.doc_id: r.height for r in trees.heights(n).where("st = 0").collect()}[1] == 1102
+    assert {r.doc_id: r.height for r in folds.heights(n).where("st = 0").collect()}[1] == 1102
     r = sca.counts(df.where("doc_id = 2")).first()
     assert (r.C1, r.DC, r.T1, r.VP1, r.CT) == (301, 300, 1, 301, 1)
     assert properties.kinds(n).where("doc_id = 1 AND NOT is_leaf AND NOT binary").count() == 1100

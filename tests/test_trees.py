@@ -126,6 +126,6 @@ def test_tree_queries_read_the_documents(spark, tmp_path):
     for name in ("tree_shred_docs", "tree_heights_docs", "tree_edges_docs", "sca_matches_docs"):
         assert {r.doc_id for r in found[name](spark, str(tmp_path)).collect()} == {71, 72}, name
     for forests in (queries.inline, queries.of_documents):
-        nodes = found["tree_shred"](spark, str(tmp_path), forests=forests).collect()
+        nodes = found["tree_shred_docs"](spark, str(tmp_path), forests=forests).collect()
         want = {(a.doc_id, a.st): 1 + max(d.lvl - a.lvl for d in nodes if (d.doc_id, d.tree_id) == (a.doc_id, a.tree_id) and a.st <= d.st <= a.en) for a in nodes}
-        assert {(r.doc_id, r.st): r.height for r in found["tree_heights"](spark, str(tmp_path), forests=forests).collect()} == want
+        assert {(r.doc_id, r.st): r.height for r in found["tree_heights_docs"](spark, str(tmp_path), forests=forests).collect()} == want
