@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as sql
+from . import shared
 from .functions.scalar import safe_div
 from .operators import axes, combine, files, folds, heads, lexical, measures, patterns, predicates, properties, tables, trees
 from .operators.surrogate import surrogate_forests
@@ -143,6 +144,22 @@ def lca_combine(spark, sf_dir):
     return counted.select("group_id", "word_t", "word_n", "noun_t", "noun_n", "sword_t", "lex_t", "lex_n")
 
 
+def lca_combine_stream(spark, sf_dir):
+    """What lca_combine gives, from a stream of the documents: members gathered as keyed state, groups given out once whole."""
+    from .streaming import groups
+
+    docs = documents(spark, sf_dir)
+    sizes = groups_by_source(docs).groupBy("group_id").agg(F.count("*").alias("declared"))
+    # as a pattern, for the table may be one file, which a stream refuses by its plain name
+    source = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/[d]ocuments.parquet")
+    members = source.withColumn("group_id", F.concat(F.lit("g-"), "source")).withColumn("arrived", F.current_timestamp()).join(sizes, "group_id")
+    out = shared.folder(spark, "groups")
+    groups.start(members, f"{out}/types", f"{out}/checkpoint").awaitTermination()
+    _, classes = words_and_classes(spark, sf_dir)
+    counted = groups.group_counts(groups.given_out(spark, f"{out}/types"), classes)
+    return counted.select("group_id", "word_t", "word_n", "noun_t", "noun_n", "sword_t", "lex_t", "lex_n")
+
+
 # ---- trees
 
 
@@ -346,7 +363,7 @@ def conversation_words(spark, sf_dir):
 
 def queries() -> dict:
     found = {f.__name__: f for f in (
-        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
+        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, lca_combine_stream, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
         tree_kinds, tree_texts, tree_equal, tree_num_edges, head_words, tree_paths, tree_meetings, tree_item, tree_slice, node_search, node_negations,
         sca_counts, sca_ratios, sca_inline, sca_matches, sca_combine, formula_custom, select_measures, files_add_rejects, cache_valid, export_long, table_sort, measures_list,
         match_drilldown, file_sizes, section_types, rollup_words, conversation_words,
@@ -403,6 +420,7 @@ def oracle_sql() -> dict[str, str]:
         "lca_ndw_first_z": own + 'SELECT doc_id, count(DISTINCT lemma)::DOUBLE AS "NDW-50" FROM plain WHERE pos < 50 GROUP BY doc_id', "lca_ndw_er": er, "lca_ndw_es": es, "lca_msttr": msttr,
         "lca_types_list": f"WITH {sql.CLASSED}, firsts AS (SELECT doc_id, class || '_t' AS measure, lemma AS match, min(pos) AS p FROM classed WHERE class IN ('noun', 'adv') GROUP BY ALL) SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY p) - 1 AS ord, match FROM firsts",
         "lca_combine": grouped + " SELECT group_id, word_t, word_n, noun_t, noun_n, sword_t, lex_t, lex_n FROM counted",
+        "lca_combine_stream": grouped + " SELECT group_id, word_t, word_n, noun_t, noun_n, sword_t, lex_t, lex_n FROM counted",
         "tree_shred": trees_sql + " SELECT doc_id, tree_id, st, en, label, lvl::BIGINT AS lvl, parent, ci, next_label, is_leaf FROM nodes",
         "tree_props": f"WITH {sur}, {sql.NODES}, pre AS (SELECT p.doc_id, count(*) AS preterminals FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1 GROUP BY p.doc_id) SELECT n.doc_id, count(*) AS nodes, count(*) FILTER (is_leaf) AS leaves, coalesce(any_value(preterminals), 0) AS preterminals, max(lvl)::BIGINT AS depth, count(*) FILTER (parent IS NULL) AS trees FROM nodes n LEFT JOIN pre ON pre.doc_id = n.doc_id GROUP BY n.doc_id",
         "tree_edges": f"WITH {sur}, {sql.NODES}, {sql.EDGES} SELECT doc_id, tree_id, st, left_edge, right_edge, {spans} AS span FROM edged n",
