@@ -118,13 +118,14 @@ class Input:
 def annotated(spark, args, docs, annotate):
     """docs with the column annotation, from the cache where it is asked for and valid."""
     from .operators.cache import AnnotationCache
+    from .operators.files import missing_annotations
     from .sources.readers import local_path
 
     if not (args.cache or args.use_cache) or args.text is not None:
         return annotate(docs)
     cache = AnnotationCache(spark, local_path(args.cache_folder), args.what)
     fresh = cache.lookup(docs) if args.use_cache else docs.limit(0).select("doc_id").selectExpr("*", "'' AS annotation")
-    made = annotate(docs.join(fresh.select("doc_id"), "doc_id", "left_anti"))
+    made = annotate(missing_annotations(docs, fresh))
     if args.cache:
         cache.save(made.join(docs.select("doc_id", "path"), "doc_id"))
     return made.select("doc_id", "annotation").unionByName(fresh.select("doc_id", "annotation"))

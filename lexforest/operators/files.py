@@ -27,9 +27,10 @@ def cache_lookup(source: DataFrame, cached: DataFrame) -> DataFrame:
     return both.withColumn("valid", F.coalesce((F.col("cached_at") > F.col("mtime")) & (F.col("size") > 0), F.lit(False)))
 
 
-def missing_annotations(documents: DataFrame, annotated: DataFrame) -> DataFrame:
-    """Documents whose annotation is not there yet."""
-    return documents.join(annotated.select("doc_id"), "doc_id", "left_anti")
+def missing_annotations(documents: DataFrame, annotated: DataFrame, *by: str) -> DataFrame:
+    """Documents whose annotation is not there yet; by: what tells them apart, else their doc_id."""
+    on = list(by or ("doc_id",))
+    return documents.join(annotated.select(*on), on, "left_anti")
 
 
 def keep_sentences(sentences: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from . import oracle as sql
 from . import shared
 from .functions.scalar import safe_div
 from .operators import axes, combine, files, folds, heads, lexical, measures, patterns, predicates, properties, tables, trees
+from .operators.annotations import TAGS, WORDS, AnnotationStore
 from .operators.surrogate import surrogate_forests
 from .operators.tokens import lemmas, tokens, vocabulary
 from .plans import lca, sca
@@ -160,6 +161,15 @@ def lca_combine_stream(spark, sf_dir):
     return counted.select("group_id", "word_t", "word_n", "noun_t", "noun_n", "sword_t", "lex_t", "lex_n")
 
 
+def annotation_store(spark, sf_dir):
+    """Words and nouns of every document from a store of annotations: words are kept first, tags are added to them."""
+    docs, folder = documents(spark, sf_dir), shared.folder(spark, "annotations")
+    AnnotationStore(spark, folder, [WORDS]).update(docs, ["lemmas"])
+    known = AnnotationStore(spark, folder, [WORDS, TAGS]).annotate(docs, ["lemmas", "tags"])
+    nouns = F.filter("tags", lambda t: t.isin("NN", "NNS"))
+    return known.select("doc_id", F.size("lemmas").cast("long").alias("n_words"), F.size(nouns).cast("long").alias("n_nouns"))
+
+
 # ---- trees
 
 
@@ -363,7 +373,7 @@ def conversation_words(spark, sf_dir):
 
 def queries() -> dict:
     found = {f.__name__: f for f in (
-        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, lca_combine_stream, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
+        tok_counts, wordlist_topk, lca_classes, lca_counts, lca_ttr_family, lca_types_all, lca_types_list, lca_combine, lca_combine_stream, annotation_store, tree_shred, tree_props, tree_edges, tree_heights, tree_tagged, head_child,
         tree_kinds, tree_texts, tree_equal, tree_num_edges, head_words, tree_paths, tree_meetings, tree_item, tree_slice, node_search, node_negations,
         sca_counts, sca_ratios, sca_inline, sca_matches, sca_combine, formula_custom, select_measures, files_add_rejects, cache_valid, export_long, table_sort, measures_list,
         match_drilldown, file_sizes, section_types, rollup_words, conversation_words,
@@ -421,6 +431,7 @@ def oracle_sql() -> dict[str, str]:
         "lca_types_list": f"WITH {sql.CLASSED}, firsts AS (SELECT doc_id, class || '_t' AS measure, lemma AS match, min(pos) AS p FROM classed WHERE class IN ('noun', 'adv') GROUP BY ALL) SELECT doc_id, measure, row_number() OVER (PARTITION BY doc_id, measure ORDER BY p) - 1 AS ord, match FROM firsts",
         "lca_combine": grouped + " SELECT group_id, word_t, word_n, noun_t, noun_n, sword_t, lex_t, lex_n FROM counted",
         "lca_combine_stream": grouped + " SELECT group_id, word_t, word_n, noun_t, noun_n, sword_t, lex_t, lex_n FROM counted",
+        "annotation_store": f"WITH {sql.TOKENS} SELECT d.doc_id, count(t.doc_id) AS n_words, count_if(t.tag = 'NOUN')::BIGINT AS n_nouns FROM documents d LEFT JOIN tagged t ON t.doc_id = d.doc_id GROUP BY d.doc_id",
         "tree_shred": trees_sql + " SELECT doc_id, tree_id, st, en, label, lvl::BIGINT AS lvl, parent, ci, next_label, is_leaf FROM nodes",
         "tree_props": f"WITH {sur}, {sql.NODES}, pre AS (SELECT p.doc_id, count(*) AS preterminals FROM nodes p JOIN nodes c ON c.doc_id = p.doc_id AND c.parent = p.st AND c.is_leaf WHERE p.n_kids = 1 GROUP BY p.doc_id) SELECT n.doc_id, count(*) AS nodes, count(*) FILTER (is_leaf) AS leaves, coalesce(any_value(preterminals), 0) AS preterminals, max(lvl)::BIGINT AS depth, count(*) FILTER (parent IS NULL) AS trees FROM nodes n LEFT JOIN pre ON pre.doc_id = n.doc_id GROUP BY n.doc_id",
         "tree_edges": f"WITH {sur}, {sql.NODES}, {sql.EDGES} SELECT doc_id, tree_id, st, left_edge, right_edge, {spans} AS span FROM edged n",
