@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..operators.files import SUFFIXES, suffix
+from .charsets import decode
 
 # Parts and tags of the two word-processor formats.
 DOCX_PART, DOCX_P, DOCX_T = "word/document.xml", "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}p", "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}t"
@@ -34,39 +35,6 @@ def unpack(content: bytes, kind: str) -> str | None:
     return "\n".join("".join(p.itertext()) for p in root.iter(ODT_P))
 
 
-# Legacy encodings that are tried where a file is no Unicode, and the letters that texts in them hold.
-LEGACY = {
-    "cp1252": "éèêëàâäçôöùûüîïñáíóúßœæøåÉÀÄÖÜÇÑ’‘“”–—…«»¿¡°€",
-    "cp1250": "ąćęłńóśźżčďěňřšťůžáéíýúőűäöüßĄĆĘŁŃŚŹŻČŘŠŽ„”“’–…",
-    "cp1251": "абвгдежзийклмнопрстуфхцчшщъыьэюяёАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ«»—–…",
-}
-#: The first level of GB 2312: the two-byte characters from B0A1 to D7F9, and common marks.
-_FIRST_LEVEL = "".join(bytes((a, b)).decode("gb18030") for a in range(0xB0, 0xD8) for b in range(0xA1, 0xFF) if (a, b) <= (0xD7, 0xF9)) + "，。、；：？！"
-_LETTERS = {k: frozenset(v) for k, v in (LEGACY | {"gb18030": _FIRST_LEVEL}).items()}
-
-
-def decode(content: bytes) -> str:
-    """UTF-8 if it is that, with or without a mark, else UTF-16 by its mark, else the legacy encoding that reads most
-    of the other bytes as letters of its languages (ties to the first); decided for each file alone."""
-    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return content.decode("utf-16", "replace")
-    try:
-        return content.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        pass
-    best, text = -1.0, content.decode("latin-1")
-    for name, letters in _LETTERS.items():
-        try:
-            read = content.decode(name)
-        except UnicodeDecodeError:
-            continue
-        high = [c for c in read if c > "\x7f"]
-        share = sum(c in letters for c in high) / len(high) if high else 0.0
-        if share > best:
-            best, text = share, read
-    return text
-
-
 def _texts(content: pa.Array, kind: pa.Array) -> pa.Array:
     return pa.array([unpack(c, k) if k in ("docx", "odt") else decode(c) for c, k in zip(content.to_pylist(), kind.to_pylist(), strict=True)], pa.string())
 
