@@ -9,35 +9,35 @@ from .trees import child, from_children
 
 # The published head rules. Mother, then (direction, categories) in order of trial.
 HEAD_RULES = {
-    "ADJP": [("left", "NNS QP NN $ ADVP JJ VBN VBG ADJP JJR NP JJS DT FW RBR RBS SBAR RB")],
-    "ADVP": [("right", "RB RBR RBS FW ADVP TO CD JJR JJ IN NP JJS NN")],
-    "CONJP": [("right", "CC RB IN")],
-    "FRAG": [("right", "")],
-    "INTJ": [("left", "")],
-    "LST": [("right", "LS :")],
-    "NAC": [("left", "NN NNS NNP NNPS NP NAC EX $ CD QP PRP VBG JJ JJS JJR ADJP FW")],
-    "NX": [("left", "")],
-    "PP": [("right", "IN TO VBG VBN RP FW")],
-    "PRN": [("left", "")],
-    "PRT": [("right", "RP")],
-    "QP": [("left", "$ IN NNS NN JJ RB DT CD NCD QP JJR JJS")],
-    "RRC": [("right", "VP NP ADVP ADJP PP")],
-    "S": [("left", "TO IN VP S SBAR ADJP UCP NP")],
-    "SBAR": [("left", "WHNP WHPP WHADVP WHADJP IN DT S SQ SINV SBAR FRAG")],
-    "SBARQ": [("left", "SQ S SINV SBARQ FRAG")],
-    "SINV": [("left", "VBZ VBD VBP VB MD VP S SINV ADJP NP")],
-    "SQ": [("left", "VBZ VBD VBP VB MD VP SQ")],
-    "UCP": [("right", "")],
-    "VP": [("left", "TO VBD VBN MD VBZ VB VBG VBP AUX AUXG VP ADJP NN NNS NP")],
-    "WHADJP": [("left", "CC WRB JJ ADJP")],
-    "WHADVP": [("right", "CC WRB")],
-    "WHNP": [("left", "WDT WP WP$ WHADJP WHPP WHNP")],
-    "WHPP": [("right", "IN TO FW")],
-    "X": [("right", "")],
-    "NP": [("rightdis", "NN NNP NNPS NNS NX POS JJR"), ("left", "NP"), ("rightdis", "$ ADJP PRN"), ("right", "CD"), ("rightdis", "JJ JJS RB QP")],
-    "TYPO": [("left", "")],
-    "EDITED": [("left", "")],
-    "XS": [("right", "IN")],
+    "ADJP": [("left", ["NNS", "QP", "NN", "$", "ADVP", "JJ", "VBN", "VBG", "ADJP", "JJR", "NP", "JJS", "DT", "FW", "RBR", "RBS", "SBAR", "RB"])],
+    "ADVP": [("right", ["RB", "RBR", "RBS", "FW", "ADVP", "TO", "CD", "JJR", "JJ", "IN", "NP", "JJS", "NN"])],
+    "CONJP": [("right", ["CC", "RB", "IN"])],
+    "FRAG": [("right", [])],
+    "INTJ": [("left", [])],
+    "LST": [("right", ["LS", ":"])],
+    "NAC": [("left", ["NN", "NNS", "NNP", "NNPS", "NP", "NAC", "EX", "$", "CD", "QP", "PRP", "VBG", "JJ", "JJS", "JJR", "ADJP", "FW"])],
+    "NX": [("left", [])],
+    "PP": [("right", ["IN", "TO", "VBG", "VBN", "RP", "FW"])],
+    "PRN": [("left", [])],
+    "PRT": [("right", ["RP"])],
+    "QP": [("left", ["$", "IN", "NNS", "NN", "JJ", "RB", "DT", "CD", "NCD", "QP", "JJR", "JJS"])],
+    "RRC": [("right", ["VP", "NP", "ADVP", "ADJP", "PP"])],
+    "S": [("left", ["TO", "IN", "VP", "S", "SBAR", "ADJP", "UCP", "NP"])],
+    "SBAR": [("left", ["WHNP", "WHPP", "WHADVP", "WHADJP", "IN", "DT", "S", "SQ", "SINV", "SBAR", "FRAG"])],
+    "SBARQ": [("left", ["SQ", "S", "SINV", "SBARQ", "FRAG"])],
+    "SINV": [("left", ["VBZ", "VBD", "VBP", "VB", "MD", "VP", "S", "SINV", "ADJP", "NP"])],
+    "SQ": [("left", ["VBZ", "VBD", "VBP", "VB", "MD", "VP", "SQ"])],
+    "UCP": [("right", [])],
+    "VP": [("left", ["TO", "VBD", "VBN", "MD", "VBZ", "VB", "VBG", "VBP", "AUX", "AUXG", "VP", "ADJP", "NN", "NNS", "NP"])],
+    "WHADJP": [("left", ["CC", "WRB", "JJ", "ADJP"])],
+    "WHADVP": [("right", ["CC", "WRB"])],
+    "WHNP": [("left", ["WDT", "WP", "WP$", "WHADJP", "WHPP", "WHNP"])],
+    "WHPP": [("right", ["IN", "TO", "FW"])],
+    "X": [("right", [])],
+    "NP": [("rightdis", ["NN", "NNP", "NNPS", "NNS", "NX", "POS", "JJR"]), ("left", ["NP"]), ("rightdis", ["$", "ADJP", "PRN"]), ("right", ["CD"]), ("rightdis", ["JJ", "JJS", "RB", "QP"])],
+    "TYPO": [("left", [])],
+    "EDITED": [("left", [])],
+    "XS": [("right", ["IN"])],
 }
 # Marks that keep the head where it is in a coordination.
 PUNCTUATION = ("''``", ".", ":", ",")
@@ -45,7 +45,7 @@ PUNCTUATION = ("''``", ".", ":", ",")
 
 def rules_table(spark) -> DataFrame:
     """mother, rules: array of (dir, cats); one row a mother."""
-    rows = [(m, [(d, c.split()) for d, c in rules]) for m, rules in HEAD_RULES.items()]
+    rows = list(HEAD_RULES.items())
     return spark.createDataFrame(rows, "mother string, rules array<struct<dir:string,cats:array<string>>>")
 
 

@@ -19,6 +19,7 @@ CLASSES = ("word", "sword", "lex", "slex", "noun", "verb", "sverb", "adj", "adv"
 CLASS_NAMES = {"word": "words", "sword": "sophisticated words", "lex": "lexical words", "slex": "sophisticated lexical words", "noun": "nouns", "verb": "verbs", "sverb": "sophisticated verbs", "adj": "adjectives", "adv": "adverbs"}
 EASY, SECTION, TRIALS = 2000, 50, 10
 
+# The published indices and their names.
 #: name -> formula over <class>_t (types) and <class>_n (tokens); ratios are one division of whole numbers.
 INDICES = {
     "LD": lambda c: safe_div(c("lex_n"), c("word_n")),

@@ -93,7 +93,7 @@ edged AS MATERIALIZED (SELECT n.*, (SELECT count(*) FROM leaves l WHERE l.doc_id
 
 
 def heads(source: str = "nodes") -> str:
-    rows = ", ".join(f"('{m}', {k}, '{d}', [{', '.join(repr(c) for c in cats.split())}]::VARCHAR[])" for m, rules in HEAD_RULES.items() for k, (d, cats) in enumerate(rules))
+    rows = ", ".join(f"('{m}', {k}, '{d}', [{', '.join(repr(c) for c in cats)}]::VARCHAR[])" for m, rules in HEAD_RULES.items() for k, (d, cats) in enumerate(rules))
     return f"""
 rules(mother, ord, dir, cats) AS (VALUES {rows}),
 hits AS MATERIALIZED (SELECT p.doc_id, p.st, c.ci, r.ord * 1000000 + CASE WHEN r.dir IN ('left', 'right') THEN list_position(r.cats, c.label) ELSE 0 END * 1000 + CASE WHEN r.dir LIKE 'left%' THEN c.ci ELSE 900 - c.ci END AS k
