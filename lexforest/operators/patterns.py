@@ -2,7 +2,7 @@
 
 Definitions follow Lu (2010). A structure's matches are distinct nodes, so every
 condition on other nodes is a yes or no: conditions on children come up by windows
-over families, conditions on ancestors and descendants are running counts.
+over families, conditions on ancestors and descendants are running extremes.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .heads import with_heads
-from .trees import TREE, child, from_children, inside
+from .trees import TREE, child, enclosed, from_children
 
 # Label sets of the definitions.
 FINITE = ("MD", "VBZ", "VBP", "VBD")
 CLAUSE, SENTENCE = ("S", "SINV", "SQ"), ("S", "SBARQ", "SINV", "SQ")
 NOMINAL = ("JJ", "POS", "PP", "S", "VBG")
 THAT = ("That", "that", "For", "for")
+#: Labels of nodes that matter beside their parents or children; IN, words and finite tags matter only in their places.
+LASTING = tuple(sorted({*SENTENCE, *NOMINAL, "ROOT", "FRAG", "SBAR", "NP", "VP", "ADJP", "ADVP"}))
 #: Every label that a definition names.
 NAMED = tuple(sorted({*FINITE, *CLAUSE, *SENTENCE, *NOMINAL, *THAT, "ROOT", "FRAG", "SBAR", "NP", "VP", "ADJP", "ADVP", "CC", "IN", "VB", "TO", "WHNP"}))
 PRIMITIVES = ("S", "VP1", "VP2", "C1", "C2", "T1", "T2", "CN1", "CN2", "CN3", "DC", "CT", "CP")
@@ -38,33 +40,37 @@ def any_kid(flag: Column) -> Column:
 
 
 def flagged(nodes: DataFrame) -> DataFrame:
-    """Shredded nodes with heads and a column is_<structure> for each of PRIMITIVES.
+    """Shredded nodes with a column is_<structure> for each of PRIMITIVES; nodes that are and decide no structure are left out.
 
     Windows by family and by sentence only, within the one partitioning of the node table.
     """
     label, parent, head, after = F.col("label"), F.col("parent_label"), F.col("head_label"), F.col("next_label")
-    sisters = Window.partitionBy(*TREE, "parent")
     # a word below its tag plays no part, unless it looks like a label; that leaves half of the rows
-    word = F.col("is_leaf") & (F.col("sisters") == 1) & F.col("parent").isNotNull() & ~sure(label.isin(*NAMED))
-    childless = F.col("is_leaf") | (F.col("pre") & ~sure(F.col("word").isin(*NAMED)))
-    n = with_heads(nodes.where(~word).withColumn("__childless", childless)).withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
-    n = n.drop("kids")  # the rest sorts narrow rows
+    only = (F.col("ci") == 0) & F.col("youngest") & F.col("parent").isNotNull()
+    word = F.col("is_leaf") & only & ~sure(label.isin(*NAMED))
+    headed = label.isin(*CLAUSE, "VP", "SBAR")
+    n = with_heads(mothers(nodes.where(~word), ~F.col("is_leaf") & (headed | label.isin("NP", "ADJP", "ADVP"))), headed)
+    n = n.withColumns({"vp": sure(label == "VP"), "finite": sure(head.isin(*FINITE)), "cc": has_kid("CC"), "first_label": F.try_element_at("kids", F.lit(1))["label"]})
+    # the rest sorts narrow rows, and few
+    placed = ((label == "IN") & (parent == "SBAR")) | (label.isin(*THAT) & (parent == "IN")) | (label.isin(*FINITE) & (parent == "SQ"))
+    n = n.where(sure(label.isin(*LASTING)) | sure(placed)).drop("kids", "word", "pre", "prev_label", "sisters")
     n = from_children(
-        n,
+        mothers(n, label.isin(*CLAUSE, "VP", "IN")),
         finite_vp_kid=any_kid(F.col("vp") & F.col("finite")),
         vb_vp_first=any_kid(F.col("vp") & (head == "VB") & (F.col("ci") == 0)),
         loose_vp_kid=any_kid(F.col("vp") & head.isin("VBG", "TO")),
         that_kid=any_kid(label.isin(*THAT)),
     )
     n = from_children(
-        n,
+        mothers(n, label.isin(*CLAUSE, "SBAR")),
         clause_vp_kid=any_kid(F.col("vp") & (F.col("finite") | (F.col("cc") & sure(F.col("finite_vp_kid"))))),
         that_sts=F.collect_set(child(F.when((label == "IN") & sure(F.col("that_kid")), F.col("st")))),
     )
     under_root = sure(parent == "ROOT")
     core = label.isin(*CLAUSE) & ((under_root & sure(F.col("vb_vp_first"))) | F.col("finite") | sure(F.col("clause_vp_kid")))
-    n = from_children(n.withColumns({"is_C1": sure(core), "under_root": under_root}), core_kid=any_kid(F.col("is_C1")))
-    n = n.withColumns({
+    n = from_children(mothers(n.withColumns({"is_C1": sure(core), "under_root": under_root}), label == "SBAR"), core_kid=any_kid(F.col("is_C1")))
+    sisters = Window.partitionBy(*TREE, "parent")
+    n = n.drop("__childless").withColumns({
         "is_DC": sure((label == "SBAR") & F.col("core_kid")),
         "first_s": F.min(F.when(label.isin(*SENTENCE), F.col("ci"))).over(sisters),
         "last_np": F.max(F.when(label == "NP", F.col("ci"))).over(sisters),
@@ -72,25 +78,30 @@ def flagged(nodes: DataFrame) -> DataFrame:
     })
     joined_np = (label == "NP") & F.col("parent").isNotNull() & (F.col("ci") < F.col("last_np")) & ~sure(after == "CC")
     n = n.withColumns({"frag": sure((label == "FRAG") & F.col("under_root")), "nominal": sure(label.isin(*NOMINAL) | joined_np), "blocks": sure(label.isin("SBAR", "VP"))})
-    n = inside(n, "is_C1", "nominal", "is_DC", "blocks")
     s4 = sure(label.isin(*SENTENCE))
     later = s4 & F.col("parent").isNotNull() & sure(F.col("ci") > F.col("first_s"))
-    n = inside(n.withColumn("is_T1", s4 & (F.col("under_root") | (later & (F.col("above_blocks") == 0)))), "is_T1")
+    n = enclosed(n, above=("blocks",)).withColumn("is_T1", s4 & (F.col("under_root") | (later & ~F.col("under_blocks"))))
+    n = enclosed(n, below=("is_C1", "is_T1", "nominal", "is_DC"))
     intro = (head == "WHNP") | ((head == "IN") & F.array_contains("that_sts", F.col("head_st"))) | (F.col("first_label") == "S")
     return n.withColumns({
         "is_S": sure((label == "ROOT") & F.col("parent").isNull()),
         "is_VP1": sure(F.col("vp") & parent.isin(*CLAUSE)),
         "is_VP2": sure(label.isin(*FINITE) & (parent == "SQ") & ~F.col("sq_vp")),
-        "is_C2": F.col("frag") & (F.col("below_is_C1") == 0),
-        "is_T2": F.col("frag") & (F.col("below_is_T1") == 0),
-        "is_CN1": sure((label == "NP") & ~sure(parent == "NP")) & (F.col("below_nominal") > 0),
+        "is_C2": F.col("frag") & ~F.col("over_is_C1"),
+        "is_T2": F.col("frag") & ~F.col("over_is_T1"),
+        "is_CN1": sure((label == "NP") & ~sure(parent == "NP")) & F.col("over_nominal"),
         "is_CN2": sure((label == "SBAR") & sure(intro) & (sure(after == "VP") | sure(parent == "VP"))),
         "is_CN3": sure((label == "S") & (after == "VP") & F.col("loose_vp_kid")),
-        "is_CT": F.col("is_T1") & (F.col("below_is_DC") > 0),
+        "is_CT": F.col("is_T1") & F.col("over_is_DC"),
         "is_CP": sure(label.isin("ADJP", "ADVP", "NP", "VP") & F.col("cc")),
     })
 
 
+def mothers(nodes: DataFrame, which: Column) -> DataFrame:
+    """nodes of which only these ask their children for values."""
+    return nodes.withColumn("__childless", ~sure(which))
+
+
 def matches(nodes: DataFrame, names=PRIMITIVES) -> DataFrame:
     """doc_id, tree_id, st, en and measure of every match; nodes are flagged."""
     found = F.filter(F.array(*(F.when(F.col(f"is_{n}"), F.lit(n)) for n in names)), lambda x: x.isNotNull())

@@ -31,11 +31,12 @@ def unbalanced(forests: DataFrame) -> DataFrame:
     return ends.select("doc_id", error.alias("error")).where("error IS NOT NULL")
 
 
-def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
+def shred(forests: DataFrame, partitioned: bool = False, family: bool = True) -> DataFrame:
     """Nodes of every balanced forest (doc_id, forest). partitioned: the forests are dealt out by doc_id already.
+    family: False leaves out the columns from parent to next_label, and the windows that they need.
 
     doc_id, tree_id, st, en, label, lvl, parent, parent_label, ci (child index from 0, -1 for a root), sisters (children
-    of the parent), prev_label, next_label (of sisters), is_leaf, pre (has one child, a leaf), word (that leaf's label), left_edge, right_edge
+    of the parent), youngest (no sister follows), prev_label, next_label (of sisters), is_leaf, pre (has one child, a leaf), word (that leaf's label), left_edge, right_edge
     (leaves before the node and up to its end). Unbalanced documents give no rows (see unbalanced).
     """
     toks = bracket_tokens(forests if partitioned else forests.repartition("doc_id"))
@@ -48,6 +49,7 @@ def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
     names = word & F.coalesce(F.col("prev") == "(", F.lit(False))
     after = F.when(F.col("next").isin("(", ")"), F.lead("tok", 1).over(by_pos)).otherwise(F.lead("tok", 2).over(by_pos))
     toks = toks.withColumn("childless", opens & F.coalesce(after == ")", F.lit(False)))
+    toks = toks.withColumn("tree_id", F.last(F.when(opens & (F.col("dep") == 1), F.col("pos")), ignorenulls=True).over(by_pos))
     leaf = F.col("childless") | (word & ~names & (F.col("dep") > 0))
     toks = toks.withColumn("is_leaf", leaf).withColumn("leaves", F.count_if("is_leaf").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
     # inside a level openers and closers alternate
@@ -58,34 +60,49 @@ def shred(forests: DataFrame, partitioned: bool = False) -> DataFrame:
     label = F.when(word, F.col("tok")).otherwise(F.when(F.col("next") != "(", F.col("next")))
     label = F.replace(F.replace(label, F.lit("-LRB-"), F.lit("(")), F.lit("-RRB-"), F.lit(")"))
     nodes = toks.select(
-        "doc_id", F.col("pos").alias("st"), F.col("close.pos").alias("en"), label.alias("label"), F.when(word, F.col("dep") + 1).otherwise(F.col("dep")).alias("lvl"),
+        "doc_id", "tree_id", F.col("pos").alias("st"), F.col("close.pos").alias("en"), label.alias("label"), F.when(word, F.col("dep") + 1).otherwise(F.col("dep")).alias("lvl"),
         opens.alias("opened"), "is_leaf", (F.col("leaves") - F.col("is_leaf").cast("int")).alias("left_edge"), F.col("close.leaves").alias("right_edge"),
     )
-    nodes = nodes.withColumn("tree_id", F.last(F.when(F.col("lvl") == 1, F.col("st")), ignorenulls=True).over(doc.orderBy("st")))
-    # the opener one level up that was met last is the parent: openers stand a second time among their children
-    both = nodes.withColumn("mark", F.explode(F.when(F.col("opened"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    up = Window.partitionBy("doc_id", F.col("lvl") + F.col("mark")).orderBy("st", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    over = F.last(F.when(F.col("mark") == 1, F.struct("st", "label")), ignorenulls=True).over(up)
-    nodes = both.withColumn("over", over).where("mark = 0").withColumn("over", F.when(F.col("lvl") > 1, F.col("over")))
-    nodes = nodes.withColumn("parent", F.col("over.st")).withColumn("parent_label", F.col("over.label")).drop("mark", "opened", "over")
-    family = Window.partitionBy("doc_id", "tree_id", "parent")
-    in_family = family.orderBy("st")
-    nodes = nodes.withColumn("sisters", F.count("*").over(family)).withColumn("ci", F.row_number().over(in_family) - 1)
-    nodes = nodes.withColumn("prev_label", F.lag("label").over(in_family)).withColumn("next_label", F.lead("label").over(in_family))
+    nodes = with_family(nodes) if family else nodes.drop("opened")
     tree = Window.partitionBy("doc_id", "tree_id").orderBy("st")
     inner = lambda k: F.coalesce(F.lead("st", k).over(tree) <= F.col("en"), F.lit(False))
     nodes = nodes.withColumn("pre", inner(1) & ~inner(2)).withColumn("word", F.when(F.col("pre"), F.lead("label").over(tree)))
-    # unlabelled roots with one child are no nodes; they are a tree's first rows
-    bare = F.col("label").isNull() & ~F.col("is_leaf") & F.coalesce(F.lead("sisters").over(tree) == 1, F.lit(False))
+    # unlabelled roots with one child, which then holds all their leaves, are no nodes; they are a tree's first rows
+    bare = F.col("label").isNull() & ~F.col("is_leaf") & F.coalesce(F.lead("right_edge").over(tree) == F.col("right_edge"), F.lit(False))
     nodes = nodes.withColumn("bare", F.min(bare.cast("int")).over(tree.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     nodes = nodes.withColumn("cut", F.count_if("bare").over(Window.partitionBy("doc_id", "tree_id"))).where("NOT bare")
     before = F.min("left_edge").over(Window.partitionBy("doc_id", "tree_id"))
     nodes = nodes.withColumns({"lvl": (F.col("lvl") - F.col("cut")).cast("int"), "left_edge": F.col("left_edge") - before, "right_edge": F.col("right_edge") - before})
-    root = F.col("lvl") == 1
-    for c in ("parent", "parent_label", "prev_label", "next_label"):
-        nodes = nodes.withColumn(c, F.when(~root, F.col(c)))
-    nodes = nodes.withColumn("ci", F.when(root, -1).otherwise(F.col("ci")))
-    return nodes.select("doc_id", "tree_id", "st", "en", "label", "lvl", "parent", "parent_label", "ci", "sisters", "prev_label", "next_label", "is_leaf", "pre", "word", F.col("left_edge").cast("int").alias("left_edge"), F.col("right_edge").cast("int").alias("right_edge"))
+    own = ()
+    if family:
+        root = F.col("lvl") == 1
+        own = ("parent", "parent_label", "ci", "sisters", "youngest", "prev_label", "next_label")
+        nodes = nodes.withColumns({c: F.when(~root, F.col(c)) for c in ("parent", "parent_label", "prev_label", "next_label")})
+        nodes = nodes.withColumns({"ci": F.when(root, -1).otherwise(F.col("ci")), "youngest": root | F.col("youngest")})
+    edges = (F.col(c).cast("int").alias(c) for c in ("left_edge", "right_edge"))
+    return nodes.select("doc_id", "tree_id", "st", "en", "label", "lvl", *own, "is_leaf", "pre", "word", *edges)
+
+
+def with_family(nodes: DataFrame) -> DataFrame:
+    """nodes with parent, parent_label, ci, sisters, youngest, prev_label and next_label.
+
+    An opener stands a second time among the nodes one level down: the last one met is the parent, and its
+    children follow it without another node between them.
+    """
+    both = nodes.withColumn("mark", F.explode(F.when(F.col("opened"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    level = Window.partitionBy("doc_id", F.col("lvl") + F.col("mark")).orderBy("st", "mark")
+    up = level.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("seen", F.count_if(F.col("mark") == 0).over(up))
+    sister = F.when(F.col("mark") == 0, F.struct("label"))
+    both = both.withColumns({
+        "over": F.last(F.when(F.col("mark") == 1, F.struct("st", "label", "seen")), ignorenulls=True).over(up),
+        "before": F.lag(sister).over(level), "after": F.lead(sister).over(level),
+    }).where("mark = 0").withColumn("over", F.when(F.col("lvl") > 1, F.col("over")))
+    out = both.withColumns({
+        "parent": F.col("over.st"), "parent_label": F.col("over.label"), "ci": (F.col("seen") - F.col("over.seen")).cast("int"), "youngest": F.col("after").isNull(),
+        "prev_label": F.col("before.label"), "next_label": F.col("after.label"),
+    }).drop("mark", "opened", "over", "seen", "before", "after")
+    return out.withColumn("sisters", F.count("*").over(Window.partitionBy(*TREE, "parent")))
 
 
 def from_children(nodes: DataFrame, **aggregates: Column) -> DataFrame:
@@ -127,6 +144,19 @@ def inside(nodes: DataFrame, *flags: str) -> DataFrame:
     return out.drop("__end", "__at", *(f"__{k}_{f}" for k in ("met", "open") for f in flags))
 
 
+def enclosed(nodes: DataFrame, above: tuple[str, ...] = (), below: tuple[str, ...] = ()) -> DataFrame:
+    """nodes with under_<flag> (some ancestor has it) and over_<flag> (some descendant has it).
+
+    Spans nest: a node that opened before and closes later is an ancestor, and the next node that has the
+    flag is a descendant if it opens before this one closes. So a sort a direction is enough.
+    """
+    run = Window.partitionBy(*TREE).rowsBetween(Window.unboundedPreceding, -1)
+    met = {f"under_{f}": F.coalesce(F.max(F.when(F.col(f), F.col("en"))).over(run.orderBy("st")) > F.col("st"), F.lit(False)) for f in above}
+    out = nodes.withColumns(met) if met else nodes
+    ahead = {f"over_{f}": F.coalesce(F.min(F.when(F.col(f), F.col("st"))).over(run.orderBy(F.desc("st"))) < F.col("en"), F.lit(False)) for f in below}
+    return out.withColumns(ahead) if ahead else out
+
+
 def spans(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen (doc_id, tree_id, left_edge, right_edge, ...) with span, the leaves between the edges joined by blanks."""
     leaves = nodes.where("is_leaf").groupBy(*TREE).agg(F.transform(F.array_sort(F.collect_list(F.struct("st", "label"))), lambda x: x["label"]).alias("leaves"))

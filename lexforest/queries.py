@@ -179,8 +179,8 @@ def tree_shred(spark, sf_dir, forests=of_documents):
 
 def tree_props(spark, sf_dir):
     """Nodes, leaves, preterminals and depth of every document's surrogate forest."""
-    n = trees.shred(surrogate_forests(documents(spark, sf_dir)), partitioned=True)
-    return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if("pre").alias("preterminals"), F.max("lvl").cast("long").alias("depth"), F.count_if(F.col("parent").isNull()).alias("trees"))
+    n = trees.shred(surrogate_forests(documents(spark, sf_dir)), partitioned=True, family=False)
+    return n.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.count_if("pre").alias("preterminals"), F.max("lvl").cast("long").alias("depth"), F.count_if(F.col("lvl") == 1).alias("trees"))
 
 
 def tree_edges(spark, sf_dir, forests=of_documents):
