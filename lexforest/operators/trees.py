@@ -15,13 +15,13 @@ TREE = ["doc_id", "tree_id"]
 
 
 def bracket_tokens(forests: DataFrame) -> DataFrame:
-    """doc_id, pos, tok and its neighbours, without empty pairs; dep is the depth after the token."""
+    """doc_id, pos, tok and its neighbours prev and next, without empty pairs; dep is the depth after the token, after1 and after2 are what then follows."""
     toks = forests.select("doc_id", F.posexplode(F.regexp_extract_all("forest", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    toks = toks.withColumn("prev", F.lag("tok").over(w)).withColumn("next", F.lead("tok").over(w))
+    toks = toks.withColumns({"prev": F.lag("tok").over(w), "next": F.lead("tok").over(w)})
     empty = ((F.col("tok") == "(") & F.coalesce(F.col("next") == ")", F.lit(False))) | ((F.col("tok") == ")") & F.coalesce(F.col("prev") == "(", F.lit(False)))
     step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
-    return toks.where(~empty).withColumn("dep", F.sum(step).over(w))
+    return toks.where(~empty).withColumns({"dep": F.sum(step).over(w), "after1": F.lead("tok").over(w), "after2": F.lead("tok", 2).over(w)})
 
 
 def unbalanced(forests: DataFrame) -> DataFrame:
@@ -40,39 +40,41 @@ def shred(forests: DataFrame, partitioned: bool = False, family: bool = True) ->
     (leaves before the node and up to its end). Unbalanced documents give no rows (see unbalanced).
     """
     toks = bracket_tokens(forests if partitioned else forests.repartition("doc_id"))
-    doc = Window.partitionBy("doc_id")
-    by_pos = doc.orderBy("pos")
-    whole = by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    toks = toks.withColumn("ok", (F.min("dep").over(doc) >= 0) & (F.last("dep").over(whole) == 0)).where("ok")
+    by_pos = Window.partitionBy("doc_id").orderBy("pos")
+    so_far, whole = by_pos.rowsBetween(Window.unboundedPreceding, 0), by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
     word = ~opens & ~closes
-    names = word & F.coalesce(F.col("prev") == "(", F.lit(False))
-    after = F.when(F.col("next").isin("(", ")"), F.lead("tok", 1).over(by_pos)).otherwise(F.lead("tok", 2).over(by_pos))
-    toks = toks.withColumn("childless", opens & F.coalesce(after == ")", F.lit(False)))
-    toks = toks.withColumn("tree_id", F.last(F.when(opens & (F.col("dep") == 1), F.col("pos")), ignorenulls=True).over(by_pos))
-    leaf = F.col("childless") | (word & ~names & (F.col("dep") > 0))
-    toks = toks.withColumn("is_leaf", leaf).withColumn("leaves", F.count_if("is_leaf").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.when(F.col("next").isin("(", ")"), F.col("after1")).otherwise(F.col("after2"))
+    leaf = (opens & F.coalesce(after == ")", F.lit(False))) | (word & (F.col("dep") > 0))
+    label = F.when(word, F.col("tok")).otherwise(F.when(opens & (F.col("next") != "("), F.col("next")))
+    # a name goes with its bracket, and rows are narrow from here on
+    toks = toks.where(~word | (F.col("prev") != "(") | F.col("prev").isNull()).select("doc_id", "pos", "dep", label.alias("label"), leaf.alias("is_leaf"), opens.alias("opened"), closes.alias("closes"))
+    toks = toks.withColumns({
+        "low": F.min("dep").over(whole), "end": F.last("dep").over(whole), "leaves": F.count_if("is_leaf").over(so_far),
+        "tree_id": F.last(F.when(F.col("opened") & (F.col("dep") == 1), F.col("pos")), ignorenulls=True).over(so_far),
+    }).where("low >= 0 AND end = 0").drop("low", "end")
     # inside a level openers and closers alternate
-    level = F.when(closes, F.col("dep") + 1).otherwise(F.col("dep"))
+    opens, closes = F.col("opened"), F.col("closes")
     pair = Window.partitionBy("doc_id", "level", "bracket").orderBy("pos")
     close = F.when(opens, F.lead(F.struct("pos", "leaves")).over(pair)).otherwise(F.struct("pos", "leaves"))
-    toks = toks.withColumn("bracket", ~word).withColumn("level", level).withColumn("close", close).where(opens | F.col("is_leaf"))
-    label = F.when(word, F.col("tok")).otherwise(F.when(F.col("next") != "(", F.col("next")))
-    label = F.replace(F.replace(label, F.lit("-LRB-"), F.lit("(")), F.lit("-RRB-"), F.lit(")"))
+    toks = toks.withColumn("bracket", opens | closes).withColumn("level", F.when(closes, F.col("dep") + 1).otherwise(F.col("dep")))
+    toks = toks.withColumn("close", close).where(opens | F.col("is_leaf"))
+    label = F.replace(F.replace("label", F.lit("-LRB-"), F.lit("(")), F.lit("-RRB-"), F.lit(")"))
     nodes = toks.select(
-        "doc_id", "tree_id", F.col("pos").alias("st"), F.col("close.pos").alias("en"), label.alias("label"), F.when(word, F.col("dep") + 1).otherwise(F.col("dep")).alias("lvl"),
-        opens.alias("opened"), "is_leaf", (F.col("leaves") - F.col("is_leaf").cast("int")).alias("left_edge"), F.col("close.leaves").alias("right_edge"),
+        "doc_id", "tree_id", F.col("pos").alias("st"), F.col("close.pos").alias("en"), label.alias("label"), F.when(opens, F.col("dep")).otherwise(F.col("dep") + 1).alias("lvl"),
+        "opened", "is_leaf", (F.col("leaves") - F.col("is_leaf").cast("int")).alias("left_edge"), F.col("close.leaves").alias("right_edge"),
     )
     nodes = with_family(nodes) if family else nodes.drop("opened")
-    tree = Window.partitionBy("doc_id", "tree_id").orderBy("st")
-    inner = lambda k: F.coalesce(F.lead("st", k).over(tree) <= F.col("en"), F.lit(False))
-    nodes = nodes.withColumn("pre", inner(1) & ~inner(2)).withColumn("word", F.when(F.col("pre"), F.lead("label").over(tree)))
+    tree = Window.partitionBy(*TREE).orderBy("st")
+    first = F.first("left_edge").over(tree.rowsBetween(Window.unboundedPreceding, 0))
+    nodes = nodes.withColumns({"st1": F.lead("st").over(tree), "st2": F.lead("st", 2).over(tree), "below": F.lead(F.struct("label", "right_edge")).over(tree), "before": first})
+    inner = lambda st: F.coalesce(F.col(st) <= F.col("en"), F.lit(False))
+    nodes = nodes.withColumn("pre", inner("st1") & ~inner("st2")).withColumn("word", F.when(F.col("pre"), F.col("below.label")))
     # unlabelled roots with one child, which then holds all their leaves, are no nodes; they are a tree's first rows
-    bare = F.col("label").isNull() & ~F.col("is_leaf") & F.coalesce(F.lead("right_edge").over(tree) == F.col("right_edge"), F.lit(False))
-    nodes = nodes.withColumn("bare", F.min(bare.cast("int")).over(tree.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    nodes = nodes.withColumn("cut", F.count_if("bare").over(Window.partitionBy("doc_id", "tree_id"))).where("NOT bare")
-    before = F.min("left_edge").over(Window.partitionBy("doc_id", "tree_id"))
-    nodes = nodes.withColumns({"lvl": (F.col("lvl") - F.col("cut")).cast("int"), "left_edge": F.col("left_edge") - before, "right_edge": F.col("right_edge") - before})
+    bare = F.col("label").isNull() & ~F.col("is_leaf") & (F.col("below.right_edge") == F.col("right_edge"))
+    root = F.min(F.when(~F.coalesce(bare, F.lit(False)), F.struct("st", "lvl"))).over(Window.partitionBy(*TREE))
+    nodes = nodes.withColumn("root", root).where("st >= root.st")
+    nodes = nodes.withColumns({"lvl": (F.col("lvl") - F.col("root.lvl") + 1).cast("int"), "left_edge": F.col("left_edge") - F.col("before"), "right_edge": F.col("right_edge") - F.col("before")})
     own = ()
     if family:
         root = F.col("lvl") == 1
