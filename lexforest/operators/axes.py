@@ -1,15 +1,16 @@
 """Tree axes as join conditions between two node rows a and b of one tree.
 
-Conditions are SQL text over the columns of ``axis_nodes``; those that hold an equality of
-columns run as equi-joins. Axes up and down a tree are ways for the structural join, which is
-linear in nodes and pairs. Chains of neighbours are closed over the positions of a tree, from right to left.
+Conditions are SQL text over the columns of ``axis_nodes``. Axes up and down a tree are ways for the structural join, which is
+linear in nodes and pairs. A node's row says who its parent is, so axes between parent and child are rows that fit; sisters and
+nodes that touch are gathered by family or edge. Nothing of these joins the node table with itself: nodes that lie
+by document stay where they are. Chains of neighbours are closed over the positions of a tree, from right to left.
 Only precedes, follows and same_tree give about all pairs of a tree, which is their result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .structural import structural_join
@@ -72,14 +73,30 @@ WAYS = {
     "has_leftmost_descendant": (True, {"leave": _FIRST}),
     "leftmost_descendant_of": (False, {"leave": _FIRST}),
     "ancestor_of_leaf": (True, {"lower": "is_leaf"}),
-    "unary_path_ancestor_of": (True, {"enter": "n_kids = 1"}),
-    "unary_path_descendant_of": (False, {"enter": "n_kids = 1"}),
+    "unary_path_ancestor_of": (True, {"leave": "sisters = 1"}),
+    "unary_path_descendant_of": (False, {"leave": "sisters = 1"}),
     "headed_by": (True, {"leave": "is_head"}),
     "heads": (False, {"leave": "is_head"}),
     "unbroken_dominates": (True, {"through": "{c}"}),
     "unbroken_dominated_by": (False, {"through": "{c}"}),
 }
 
+#: name -> (a is the child, condition on the child)
+FAMILY = {
+    "child_of": (True, "true"),
+    "parent_of": (False, "true"),
+    "only_child_of": (True, "sisters = 1"),
+    "has_only_child": (False, "sisters = 1"),
+    "last_child_of": (True, _LAST),
+    "parent_of_last_child": (False, _LAST),
+    "leftmost_child_of": (True, _FIRST),
+    "has_leftmost_child": (False, _FIRST),
+    "immediately_heads": (True, "is_head"),
+    "immediately_headed_by": (False, "is_head"),
+}
+#: Axes that ask which nodes are heads; the others need the columns of ``shred`` only.
+OF_HEADS = ("immediately_heads", "immediately_headed_by", "heads", "headed_by")
+
 
 def numbered(name: str, n: int) -> str:
     """Condition of the axes that count children or leaves, from 1 or from -1 at the other end."""
@@ -97,9 +114,13 @@ def numbered(name: str, n: int) -> str:
 
 def axis_nodes(features: DataFrame) -> DataFrame:
     """The columns that conditions use; is_head: the node is its parent's head child, and roots count as such."""
-    heads = features.where("head_st IS NOT NULL").select(*TREE, F.col("head_st").alias("st"), F.lit(True).alias("is_head"))
-    n = features.join(heads, [*TREE, "st"], "left")
-    return n.select(*TREE, "st", "en", "label", "lvl", "parent", "ci", "sisters", "n_kids", "left_edge", "right_edge", "is_leaf", "head_st", F.coalesce("is_head", F.col("parent").isNull()).alias("is_head"))
+    n = features.select(*TREE, "st", "en", "label", "lvl", "parent", "ci", "sisters", "n_kids", "left_edge", "right_edge", "is_leaf", "head_st")
+    # a mother stands a second time, among her children
+    twice = F.when(F.col("head_st").isNull(), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    n = n.withColumn("__up", F.explode(twice))
+    family = Window.partitionBy(*TREE, F.when(F.col("__up"), F.col("st")).otherwise(F.col("parent")))
+    n = n.withColumn("__head", F.max(F.when(F.col("__up"), F.col("head_st"))).over(family)).where("NOT __up")
+    return n.withColumn("is_head", F.col("parent").isNull() | F.coalesce(F.col("__head") == F.col("st"), F.lit(False))).drop("__up", "__head")
 
 
 def pairs(nodes: DataFrame, condition: str, broken_by: str | None = None) -> DataFrame:
@@ -119,13 +140,61 @@ def axis(nodes: DataFrame, name: str, n: int | None = None, category: str | None
         fits = f"coalesce({category.replace('x.label', 'label')}, false)" if category else "false"
         found = structural_join(nodes, **{k: F.expr(c.replace("{c}", fits)) for k, c in conditions.items()})
         return found if over else found.select(*TREE, F.col("b").alias("a"), F.col("a").alias("b"))
-    if name == "parent_equals":
-        return pairs(nodes, SAME).union(pairs(nodes, SIMPLE["parent_of"][1]))
-    if name in SIMPLE:
-        return pairs(nodes, SIMPLE[name][1])
+    # a missing document equals none
+    nodes = nodes if name in ("unbroken_precedes", "unbroken_follows") else nodes.where("doc_id IS NOT NULL")
+    if name in FAMILY:
+        return of_children(nodes, *FAMILY[name])
+    if name in ("equals", "parent_equals"):
+        own, by_parent = (F.struct(F.col(c).alias("a"), F.col("st").alias("b")) for c in ("st", "parent"))
+        return nodes.select(*TREE, F.inline(F.array(own, by_parent) if name == "parent_equals" else F.array(own))).where("a IS NOT NULL")
+    if name in ("immediate_left_sister_of", "immediate_right_sister_of"):
+        after = F.lead("st").over(Window.partitionBy(*TREE, "parent").orderBy("ci"))
+        a, b = ("st", "__after") if name == "immediate_left_sister_of" else ("__after", "st")
+        return nodes.where("parent IS NOT NULL").withColumn("__after", after).where("__after IS NOT NULL").select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
+    if name in ("left_sister_of", "right_sister_of", "sister_of"):
+        return sisters(nodes, name)
+    if name in ("immediately_precedes", "immediately_follows"):
+        return touching(nodes, backwards=name == "immediately_follows")
     if name in ("unbroken_precedes", "unbroken_follows"):
         return neighbour_chains(nodes, category, backwards=name.endswith("follows"))
-    return pairs(nodes, numbered(name, n))
+    if name in SIMPLE:
+        return pairs(nodes, SIMPLE[name][1])
+    numbered(name, n)  # refuses other names and numbers
+    if name == "ancestor_of_ith_leaf":
+        return over_leaf(nodes, n)
+    return of_children(nodes, name == "ith_child_of", f"ci = {n - 1}" if n > 0 else f"ci = sisters - {-n}")
+
+
+def of_children(nodes: DataFrame, child_first: bool, condition: str) -> DataFrame:
+    """Pairs of a child that fits and its parent, from the child's row."""
+    a, b = ("st", "parent") if child_first else ("parent", "st")
+    return nodes.where(f"parent IS NOT NULL AND ({condition})").select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+def sisters(nodes: DataFrame, name: str) -> DataFrame:
+    """Pairs of children of one parent, from a list a family."""
+    kids = nodes.where("parent IS NOT NULL").groupBy(*TREE, "parent").agg(F.array_sort(F.collect_list(F.struct("ci", "st"))).alias("kids")).where(F.size("kids") > 1)
+    one = kids.select(*TREE, "kids", F.explode("kids").alias("x"))
+    two = one.select(*TREE, "x", F.explode("kids").alias("y"))
+    fits = {"left_sister_of": "x.ci < y.ci", "right_sister_of": "x.ci > y.ci", "sister_of": "x.st <> y.st"}[name]
+    return two.where(fits).select(*TREE, F.col("x.st").alias("a"), F.col("y.st").alias("b"))
+
+
+def touching(nodes: DataFrame, backwards: bool) -> DataFrame:
+    """Pairs of a node and one that begins where it ends (or the other way), from two lists an edge."""
+    edges = F.array(F.struct(F.col("right_edge").alias("edge"), F.lit(True).alias("ends")), F.struct(F.col("left_edge").alias("edge"), F.lit(False).alias("ends")))
+    at = nodes.select(*TREE, "st", F.inline(edges)).groupBy(*TREE, "edge").agg(F.collect_list(F.when(F.col("ends"), F.col("st"))).alias("before"), F.collect_list(F.when(~F.col("ends"), F.col("st"))).alias("after"))
+    a, b = ("after", "before") if backwards else ("before", "after")
+    return at.where((F.size("before") > 0) & (F.size("after") > 0)).select(*TREE, b, F.explode(a).alias("a")).select(*TREE, "a", F.explode(b).alias("b"))
+
+
+def over_leaf(nodes: DataFrame, n: int) -> DataFrame:
+    """Pairs of a node and its n-th leaf (from the end below 0): both name the leaf's place."""
+    place = F.col("left_edge") + (n - 1) if n > 0 else F.col("right_edge") + n
+    at = nodes.select(*TREE, "st", "is_leaf", "left_edge", "right_edge", F.when(F.col("is_leaf"), F.col("left_edge")).otherwise(place).alias("place"))
+    leaf = F.max(F.when(F.col("is_leaf"), F.col("st"))).over(Window.partitionBy(*TREE, "place"))
+    at = at.where("place >= left_edge AND place < right_edge").withColumn("b", leaf).where("NOT is_leaf AND b IS NOT NULL")
+    return at.select(*TREE, F.col("st").alias("a"), "b")
 
 
 def reachable(first: np.ndarray, after: np.ndarray, size: int) -> list[int]:
@@ -147,7 +216,8 @@ def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False) -
     between leaves, the later positions that chains reach, as bits.
     """
     fits = F.expr(f"coalesce({category.replace('x.label', 'label')}, false)")
-    rows = nodes.select(*TREE, "st", F.col("parent").isNull().alias("root"), "left_edge", "right_edge", fits.alias("arc")).repartition("doc_id").sortWithinPartitions("doc_id", "tree_id", "st")
+    rows = nodes.select(*TREE, "st", F.col("parent").isNull().alias("root"), "left_edge", "right_edge", fits.alias("arc"))
+    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("tree_id", "st")))
     kind = nodes.schema["doc_id"].dataType.simpleString()
     a, b = ("second", "first") if backwards else ("first", "second")
 

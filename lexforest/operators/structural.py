@@ -15,7 +15,7 @@ goes to, ``through`` for the nodes between the two ends.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .trees import TREE
@@ -45,7 +45,8 @@ def structural_join(nodes: DataFrame, leave: Column | None = None, enter: Column
     flag = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
     flags = {"__leave": leave, "__enter": enter, "__through": through, "__upper": upper, "__lower": lower}
     rows = nodes.select(*TREE, "st", "parent", "lvl", *(flag(c).alias(n) for n, c in flags.items()))
-    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "st")
+    # the window deals and sorts the nodes, without a shuffle where they lie by document already
+    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("st")))
     kind = nodes.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import dealt
+
 TOKEN = r"[()]|[^\s()]+"
 TREE = ["doc_id", "tree_id"]
 
@@ -39,7 +41,7 @@ def shred(forests: DataFrame, partitioned: bool = False, family: bool = True) ->
     of the parent), youngest (no sister follows), prev_label, next_label (of sisters), is_leaf, pre (has one child, a leaf), word (that leaf's label), left_edge, right_edge
     (leaves before the node and up to its end). Unbalanced documents give no rows (see unbalanced).
     """
-    toks = bracket_tokens(forests if partitioned else forests.repartition("doc_id"))
+    toks = bracket_tokens(forests if partitioned else dealt(forests))
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
     so_far, whole = by_pos.rowsBetween(Window.unboundedPreceding, 0), by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
