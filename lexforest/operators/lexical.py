@@ -18,6 +18,8 @@ CLASSES = ("word", "sword", "lex", "slex", "noun", "verb", "sverb", "adj", "adv"
 #: How the classes are called in lists of measures.
 CLASS_NAMES = {"word": "words", "sword": "sophisticated words", "lex": "lexical words", "slex": "sophisticated lexical words", "noun": "nouns", "verb": "verbs", "sverb": "sophisticated verbs", "adj": "adjectives", "adv": "adverbs"}
 EASY, SECTION, TRIALS = 2000, 50, 10
+#: Adverbs up to which their list is broadcast.
+BROADCAST = 1 << 20
 
 # The published indices and their names.
 #: name -> formula over <class>_t (types) and <class>_n (tokens); ratios are one division of whole numbers.
@@ -88,11 +90,22 @@ def lemma_counts(tokens: DataFrame, *keys: str) -> DataFrame:
 
 def classify(tokens: DataFrame, easy: DataFrame, adjectives: DataFrame, tagset: str = "ud") -> DataFrame:
     """Words only, with class (noun, adj, adv, verb or null) and soph. easy: at most a few thousand lemmas."""
+    return with_classes(tokens, easy, adjectives.select("lemma").union(adjectives.select(F.concat("lemma", F.lit("ly")))).distinct(), tagset)
+
+
+def adverb_lemmas(known: DataFrame) -> DataFrame:
+    """Of a vocabulary with one tag a lemma, the adverbs that classify takes as such: broadcast, unless there are very many."""
+    of_adjective = known.where("tag = 'ADJ'").select(F.concat("lemma", F.lit("ly")).alias("lemma"))
+    found = known.where("tag = 'ADV'").select("lemma").join(of_adjective, "lemma", "left_semi").distinct().persist()
+    return F.broadcast(found) if found.limit(BROADCAST + 1).count() <= BROADCAST else found
+
+
+def with_classes(tokens: DataFrame, easy: DataFrame, adverbs: DataFrame, tagset: str = "ud") -> DataFrame:
+    """What classify gives, by the list of the lemmas that are adverbs where they are tagged so."""
     number = "NUM" if tagset == "ud" else "CD"
     words = tokens.where(~is_misc(F.col("lemma"), F.col("tag"), tagset))
-    adverbs = adjectives.select("lemma").union(adjectives.select(F.concat("lemma", F.lit("ly")))).distinct().withColumn("of_adj", F.lit(True))
-    # the list of easy words has a fixed bound; that of adjectives is joined as its size asks
-    out = words.join(F.broadcast(easy.select("lemma").distinct().withColumn("easy", F.lit(True))), "lemma", "left").join(adverbs, "lemma", "left")
+    # the list of easy words has a fixed bound; that of adverbs is joined as its size asks
+    out = words.join(F.broadcast(easy.select("lemma").distinct().withColumn("easy", F.lit(True))), "lemma", "left").join(adverbs.withColumn("of_adj", F.lit(True)), "lemma", "left")
     cls = word_class(F.col("lemma"), F.col("tag"), F.coalesce("of_adj", F.lit(False)), tagset)
     return out.select(*tokens.columns, cls.alias("class"), (F.col("easy").isNull() & (F.col("tag") != number)).alias("soph"))
 
@@ -213,6 +226,19 @@ def _of_classes(classified: DataFrame, ending: str) -> DataFrame:
     return classified.withColumn("measure", F.explode(found))
 
 
+def types_in_order(classified: DataFrame, classes=CLASSES) -> DataFrame:
+    """What matches gives, from rows of which a lemma has one a document already: one sort of these by document, however many classes they are of."""
+    member = {c: F.coalesce(membership()[c], F.lit(False)) for c in classes}
+    wanted = F.lit(False)
+    for x in member.values():
+        wanted = wanted | x
+    so_far = Window.partitionBy("doc_id").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    placed = classified.where(wanted).select("doc_id", "lemma", "first", *(x.alias(c) for c, x in member.items()))
+    placed = placed.withColumns({f"{c}_ord": F.when(F.col(c), F.count_if(c).over(so_far) - 1) for c in classes})
+    own = F.array(*(F.struct(F.lit(f"{c}_t").alias("measure"), F.col(f"{c}_ord").alias("ord")) for c in classes))
+    return placed.select("doc_id", F.inline(own), F.col("lemma").alias("match")).where("ord IS NOT NULL").select("doc_id", "measure", "ord", "match")
+
+
 def matches(classified: DataFrame) -> DataFrame:
     """doc_id, measure, ord and match: types of a class in order of first occurrence."""
     at = "first" if "first" in classified.columns else "pos"
