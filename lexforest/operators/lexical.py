@@ -18,6 +18,8 @@ CLASSES = ("word", "sword", "lex", "slex", "noun", "verb", "sverb", "adj", "adv"
 #: How the classes are called in lists of measures.
 CLASS_NAMES = {"word": "words", "sword": "sophisticated words", "lex": "lexical words", "slex": "sophisticated lexical words", "noun": "nouns", "verb": "verbs", "sverb": "sophisticated verbs", "adj": "adjectives", "adv": "adverbs"}
 EASY, SECTION, TRIALS = 2000, 50, 10
+#: Samples that the hashes hold which are sorted for one.
+SPARE = 2.5
 #: Adverbs up to which their list is broadcast.
 BROADCAST = 1 << 20
 
@@ -143,13 +145,22 @@ def ndw_first(lemmas: Column, size: int = SECTION) -> Column:
 
 
 def ndw_random(key: Column, lemmas: Column, size: int = SECTION, trials: int = TRIALS) -> Column:
-    """Mean distinct words of random samples; a sample is the words of the smallest md5 of key, trial and place."""
+    """Mean distinct words of random samples; a sample is the words of the smallest md5 of key, trial and place.
 
-    def trial(t: Column) -> Column:
-        tagged = F.transform(lemmas, lambda w, i: F.struct(F.md5(F.concat_ws("|", key.cast("string"), t.cast("string"), i.cast("string"))).alias("h"), w.alias("w")))
-        return F.size(F.array_distinct(F.transform(F.slice(F.array_sort(tagged), 1, size), lambda x: x["w"])))
-
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), trial), F.lit(0), lambda s, x: s + x)
+    Only hashes below a bound are sorted, under which about SPARE times a sample lies; all of them if there are fewer than a sample.
+    """
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    share = F.lit(float(SPARE * size)) / F.size(lemmas)
+    bound = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex((share * F.lit(float(1 << 32))).cast("long"))), 8, "0"))
+
+    def trial(t: Column, bound: Column) -> Column:
+        start = F.concat_ws("|", key.cast("string"), t.cast("string"), F.lit(""))
+        tagged = let(start, lambda start: F.transform(lemmas, lambda w, i: F.struct(F.md5(F.concat(start, i.cast("string"))).alias("h"), w.alias("w"))))
+        chosen = lambda xs, few: F.when(F.size(few) >= size, few).otherwise(xs)
+        drawn = let(tagged, lambda xs: let(F.filter(xs, lambda x: x["h"] < bound), lambda few: F.slice(F.array_sort(chosen(xs, few)), 1, size)))
+        return F.size(F.array_distinct(F.transform(drawn, lambda x: x["w"])))
+
+    total = let(bound, lambda bound: F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: trial(t, bound)), F.lit(0), lambda s, x: s + x))
     return F.when(F.size(lemmas) <= size, F.size(F.array_distinct(lemmas)).cast("double")).otherwise(total / F.lit(float(trials)))
 
 
