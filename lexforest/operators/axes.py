@@ -10,12 +10,15 @@ Only precedes, follows and same_tree give about all pairs of a tree, which is th
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .structural import structural_join
-from .trees import TREE
+from .heads import with_heads
+from .structural import in_order, structural_join
+from .trees import TREE, shred_in_place
 
+#: Pairs of a batch that a task gives out at once, about.
+PAIRS = 1 << 18
 DOMINATES = "a.st < b.st AND a.en > b.en"
 SAME = "a.st = b.st"
 
@@ -98,6 +101,13 @@ FAMILY = {
 OF_HEADS = ("immediately_heads", "immediately_headed_by", "heads", "headed_by")
 
 
+def nodes_of(forests: DataFrame, name: str) -> DataFrame:
+    """Nodes of the forests for ``axis`` with placed, with what the axis reads: labels only where heads or categories are asked for."""
+    if name in OF_HEADS:
+        return with_heads(shred_in_place(forests, "tree_id", "st", "label", "lvl", "parent", "kids"))
+    return shred_in_place(forests, "tree_id", "st", "lvl", "parent", "ci", "sisters", "is_leaf", "left_edge", "right_edge", "next_st", *(("label",) if name.startswith("unbroken") else ()))
+
+
 def numbered(name: str, n: int) -> str:
     """Condition of the axes that count children or leaves, from 1 or from -1 at the other end."""
     if n == 0:
@@ -133,35 +143,41 @@ def pairs(nodes: DataFrame, condition: str, broken_by: str | None = None) -> Dat
     return found.select(F.col("a.doc_id").alias("doc_id"), F.col("a.tree_id").alias("tree_id"), F.col("a.st").alias("a"), F.col("b.st").alias("b"))
 
 
-def axis(nodes: DataFrame, name: str, n: int | None = None, category: str | None = None) -> DataFrame:
-    """Pairs of an axis by name. n: for the counting axes. category: SQL over x.label for the unbroken ones."""
+def axis(nodes: DataFrame, name: str, n: int | None = None, category: str | None = None, placed: bool = False) -> DataFrame:
+    """Pairs of an axis by name. n: for the counting axes. category: SQL over x.label for the unbroken ones. placed: the nodes are those of ``nodes_of``."""
     if name in WAYS:
         over, conditions = WAYS[name]
         fits = f"coalesce({category.replace('x.label', 'label')}, false)" if category else "false"
-        found = structural_join(nodes, **{k: F.expr(c.replace("{c}", fits)) for k, c in conditions.items()})
+        if placed and name in OF_HEADS:
+            found = structural_join(nodes, chosen=F.col("head_st"), placed=True)
+        else:
+            found = structural_join(nodes, **{k: F.expr(c.replace("{c}", fits)) for k, c in conditions.items()}, placed=placed)
         return found if over else found.select(*TREE, F.col("b").alias("a"), F.col("a").alias("b"))
     # a missing document equals none
     nodes = nodes if name in ("unbroken_precedes", "unbroken_follows") else nodes.where("doc_id IS NOT NULL")
+    if placed and name in OF_HEADS:
+        a, b = ("head_st", "st") if name == "immediately_heads" else ("st", "head_st")
+        return nodes.where("head_st IS NOT NULL").select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
     if name in FAMILY:
         return of_children(nodes, *FAMILY[name])
     if name in ("equals", "parent_equals"):
         own, by_parent = (F.struct(F.col(c).alias("a"), F.col("st").alias("b")) for c in ("st", "parent"))
         return nodes.select(*TREE, F.inline(F.array(own, by_parent) if name == "parent_equals" else F.array(own))).where("a IS NOT NULL")
     if name in ("immediate_left_sister_of", "immediate_right_sister_of"):
-        after = F.lead("st").over(Window.partitionBy(*TREE, "parent").orderBy("ci"))
+        after = F.col("next_st") if placed else F.lead("st").over(Window.partitionBy(*TREE, "parent").orderBy("ci"))
         a, b = ("st", "__after") if name == "immediate_left_sister_of" else ("__after", "st")
         return nodes.where("parent IS NOT NULL").withColumn("__after", after).where("__after IS NOT NULL").select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
     if name in ("left_sister_of", "right_sister_of", "sister_of"):
-        return sisters(nodes, name)
+        return sisters(nodes, name, placed)
     if name in ("immediately_precedes", "immediately_follows"):
-        return touching(nodes, backwards=name == "immediately_follows")
+        return touching(nodes, name == "immediately_follows", placed)
     if name in ("unbroken_precedes", "unbroken_follows"):
-        return neighbour_chains(nodes, category, backwards=name.endswith("follows"))
+        return neighbour_chains(nodes, category, name.endswith("follows"), placed)
     if name in SIMPLE:
         return pairs(nodes, SIMPLE[name][1])
     numbered(name, n)  # refuses other names and numbers
     if name == "ancestor_of_ith_leaf":
-        return over_leaf(nodes, n)
+        return over_leaf(nodes, n, placed)
     return of_children(nodes, name == "ith_child_of", f"ci = {n - 1}" if n > 0 else f"ci = sisters - {-n}")
 
 
@@ -171,30 +187,95 @@ def of_children(nodes: DataFrame, child_first: bool, condition: str) -> DataFram
     return nodes.where(f"parent IS NOT NULL AND ({condition})").select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def sisters(nodes: DataFrame, name: str) -> DataFrame:
-    """Pairs of children of one parent, from a list a family."""
-    kids = nodes.where("parent IS NOT NULL").groupBy(*TREE, "parent").agg(F.array_sort(F.collect_list(F.struct("ci", "st"))).alias("kids")).where(F.size("kids") > 1)
-    one = kids.select(*TREE, "kids", F.explode("kids").alias("x"))
-    two = one.select(*TREE, "x", F.explode("kids").alias("y"))
-    fits = {"left_sister_of": "x.ci < y.ci", "right_sister_of": "x.ci > y.ci", "sister_of": "x.st <> y.st"}[name]
-    return two.where(fits).select(*TREE, F.col("x.st").alias("a"), F.col("y.st").alias("b"))
+def in_trees(nodes: DataFrame, columns: dict[str, Column], related, placed: bool, swap: bool = False) -> DataFrame:
+    """Pairs of nodes of one tree, from a pass over whole trees, batch by batch.
+
+    related: from the columns, as arrays by name, and the number of each node's tree (arrays of many trees) gives index pairs part
+    by part. A task holds a batch and the tree that goes on in the next. swap: the second is a.
+    """
+    rows = in_order(nodes.select(*TREE, "st", F.col("parent").isNull().alias("root"), *(c.alias(n) for n, c in columns.items())), placed)
+    kind, read = nodes.schema["doc_id"].dataType.simpleString(), ("st", *columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in _with_end(batches):
+            now = [x for x in (held, batch) if x is not None and len(x)]
+            if not now:
+                continue
+            now = pa.Table.from_batches(now).combine_chunks().to_batches()[0]
+            root = now.column("root").to_numpy(zero_copy_only=False)
+            if batch is not None:
+                # a tree's first row is its root
+                last = int(np.flatnonzero(root)[-1])
+                held, now, root = now.slice(last), now.slice(0, last), root[:last]
+            if not len(now):
+                continue
+            arrays = {n: now.column(n).to_numpy(zero_copy_only=False) for n in read}
+            for first, second in related(arrays, np.cumsum(root)):
+                if len(first):
+                    take, st = pa.array(first), arrays["st"].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([now.column("doc_id").take(take), now.column("tree_id").take(take), pa.array(st[first]), pa.array(st[second])], names=["doc_id", "tree_id", "first", "second"])
+
+    a, b = ("second", "first") if swap else ("first", "second")
+    return rows.mapInArrow(run, f"doc_id {kind}, tree_id int, first int, second int").select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
+
+
+def runs(low: np.ndarray, high: np.ndarray):
+    """(index, place) of all places from low to below high of each index, in parts."""
+    n = np.maximum(high - low, 0)
+    total = np.cumsum(n)
+    cuts = [0, *(np.flatnonzero(np.diff(total // PAIRS)) + 1).tolist(), len(n)]
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        part = n[x:y]
+        yield np.repeat(np.arange(x, y), part), np.repeat(low[x:y], part) + np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+
+
+def sisters(nodes: DataFrame, name: str, placed: bool = False) -> DataFrame:
+    """Pairs of children of one parent: a family's nodes stand together, in order, in a stable sort by parent."""
 
+    def related(of, tree):
+        child = np.flatnonzero(of["up"] >= 0)
+        key = tree[child] * (of["st"].max() + 2) + of["up"][child]
+        by = np.argsort(key, kind="stable")
+        child, key, at = child[by], key[by], np.arange(len(by))
+        low = at + 1 if name == "left_sister_of" else np.searchsorted(key, key)
+        high = at if name == "right_sister_of" else np.searchsorted(key, key, "right")
+        for i, j in runs(low, high):
+            other = i != j
+            yield child[i[other]], child[j[other]]
 
-def touching(nodes: DataFrame, backwards: bool) -> DataFrame:
-    """Pairs of a node and one that begins where it ends (or the other way), from two lists an edge."""
-    edges = F.array(F.struct(F.col("right_edge").alias("edge"), F.lit(True).alias("ends")), F.struct(F.col("left_edge").alias("edge"), F.lit(False).alias("ends")))
-    at = nodes.select(*TREE, "st", F.inline(edges)).groupBy(*TREE, "edge").agg(F.collect_list(F.when(F.col("ends"), F.col("st"))).alias("before"), F.collect_list(F.when(~F.col("ends"), F.col("st"))).alias("after"))
-    a, b = ("after", "before") if backwards else ("before", "after")
-    return at.where((F.size("before") > 0) & (F.size("after") > 0)).select(*TREE, b, F.explode(a).alias("a")).select(*TREE, "a", F.explode(b).alias("b"))
+    return in_trees(nodes, {"up": F.coalesce("parent", F.lit(-1)).cast("long")}, related, placed)
 
 
-def over_leaf(nodes: DataFrame, n: int) -> DataFrame:
-    """Pairs of a node and its n-th leaf (from the end below 0): both name the leaf's place."""
-    place = F.col("left_edge") + (n - 1) if n > 0 else F.col("right_edge") + n
-    at = nodes.select(*TREE, "st", "is_leaf", "left_edge", "right_edge", F.when(F.col("is_leaf"), F.col("left_edge")).otherwise(place).alias("place"))
-    leaf = F.max(F.when(F.col("is_leaf"), F.col("st"))).over(Window.partitionBy(*TREE, "place"))
-    at = at.where("place >= left_edge AND place < right_edge").withColumn("b", leaf).where("NOT is_leaf AND b IS NOT NULL")
-    return at.select(*TREE, F.col("st").alias("a"), "b")
+def touching(nodes: DataFrame, backwards: bool, placed: bool = False) -> DataFrame:
+    """Pairs of a node and one that begins where it ends (or the other way)."""
+
+    def related(of, tree):
+        span = of["right_edge"].max() + 1
+        begins = tree * span + of["left_edge"]
+        by = np.argsort(begins, kind="stable")
+        begins, ends = begins[by], tree * span + of["right_edge"]
+        # a tree's last edge is no node's first
+        for i, j in runs(np.searchsorted(begins, ends), np.searchsorted(begins, ends, "right")):
+            yield i, by[j]
+
+    return in_trees(nodes, {c: F.col(c).cast("long") for c in ("left_edge", "right_edge")}, related, placed, backwards)
+
+
+def over_leaf(nodes: DataFrame, n: int, placed: bool = False) -> DataFrame:
+    """Pairs of a node and its n-th leaf (from the end below 0): leaves stand in order, each at its place."""
+
+    def related(of, tree):
+        left, right, leaf = of["left_edge"], of["right_edge"], of["is_leaf"]
+        place = left + (n - 1) if n > 0 else right + n
+        i = np.flatnonzero(~leaf & (place >= left) & (place < right))
+        span = right.max() + 1
+        at = np.flatnonzero(leaf)
+        yield i, at[np.searchsorted(tree[at] * span + left[at], tree[i] * span + place[i])]
+
+    return in_trees(nodes, {"is_leaf": F.col("is_leaf")} | {c: F.col(c).cast("long") for c in ("left_edge", "right_edge")}, related, placed)
 
 
 def reachable(first: np.ndarray, after: np.ndarray, size: int) -> list[int]:
@@ -209,17 +290,13 @@ def reachable(first: np.ndarray, after: np.ndarray, size: int) -> list[int]:
     return reach
 
 
-def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False) -> DataFrame:
+def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False, placed: bool = False) -> DataFrame:
     """a before b with only nodes of the category, edge to edge, between (or b before a).
 
     A task goes through its trees one after the other. Of a tree it holds the nodes and, for each position
     between leaves, the later positions that chains reach, as bits.
     """
     fits = F.expr(f"coalesce({category.replace('x.label', 'label')}, false)")
-    rows = nodes.select(*TREE, "st", F.col("parent").isNull().alias("root"), "left_edge", "right_edge", fits.alias("arc"))
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("tree_id", "st")))
-    kind = nodes.schema["doc_id"].dataType.simpleString()
-    a, b = ("second", "first") if backwards else ("first", "second")
 
     def chains(left, right, arc):
         """Index pairs (first, second) of the nodes of one tree."""
@@ -233,44 +310,21 @@ def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False) -
             first = np.flatnonzero(right == p)
             yield np.repeat(first, len(second)), np.tile(second, len(first))
 
-    def run(batches):
-        import pyarrow as pa
-
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None and len(batch) == 0:
-                continue
-            now = [x for x in (held, batch) if x is not None]
-            if not now:
-                continue
-            now = pa.Table.from_batches(now).combine_chunks().to_batches()[0]
-            of = lambda name: now.column(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            st, left, right, arc, root = (of(n) for n in ("st", "left_edge", "right_edge", "arc", "root"))
-            # a tree's first row is its root
-            cuts = np.append(np.flatnonzero(root), len(st))
-            if batch is not None:
-                held, cuts = now.slice(int(cuts[-2])), cuts[:-1]
-            firsts, seconds, size = [], [], 0
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for one, two in chains(left[x:y], right[x:y], arc[x:y]):
-                    firsts.append(one + x)
-                    seconds.append(two + x)
-                    size += len(one)
-                    if size > 1 << 18:
-                        yield out(now, st, firsts, seconds)
-                        firsts, seconds, size = [], [], 0
-            if firsts:
-                yield out(now, st, firsts, seconds)
-
-    def out(now, st, firsts, seconds):
-        import pyarrow as pa
-
-        one, two = np.concatenate(firsts), np.concatenate(seconds)
-        take = pa.array(one)
-        return pa.RecordBatch.from_arrays([now.column("doc_id").take(take), now.column("tree_id").take(take), pa.array(st[one].astype(np.int32)), pa.array(st[two].astype(np.int32))], names=["doc_id", "tree_id", "first", "second"])
-
-    found = rows.mapInArrow(run, f"doc_id {kind}, tree_id int, first int, second int")
-    return found.select(*TREE, F.col(a).alias("a"), F.col(b).alias("b"))
+    def related(of, tree):
+        cuts = np.append(np.flatnonzero(np.diff(tree, prepend=-1)), len(tree))
+        firsts, seconds, size = [], [], 0
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for one, two in chains(of["left_edge"][x:y], of["right_edge"][x:y], of["arc"][x:y]):
+                firsts.append(one + x)
+                seconds.append(two + x)
+                size += len(one)
+                if size > PAIRS:
+                    yield np.concatenate(firsts), np.concatenate(seconds)
+                    firsts, seconds, size = [], [], 0
+        if firsts:
+            yield np.concatenate(firsts), np.concatenate(seconds)
+
+    return in_trees(nodes, {"arc": fits, "left_edge": F.col("left_edge"), "right_edge": F.col("right_edge")}, related, placed, backwards)
 
 
 def _with_end(batches):

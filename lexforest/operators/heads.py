@@ -89,9 +89,10 @@ def head_index(kids: Column, rules: Column) -> Column:
 
 def with_heads(nodes: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Adds kids (array of st, label, pre), n_kids, head_st and head_label (only where wanted); the rule table has a fixed size."""
-    out = from_children(nodes, kids=F.collect_list(child(F.struct("st", "label", "pre"))))
+    # nodes shredded in place may know their children
+    out = nodes if "kids" in nodes.columns else from_children(nodes, kids=F.collect_list(child(F.struct("st", "label", "pre")))).withColumn("kids", F.array_sort("kids"))
     rules = F.broadcast(rules_table(nodes.sparkSession))
-    out = out.withColumn("kids", F.array_sort("kids")).join(rules, F.regexp_replace("label", "^@", "") == F.col("mother"), "left")
+    out = out.join(rules, F.regexp_replace("label", "^@", "") == F.col("mother"), "left")
     index = head_index(F.col("kids"), F.col("rules"))
     out = out.withColumn("head", F.try_element_at("kids", (index if wanted is None else F.when(wanted, index)) + 1))
     return out.withColumns({"n_kids": F.size("kids"), "head_st": F.col("head")["st"], "head_label": F.col("head")["label"]}).drop("mother", "rules", "head")

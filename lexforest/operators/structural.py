@@ -37,16 +37,23 @@ def hops(parent: np.ndarray, level: np.ndarray, leave: np.ndarray, enter: np.nda
     return hop
 
 
-def structural_join(nodes: DataFrame, leave: Column | None = None, enter: Column | None = None, through: Column | None = None, lower: Column | None = None, upper: Column | None = None) -> DataFrame:
+def in_order(rows: DataFrame, placed: bool) -> DataFrame:
+    """rows by document and st; placed: they lie so already (see ``trees.shred_in_place``)."""
+    # the window deals and sorts the nodes, without a shuffle where they lie by document already
+    return rows if placed else rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("st")))
+
+
+def structural_join(nodes: DataFrame, leave: Column | None = None, enter: Column | None = None, through: Column | None = None, lower: Column | None = None, upper: Column | None = None, chosen: Column | None = None, placed: bool = False) -> DataFrame:
     """doc_id, tree_id, a and b: every node b that is lower and its ancestors a that are upper, on an allowed way.
 
     nodes: the columns of a node table, doc_id, tree_id, st, parent and lvl among them; a missing condition holds.
+    chosen: st of the one child from which a step may go to a node. placed: the nodes lie by document, sorted by st.
     """
     flag = lambda c: F.lit(True) if c is None else F.coalesce(c, F.lit(False))
     flags = {"__leave": leave, "__enter": enter, "__through": through, "__upper": upper, "__lower": lower}
-    rows = nodes.select(*TREE, "st", "parent", "lvl", *(flag(c).alias(n) for n, c in flags.items()))
-    # the window deals and sorts the nodes, without a shuffle where they lie by document already
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("doc_id").orderBy("st")))
+    picked = chosen is not None
+    one = () if chosen is None else (F.coalesce(chosen, F.lit(-1)).alias("__chosen"),)
+    rows = in_order(nodes.select(*TREE, "st", "parent", "lvl", *(flag(c).alias(n) for n, c in flags.items()), *one), placed)
     kind = nodes.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -68,7 +75,10 @@ def structural_join(nodes: DataFrame, leave: Column | None = None, enter: Column
             tree = np.cumsum(~rooted)
             span = int(st.max()) + 2
             parent = np.where(rooted, np.searchsorted(tree * span + st, tree * span + up), -1)
-            hop = hops(parent, level, *(of(f"__{n}") for n in ("leave", "enter", "through", "upper")))
+            leave = of("__leave")
+            if picked:
+                leave = leave & (parent >= 0) & (of("__chosen")[parent] == st)
+            hop = hops(parent, level, leave, *(of(f"__{n}") for n in ("enter", "through", "upper")))
             through = of("__through")
             b = np.flatnonzero(of("__lower"))
             b = b[b >= n_old]

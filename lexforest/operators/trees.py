@@ -7,6 +7,9 @@ windows over one partitioning by document, so a forest is shuffled once.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,135 @@ def with_family(nodes: DataFrame) -> DataFrame:
     return out.withColumn("sisters", F.count("*").over(Window.partitionBy(*TREE, "parent")))
 
 
+#: Columns of the node table besides doc_id, and their types.
+COLUMNS = {
+    "tree_id": "int", "st": "int", "en": "int", "label": "string", "lvl": "int", "parent": "int", "parent_label": "string", "ci": "int", "sisters": "long", "youngest": "boolean",
+    "prev_label": "string", "next_label": "string", "is_leaf": "boolean", "pre": "boolean", "word": "string", "left_edge": "int", "right_edge": "int",
+    "next_st": "int", "kids": "array<struct<st: int, label: string, pre: boolean>>",
+}
+#: Tokens whose nodes a task holds at once, besides those of one document.
+TOKENS = 1 << 16
+
+
+def shred_in_place(forests: DataFrame, *names: str) -> DataFrame:
+    """doc_id and the named columns of ``shred``, next_st (the next sister's st) and kids (array of st, label, pre) among them.
+
+    A document's brackets are matched where its text lies, some documents at a time, and its nodes are given out at once. So
+    neither tokens nor nodes are sorted or kept: the rows of a document lie together in one task, sorted by st. Spark
+    does not know this, so windows over them would shuffle them again; what goes on in one pass over sorted nodes need not.
+    """
+
+    rows = dealt(forests).select("doc_id", F.regexp_extract_all("forest", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column("tokens")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(tokens)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                lists = nodes_of(tokens.slice(x, y - x), names)
+                doc = np.repeat(np.arange(x, y), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *lists.flatten().flatten()], names=["doc_id", *names])
+
+    kind = forests.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} {COLUMNS[c]}' for c in names)}")
+
+
+def nodes_of(tokens: pa.Array, names: tuple[str, ...]) -> pa.Array:
+    """A list a document of its nodes' columns, from a list a document of its tokens.
+
+    Inside a level openers and closers alternate, and sisters stand next to each other; so two stable sorts by level
+    give each bracket its end and each node its family.
+    """
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    flat, doc = tokens.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+    opens, closes = (pc.equal(flat, c).to_numpy(zero_copy_only=False) for c in "()")
+
+    def ahead(flag, of, n=1):
+        """The flag n places later in the same document."""
+        out = np.zeros(len(flag), bool)
+        out[:-n] = flag[n:] & (of[n:] == of[:-n])
+        return out
+
+    named = ahead(~opens & ~closes, doc)
+    after_open = ahead(opens[::-1], doc[::-1])[::-1]
+    k = np.flatnonzero(~((opens & ahead(closes, doc)) | (closes & after_open)))  # empty pairs are no nodes
+    own, o, c = doc[k], opens[k], closes[k]
+    step = o.astype(np.int64) - c
+    total = np.bincount(own, step, len(sizes)).astype(np.int64)
+    dep = np.cumsum(step) - (np.cumsum(total) - total)[own]
+    low = np.zeros(len(sizes), np.int64)
+    np.minimum.at(low, own, dep)
+    leaf = (o & np.where(named[k], ahead(c, own, 2), ahead(c, own))) | (~o & ~c & (dep > 0))
+    # a name goes with its bracket
+    rows = ((low >= 0) & (total == 0))[own] & (o | c | ~after_open[k])
+    k, own, o, c, dep, leaf = (x[rows] for x in (k, own, o, c, dep, leaf))
+
+    leaves, close = np.cumsum(leaf), np.arange(len(k))
+    pairs = np.flatnonzero(o | c)
+    pairs = pairs[np.argsort((dep + c)[pairs], kind="stable")]
+    close[pairs[::2]] = pairs[1::2]
+    tree = np.maximum.accumulate(np.where(o & (dep == 1), np.arange(len(k)), -1))
+    x = np.flatnonzero(o | leaf)
+    opened, is_leaf, lvl, end, n = o[x], leaf[x], dep[x] + ~o[x], close[x], len(x)
+    left, right, at = leaves[x] - is_leaf, leaves[end], np.arange(n)
+    labelled = ~opened | named[k[x]]
+    inner = [np.append(x[i:], np.full(min(i, n), len(k))) <= end for i in (1, 2)]
+    pre = inner[0] & ~inner[1]
+    # unlabelled roots with one child, which then holds all their leaves, are no nodes; they are a tree's first rows
+    bare = ~labelled & ~is_leaf & (np.append(right[1:], -1)[:n] == right)
+    first = np.diff(tree[x], prepend=-1) != 0
+    of_tree = np.cumsum(first) - 1
+    root = np.minimum.reduceat(np.where(bare, n, at), np.flatnonzero(first))[of_tree] if n else at
+    before = left[np.flatnonzero(first)][of_tree]
+
+    # a node's parent is the last opener before it one level up
+    by = np.argsort(lvl, kind="stable")
+    up = by[opened[by]]
+    over = np.searchsorted(lvl[up] * n + up, (lvl - 1) * n + at) - 1
+    parent = np.where((lvl > 1) & (at > root), up[over], -1) if len(up) else np.full(n, -1)
+    family = np.where(lvl > 1, up[over], -1)[by] if len(up) else parent
+    new = np.diff(family, prepend=-1) != 0
+    new |= family < 0
+    starts = np.flatnonzero(new)
+    count, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    count[by] = np.diff(np.append(starts, n))[np.cumsum(new) - 1]
+    rank[by] = np.arange(n) - starts[np.cumsum(new) - 1]
+    beside = {}
+    for name, has, near in (("prev_label", rank > 0, np.roll(by, 1)), ("next_label", rank < count - 1, np.roll(by, -1))):
+        sister = np.empty(n, np.int64)
+        sister[by] = near
+        beside[name] = np.where(has & (at > root), sister, -1)
+
+    stay = np.flatnonzero(at >= root)
+    is_root = (at == root)[stay]
+    place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[doc]
+    label = None
+    if {"label", "parent_label", "prev_label", "next_label", "word", "kids"} & set(names):
+        label = flat.take(pa.array(k[x] + opened, mask=~labelled))
+        for mark, bracket in (("-LRB-", "("), ("-RRB-", ")")):
+            label = pc.replace_substring(label, mark, bracket)
+    spelled = lambda i: label.take(pa.array(i[stay], mask=i[stay] < 0))
+    ints = lambda v: pa.array(v.astype(np.int32))
+    indexed = lambda i: pa.array(place[k[x[i[stay]]]].astype(np.int32), mask=i[stay] < 0)
+
+    def kids():
+        child = np.flatnonzero(parent >= 0)
+        child = child[np.argsort(parent[child], kind="stable")]
+        bounds = np.append(0, np.cumsum(np.bincount(parent[child], minlength=n)[stay])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([ints(place[k[x[child]]]), label.take(pa.array(child)), pa.array(pre[child])], ["st", "label", "pre"]))
+
+    columns = {
+        "tree_id": lambda: ints(place[k[tree[x[stay]]]]), "st": lambda: ints(place[k[x[stay]]]), "en": lambda: ints(place[k[end[stay]]]), "label": lambda: spelled(at),
+        "lvl": lambda: ints((lvl - lvl[root] + 1)[stay]), "parent": lambda: indexed(parent), "parent_label": lambda: spelled(parent),
+        "ci": lambda: ints(np.where(is_root, -1, rank[stay])), "sisters": lambda: pa.array(count[stay]), "youngest": lambda: pa.array(is_root | (rank == count - 1)[stay]),
+        "prev_label": lambda: spelled(beside["prev_label"]), "next_label": lambda: spelled(beside["next_label"]), "is_leaf": lambda: pa.array(is_leaf[stay]), "pre": lambda: pa.array(pre[stay]),
+        "word": lambda: spelled(np.where(pre, at + 1, -1)), "next_st": lambda: indexed(beside["next_label"]), "kids": lambda: kids(), "left_edge": lambda: ints((left - before)[stay]), "right_edge": lambda: ints((right - before)[stay]),
+    }
+    offsets = np.append(0, np.cumsum(np.bincount(own[x[stay]], minlength=len(sizes)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([columns[c]() for c in names], list(names)))
+
+
 def from_children(nodes: DataFrame, **aggregates: Column) -> DataFrame:
     """nodes with each name: the aggregate over the node's children (null or empty without any).
 
