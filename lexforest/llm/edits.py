@@ -85,13 +85,24 @@ def _trimmed(x: Column, y: Column, f) -> Column:
     return _let(shared_start(x, y), lambda n: _let(F.struct(rest(x, n).alias("x"), rest(y, n).alias("y")), lambda s: f(s["x"], s["y"])))
 
 
+def _same_inside(x: Column, y: Column) -> Column:
+    """What holds of strings two edits apart at most whose first and last characters differ: an edit stands at either end, and all between is equal."""
+    edit = ((1, 1), (1, 0), (0, 1))  # characters that it takes of x and of y
+    part = lambda c, i, j: F.substring(c, F.lit(i + 1), F.char_length(c) - i - j)
+    found = F.lit(False)
+    for i, k in edit:
+        for j, m in edit:
+            found = found | (part(x, i, j) == part(y, k, m))
+    return found
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two strings are at most so many edits apart (characters are code points)."""
     chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
 
     def rest(x: Column, y: Column) -> Column:
         near = _let(F.struct(chars(x).alias("x"), chars(y).alias("y")), lambda s: _distance(s["x"], s["y"], edits) <= edits)
-        return F.when(F.char_length(x) <= edits, True).when(F.lit(edits == 0), False).otherwise(near)
+        return F.when(F.char_length(x) <= edits, True).when(F.lit(edits == 0), False).when(F.lit(edits <= 2) & ~_same_inside(x, y), False).otherwise(near)
 
     first = F.char_length(a) >= F.char_length(b)
     both = F.struct(F.when(first, a).otherwise(b).alias("x"), F.when(first, b).otherwise(a).alias("y"))

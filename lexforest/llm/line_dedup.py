@@ -16,7 +16,8 @@ Keys that only one line has are dropped by a partial aggregate of (key, least li
 greatest line) and a bitmap; then keys are joined exactly. A line needs *one*
 earlier near line only, so each key's lines are compared with its first line
 (and its first line that has the key as its own), and those that are near are done.
-Lines that are left are compared with all earlier ones of their key only where the key is small.
+Lines that are left are compared with all earlier ones of their key where the key is small; in a
+key of more than FEW lines that is not worth cutting up, a semi-join looks for one earlier line by what the key leaves out.
 The lines of a key agree in all but the two segments that it leaves out, and for one of their
 keys two near lines differ by their edits in these only. So the lines of a large key get new
 keys from what these segments hold, without the start and the end that all lines of
@@ -38,6 +39,8 @@ lines; a null doc_id stands before all others; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,12 +120,15 @@ def first_codes(m: int) -> Column:
 
 
 def left_out(lines: DataFrame, edits: int) -> DataFrame:
-    """Adds r1 and r2, what the two segments hold that the key (column code) of a line leaves out."""
+    """Adds r1 and r2, what the two segments hold that the key (column code) of a line leaves out.
+
+    Neighbouring segments are one rest (r1): the place between them moves with an edit before it.
+    """
     place = {"m": F.expr("code div 8192"), "first": F.expr("code div 256 % 32"), "last": F.expr("code div 8 % 32"), "shift": F.expr("code div 2 % 4 - 1"), "below": F.expr("code % 2")}
     at = lines.withColumns({f"__{n}": c.cast("int") for n, c in place.items()}).withColumn("__len", F.char_length("line"))
     at = at.withColumn("__size", segment_size(F.col("__len") - F.col("__below") * edits, F.col("__m")))
-    r1 = F.expr("substring(line, __first * __size + 1, __size + __shift)")
-    r2 = F.expr("substring(line, __last * __size + __shift + 1, __len - (__m - 1 - __last) * __size - __last * __size - __shift)")
+    r1 = F.expr("substring(line, __first * __size + 1, if(__last = __first + 1, __len - (__m - 2) * __size, __size + __shift))")
+    r2 = F.expr("if(__last = __first + 1, '', substring(line, __last * __size + __shift + 1, __len - (__m - 1 - __last) * __size - __last * __size - __shift))")
     return at.withColumns({"r1": r1, "r2": r2}).drop("__m", "__first", "__last", "__shift", "__below", "__len", "__size")
 
 
@@ -173,6 +179,14 @@ def shared_keys(rows: DataFrame, line: str) -> DataFrame:
     return rows.groupBy("key").agg(F.min(line).alias("low"), F.max(line).alias("high")).where("low <> high").select("key")
 
 
+def both_within(t: tuple[Column, Column], p: tuple[Column, Column], edits: int) -> Column:
+    """Whether the two rests of one line are at most so many edits from those of another, together."""
+    size = sum((F.abs(F.char_length(x) - F.char_length(y)) for x, y in zip(t, p, strict=True)), F.lit(0))
+    same = [x == y for x, y in zip(t, p, strict=True)]
+    split = reduce(Column.__or__, (within(t[0], p[0], n) & within(t[1], p[1], edits - n) for n in range(1, edits)), F.lit(False))
+    return (size <= edits) & ((same[0] & within(t[1], p[1], edits)) | (same[1] & within(t[0], p[0], edits)) | (~same[0] & ~same[1] & split))
+
+
 class EditJoin:
     """Marks the lines that have an earlier line within the edits.
 
@@ -192,11 +206,34 @@ class EditJoin:
         """Adds the t of pairs (t, p) that are within the edits."""
         text = lambda x: self.lines.select(F.col("no").alias(x), F.col("line").alias(f"line_{x}"))
         both = pairs.distinct().join(text("t"), "t").join(text("p"), "p")
-        near = self.scratch.save(both.where(within(F.col("line_t"), F.col("line_p"), self.edits)).select(F.col("t").alias("no")).distinct())
+        self._add(both.where(within(F.col("line_t"), F.col("line_p"), self.edits)).select(F.col("t").alias("no")))
+
+    def _add(self, near: DataFrame) -> None:
+        near = self.scratch.save(near.distinct())
         self.found = near if self.found is None else self.scratch.save(self.found.union(near).distinct())
 
+    def _search(self, led: DataFrame, rest: DataFrame | None) -> None:
+        """Adds the open lines of larger keys that have an earlier line within the edits. One is enough, so that no pairs come of a key.
+
+        rest: what the keys with a code leave out of their lines; the lines of others are short or few, and are compared as they are.
+        """
+        # a key is left where it is: only its open lines say whether it is read
+        of = led.join(led.where("open").select("key").distinct(), "key")
+        texts = of.where("code IS NULL").join(self.lines.select("no", F.col("line").alias("r1"), F.lit("").alias("r2")), "no")
+        texts = texts.select("key", "own", "open", "t", "r1", "r2")
+        if rest is not None:
+            texts = texts.union(of.where("code IS NOT NULL").join(rest.select("key", "no", "r1", "r2"), ["key", "no"]).select("key", "own", "open", "t", "r1", "r2").distinct())
+        texts = self.scratch.save(texts)
+        if texts.isEmpty():
+            return
+        side = lambda x: texts.where("open" if x == "t" else "true").select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "r1", "r2")), F.col("t").alias(x))
+        left, right = side("t"), side("p")
+        rests = ((F.col(f"r1_{x}"), F.col(f"r2_{x}")) for x in "tp")
+        earlier = (F.col("own_t") | F.col("own_p")) & (F.col("p.no") < F.col("t.no")) & self._close("t", "p")
+        self._add(left.join(right, (left.key == right.key) & earlier & both_within(*rests, self.edits), "left_semi").select("t.no"))
+
     def _rests(self, wide: DataFrame) -> DataFrame:
-        """key, no, line (what the key leaves out of the line, without what all lines of the key share there) and width (of the key's widest), from rows of key, no, code."""
+        """key, no, r1 and r2 (what the key leaves out of the line, without what all lines of the key share there), line (both) and width (of the key's widest), from rows of key, no, code."""
         of = self.scratch.save(left_out(wide.join(self.lines.select("no", "line"), "no"), self.edits).select("key", "no", "r1", "r2"))
         found = {}
         for r in ("r1", "r2"):
@@ -209,7 +246,7 @@ class EditJoin:
         width = sum((F.col(f"{r}_most") - F.col(f"{r}_start") - F.col(f"{r}_end") for r in ("r1", "r2")), F.lit(1))
         per = self.scratch.save(per.select("key", width.alias("width"), *(f"{r}_{x}" for r in ("r1", "r2") for x in ("start", "end"))))
         cut = [F.expr(f"substring({r}, {r}_start + 1, char_length({r}) - {r}_start - {r}_end)") for r in ("r1", "r2")]
-        return self.scratch.save(of.join(per, "key").select("key", "no", F.concat(cut[0], F.lit(MARK), cut[1]).alias("line"), "width").distinct())
+        return self.scratch.save(of.join(per, "key").select("key", "no", cut[0].alias("r1"), cut[1].alias("r2"), F.concat(cut[0], F.lit(MARK), cut[1]).alias("line"), "width").distinct())
 
     def compare(self, rows: DataFrame, finer: int | None) -> DataFrame | None:
         """Compares the lines that share a key (no, own, code, key, final); returns the lines (no) that are to be cut into finer segments, if there is such a number."""
@@ -229,7 +266,7 @@ class EditJoin:
         # larger keys of which a line is open
         wide = led.where((F.col("n") > FEW) & ~F.col("final"))
         wide = self.scratch.save(wide.join(wide.where("open").select("key").distinct(), "key"))
-        large, narrow = None, None
+        large, narrow, rest = None, None, None
         if not wide.isEmpty():
             rest = self._rests(wide.where("code IS NOT NULL").select("key", "no", "code"))
             # keys of deletions: so many pairs of places, each in place of so many comparisons
@@ -240,11 +277,13 @@ class EditJoin:
             kind = F.when(dense, "deletions").when(more & F.lit(finer is not None), "finer").when(more & F.col("width").isNotNull(), "halves")
             kinds = self.scratch.save(size.select("key", kind.alias("kind")).where("kind IS NOT NULL"))
             of = lambda kind: kinds.where(F.col("kind") == kind).select("key")
-            parts = rest.withColumnRenamed("no", "id")
+            parts = rest.select("key", F.col("no").alias("id"), "line")
             narrow = keyed_by_deletions(parts.join(of("deletions"), "key").withColumnRenamed("key", "within"), "within").union(keyed_by_halves(parts.join(of("halves"), "key").withColumnRenamed("key", "within"), "within"))
             narrow = narrow.select(F.col("id").alias("no"), "own", F.lit(None).cast("int").alias("code"), "key", F.lit(True).alias("final"))
             large = wide.join(of("finer"), "key").select("no").distinct()
             led = led.join(kinds, "key", "left_anti")
+        self._search(led.where(F.col("n") > FEW), rest)
+        led = led.where(F.col("n") <= FEW)
         left = led.where("open").select("key", F.col("own").alias("own_t"), "t")
         right = led.select("key", F.col("own").alias("own_p"), F.col("t").alias("p"))
         pairs = left.join(right, (left.key == right.key) & (F.col("own_t") | F.col("own_p")) & (F.col("p.no") < F.col("t.no")) & self._close("t", "p"))
