@@ -46,6 +46,8 @@ HARD_STEP = 64
 SEGMENT = 1 << 20
 #: Distinct chunks that a worker remembers before it starts anew; a bound on memory, not on input.
 MEMO = 700_000
+#: Bytes of text that are cut into chunks together; each chunk is a Python string, some ten times its share of the text.
+SLICE = 1 << 20
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -268,7 +270,7 @@ def _pack(path: str, window: int, segment: int):
 
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
-            for a, b in slices(text):
+            for a, b in slices(text, SLICE):
                 flat, counts = encoder.encode([x or "" for x in text.slice(a, b - a).to_pylist()])
                 stream.add(flat, list(zip(ids.slice(a, b - a).to_pylist(), counts.tolist(), strict=True)))
                 if stream.size >= segment:
