@@ -19,6 +19,7 @@ ties as good; null labels are left out; without any labelled row every score is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,8 @@ N_TERMS = CLASSES * CLASSES + WORD_BUCKETS + 2
 #: Weights of the blocks of terms: character pairs, words, repeats.
 BLOCK_WEIGHTS = (1.0, 0.5, 1.0)
 BLOCK = 1024
+#: Labelled rows that the driver spells out at once.
+FIT_BLOCK = 256
 #: Weight of the mean label in a text of one word; neighbours have NEIGHBOURS together at most.
 LEAN = 30.0
 
@@ -77,11 +80,19 @@ class Voter:
     labels: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, rank: int) -> "Voter":
-        mean = x.mean(0)
-        _, _, basis = np.linalg.svd(x - mean, full_matrices=False)
-        self = cls(mean, np.ascontiguousarray(basis[:rank].T, np.float32), np.zeros((0, rank), np.float32), labels.astype(np.float32))
-        self.vectors = self.latent(x)
+    def fit(cls, blocks: Callable[[], Iterable[np.ndarray]], labels: np.ndarray, rank: int) -> "Voter":
+        """blocks gives the rows of terms, some at a time, at each call. What is held is a square of the number of terms."""
+        n, total, products = len(labels), np.zeros(N_TERMS), np.zeros((N_TERMS, N_TERMS))
+        for x in blocks():
+            x = x.astype(np.float64)
+            total += x.sum(0)
+            products += x.T @ x
+        mean = total / n
+        products -= np.outer(total, mean)
+        # the leading singular vectors of the centred rows, largest first
+        basis = np.linalg.eigh(products)[1][:, : -1 - min(rank, n) : -1]
+        self = cls(mean.astype(np.float32), np.ascontiguousarray(basis, np.float32), np.zeros((0, rank), np.float32), labels.astype(np.float32))
+        self.vectors = np.concatenate([self.latent(x) for x in blocks()])
         return self
 
     def latent(self, x: np.ndarray) -> np.ndarray:
@@ -129,11 +140,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
                 x, _ = terms(batch.column(2).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = labelled_sample(docs, labels, max_labelled, folds).select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary").toPandas()
-    if rows.empty:
+    rows = labelled_sample(docs, labels, max_labelled, folds).select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary").toArrow()
+    if not len(rows):
         return None
-    rows = rows.sort_values("doc_id")
-    return Voter.fit(np.stack([np.frombuffer(x, np.float32) for x in rows.x]), rows.label.to_numpy(), rank)
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+
+    def blocks():
+        for a in range(0, len(order), FIT_BLOCK):
+            yield np.stack([np.frombuffer(x, np.float32) for x in rows.column("x").take(order[a : a + FIT_BLOCK]).to_pylist()])
+
+    return Voter.fit(blocks, rows.column("label").to_numpy()[order], rank)
 
 
 def score(docs: DataFrame, voter: Voter | None, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
