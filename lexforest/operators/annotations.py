@@ -115,9 +115,9 @@ class AnnotationStore:
         """Documents (with digest) that a processor has not annotated."""
         return missing_annotations(documents, self.entries(name), "doc_id", "digest")
 
-    def _with(self, documents: DataFrame, names) -> DataFrame:
+    def _with(self, documents: DataFrame, names, given: Callable[[str, Column], Column]) -> DataFrame:
         for n in names:
-            documents = documents.join(self.entries(n).withColumnRenamed("value", n), ["doc_id", "digest"], "left")
+            documents = documents.join(self.entries(n).select("doc_id", "digest", given(n, F.col("value")).alias(n)), ["doc_id", "digest"], "left")
         return documents
 
     def update(self, documents: DataFrame, names) -> dict[str, int]:
@@ -132,6 +132,10 @@ class AnnotationStore:
         fresh: dict[str, DataFrame] = {}
         for n in self._order(names):
             p = self.processors[n]
+            # by keys alone at first, so that texts are not moved where nothing is missing
+            if self.missing(docs.select("doc_id", "digest"), n).isEmpty():
+                written[n] = 0
+                continue
             todo = self.missing(docs, n)
             for need in p.needs:
                 have = self.entries(need)
@@ -153,14 +157,19 @@ class AnnotationStore:
             self._swap(number + 1, state)
         return written
 
-    def annotate(self, documents: DataFrame, names) -> DataFrame:
-        """documents with a column a name; what is not there yet is computed and kept."""
+    def annotate(self, documents: DataFrame, names, of: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+        """documents with a column a name; what is not there yet is computed and kept.
+
+        of: for some of the names, what is given of the value. It is taken where entries lie, so that only this is joined.
+        """
         self.update(documents, names)
         known = digested(documents)
-        out = self._with(known.where("doc_id IS NOT NULL"), names)
+        given = lambda n, value: (of or {}).get(n, lambda x: x)(value)
+        out = self._with(known.where("doc_id IS NOT NULL"), names, given)
         nameless = known.where("doc_id IS NULL")
         for n in self._order(names):
             nameless = nameless.withColumn(n, self.processors[n].compute().cast(self.processors[n].type))
+        nameless = nameless.withColumns({n: given(n, F.col(n)) for n in names})
         return out.unionByName(nameless.select(out.columns)).select(*documents.columns, *names)
 
     def compact(self) -> None:

@@ -62,3 +62,20 @@ def test_circles_and_unknown_names(spark, tmp_path):
         AnnotationStore(spark, str(tmp_path), [a, b])
     with pytest.raises(ValueError, match="no processor"):
         AnnotationStore(spark, str(tmp_path), [WORDS]).annotate(df(spark, (1, "x")), ["y"])
+
+
+def test_only_what_is_asked_of_a_value_is_joined(spark, tmp_path):
+    docs = df(spark, (1, "the dog"), (2, None), (2, "two rows"), (None, "no name"))
+    store = AnnotationStore(spark, f"{tmp_path}/store", [WORDS, COUNT])
+    store.update(docs, ["lemmas", "n"])
+    # nothing is missing: nothing is computed, so that no text is moved for it
+    def never():
+        raise AssertionError
+
+    idle = AnnotationStore(spark, f"{tmp_path}/store", [Processor("lemmas", "1", never, "array<string>")])
+    assert idle.update(docs, ["lemmas"]) == {"lemmas": 0}
+    out = store.annotate(docs, ["lemmas", "n"], of={"lemmas": F.size})
+    assert rows(out) == [(1, "the dog", 2, 2), (2, "two rows", 2, 2), (2, None, 0, 0), (None, "no name", 2, 2)]
+    plan = out.select("doc_id", "lemmas")._jdf.queryExecution().optimizedPlan().toString()
+    # sizes are taken below the join
+    assert plan.index("Join") < plan.index("size(value")
