@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..shared import file_system
 from .files import missing_annotations
-from .tokens import penn_tag_sql, words
+from .tokens import penn_tag_in_place, words
 
 
 @dataclass(frozen=True)
@@ -202,4 +202,4 @@ def digested(documents: DataFrame) -> DataFrame:
 
 #: The rule annotator as processors: words, and their Penn tags.
 WORDS = Processor("lemmas", "1", lambda: words(F.col("text")), "array<string>")
-TAGS = Processor("tags", "1", lambda: F.expr(f"transform(lemmas, w -> {penn_tag_sql('w')})"), "array<string>", ("lemmas",))
+TAGS = Processor("tags", "1", lambda: F.expr(f"transform(lemmas, w -> {penn_tag_in_place('w')})"), "array<string>", ("lemmas",))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
 from ..operators.lexical import msttr, ndw_first
-from ..operators.patterns import WORD
+from ..operators.patterns import WORD_IN_PLACE
 from ..operators.surrogate import surrogate_forests
 from ..operators.tokens import words
 
@@ -23,7 +23,7 @@ def lexical_stream(docs: DataFrame) -> DataFrame:
 
 
 def forest_word_stream(docs: DataFrame) -> DataFrame:
-    return surrogate_forests(docs).select("doc_id", F.regexp_count("forest", F.lit(WORD)).alias("W"))
+    return surrogate_forests(docs).select("doc_id", F.regexp_count("forest", F.lit(WORD_IN_PLACE)).alias("W"))
 
 
 def windowed_words(docs: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
