@@ -132,9 +132,9 @@ def fold(doc_id, folds: int = FOLDS):
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK, folds: int = FOLDS) -> Voter | None:
-    def features(batches):
-        import pyarrow as pa
+    import pyarrow as pa
 
+    def features(batches):
         for batch in batches:
             for a, b in slices(batch.column(2)):
                 x, _ = terms(batch.column(2).slice(a, b - a))
@@ -149,7 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ra
         for a in range(0, len(order), FIT_BLOCK):
             yield np.stack([np.frombuffer(x, np.float32) for x in rows.column("x").take(order[a : a + FIT_BLOCK]).to_pylist()])
 
-    return Voter.fit(blocks, rows.column("label").to_numpy()[order], rank)
+    voter = Voter.fit(blocks, rows.column("label").to_numpy()[order], rank)
+    del rows
+    pa.default_memory_pool().release_unused()  # else the driver keeps the rows' pages for later queries
+    return voter
 
 
 def score(docs: DataFrame, voter: Voter | None, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
