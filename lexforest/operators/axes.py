@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .heads import with_heads
+from .heads import HEAD_ST
 from .structural import in_order, structural_join
 from .trees import TREE, shred_in_place
 
@@ -101,11 +101,11 @@ FAMILY = {
 OF_HEADS = ("immediately_heads", "immediately_headed_by", "heads", "headed_by")
 
 
-def nodes_of(forests: DataFrame, name: str) -> DataFrame:
+def nodes_of(forests: DataFrame, name: str, partitioned: bool = False) -> DataFrame:
     """Nodes of the forests for ``axis`` with placed, with what the axis reads: labels only where heads or categories are asked for."""
     if name in OF_HEADS:
-        return with_heads(shred_in_place(forests, "tree_id", "st", "label", "lvl", "parent", "kids"))
-    return shred_in_place(forests, "tree_id", "st", "lvl", "parent", "ci", "sisters", "is_leaf", "left_edge", "right_edge", "next_st", *(("label",) if name.startswith("unbroken") else ()))
+        return shred_in_place(forests, "tree_id", "st", "lvl", "parent", derived={"head_st": HEAD_ST}, partitioned=partitioned)
+    return shred_in_place(forests, "tree_id", "st", "lvl", "parent", "ci", "sisters", "is_leaf", "left_edge", "right_edge", "next_st", *(("label",) if name.startswith("unbroken") else ()), partitioned=partitioned)
 
 
 def numbered(name: str, n: int) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .trees import child, from_children
+from .trees import Nodes, child, from_children, places
 
 # The published head rules. Mother, then (direction, categories) in order of trial.
 HEAD_RULES = {
@@ -96,3 +99,59 @@ def with_heads(nodes: DataFrame, wanted: Column | None = None) -> DataFrame:
     index = head_index(F.col("kids"), F.col("rules"))
     out = out.withColumn("head", F.try_element_at("kids", (index if wanted is None else F.when(wanted, index)) + 1))
     return out.withColumns({"n_kids": F.size("kids"), "head_st": F.col("head")["st"], "head_label": F.col("head")["label"]}).drop("mother", "rules", "head")
+
+
+#: Labels that rules and coordinations name, and the rules as arrays: by mother and rule, and by label the rank from 1 (0: not named).
+KNOWN = tuple(sorted({c for rules in HEAD_RULES.values() for _, cats in rules for c in cats} | {"CC", "CONJP", *PUNCTUATION}))
+MOTHERS = tuple(HEAD_RULES)
+_SHAPE = (len(MOTHERS), max(len(rules) for rules in HEAD_RULES.values()))
+_DIRECTIONS = np.array([[rules[k][0] if k < len(rules) else "" for k in range(_SHAPE[1])] for rules in HEAD_RULES.values()])
+_LEFT, _EXCEPT, _PLAIN = np.char.startswith(_DIRECTIONS, "left"), np.char.endswith(_DIRECTIONS, "except"), np.isin(_DIRECTIONS, ("left", "right"))
+_LAST_LEFT = np.array([rules[-1][0].startswith("left") for rules in HEAD_RULES.values()])
+_RANK = np.zeros((*_SHAPE, len(KNOWN) + 1), int)
+for _m, _rules in enumerate(HEAD_RULES.values()):
+    for _k, (_, _cats) in enumerate(_rules):
+        for _rank, _cat in reversed(list(enumerate(_cats, 1))):
+            _RANK[_m, _k, KNOWN.index(_cat)] = _rank
+_JOINS, _MARKS = np.isin((*KNOWN, ""), ("CC", "CONJP")), np.isin((*KNOWN, ""), PUNCTUATION)
+
+
+def head_children(nodes: Nodes) -> np.ndarray:
+    """Index of each node's head child, -1 without one: ``head_index`` for all nodes at once."""
+    children, n_kids = nodes.children, nodes.n_kids
+    out = np.full(len(n_kids), -1)
+    out[n_kids == 1] = children[nodes.first[n_kids == 1]]
+    mother = np.full(len(n_kids), -1)
+    many = np.flatnonzero(n_kids > 1)
+    mother[many] = nodes.codes(MOTHERS, pc.replace_substring_regex(nodes.label.take(pa.array(many)), "^@", "", max_replacements=1))
+    kids = children[mother[nodes.parent[children]] >= 0]
+    if not len(kids):
+        return out
+    code, of, kid = nodes.codes(KNOWN), mother[nodes.parent[kids]], nodes.kid[kids]
+    starts = np.flatnonzero(np.diff(nodes.parent[kids], prepend=-1))
+    up = nodes.parent[kids[starts]]
+    width = int(n_kids.max()) + 1
+    none = (_RANK.max() + 1) * width
+    found = np.full(len(starts), -1)
+    for k in range(_SHAPE[1]):
+        rank = _RANK[of, k, code[kids]]
+        hit = np.where(_EXCEPT[of, k], rank == 0, rank > 0) & (_DIRECTIONS[of, k] != "")
+        place = np.where(_LEFT[of, k], kid, width - 1 - kid)
+        best = np.minimum.reduceat(np.where(hit, np.where(_PLAIN[of, k], rank, 0) * width + place, none), starts)
+        here = (found < 0) & (best < none)
+        found[here] = np.where(_LEFT[of[starts], k], best % width, width - 1 - best % width)[here]
+    at = lambda i: children[nodes.first[up] + np.maximum(i, 0)]
+    two = at(found - 2)
+    joined = (found >= 2) & _JOINS[code[at(found - 1)]] & ~(nodes.pre[two] & _MARKS[code[two]])
+    found = np.where(joined, found - 2, found)
+    out[up] = at(np.where(found >= 0, found, np.where(_LAST_LEFT[mother[up]], 0, n_kids[up] - 1)))
+    return out
+
+
+#: Columns for ``trees.shred_in_place``.
+HEAD_ST = ("int", lambda nodes, rows: places(nodes, nodes.once(head_children), rows))
+
+
+def head_labels(nodes: Nodes, rows: np.ndarray) -> pa.Array:
+    head = nodes.once(head_children)[rows]
+    return nodes.label.take(pa.array(head, mask=head < 0))

@@ -5,11 +5,14 @@ Input is the node table of ``trees.shred``; with heads where a head is asked for
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .structural import structural_join
-from .trees import TREE, child, from_children, inside
+from .trees import TREE, Nodes, child, from_children, inside
 
 
 def kinds(nodes: DataFrame) -> DataFrame:
@@ -25,6 +28,35 @@ def kinds(nodes: DataFrame) -> DataFrame:
     return n.withColumn("binary", ~F.col("odd") & (F.col("below_odd") == 0)).drop("odd", "below_odd", "above_odd", "all_pre")
 
 
+def _odd(nodes: Nodes) -> np.ndarray:
+    return ~nodes.is_leaf & ~nodes.pre & (nodes.n_kids != 2)
+
+
+#: What ``kinds`` adds, as columns for ``trees.shred_in_place``.
+KINDS = {
+    "phrasal": ("boolean", lambda nodes, rows: pa.array((~nodes.is_leaf & ~nodes.pre)[rows])),
+    "unary": ("boolean", lambda nodes, rows: pa.array((nodes.n_kids == 1)[rows])),
+    "prepreterminal": ("boolean", lambda nodes, rows: pa.array(((nodes.n_kids > 0) & ~nodes.some_kid(~nodes.pre))[rows])),
+    "binary": ("boolean", lambda nodes, rows: pa.array(~(_odd(nodes) | nodes.over(_odd(nodes)))[rows])),
+}
+
+
+def leaves_below(nodes: Nodes) -> np.ndarray:
+    """How many leaves each node has below it, or is."""
+    met = np.append(0, np.cumsum(nodes.is_leaf))
+    return met[nodes.last + 1] - met[:-1]
+
+
+def span(nodes: Nodes, rows: np.ndarray) -> pa.Array:
+    """The leaves below each of the rows (or itself) joined by blanks."""
+    leaves = np.flatnonzero(nodes.is_leaf & nodes.label.is_valid().to_numpy(zero_copy_only=False))
+    low = np.searchsorted(leaves, rows)
+    n = np.searchsorted(leaves, nodes.last[rows], "right") - low
+    bounds = np.append(0, np.cumsum(n))
+    own = leaves[np.repeat(low - bounds[:-1], n) + np.arange(bounds[-1])]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), nodes.label.take(pa.array(own))), " ")
+
+
 def texts(nodes: DataFrame) -> DataFrame:
     """doc_id, tree_id, st and text: the bracket text of every node; equal texts are equal trees."""
     opened = F.when(F.col("is_leaf"), F.col("label")).otherwise(F.concat(F.lit("("), F.coalesce("label", F.lit(""))))

@@ -7,6 +7,9 @@ windows over one partitioning by document, so a forest is shuffled once.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -120,34 +123,115 @@ COLUMNS = {
 }
 #: Tokens whose nodes a task holds at once, besides those of one document.
 TOKENS = 1 << 16
+#: Weight of the rows that a task gives out at once, about.
+WEIGHT = 1 << 20
+
+
+@dataclass
+class Nodes:
+    """Nodes of some documents as arrays, for what is worked out from several of them. An index is a place in these arrays, -1 is none.
+
+    parent, after (the next sister) and last (the last node below, or itself) are indexes, kid counts from 0 among its sisters, of
+    which there are sisters; a node's descendants stand right behind it.
+    """
+
+    label: pa.Array
+    st: np.ndarray
+    parent: np.ndarray
+    kid: np.ndarray
+    sisters: np.ndarray
+    after: np.ndarray
+    last: np.ndarray
+    is_leaf: np.ndarray
+    pre: np.ndarray
+    kept: dict = field(default_factory=dict)
+
+    def once(self, f):
+        """f of these nodes, worked out once."""
+        if f not in self.kept:
+            self.kept[f] = f(self)
+        return self.kept[f]
+
+    def codes(self, labels: tuple[str, ...], of: pa.Array | None = None) -> np.ndarray:
+        """Place of each node's label among the labels, -1 for others and none."""
+        return pc.fill_null(pc.index_in(self.label if of is None else of, value_set=pa.array(labels)), -1).to_numpy(zero_copy_only=False)
+
+    @cached_property
+    def children(self) -> np.ndarray:
+        """All that have a parent, by parent and in order."""
+        child = np.flatnonzero(self.parent >= 0)
+        return child[np.argsort(self.parent[child], kind="stable")]
+
+    @cached_property
+    def n_kids(self) -> np.ndarray:
+        return np.bincount(self.parent[self.children], minlength=len(self.parent))
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Where a node's children begin in ``children``."""
+        return np.cumsum(self.n_kids) - self.n_kids
+
+    def some_kid(self, flag: np.ndarray) -> np.ndarray:
+        """Nodes of which a child has the flag."""
+        out = np.zeros(len(flag), bool)
+        out[self.parent[flag & (self.parent >= 0)]] = True
+        return out
+
+    def under(self, flag: np.ndarray) -> np.ndarray:
+        """Nodes of which an ancestor has the flag."""
+        at = np.flatnonzero(flag)
+        step = np.bincount(at + 1, minlength=len(flag) + 1) - np.bincount(self.last[at] + 1, minlength=len(flag) + 1)
+        return np.cumsum(step)[: len(flag)] > 0
+
+    def over(self, flag: np.ndarray) -> np.ndarray:
+        """Nodes of which a descendant has the flag."""
+        met = np.append(0, np.cumsum(flag))
+        return met[self.last + 1] > met[np.arange(len(flag)) + 1]
 
 
-def shred_in_place(forests: DataFrame, *names: str) -> DataFrame:
+def places(nodes: Nodes, index: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """st of the indexed nodes, for the rows."""
+    return pa.array(nodes.st[index[rows]].astype(np.int32), mask=index[rows] < 0)
+
+
+def whole_parts(tokens: pa.Array):
+    """(from, to) of documents that are cut up at once."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(tokens)]
+    return zip(cuts, cuts[1:], strict=False)
+
+
+def tokens_of(forests: DataFrame, partitioned: bool, *columns: Column) -> DataFrame:
+    """doc_id, tokens and the columns of forests; partitioned: they are dealt out by doc_id already."""
+    return (forests if partitioned else dealt(forests)).select("doc_id", F.regexp_extract_all("forest", F.lit(TOKEN), F.lit(0)).alias("tokens"), *columns)
+
+
+def shred_in_place(forests: DataFrame, *names: str, derived=None, chosen=None, weights=None, partitioned: bool = False) -> DataFrame:
     """doc_id and the named columns of ``shred``, next_st (the next sister's st) and kids (array of st, label, pre) among them.
 
     A document's brackets are matched where its text lies, some documents at a time, and its nodes are given out at once. So
     neither tokens nor nodes are sorted or kept: the rows of a document lie together in one task, sorted by st. Spark
     does not know this, so windows over them would shuffle them again; what goes on in one pass over sorted nodes need not.
-    """
 
-    rows = dealt(forests).select("doc_id", F.regexp_extract_all("forest", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    derived: name -> (type, function of Nodes and the indexes of rows that gives a column of these). chosen: function of Nodes
+    that gives a flag, without which a node is left out. weights: function of Nodes that gives the size of each row, where rows are long.
+    """
+    derived = derived or {}
 
     def run(batches):
         for batch in batches:
             tokens = batch.column("tokens")
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(tokens)]
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                lists = nodes_of(tokens.slice(x, y - x), names)
-                doc = np.repeat(np.arange(x, y), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *lists.flatten().flatten()], names=["doc_id", *names])
+            for x, y in whole_parts(tokens):
+                for doc, rows in nodes_of(tokens.slice(x, y - x), names, derived, chosen, weights):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc + x)), *rows], names=["doc_id", *names, *derived])
 
     kind = forests.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} {COLUMNS[c]}' for c in names)}")
+    types = {c: COLUMNS[c] for c in names} | {c: kind for c, (kind, _) in derived.items()}
+    return tokens_of(forests, partitioned).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} {k}' for c, k in types.items())}")
 
 
-def nodes_of(tokens: pa.Array, names: tuple[str, ...]) -> pa.Array:
-    """A list a document of its nodes' columns, from a list a document of its tokens.
+def nodes_of(tokens: pa.Array, names: tuple[str, ...], derived=None, chosen=None, weights=None):
+    """Parts of (index of the node's document, columns), from a list a document of its tokens; see ``shred_in_place``.
 
     Inside a level openers and closers alternate, and sisters stand next to each other; so two stable sorts by level
     give each bracket its end and each node its family.
@@ -216,7 +300,7 @@ def nodes_of(tokens: pa.Array, names: tuple[str, ...]) -> pa.Array:
     is_root = (at == root)[stay]
     place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[doc]
     label = None
-    if {"label", "parent_label", "prev_label", "next_label", "word", "kids"} & set(names):
+    if {"label", "parent_label", "prev_label", "next_label", "word", "kids"} & set(names) or derived or chosen or weights:
         label = flat.take(pa.array(k[x] + opened, mask=~labelled))
         for mark, bracket in (("-LRB-", "("), ("-RRB-", ")")):
             label = pc.replace_substring(label, mark, bracket)
@@ -230,6 +314,10 @@ def nodes_of(tokens: pa.Array, names: tuple[str, ...]) -> pa.Array:
         bounds = np.append(0, np.cumsum(np.bincount(parent[child], minlength=n)[stay])).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([ints(place[k[x[child]]]), label.take(pa.array(child)), pa.array(pre[child])], ["st", "label", "pre"]))
 
+    def whole() -> Nodes:
+        index = lambda i: np.where(i[stay] >= 0, (np.cumsum(at >= root) - 1)[i[stay]], -1)
+        return Nodes(spelled(at), place[k[x[stay]]], index(parent), np.where(is_root, 0, rank[stay]), count[stay], index(beside["next_label"]), np.searchsorted(x[stay], end[stay], "right") - 1, is_leaf[stay], pre[stay])
+
     columns = {
         "tree_id": lambda: ints(place[k[tree[x[stay]]]]), "st": lambda: ints(place[k[x[stay]]]), "en": lambda: ints(place[k[end[stay]]]), "label": lambda: spelled(at),
         "lvl": lambda: ints((lvl - lvl[root] + 1)[stay]), "parent": lambda: indexed(parent), "parent_label": lambda: spelled(parent),
@@ -237,8 +325,14 @@ def nodes_of(tokens: pa.Array, names: tuple[str, ...]) -> pa.Array:
         "prev_label": lambda: spelled(beside["prev_label"]), "next_label": lambda: spelled(beside["next_label"]), "is_leaf": lambda: pa.array(is_leaf[stay]), "pre": lambda: pa.array(pre[stay]),
         "word": lambda: spelled(np.where(pre, at + 1, -1)), "next_st": lambda: indexed(beside["next_label"]), "kids": lambda: kids(), "left_edge": lambda: ints((left - before)[stay]), "right_edge": lambda: ints((right - before)[stay]),
     }
-    offsets = np.append(0, np.cumsum(np.bincount(own[x[stay]], minlength=len(sizes)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([columns[c]() for c in names], list(names)))
+    nodes = whole() if derived or chosen or weights else None
+    rows = np.arange(len(stay)) if chosen is None else np.flatnonzero(chosen(nodes))
+    given = [columns[c]() for c in names]
+    heavy = np.cumsum(weights(nodes)[rows]) if weights else np.zeros(len(rows), int)
+    cuts = [0, *(np.flatnonzero(np.diff(heavy // WEIGHT)) + 1).tolist(), len(rows)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = rows[low:high]
+        yield own[x[stay[part]]], [*(c if len(part) == len(stay) else c.take(pa.array(part)) for c in given), *(f(nodes, part) for _, f in (derived or {}).values())]
 
 
 def from_children(nodes: DataFrame, **aggregates: Column) -> DataFrame:

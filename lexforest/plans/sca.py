@@ -15,11 +15,7 @@ def flagged(forests: DataFrame, partitioned: bool = False) -> DataFrame:
 
 def counts(forests: DataFrame, names=measures.COUNTED, partitioned: bool = False) -> DataFrame:
     """doc_id and the named counted measures of every document; unbalanced ones count no structures."""
-    wanted = [n for n in names if n != "W"]
-    out = patterns.word_counts(forests) if "W" in names else forests.select("doc_id")
-    if wanted:
-        out = out.join(patterns.counts(flagged(forests, partitioned), wanted), "doc_id", "left")
-    return out.select("doc_id", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
+    return patterns.counts_in_place(forests, tuple(names), partitioned)
 
 
 def analyse(forests: DataFrame, select=None, definitions: list[dict] | None = None, partitioned: bool = False) -> DataFrame:
