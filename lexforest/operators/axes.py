@@ -19,6 +19,8 @@ from .trees import TREE, shred_in_place
 
 #: Pairs of a batch that a task gives out at once, about.
 PAIRS = 1 << 18
+#: Leaves of a tree, up to which the positions that chains reach are listed for many trees at once; those of larger trees are bits.
+POSITIONS = 512
 DOMINATES = "a.st < b.st AND a.en > b.en"
 SAME = "a.st = b.st"
 
@@ -290,16 +292,52 @@ def reachable(first: np.ndarray, after: np.ndarray, size: int) -> list[int]:
     return reach
 
 
+def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``runs`` in one part."""
+    n = high - low
+    return np.repeat(np.arange(len(n)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def reached(first: np.ndarray, after: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``reachable`` for the positions of many small trees at once, as (bounds, positions).
+
+    A position is done when those that its arcs lead to are, so a round does all that wait for nothing more.
+    """
+    arcs = np.unique((first * (size + 1) + after)[first < after])
+    first, after = np.divmod(arcs, size + 1)
+    by_end = np.argsort(after, kind="stable")
+    at = np.arange(size + 2)
+    starts, ends = np.searchsorted(first, at), np.searchsorted(after[by_end], at)
+    wait = np.diff(starts)
+    low, high, have, kept = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), 0, np.empty(2 * size + 2, np.int64)
+    done = np.flatnonzero(wait == 0)
+    while len(done):
+        _, arc = expanded(starts[done], starts[done + 1])
+        by, place = expanded(low[after[arc]], high[after[arc]])
+        own, position = np.divmod(np.unique(np.append(done * (size + 1) + done, first[arc][by] * (size + 1) + kept[place])), size + 1)
+        if have + len(own) > len(kept):
+            kept = np.append(kept, np.empty(have + 2 * len(own), np.int64))
+        kept[have : have + len(own)] = position
+        low[done], high[done] = have + np.searchsorted(own, done), have + np.searchsorted(own, done, "right")
+        have += len(own)
+        _, into = expanded(ends[done], ends[done + 1])
+        before = first[by_end[into]]
+        np.subtract.at(wait, before, 1)
+        done = np.unique(before[wait[before] == 0])
+    _, place = expanded(low, high)
+    return np.append(0, np.cumsum(high - low)), kept[place]
+
+
 def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False, placed: bool = False) -> DataFrame:
     """a before b with only nodes of the category, edge to edge, between (or b before a).
 
-    A task goes through its trees one after the other. Of a tree it holds the nodes and, for each position
-    between leaves, the later positions that chains reach, as bits.
+    A task holds, for each position between leaves, the later positions that chains reach: of many small
+    trees at once as lists, of a large tree as bits.
     """
     fits = F.expr(f"coalesce({category.replace('x.label', 'label')}, false)")
 
-    def chains(left, right, arc):
-        """Index pairs (first, second) of the nodes of one tree."""
+    def of_large(left, right, arc):
+        """Index pairs (first, second) of the nodes of one tree, position by position."""
         reach = reachable(left[arc], right[arc], int(right.max(initial=0)))
         by_left = np.argsort(left, kind="stable")
         starts = np.searchsorted(left[by_left], np.arange(len(reach) + 1))
@@ -310,13 +348,38 @@ def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False, p
             first = np.flatnonzero(right == p)
             yield np.repeat(first, len(second)), np.tile(second, len(first))
 
+    def of_small(left, right, arc):
+        """The same of many trees, whose positions are numbered one tree after the other, part by part."""
+        size = int(right.max())
+        bounds, position = reached(left[arc], right[arc], size)
+        by_left = np.argsort(left, kind="stable")
+        starts = np.searchsorted(left[by_left], np.arange(size + 2))
+        met = np.append(0, np.cumsum(np.diff(starts)[position]))
+        total = np.cumsum((met[bounds[1:]] - met[bounds[:-1]])[right])
+        cuts = [0, *(np.flatnonzero(np.diff(total // PAIRS)) + 1).tolist(), len(right)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            node, place = expanded(bounds[right[x:y]], bounds[right[x:y] + 1])
+            i, j = expanded(starts[position[place]], starts[position[place] + 1])
+            yield x + node[i], by_left[j]
+
     def related(of, tree):
         cuts = np.append(np.flatnonzero(np.diff(tree, prepend=-1)), len(tree))
+        left, right, arc = of["left_edge"], of["right_edge"], of["arc"]
+        most = np.maximum.reduceat(right, cuts[:-1])
+        large = most > POSITIONS
+        small = np.flatnonzero(~np.repeat(large, np.diff(cuts)))
+        if len(small):
+            # a tree's positions go from 0 to its last edge
+            room = np.where(large, 0, most + 1)
+            shift = np.repeat(np.cumsum(room) - room, np.diff(cuts))[small]
+            for i, j in of_small(left[small] + shift, right[small] + shift, arc[small]):
+                yield small[i], small[j]
         firsts, seconds, size = [], [], 0
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for one, two in chains(of["left_edge"][x:y], of["right_edge"][x:y], of["arc"][x:y]):
-                firsts.append(one + x)
-                seconds.append(two + x)
+        for t in np.flatnonzero(large).tolist():
+            own = slice(cuts[t], cuts[t + 1])
+            for one, two in of_large(left[own], right[own], arc[own]):
+                firsts.append(one + cuts[t])
+                seconds.append(two + cuts[t])
                 size += len(one)
                 if size > PAIRS:
                     yield np.concatenate(firsts), np.concatenate(seconds)
@@ -324,7 +387,7 @@ def neighbour_chains(nodes: DataFrame, category: str, backwards: bool = False, p
         if firsts:
             yield np.concatenate(firsts), np.concatenate(seconds)
 
-    return in_trees(nodes, {"arc": fits, "left_edge": F.col("left_edge"), "right_edge": F.col("right_edge")}, related, placed, backwards)
+    return in_trees(nodes, {"arc": fits} | {c: F.col(c).cast("long") for c in ("left_edge", "right_edge")}, related, placed, backwards)
 
 
 def _with_end(batches):

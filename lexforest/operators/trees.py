@@ -194,10 +194,10 @@ def places(nodes: Nodes, index: np.ndarray, rows: np.ndarray) -> pa.Array:
     return pa.array(nodes.st[index[rows]].astype(np.int32), mask=index[rows] < 0)
 
 
-def whole_parts(tokens: pa.Array):
-    """(from, to) of documents that are cut up at once."""
+def whole_parts(tokens: pa.Array, most: int):
+    """(from, to) of documents that are cut up at once, of about as many tokens."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-    cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(tokens)]
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(tokens)]
     return zip(cuts, cuts[1:], strict=False)
 
 
@@ -221,8 +221,8 @@ def shred_in_place(forests: DataFrame, *names: str, derived=None, chosen=None, w
     def run(batches):
         for batch in batches:
             tokens = batch.column("tokens")
-            for x, y in whole_parts(tokens):
-                for doc, rows in nodes_of(tokens.slice(x, y - x), names, derived, chosen, weights):
+            for x, y in whole_parts(tokens, TOKENS):
+                for doc, rows in nodes_of(tokens.slice(x, y - x), names, derived, chosen, weights, WEIGHT):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc + x)), *rows], names=["doc_id", *names, *derived])
 
     kind = forests.schema["doc_id"].dataType.simpleString()
@@ -230,7 +230,7 @@ def shred_in_place(forests: DataFrame, *names: str, derived=None, chosen=None, w
     return tokens_of(forests, partitioned).mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} {k}' for c, k in types.items())}")
 
 
-def nodes_of(tokens: pa.Array, names: tuple[str, ...], derived=None, chosen=None, weights=None):
+def nodes_of(tokens: pa.Array, names: tuple[str, ...], derived=None, chosen=None, weights=None, most: int = 1):
     """Parts of (index of the node's document, columns), from a list a document of its tokens; see ``shred_in_place``.
 
     Inside a level openers and closers alternate, and sisters stand next to each other; so two stable sorts by level
@@ -329,7 +329,7 @@ def nodes_of(tokens: pa.Array, names: tuple[str, ...], derived=None, chosen=None
     rows = np.arange(len(stay)) if chosen is None else np.flatnonzero(chosen(nodes))
     given = [columns[c]() for c in names]
     heavy = np.cumsum(weights(nodes)[rows]) if weights else np.zeros(len(rows), int)
-    cuts = [0, *(np.flatnonzero(np.diff(heavy // WEIGHT)) + 1).tolist(), len(rows)]
+    cuts = [0, *(np.flatnonzero(np.diff(heavy // most)) + 1).tolist(), len(rows)]
     for low, high in zip(cuts, cuts[1:], strict=False):
         part = rows[low:high]
         yield own[x[stay[part]]], [*(c if len(part) == len(stay) else c.take(pa.array(part)) for c in given), *(f(nodes, part) for _, f in (derived or {}).values())]
